@@ -47,7 +47,7 @@ def test_index_against_all_pairs():
     rng = np.random.default_rng(5)
     for radius in (0, 2, 4):
         base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-        fps = [int(b) ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 6))) for b in base for _ in range(12)]
+        fps = [int(b) ^ sum(1 << int(x) for x in set(rng.integers(0, 64, rng.integers(0, 6)).tolist())) for b in base for _ in range(12)]
         fps += [int(base[0]) ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]  # a dense cluster
         fps = sorted(set(fps))
         gray = sorted(fps, key=lambda x: x ^ x >> 1)
