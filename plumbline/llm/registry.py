@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import sharding, simhash
+from plumbline.llm import bpe, decontaminate, langid, quality, secrets, sharding, simhash
 from plumbline.llm.common import table
 
 #: Shards of op10.
@@ -16,6 +16,52 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"), secrets.vocabulary())
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+def op4_digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    found = decontaminate.matches(documents.select("doc_id", "text"), benchmark, keep_text=False)
+    return decontaminate.digest(found)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = """
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+           FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win
+       FROM b, unnest(range(1, greatest(len(w) - 9, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) t(k)),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+      FROM documents),
+dw AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS win
+       FROM d, (SELECT DISTINCT n FROM bw) l, unnest(range(1, len(w) - n + 2)) t(p)),
+o AS (SELECT r, p, n, item FROM dw JOIN bw USING (n, win)),
+h AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM o, unnest(range(0, n)) t(j) GROUP BY r),
+i AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM o GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)"""
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), bpe.tokenizer_file(), ids=False)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
     return placed.select("doc_id", "slot", "shard", F.length("text").cast("long").alias("n_text"))
@@ -33,8 +79,8 @@ def op10_sql() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op6_bpe, op8_quality_classifier, op9_language_id, op10_sharding)}
 
 
 def oracles() -> dict:
-    return {"op10_sharding": op10_sql()}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op10_sharding": op10_sql()}
