@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, langid, quality, secrets, sharding, simhash
+from plumbline.llm import bpe, decontaminate, langid, licences, linededup, media, quality, secrets, sharding, simhash
 from plumbline.llm.common import table
 
 #: Shards of op10.
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "units_removed", "words_removed")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -50,10 +55,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)"""
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), bpe.tokenizer_file(), ids=False)
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,9 +91,17 @@ def op10_sql() -> str:
     FROM s"""
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op6_bpe, op8_quality_classifier, op9_language_id, op10_sharding)}
+    found = (op1_line_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_licence_scan, op6_bpe, op7_media_columns,
+             op8_quality_classifier, op9_language_id, op10_sharding, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracles() -> dict:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op10_sharding": op10_sql()}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op5_licence_scan": licences.sql(), "op10_sharding": op10_sql()}

@@ -231,3 +231,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_fp = known.join(of_root, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(by_fp, "fp").select(id_col, "fp", hexed, "component_id")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """``df`` with one row of each component: that with the smallest id, unchanged.
+
+    Repeated rows of that id come down to one.  Rows without an id can't be told apart and stay.
+    The texts move once, to meet the ids that stay; these are broadcast only where they are few.
+    """
+    found = near_duplicates(df, id_col, text_col, words, radius)
+    stay = common.saved(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")), "kept-ids")
+    joined = df.join(stay, id_col, "left").where(F.col("_n").isNotNull() | F.col(id_col).isNull()).select(*[f"`{c}`" for c in df.columns])
+    if stay.where("_n > 1").isEmpty():
+        return joined
+    with_id = joined.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return with_id.unionByName(joined.where(F.col(id_col).isNull()))
