@@ -71,7 +71,7 @@ def greedy(edges: DataFrame) -> DataFrame:
                 out.append((r.gk, r.pk, r.gain, n))
         return pd.DataFrame(out, columns=["gk", "pk", "gain", "n"])
 
-    return edges.groupBy(F.lit(1)).applyInPandas(scan, "gk array<string>, pk array<string>, gain long, n long")
+    return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(scan, "gk array<string>, pk array<string>, gain long, n long")
 
 
 def greedy_rounds(edges: DataFrame) -> DataFrame:

@@ -625,13 +625,13 @@ BACKEND = {
     "join": "SELECT n.n_name, count(*) AS n FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000 GROUP BY n.n_name",
     "comma_join": "SELECT r_name, count(*) AS n FROM region, nation, customer WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey GROUP BY r_name",
     "group_having": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 4) AS q FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.08 GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
-    "window": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
+    "window": "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
     "subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < -900)",
     "cte": "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), m AS (SELECT max(n) AS n FROM t) SELECT t.o_custkey, t.n FROM t JOIN m ON t.n = m.n",
     "case_in_like": "SELECT p_partkey, CASE WHEN p_size IN (1, 2, 3) THEN 'small' WHEN p_brand LIKE '%1%' THEN 'one' ELSE 'other' END AS k FROM part WHERE p_retailprice IS NOT NULL",
     "order_limit": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25",
     "set_ops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1 UNION SELECT 99",
-    "dates": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2",
+    "dates": "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY 1, 2",
     "distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
 }
 for _k, _q in BACKEND.items():
