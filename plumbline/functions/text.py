@@ -110,7 +110,7 @@ def lemma(word: str) -> str:
     if w in {"part", "parts"}:
         return "part"
     for end, new in (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ing", ""), ("ed", ""), ("s", "")):
-        if w.endswith(end) and len(w) - len(end) >= 3 and not w.endswith("ss"):
+        if w.endswith(end) and len(w) - len(end) + len(new) >= 3 and not w.endswith("ss"):
             return w[: len(w) - len(end)] + new
     return w
 

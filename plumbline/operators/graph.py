@@ -41,7 +41,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list, as ``(a, b)``: each vertex but the root, and its root (the least).
 
     Alternating large and small stars (Kiveris et al., 2014): every round is a few equi-joins on
-    pre-aggregated minima, so a hub's edges are never gathered in one task; rounds grow as the
+    pre-aggregated minima.  The minima are cut off first, so that both sides of a join come straight
+    from a shuffle and adaptive execution can split a hub's edges over tasks.  Rounds grow as the
     logarithm of a component's length.  Null or empty input gives no rows; self-loops are ignored.
     """
 
@@ -53,12 +54,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     last = stamp(e)
     while last[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = (
             both.where("b > a").join(least, "a").where("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b"))).distinct()
