@@ -5,13 +5,6 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
-
-# Functions travel to the executors by value, so that no executor needs this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def queries() -> dict:
     from plumbline.llm import registry

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept as files in the shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again (columnar, with sizes)."""
     spark = df.sparkSession
@@ -53,7 +43,6 @@ def mapped(df: DataFrame, columns: list, fn: Callable[[list], dict], schema: str
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    # older and newer releases: a DDL string parses without the JVM only through the session
     wanted = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,41 +51,3 @@ def mapped(df: DataFrame, columns: list, fn: Callable[[list], dict], schema: str
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
 
     return df.select(*columns).mapInArrow(run, schema)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list, as ``(a, b)``: each vertex but the root, and its root (the least).
-
-    Alternating large and small stars (Kiveris et al., 2014): every round is a few equi-joins on
-    pre-aggregated minima, so a hub's edges are never gathered in one task; rounds grow as the
-    logarithm of a component's length.  Null or empty input gives no rows; self-loops are ignored.
-    """
-
-    def stamp(e: DataFrame) -> tuple:
-        got = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return (got["n"], got["h"])
-
-    e = cut(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct()
-    )
-    last = stamp(e)
-    while last[0]:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").where("b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct()
-        )
-        e = cut(small)
-        now = stamp(e)
-        if now == last:
-            break
-        last = now
-    return e

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
+from plumbline.operators.graph import components
 
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -225,7 +226,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = common.saved(fingerprints(df, id_col, text_col, words), "fingerprints")
     first = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
-    roots = common.components(links(first, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    roots = components(links(first, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     known = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of_root = known.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = known.join(of_root, "root").select("fp", "component_id")
