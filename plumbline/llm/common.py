@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +37,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts a value, with its class, and gives the function that opens it in a task.
+
+    Spark pickles broadcast values by reference to their module, which an executor may not have.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def mapped(df: DataFrame, columns: list, fn: Callable[[list], dict], schema: str) -> DataFrame:
     """``fn`` over Arrow batches: it gets one Python list per column and gives lists by name.
 

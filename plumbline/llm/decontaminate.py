@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import common
+
 #: A-Z lower-cased; every byte that can't be part of a word made a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Words of a shard, about; a document is a shard by itself if it is longer.
@@ -166,7 +168,7 @@ def matches(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
     window.  Null or wordless texts have no words and match nothing; an item without an id marks
     words but isn't listed; repeated rows get equal results; an empty benchmark matches nothing.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
     added = ("bench_words", "bench_spans", "bench_items")
     df = df.drop(*added).withColumns({
         "bench_words": F.lit(0).cast("long"),
@@ -178,18 +180,18 @@ def matches(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
     rows = next(blocks)
     while rows is not None:
         after = next(blocks, None)
-        df = _pass(df, sc.broadcast(Windows(rows, size)), text_col, keep_text or after is not None)
+        df = _pass(df, common.sent(spark, Windows(rows, size)), text_col, keep_text or after is not None)
         rows = after
     return df
 
 
-def _pass(df: DataFrame, windows, text_col: str, keep_text: bool) -> DataFrame:
+def _pass(df: DataFrame, windows: Callable[[], Windows], text_col: str, keep_text: bool) -> DataFrame:
     names = df.columns
     kept = [k for k, c in enumerate(names) if keep_text or c != text_col]
     text_at, words_at, spans_at, items_at = (names.index(c) for c in (text_col, "bench_words", "bench_spans", "bench_items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = windows.value
+        w = windows()
         for batch in batches:
             words, spans, items, held, total = [], [], [], [], 0
             old_spans, old_items = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist()

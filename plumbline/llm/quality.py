@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import common
+
 #: Labelled rows, and rows of the unlabelled pool, that are fitted on: about so many, picked by a hash of the id.
 LABELLED, POOL = 8000, 6000
 #: Words of the content view are those in so many labelled documents at least, the commonest WORDS of them.
@@ -233,14 +235,15 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     if model is None:
         none = F.lit(None).cast("double")
         return df.select(id_col, none.alias("p_content"), none.alias("p_metadata"), none.alias("score"), F.lit(True).alias("keep"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    opened = common.sent(df.sparkSession, model)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = opened()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                p = shared.value.score(*(c.to_pylist() for c in part.columns[1:]))
+                p = ready.score(*(c.to_pylist() for c in part.columns[1:]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, j]) for j in range(3)), pa.array(p[:, 2] >= THRESHOLD)],
                                                  names=[id_col, "p_content", "p_metadata", "score", "keep"])
 
@@ -253,15 +256,16 @@ def kept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     model = fit(df, labels, id_col, text_col)
     if model is None:
         return df
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    opened = common.sent(df.sparkSession, model)
     names = df.columns
     at = [names.index(c) if c in names else None for c in (text_col, "source", "lang", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = opened()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                p = shared.value.score(*([None] * part.num_rows if c is None else part.column(c).to_pylist() for c in at))
+                p = ready.score(*([None] * part.num_rows if c is None else part.column(c).to_pylist() for c in at))
                 yield part.filter(pa.array(p[:, 2] >= THRESHOLD))
 
     return df.mapInArrow(run, df.schema)
