@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.reports import rounded
+
 
 def links(schema: Column) -> Column:
     """The set of ``table_column`` (lower case) of a map from tables to columns."""
@@ -28,7 +30,7 @@ def scores(df: DataFrame, gold: str, pred: str, total: str | None = None) -> Dat
 def report(df: DataFrame, base: str = "OO") -> DataFrame:
     """``(combo, method, n, each score as an average in percent, and its difference from the base combo)``; rows with an error don't count."""
     names = ["precision", "recall", "f1", "slr"]
-    good = df.where("error is null").groupBy("combo", "method").agg(F.count("*").alias("n"), *[F.round(F.avg(c) * 100, 1).alias(c) for c in names])
+    good = df.where("error is null").groupBy("combo", "method").agg(F.count("*").alias("n"), *[rounded(F.avg(c) * 100, 1).alias(c) for c in names])
     first = good.where(F.col("combo") == base).select("method", *[F.col(c).alias(f"base_{c}") for c in names])
     return good.join(F.broadcast(first), "method", "left").select(  # a row for each method
         "combo", "method", "n", *names, *[F.round(F.col(c) - F.col(f"base_{c}"), 1).alias(f"delta_{c}") for c in names])

@@ -10,6 +10,11 @@ METRICS = ("EXP", "EXR", "F1")
 
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A mean to some digits, halves up, without what the order of adding leaves in the last binary digits."""
+    return F.round(F.round(c, 9).cast("decimal(20,9)"), digits).cast("double")
+
+
 def _share(by=None, n: str = "n") -> Column:
     """A count's share of the total of already counted rows, in percent."""
     return F.col(n) * 100.0 / F.sum(n).over(by or W.partitionBy())
@@ -18,7 +23,7 @@ def _share(by=None, n: str = "n") -> Column:
 def operator_means(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean scores by operator (and technique), nulls and NaN left out, 0 where nothing is left; two decimals."""
     real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
-    return scores.groupBy(*(by or ["operator"])).agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(real(c)), F.lit(0.0)), 2).alias(c) for c in METRICS])
+    return scores.groupBy(*(by or ["operator"])).agg(F.count("*").alias("n"), *[rounded(F.coalesce(F.avg(real(c)), F.lit(0.0)), 2).alias(c) for c in METRICS])
 
 
 def operator_deltas(scores: DataFrame, a: str, b: str) -> DataFrame:
@@ -49,7 +54,7 @@ def system_averages(scores: DataFrame, systems: int) -> DataFrame:
     shared = common_failures(scores, systems).withColumn("_c", F.lit(True))
     subsets = F.array_compact(F.array(F.lit("all"), F.when(F.col("EX") == 0, "own_failures"), F.when(F.col("_c"), "common_failures")))
     rows = scores.join(shared, "question_id", "left").withColumn("subset", F.explode(subsets))
-    mean = lambda c: F.round(F.avg(c) * 100, 1)
+    mean = lambda c: rounded(F.avg(c) * 100, 1)
     return rows.groupBy("system", "subset").agg(
         F.count("*").alias("n"), *[mean(c).alias(c) for c in METRICS], *[F.round(100 - mean(c), 1).alias(f"gap_{c}") for c in METRICS],
         F.avg("latency").alias("latency_mean"), F.stddev_samp("latency").alias("latency_std"))
@@ -89,7 +94,7 @@ def transitions(pairs: DataFrame) -> DataFrame:
 
 def accuracy_by(scores: DataFrame, key: str) -> DataFrame:
     """Mean EX in percent by some column."""
-    return scores.groupBy(key).agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg("EX") * 100, 2), F.lit(0.0)).alias("accuracy"))
+    return scores.groupBy(key).agg(F.count("*").alias("n"), F.coalesce(rounded(F.avg("EX") * 100, 2), F.lit(0.0)).alias("accuracy"))
 
 
 def joined_accuracies(maps: list[tuple[str, DataFrame]], key: str) -> DataFrame:

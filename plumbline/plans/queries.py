@@ -214,7 +214,14 @@ SCORES = """SELECT event_type AS system, user_id AS question_id, CAST(max(event_
  CASE user_id % 4 WHEN 0 THEN 'where_remove' WHEN 1 THEN 'join_break' WHEN 2 THEN 'distinct_toggle' ELSE 'projection_drop' END AS operator FROM events GROUP BY event_type, user_id"""
 SYSTEMS = ["click", "error", "purchase", "signup", "view"]
 _S = f"WITH s AS ({SCORES}) "
-_MEANS = ", ".join(f"round(avg({c}), 2) AS {c}" for c in ("EXP", "EXR", "F1"))
+
+
+def _r(c: str, digits: int) -> str:
+    """The SQL of ``reports.rounded``."""
+    return f"CAST(round(CAST(round({c}, 9) AS DECIMAL(20, 9)), {digits}) AS DOUBLE)"
+
+
+_MEANS = ", ".join(f"{_r(f'avg({c})', 2)} AS {c}" for c in ("EXP", "EXR", "F1"))
 
 
 @query(_S + f"SELECT operator, count(*) AS n, {_MEANS} FROM s GROUP BY operator")
@@ -231,7 +238,7 @@ def error_count_stats(spark: SparkSession) -> DataFrame:
 _SUBSETS = "c AS (SELECT question_id FROM s GROUP BY question_id HAVING count(DISTINCT system) = 5 AND max(EX) = 0), u AS (SELECT 'all' AS subset, * FROM s UNION ALL SELECT 'own_failures', * FROM s WHERE EX = 0 UNION ALL SELECT 'common_failures', * FROM s WHERE question_id IN (FROM c)) "
 
 
-@query(_S + ", " + _SUBSETS + "SELECT system, subset, count(*) AS n, " + ", ".join(f"round(avg({c}) * 100, 1) AS {c}, round(100 - round(avg({c}) * 100, 1), 1) AS gap_{c}" for c in ("EXP", "EXR", "F1")) +
+@query(_S + ", " + _SUBSETS + "SELECT system, subset, count(*) AS n, " + ", ".join(f"{_r(f'avg({c}) * 100', 1)} AS {c}, round(100 - {_r(f'avg({c}) * 100', 1)}, 1) AS gap_{c}" for c in ("EXP", "EXR", "F1")) +
        ", round(avg(latency), 6) AS latency_mean, round(stddev_samp(latency), 6) AS latency_std FROM u GROUP BY system, subset")
 def system_averages(spark: SparkSession) -> DataFrame:
     d = reports.system_averages(spark.sql(SCORES), len(SYSTEMS))
@@ -284,12 +291,12 @@ def ex_transitions(spark: SparkSession) -> DataFrame:
     return reports.transitions(_pairs(spark))
 
 
-@query(_S + "SELECT n_join, count(*) AS n, round(avg(EX) * 100, 2) AS accuracy FROM s GROUP BY n_join")
+@query(_S + "SELECT n_join, count(*) AS n, " + _r("avg(EX) * 100", 2) + " AS accuracy FROM s GROUP BY n_join")
 def accuracy_by_joins(spark: SparkSession) -> DataFrame:
     return reports.accuracy_by(spark.sql(SCORES), "n_join")
 
 
-@query(_S + "SELECT n_join, " + ", ".join(f"coalesce(round(avg(EX) FILTER (system = '{x}') * 100, 2), 0.0::DOUBLE) AS {x}" for x in SYSTEMS[:3]) + " FROM s WHERE system IN ('click', 'error', 'purchase') GROUP BY n_join")
+@query(_S + "SELECT n_join, " + ", ".join(f"coalesce({_r(f"avg(EX) FILTER (system = '{x}') * 100", 2)}, 0.0::DOUBLE) AS {x}" for x in SYSTEMS[:3]) + " FROM s WHERE system IN ('click', 'error', 'purchase') GROUP BY n_join")
 def joined_accuracies(spark: SparkSession) -> DataFrame:
     s = spark.sql(SCORES)
     return reports.joined_accuracies([(x, reports.accuracy_by(s.where(F.col("system") == x), "n_join")) for x in SYSTEMS[:3]], "n_join")
@@ -604,7 +611,7 @@ def schema_linking_scores(spark: SparkSession) -> DataFrame:
     return linking.scores(_link_rows(spark), "gold", "pred").select("k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "slr")
 
 
-@query(_L + ", a AS (SELECT combo, method, count(*) AS n, " + ", ".join(f"round(avg({c}) * 100, 1) AS {c}" for c in ("precision", "recall", "f1", "slr")) + " FROM x GROUP BY combo, method) SELECT a.*, " +
+@query(_L + ", a AS (SELECT combo, method, count(*) AS n, " + ", ".join(f"{_r(f'avg({c}) * 100', 1)} AS {c}" for c in ("precision", "recall", "f1", "slr")) + " FROM x GROUP BY combo, method) SELECT a.*, " +
        ", ".join(f"round(a.{c} - b.{c}, 1) AS delta_{c}" for c in ("precision", "recall", "f1", "slr")) + " FROM a LEFT JOIN a b ON a.method = b.method AND b.combo = 'OO'")
 def schema_linking_report(spark: SparkSession) -> DataFrame:
     return linking.report(linking.scores(_link_rows(spark), "gold", "pred").withColumn("error", F.lit(None).cast("string")))
