@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
-from plumbline.operators.graph import components
+from plumbline.operators.graph import components, cut
 
+#: Fingerprints of a top node that are worked on at once.
+NODE = 1_000_000
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -76,6 +78,15 @@ def masks(radius: int, fixed: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """A mask with each of ``radius + 1`` parts of its free bits added: of two values within the radius
+    that agree on the mask, at least one part agrees too."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    edges = [round(len(free) * k / (radius + 1)) for k in range(radius + 2)]
+    found = [(mask | sum(1 << k for k in free[lo:hi])) & ((1 << 64) - 1) for lo, hi in zip(edges, edges[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
 class Index:
     """The hierarchical index of one batch of top nodes, as arrays, level by level.
 
@@ -172,18 +183,27 @@ def _group_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
     return fps[late], fps[label[late]]
 
 
-def links(fps: DataFrame, radius: int = 4, fixed: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, fixed: int = 2, most: int = NODE) -> DataFrame:
     """``(a, b)`` pairs of fingerprints that connect all distinct ``fp`` within ``radius`` of each other.
 
     Rows grow as the fingerprints times the number of masks (15 by default).  Within a top node
-    only its fingerprints (8 bytes each) are held, as arrays; copies of a text count once.
+    only its fingerprints (8 bytes each) are held, as arrays; copies of a text count once.  Nodes of
+    more than ``most`` fingerprints, which only as many can make, are dealt again by finer masks.
     """
-    tops = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("top")) for k, m in enumerate(masks(radius, fixed))])
-    dealt = (
-        fps.select("fp").distinct().select("fp", F.explode(tops).alias("x")).select("x.t", "x.top", "fp")
-        .repartition("t", "top")
-        .sortWithinPartitions("t", "top", gray_rank(F.col("fp")))
-    )
+    distinct, chosen = fps.select("fp").distinct(), masks(radius, fixed)
+
+    def under(df: DataFrame, by: list[tuple[int, int]]) -> DataFrame:
+        nodes = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("top")) for t, m in by])
+        return df.select("fp", F.explode(nodes).alias("x")).select("x.t", "x.top", "fp")
+
+    nodes = under(distinct, list(enumerate(chosen)))
+    if distinct.limit(most + 1).count() > most:
+        heavy = cut(nodes.groupBy("t", "top").agg(F.count("*").alias("n")).where(F.col("n") > most).select("t", "top"))
+        dense, parts = nodes.join(heavy, ["t", "top"], "left_semi"), radius + 1
+        nodes = nodes.join(heavy, ["t", "top"], "left_anti")
+        for t, m in enumerate(chosen):
+            nodes = nodes.union(under(dense.where(F.col("t") == t), [(len(chosen) + t * parts + k, f) for k, f in enumerate(finer_masks(m, radius))]))
+    dealt = nodes.repartition("t", "top").sortWithinPartitions("t", "top", gray_rank(F.col("fp")))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

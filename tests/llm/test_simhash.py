@@ -63,6 +63,22 @@ def test_index_against_all_pairs():
         assert sorted(map(sorted, classes.values())) == sorted(map(sorted, true.values()))
 
 
+def test_heavy_nodes_are_dealt_again(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    for m in simhash.masks(4, 2):
+        assert all(f & m == m for f in simhash.finer_masks(m, 4)) and len(simhash.finer_masks(m, 4)) == 5
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = closure(signed, fps)
+    for most in (5, 40, 10**6):
+        from plumbline.operators.graph import components
+
+        got = dict((r.a, r.b) for r in components(simhash.links(df, most=most)).collect())
+        assert {f: got.get(f, f) for f in signed} == want
+
+
 def test_near_duplicates_against_brute_force(spark):
     random.seed(3)
     rows = []
