@@ -187,3 +187,34 @@ def chains(mutants: DataFrame, depth: int) -> DataFrame:
         part = mutants.where(F.col("depth") == k).select("question_id", F.col("operators").alias("_p")).distinct()
         full = full.join(part, (full["question_id"] == part["question_id"]) & (F.slice(F.col("operators"), 1, k) == F.col("_p")), "left_semi")
     return full.withColumn("error_pattern", F.array_join("operators", " → "))
+
+
+def shares_by(df: DataFrame, group: str, value: str) -> DataFrame:
+    """How a value is distributed within each group, as fractions."""
+    n = df.groupBy(group, value).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") * 1.0 / F.sum("n").over(W.partitionBy(group)))
+
+
+def benchmark_summary(graphs: DataFrame, by: str = "benchmark") -> DataFrame:
+    """Graphs of each benchmark: share connected and with cycles, degrees, average diameter."""
+    return graphs.groupBy(by).agg(
+        F.count("*").alias("n"), F.avg((F.col("n_components") == 1).cast("double")).alias("connected_share"), F.avg((F.col("n_cycles") > 0).cast("double")).alias("cyclic_share"),
+        F.avg("avg_degree").alias("degree_mean"), F.stddev_samp("avg_degree").alias("degree_std"), F.min("avg_degree").alias("degree_min"), F.max("avg_degree").alias("degree_max"),
+        F.avg("diameter").alias("diameter_mean"))
+
+
+def degree_changes(pairs: DataFrame) -> DataFrame:
+    """Pairs of (original, extended) average degrees by their difference, with each one's share."""
+    n = pairs.groupBy(F.round(F.col("degree_after") - F.col("degree_before"), 4).alias("delta"), "degree_before", "degree_after").agg(F.count("*").alias("n"))
+    return n.withColumn("percent", _share())
+
+
+def hiding_average(scores: DataFrame, column: str = "score") -> DataFrame:
+    """The mean of what was scored; null if nothing was."""
+    return scores.agg(F.avg(column).alias("mean"), F.count(column).alias("n"))
+
+
+def two_ex(cases: DataFrame) -> DataFrame:
+    """EX before and after as numbers: missing SQL is null, a timeout or error is 0; and their difference."""
+    ex = lambda c: F.when(F.col(c).isNull() | (F.col(c) == "missing"), None).when(F.col(c).isin("timeout", "error"), 0).otherwise(F.col(c).try_cast("int"))
+    return cases.withColumns({"ex_before": ex("before"), "ex_after": ex("after")}).withColumn("delta", F.col("ex_after") - F.col("ex_before"))

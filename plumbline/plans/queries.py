@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import embed, text
-from plumbline.operators import expansion, graph, linking, matching, mutation, rename, reports, sampling, techniques
+from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, techniques
 from plumbline.plans import star
 from plumbline.plans.queryspec import columns_of, is_nested, parse, structure
 
@@ -644,3 +644,85 @@ BACKEND = {
 for _k, _q in BACKEND.items():
     query(_q, f"sql_backend_{_k}")(lambda spark, q=_q: spark.sql(q))
 
+
+
+# ---- more reports
+
+_STATUS = "CASE WHEN question_id % 11 = 0 THEN 'timeout' WHEN question_id % 13 = 0 THEN 'error' ELSE 'ok' END"
+
+
+@query(_S + f"SELECT system AS technique, count(*) FILTER ({_STATUS} = 'ok') AS n_ok, count(*) FILTER ({_STATUS} = 'timeout') AS n_timeout, count(*) FILTER ({_STATUS} = 'error') AS n_error, "
+       "round(avg(F1), 6) AS f1_mean, round(stddev_pop(F1), 6) AS f1_std FROM s GROUP BY system")
+def technique_statuses(spark: SparkSession) -> DataFrame:
+    s = spark.sql(SCORES).withColumn("status", F.expr(_STATUS)).withColumnRenamed("system", "technique")
+    return reports.statuses(s).withColumns({c: F.round(c, 6) for c in ("f1_mean", "f1_std")})
+
+
+@query(_S + "SELECT round(avg(a), 6) AS mean_automatic, round(avg(h), 6) AS mean_human, count(*) FILTER (a IS DISTINCT FROM h) AS n_differ FROM (SELECT CASE WHEN question_id % 9 > 0 THEN EX END AS a, CASE WHEN question_id % 7 > 0 THEN n_join % 2 END AS h FROM s)")
+def agreement(spark: SparkSession) -> DataFrame:
+    s = spark.sql(SCORES).select(F.when(F.col("question_id") % 9 > 0, F.col("EX")).alias("automatic"), F.when(F.col("question_id") % 7 > 0, F.col("n_join") % 2).alias("human"))
+    return reports.agreement(s).withColumns({c: F.round(c, 6) for c in ("mean_automatic", "mean_human")})
+
+
+@query(_S + ", m AS (SELECT operator, system, " + _MEANS + " FROM s WHERE system IN ('view', 'click') GROUP BY 1, 2) SELECT a.operator, " +
+       ", ".join(f"{t}.{c} AS {n}_{c}" for t, n in (("a", "view"), ("b", "click")) for c in ("EXP", "EXR", "F1")) + ", " + ", ".join(f"round(b.{c} - a.{c}, 2) AS delta_{c}" for c in ("EXP", "EXR", "F1")) +
+       " FROM m a JOIN m b ON a.operator = b.operator AND a.system = 'view' AND b.system = 'click'")
+def operator_deltas(spark: SparkSession) -> DataFrame:
+    return reports.operator_deltas(spark.sql(SCORES).withColumnRenamed("system", "technique"), "view", "click")
+
+
+@query(_S + "SELECT system, n_join, count(*) AS n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY system), 6) AS share FROM s GROUP BY system, n_join")
+def node_distribution(spark: SparkSession) -> DataFrame:
+    return reports.shares_by(spark.sql(SCORES), "system", "n_join").select("system", "n_join", "n", F.round(F.col("share").cast("double"), 6).alias("share"))
+
+
+@query("SELECT 'db' || CAST(c_nationkey % 3 AS VARCHAR) AS db_id, 'system' AS system, c_custkey AS question_id, c_mktsegment AS method, c_custkey % 2 = 1 AND c_custkey % 3 = 0 AS over_ol, c_custkey % 2 = 1 AND c_custkey % 5 = 0 AS over_lo FROM customer")
+def linking_improvements(spark: SparkSession) -> DataFrame:
+    k = F.col("question_id")
+    base = spark.table("customer").select(F.concat(F.lit("db"), (F.col("c_nationkey") % 3).cast("string")).alias("db_id"), F.lit("system").alias("system"), F.col("c_custkey").alias("question_id"), F.col("c_mktsegment").alias("method"))
+    rows = base.select("*", F.explode(F.array(F.lit("LL"), F.lit("OL"), F.lit("LO"))).alias("combo"))
+    slr = F.when(F.col("combo") == "LL", (k % 2 == 1).cast("int")).when(F.col("combo") == "OL", (k % 3 > 0).cast("int")).otherwise((k % 5 > 0).cast("int"))
+    return linking.improvements(rows.withColumn("slr", slr))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(o_custkey % 2 AS INTEGER) END AS ex_before, CAST(o_orderkey % 2 AS INTEGER) AS ex_after, "
+       "CAST(o_orderkey % 2 AS INTEGER) - CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(o_custkey % 2 AS INTEGER) END AS delta FROM orders")
+def ex_before_and_after(spark: SparkSession) -> DataFrame:
+    k = F.col("o_orderkey")
+    before = F.when(k % 10 == 0, "missing").when(k % 7 == 0, "timeout").otherwise((F.col("o_custkey") % 2).cast("string"))
+    return reports.two_ex(spark.table("orders").select("o_orderkey", before.alias("before"), (k % 2).cast("string").alias("after"))).select("o_orderkey", "ex_before", "ex_after", "delta")
+
+
+@query()
+def schema_translation(spark: SparkSession) -> DataFrame:
+    from plumbline.plans.queryspec import gold_links
+
+    rows = [(k, db, gold_links(parse(q))) for k, db, q in star.CORPUS]
+    schema = spark.createDataFrame(rows, "question_id int, db_id string, schema map<string,array<string>>")
+    return linking.translated(schema, star.mapping(spark)).select("question_id", linking.schema_text(F.col("schema")).alias("text"))
+
+
+@query()
+def identifier_naturalness(spark: SparkSession) -> DataFrame:
+    dictionary = frozenset("region nation customer supplier part order line item key name size type brand".split())
+    return naturalness.decreased(naturalness.classified(_names(spark), naturalness.by_dictionary(dictionary)))
+
+
+@query()
+def question_links(spark: SparkSession) -> DataFrame:
+    rows = [(k, q, parse(sql).table, [], []) for (k, _, sql), q in zip(star.CORPUS, (
+        "Which nations lie outside Asia?", "How many customers has each segment?", "Which parts are large?", "List suppliers by key", "Balance by nation", "Orders by priority", "Quantities of line items", "Suppliers by region", "Large orders"))]
+    return naturalness.linked(spark.createDataFrame(rows, "question_id int, question string, central_table string, literals array<string>, attributes array<string>"), frozenset({"line", "item"}))
+
+
+@query()
+def query_variants(spark: SparkSession) -> DataFrame:
+    mapping = rename.mapping_of(star.mapping(spark), "star")
+    rows = [(k, db, f"question {k}", f"new question {k}", q, rename.rewrite(q, mapping)) for k, db, q in star.CORPUS]
+    return rename.variants(spark.createDataFrame(rows, "question_id int, db_id string, question string, new_question string, sql string, new_sql string"))
+
+
+@query("SELECT conv_id, turn, text AS original, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x20-\\x7e\\n]', '', 'g') AS text FROM conversations)")
+def squeezed_texts(spark: SparkSession) -> DataFrame:
+    c = spark.table("conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x20-\x7e\n]", "").alias("original"))
+    return c.select("*", text.squeezed(F.col("original")).alias("squeezed"))
