@@ -126,30 +126,38 @@ def _tagged(unit: Column) -> Column:
     return F.transform(grams, lambda g, i: F.concat_ws(" ", g, F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g))))
 
 
-def matches(text: Column, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Column:
-    """``array<struct<name, dice>>`` of a text's units and templates that reach the threshold."""
+_NONE = "array<struct<name:string,dice:double>>"
+
+
+def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with ``name``, an ``array<struct<name, dice>>`` of its texts' units and templates that reach the threshold.
+
+    The normalised text and whether it has any of the words are columns of their own on the way, so
+    each is made once; only texts that have one are cut up.
+    """
     known = templates(texts, threshold)
     table = F.array(*[F.struct(F.lit(t.name).alias("name"), F.lit(t.grams).alias("grams"), F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most")) for t in known])
-    words = "(?:^| )(?:" + "|".join(sorted(set().union(*(t.words for t in known)))) + ")(?: |$)"
+    words = "(?:^|[ \n])(?:" + "|".join(sorted(set().union(*(t.words for t in known)))) + ")(?:[ \n]|$)"
     low, high = min(t.least for t in known), max(t.most for t in known)
-    plain = F.lower(F.regexp_replace(text, "[^A-Za-z0-9\n]+", " "))
-
-    def cut(pattern: str) -> Column:
-        return F.transform(F.split(plain, pattern), lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " ")))
-
+    plain = F.col("_plain")
     size = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  of bigrams
-    whole = F.trim(F.regexp_replace(plain, "[ \n]+", " "))
-    units = F.array_distinct(F.concat(F.array(whole), cut("\n *\n"), cut("\n")))
-    units = F.filter(units, lambda u: size(u).between(low, high) & u.rlike(words))
+    tidy = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
+    cut = F.concat(F.array(plain), F.split(plain, "\n *\n"), F.split(plain, "\n"))
+    units = F.array_distinct(F.transform(F.filter(cut, lambda u: u.rlike(words)), tidy))
 
     def compare(unit: Column) -> Column:
         n, tagged = size(unit), _tagged(unit)
         fit = F.filter(table, lambda t: n.between(t["least"], t["most"]))
         return F.transform(fit, lambda t: F.struct(t["name"].alias("name"), (2.0 * F.size(F.array_intersect(tagged, t["grams"])) / (n + t["size"])).alias("dice")))
 
-    found = F.filter(F.flatten(F.transform(units, compare)), lambda m: m["dice"] >= threshold)
-    # whatever has none of the words is done with before it is cut up
-    return F.when(F.regexp_replace(plain, "\n", " ").rlike(words), found).otherwise(F.array().cast("array<struct<name:string,dice:double>>"))
+    fitting = F.filter(F.col("_units"), lambda u: size(u).between(low, high))
+    found = F.filter(F.flatten(F.transform(fitting, compare)), lambda m: m["dice"] >= threshold)
+    keep = [f"`{c}`" for c in df.columns if c != name]
+    return (
+        df.select(*keep, F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias("_plain"))
+        .select(*keep, F.when(plain.rlike(words), units).alias("_units"))
+        .select(*keep, F.coalesce(found, F.array().cast(_NONE)).alias(name))
+    )
 
 
 def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -160,7 +168,7 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     last by name (null without any).  Null and empty texts match nothing; repeated rows get equal
     results; an empty table gives none.  Words are ASCII letters and digits.
     """
-    found = df.select(id_col, F.coalesce(matches(F.col(text_col), texts, threshold), F.array().cast("array<struct<name:string,dice:double>>")).alias("_m"))
+    found = with_matches(df.select(id_col, text_col), text_col, "_m", texts, threshold).select(id_col, "_m")
     best = F.array_max(F.transform("_m", lambda m: F.struct(m["dice"].alias("dice"), m["name"].alias("name"))))
     return found.select(
         id_col, F.size("_m").cast("long").alias("n_matches"),
