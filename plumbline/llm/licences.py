@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,10 +121,19 @@ def templates(texts: dict[str, str] | None = None, threshold: float = THRESHOLD)
     return [Template(k, t, threshold) for k, t in sorted((texts or TEMPLATES).items())]
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _tagged(unit: Column) -> Column:
-    words = F.split(unit, " ")
-    grams = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.transform(grams, lambda g, i: F.concat_ws(" ", g, F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g))))
+    def tag(grams: Column) -> Column:
+        return F.transform(grams, lambda g, i: F.concat_ws(" ", g, F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g))))
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+    return _with(_with(F.split(unit, " "), pairs), tag)
 
 
 _NONE = "array<struct<name:string,dice:double>>"
@@ -145,13 +155,14 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
     cut = F.concat(F.array(plain), F.split(plain, "\n *\n"), F.split(plain, "\n"))
     units = F.array_distinct(F.transform(F.filter(cut, lambda u: u.rlike(words)), tidy))
 
+    fitting = F.filter(F.col("_units"), lambda u: size(u).between(low, high))
+    ready = F.transform(fitting, lambda u: F.struct(size(u).alias("n"), _tagged(u).alias("grams")))
+
     def compare(unit: Column) -> Column:
-        n, tagged = size(unit), _tagged(unit)
-        fit = F.filter(table, lambda t: n.between(t["least"], t["most"]))
-        return F.transform(fit, lambda t: F.struct(t["name"].alias("name"), (2.0 * F.size(F.array_intersect(tagged, t["grams"])) / (n + t["size"])).alias("dice")))
+        fit = F.filter(table, lambda t: unit["n"].between(t["least"], t["most"]))
+        return F.transform(fit, lambda t: F.struct(t["name"].alias("name"), (2.0 * F.size(F.array_intersect(unit["grams"], t["grams"])) / (unit["n"] + t["size"])).alias("dice")))
 
-    fitting = F.filter(F.col("_units"), lambda u: size(u).between(low, high))
-    found = F.filter(F.flatten(F.transform(fitting, compare)), lambda m: m["dice"] >= threshold)
+    found = F.filter(F.flatten(F.transform(ready, compare)), lambda m: m["dice"] >= threshold)
     keep = [f"`{c}`" for c in df.columns if c != name]
     return (
         df.select(*keep, F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias("_plain"))
