@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes.
-
-A text is a sequence of units: its lines, long ones cut further at sentence ends.  Of each window
-of consecutive units that together have MIN_WORDS words the unit with the least hash is selected
-(Schleimer et al., 2003), so every run of that many words that two texts share has a selected unit
-in common.  Selected units that occur more than once are joined with their first occurrence, each
-match is extended both ways over equal units, and runs of MIN_WORDS words or more are deleted
-wherever they aren't first.
+"""Line dedup by the hashes of windows of lines.
+
+A text is a sequence of units: its lines, long ones cut further at sentence ends.  A window is a
+shortest run of units from some unit onwards, or up to some unit, that has MIN_WORDS words.  If a
+text shares a run of that many words with an earlier one, each unit of the run lies in a window
+inside it: go from the unit to the run's end until the words are enough, else take the last window
+of the run.  So exactly the windows that occur earlier, as a whole, make up all the runs that are
+deleted, whichever text each occurs in first.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
@@ -70,26 +70,41 @@ def _hashed(texts: list, skip: list) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.array(hashes, np.uint64), np.array(words, np.int64), np.repeat(np.arange(len(texts)), size)
 
 
-def _around(at: np.ndarray, short: np.ndarray, words: np.ndarray, doc: np.ndarray, step: int) -> pa.Array:
-    """The 32-bit hashes of the units on one side of each selected one, up to MIN_WORDS words away.
+def windows(words: np.ndarray, doc: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window begins and how many units it has: the shortest from each unit on that has
+    ``least`` words, and those up to a unit that aren't among them.  None reaches beyond its text."""
+    total = np.r_[0, np.cumsum(words)]
+    end = np.searchsorted(total, total[:-1] + least)  # the window is [i, end)
+    ahead = np.flatnonzero(end <= np.searchsorted(doc, doc, "right"))
+    begin = np.searchsorted(total, total[1:] - least, "right") - 1  # the window is [begin, i]
+    back = np.flatnonzero(begin >= np.searchsorted(doc, doc))
+    back = back[end[begin[back]] != back + 1]
+    return np.r_[ahead, begin[back]], np.r_[end[ahead] - ahead, back + 1 - begin[back]]
 
-    Whatever lies farther is within reach of another selected unit of the same run.
-    """
-    rows, seen, fits = np.zeros((len(at), MIN_WORDS), np.uint32), np.zeros(len(at), np.int64), np.ones(len(at), bool)
-    held = np.zeros((len(at), MIN_WORDS), bool)
-    for k in range(1, MIN_WORDS + 1 if len(at) else 0):
-        to = np.clip(at + k * step, 0, len(doc) - 1)
-        fits = fits & (at + k * step == to) & (doc[to] == doc[at]) & (seen < MIN_WORDS)
-        rows[:, k - 1], held[:, k - 1] = short[to], fits
-        seen += words[to]
-    offsets = np.r_[0, 4 * np.cumsum(held.sum(1))].astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows[held].astype("<u4").tobytes())])
-
-
-def fingerprints(df: DataFrame, id_col: str, text_col: str, context: bool) -> DataFrame:
-    """``h`` of every selected unit; with ``context`` also its id, its place, and hashes of the units around it."""
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _keys(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window's units in their order; that of a single unit is its own."""
+    key = hashes[begin]
+    for k in range(1, int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        key[on] = (key[on] ^ (key[on] >> np.uint64(32))) * np.uint64(_ODD) + hashes[begin[on] + k]
+    return key
+
+
+def _key(hashes: list[int]) -> int:
+    """The same of one window."""
+    key = hashes[0]
+    for h in hashes[1:]:
+        key = ((key ^ (key >> 32)) * _ODD + h) % (1 << 64)
+    return key
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(h, id, pos, size)`` of every window: its hash, its text, its first unit and how many it has."""
     kind = df.schema[id_col].dataType.simpleString()
-    schema = "h long" + f", id {kind}, pos int, before binary, after binary" * context
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,56 +112,44 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, context: bool) -> Da
                 part = batch.slice(k, 1000)
                 ids = part.column(0)
                 hashes, words, doc = _hashed(part.column(1).to_pylist(), ids.is_null().to_pylist())
-                at = select(hashes, words, doc)
-                columns = [pa.array(hashes[at].view(np.int64))]
-                if context:
-                    first = np.searchsorted(doc, doc[at])
-                    columns += [ids.take(pa.array(doc[at])), pa.array((at - first).astype(np.int32))]
-                    short = (hashes >> np.uint64(32)).astype(np.uint32)
-                    columns += [_around(at, short, words, doc, step) for step in (-1, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "id", "pos", "before", "after"] if context else ["h"])
+                begin, size = windows(words, doc)
+                first = np.searchsorted(doc, doc[begin])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_keys(hashes, begin, size).view(np.int64)), ids.take(pa.array(doc[begin])), pa.array((begin - first).astype(np.int32)), pa.array(size.astype(np.int32))],
+                    names=["h", "id", "pos", "size"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(run, f"h long, id {kind}, pos int, size int")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, runs)``: for each text with units that occur earlier, where they are and how far each match goes.
+    """``(id, runs)``: for each text with windows that occur earlier, where they are.
 
-    Earlier is by (id, place).  A first pass counts hashes only; just the repeated ones go on with
-    their surroundings.  Each occurrence joins the first one alone, never all others.  What is
-    aggregated by hash is written first, so that the joins' sides come straight from a shuffle and
-    adaptive execution can split the occurrences of a very common line over tasks.
+    Earlier is by (id, place).  Hashes alone are counted first; just the repeated ones go on.  Each
+    occurrence joins the first one alone, never all others.  What is aggregated by hash is written
+    first, so that the joins' sides come straight from a shuffle and adaptive execution can split the
+    occurrences of a very common line over tasks.
     """
-    many = common.saved(fingerprints(df, id_col, text_col, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
-    found = common.saved(fingerprints(df, id_col, text_col, True).join(many, "h", "left_semi"), "line-fingerprints")
-    first = common.saved(found.groupBy("h").agg(F.min(F.struct("id", "pos", "before", "after")).alias("f")).select(
-        "h", F.col("f.id").alias("fid"), F.col("f.pos").alias("fpos"), F.col("f.before").alias("fbefore"), F.col("f.after").alias("fafter")), "first-occurrences")
+    every = common.saved(fingerprints(df, id_col, text_col), "line-windows")
+    many = common.saved(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    found = common.saved(every.join(many, "h", "left_semi"), "line-fingerprints")
+    first = common.saved(found.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("f")).select("h", F.col("f.id").alias("fid"), F.col("f.pos").alias("fpos")), "first-occurrences")
     later = found.join(first, "h").where("id <> fid or pos <> fpos")
-
-    def reach(own: str) -> Column:
-        """How many of the units on that side are equal, one after the other."""
-        steps = F.sequence(F.lit(1), F.lit(MIN_WORDS))
-        most = F.least(F.octet_length(own), F.octet_length("f" + own))
-        return F.size(F.filter(steps, lambda k: (4 * k <= most) & (F.substring(own, F.lit(1), 4 * k) == F.substring("f" + own, F.lit(1), 4 * k))))
-
-    run = F.struct("pos", "h", reach("before").alias("left"), reach("after").alias("right"))
-    return later.select("id", run.alias("run")).groupBy("id").agg(F.collect_list("run").alias("runs"))
+    return later.select("id", F.struct("pos", "size", "h").alias("run")).groupBy("id").agg(F.collect_list("run").alias("runs"))
 
 
-def removed(text: str, runs: list, least: int = MIN_WORDS) -> tuple[str, int, int]:
-    """A text without the runs that have ``least`` words; how many units and words went.
+def removed(text: str, runs: list) -> tuple[str, int, int]:
+    """A text without the windows that occur earlier; how many units and words went.
 
     A line that loses some of its units keeps the rest with single spaces; one that loses all goes.
     """
     import xxhash
 
     found, drop = units(text), set()
+    hashes = [xxhash.xxh64_intdigest(u) for _, u, _ in found]
     for r in runs:
-        at = r["pos"]
-        if at < len(found) and xxhash.xxh64_intdigest(found[at][1]) == r["h"] % (1 << 64):
-            span = range(max(0, at - r["left"]), min(len(found), at + r["right"] + 1))
-            if sum(found[k][2] for k in span) >= least:
-                drop.update(span)
+        at, end = r["pos"], r["pos"] + r["size"]
+        if end <= len(found) and _key(hashes[at:end]) == r["h"] % (1 << 64):
+            drop.update(range(at, end))
     if not drop:
         return text, 0, 0
     rest: dict = {}

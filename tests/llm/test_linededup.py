@@ -109,3 +109,34 @@ def test_long_passages_go_and_clean_texts_stay(spark):
 
 def test_empty_table(spark):
     assert ld.deduplicated(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def every_run(rows):
+    """Units of each text that lie in a run of MIN_WORDS words which occurs earlier, compared with all that comes before."""
+    texts, seen, gone = {d: ld.units(t) for d, t in rows}, set(), {}
+    for d in sorted(texts):
+        us, gone[d] = texts[d], set()
+        for i in range(len(us)):
+            n = 0
+            for j in range(i, len(us)):
+                n += us[j][2]
+                run = tuple(u for _, u, _ in us[i : j + 1])
+                if n >= ld.MIN_WORDS and run in seen:
+                    gone[d].update(range(i, j + 1))
+                seen.add(run)
+    return texts, gone
+
+
+def test_all_earlier_occurrences_count(spark):
+    rng = random.Random(8)
+    short = [f"{a} {b}." for a in ("yes", "no", "so") for b in ("it", "we", "all", "go")]
+    rows = [(k, f"Alone in text {k}. {s}") for k, s in enumerate(short)]  # each first in a text that shares nothing else
+    long = [" ".join(f"w{rng.randrange(40)}" for _ in range(9)) + "." for _ in range(6)]
+    for k in range(60):
+        rows.append((100 + k, "\n".join(" ".join(rng.choice(short if rng.random() < 0.8 else long) for _ in range(rng.randrange(1, 7))) for _ in range(4))))
+    texts, gone = every_run(rows)
+    assert sum(map(len, gone.values())) > 300
+    got = ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r.units_removed == len(gone[r.doc_id]), r.doc_id
+        assert [u for _, u, _ in ld.units(r.text)] == [u for k, (_, u, _) in enumerate(texts[r.doc_id]) if k not in gone[r.doc_id]]
