@@ -1,9 +1,10 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Only DataFrame functions: each row is worked on within itself, so nothing is shuffled or joined.
-A text is compared as a whole, by paragraphs and by lines.  Bounds on size leave out templates
-that can't reach the threshold, and a unit that has none of the words that every match must have
-some of is left out before that.
+A text is compared as a whole, by paragraphs and by lines; templates that match none of these are
+then looked for in runs of consecutive sentences, across paragraphs.  Bounds on size leave out
+templates that can't reach the threshold, and a unit that has none of the words that every match
+must have some of is left out before that.
 """
 
 from __future__ import annotations
@@ -126,22 +127,29 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _tagged(unit: Column) -> Column:
     def tag(grams: Column) -> Column:
         return F.transform(grams, lambda g, i: F.concat_ws(" ", g, F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g))))
 
-    def pairs(w: Column) -> Column:
-        return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-
-    return _with(_with(F.split(unit, " "), pairs), tag)
+    return _with(_with(F.split(unit, " "), _pairs), tag)
 
 
 _NONE = "array<struct<name:string,dice:double>>"
+#: Between sentences: white space after an end mark, or a line without letters or digits.
+_SENTENCE = r"(?<=[.!?])\s+|\n[^A-Za-z0-9\n]*\n"
 
 
 def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``name``, an ``array<struct<name, dice>>`` of its texts' units and templates that reach the threshold.
 
+    A template that no unit reaches is there once if some run of sentences does, with the best run's
+    coefficient.  Only texts with enough of its bigrams are cut into runs, and a run begins and ends
+    with sentences that have some of its words: without others it would be nearer.
+
     The normalised text and whether it has any of the words are columns of their own on the way, so
     each is made once; only texts that have one are cut up.
     """
@@ -163,18 +171,43 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
         return F.transform(fit, lambda t: F.struct(t["name"].alias("name"), (2.0 * F.size(F.array_intersect(unit["grams"], t["grams"])) / (unit["n"] + t["size"])).alias("dice")))
 
     found = F.filter(F.flatten(F.transform(ready, compare)), lambda m: m["dice"] >= threshold)
+
+    plain_sentence = lambda u: F.trim(F.lower(F.regexp_replace(u, "[^A-Za-z0-9]+", " ")))
+    sentences = F.filter(F.transform(F.split(F.col("_text"), _SENTENCE), plain_sentence), lambda u: u != "")
+    parts = [sorted({g.rsplit(" ", 1)[0] for g in t.grams}) for t in known]
+    # of a match's shared bigrams, at least those are different that aren't the template's own repeats
+    wide = F.array(*[
+        F.struct(F.lit(t.name).alias("name"), F.lit(t.grams).alias("grams"), F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most"), F.lit(p).alias("pairs"),
+                 F.lit(sorted({w for g in p for w in g.split(" ")})).alias("words"), F.lit(max(1, t.least - len(t.grams) + len(p))).alias("differing"))
+        for t, p in zip(known, parts)])
+    all_pairs = _pairs(F.split(F.array_join("_sentences", " "), " "))
+    rest = _with(all_pairs, lambda g: F.filter(wide, lambda t: (F.size(F.array_intersect(g, t["pairs"])) >= t["differing"]) & ~F.exists("_found", lambda m: m["name"] == t["name"])))
+
+    def best_run(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size("_sentences")), lambda k: F.arrays_overlap(F.split(F.col("_sentences")[k - 1], " "), t["words"]))
+        joined = lambda a, b: F.array_join(F.slice("_sentences", a, b - a + 1), " ")
+        ends = lambda a, all_at: F.filter(all_at, lambda b: b.between(a, a + t["most"]))
+        runs = _with(at, lambda all_at: F.flatten(F.transform(all_at, lambda a: F.filter(F.transform(ends(a, all_at), lambda b: joined(a, b)), lambda u: size(u).between(t["least"], t["most"])))))
+        dice = F.transform(F.array_distinct(runs), lambda u: 2.0 * F.size(F.array_intersect(_tagged(u), t["grams"])) / (size(u) + t["size"]))
+        return F.struct(t["name"].alias("name"), F.array_max(dice).alias("dice"))
+
+    by_run = F.filter(F.transform("_rest", best_run), lambda m: m["dice"] >= threshold)
+    none = F.array().cast(_NONE)
     keep = [f"`{c}`" for c in df.columns if c != name]
     return (
-        df.select(*keep, F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias("_plain"))
-        .select(*keep, F.when(plain.rlike(words), units).alias("_units"))
-        .select(*keep, F.coalesce(found, F.array().cast(_NONE)).alias(name))
+        df.select(*keep, F.col(text_col).alias("_text"), F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias("_plain"))
+        .select(*keep, F.when(plain.rlike(words), units).alias("_units"), F.when(plain.rlike(words), sentences).alias("_sentences"))
+        .select(*keep, "_sentences", F.coalesce(found, none).alias("_found"))
+        .select(*keep, "_sentences", "_found", F.when(F.col("_sentences").isNotNull(), rest).alias("_rest"))
+        .select(*keep, F.concat("_found", F.coalesce(by_run, none)).alias(name))
     )
 
 
 def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``(id_col, n_matches, licences, best, best_dice)`` for each row.
 
-    ``n_matches`` counts (unit, template) pairs, equal units once; ``licences`` has the templates'
+    ``n_matches`` counts (unit, template) pairs, equal units once, and templates found in runs of
+    sentences alone; ``licences`` has the templates'
     names, sorted and comma-joined; ``best`` is the one with the highest coefficient, of equals the
     last by name (null without any).  Null and empty texts match nothing; repeated rows get equal
     results; an empty table gives none.  Words are ASCII letters and digits.

@@ -40,3 +40,16 @@ def test_against_brute_force(spark):
     for t, r in zip([*texts, None], got.collect()):
         assert tuple(r)[1:] == brute(t), t and t[:80]
     assert lc.scanned(df.limit(0)).collect() == []
+
+
+def test_licences_of_several_paragraphs_and_in_lines(spark):
+    mit, prose = lc.TEMPLATES["mit"], "Some other words that go on for a while here. " * 40
+    a, b = mit.index("The above copyright"), mit.index("THE SOFTWARE IS PROVIDED")
+    parts = [mit[:a].strip(), mit[a:b].strip(), mit[b:]]
+    code = "\n".join("# " + line for line in "\n\n".join(parts).split("\n"))
+    rows = [prose + "\n\n" + "\n\n".join(parts) + "\n\n" + prose, f"# title of it\n#\n{code}\n\nimport os\n" + "print(os.name, 1)\n" * 90,
+            "Copyright 2024 X Y Z and all of the others. All rights reserved. More of it.", prose + parts[0] + "\n\n" + prose]
+    got = lc.scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert [(r.n_matches, r.licences) for r in got] == [(1, "mit"), (1, "mit"), (1, "all-rights-reserved"), (0, "")]
+    assert got[0].best_dice > 0.99 and got[1].best_dice > 0.95 and got[2].best_dice == 1.0
+    assert brute(rows[0])[0] == brute(rows[1])[0] == brute(rows[2])[0] == 0  # no line, paragraph or whole text is near enough
