@@ -1,8 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Counts of character 4-grams by language are gathered from all training texts, summed in each batch
-before the shuffle.  A model holds, for orders 4 to 1, the probabilities of all languages beside
-the grams' hashes in sorted arrays.  A text gets the language with the lowest cross-entropy per
+before the shuffle; all of them count, so a model grows with its corpus's different grams.  A model
+holds, for orders 4 to 1, the grams in a sorted array and the probabilities of those languages that
+have each; the others' follow from the order below.  A text gets the language with the lowest cross-entropy per
 character; a temperature and a bound fitted on training rows turn entropies into scores and mark
 texts that look like no language.
 """
@@ -19,15 +20,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 ORDER = 4
-#: Cells (grams times languages) of the model's largest table at most.  A gram is kept for a
-#: language if its share of the language's grams is at least languages^2 / CELLS.
-CELLS = 8_000_000
 #: Training rows, about, on which scores and rejection are calibrated.
 CALIBRATION_ROWS = 2000
 #: Characters that are worked on at a time (whole texts, as many as it takes to pass this).
 CHUNK = 1_000_000
-#: Odd, so that multiplying by it permutes the 64-bit keys.
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def folding() -> tuple[np.ndarray, np.ndarray]:
@@ -120,57 +116,69 @@ def gram_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Cells:
+    """A value for each of some pairs of a key and a language: sorted keys, and for each a stretch of languages and values."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        """``at``: positions in ``keys``, ascending."""
+        self.keys, self.lang, self.value = keys, lang.astype(np.int32), value.astype(np.float32)
+        self.start = np.searchsorted(at, np.arange(len(keys) + 1))
+
+    def fill(self, keys: np.ndarray, out: np.ndarray) -> None:
+        """Puts the values of some keys into their rows of ``out``, which has a column for each language."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == keys)
+        begin, size = self.start[at[row]], self.start[at[row] + 1] - self.start[at[row]]
+        cell = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        out[np.repeat(row, size), self.lang[cell]] = self.value[cell]
+
+
+def _low(keys: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` characters of each gram."""
+    return keys & np.uint64((1 << 16 * order) - 1)
+
+
 class Model:
-    """Probabilities by language: for each order, sorted hashes of grams and a row of probabilities for each."""
+    """Probabilities by language: for each order those of grams, and the weights of contexts."""
 
     def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, n: np.ndarray):
         """From rows of (gram, position in ``langs``, count)."""
-        self.langs, self.grams, self.probs, self.contexts, self.weights = langs, {}, {}, {}, {}
+        self.langs, self.grams, self.weights = langs, {}, {}
         self.temperature, self.worst = 1.0, np.full(len(langs), np.inf)
-        keys, at = np.unique(gram, return_inverse=True)
-        counts = np.zeros((len(keys), len(langs)))
-        np.add.at(counts, (at, lang), n)
-        tables = {ORDER: (keys, counts)}
+        size = max(1, len(langs))
+
+        def summed(keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> tuple:
+            """(keys, position of each cell's key, its language, its sum, the cell of each row)."""
+            keys, at = np.unique(keys, return_inverse=True)
+            cell, back = np.unique(at * size + lang, return_inverse=True)
+            return keys, cell // size, cell % size, np.bincount(back, n, minlength=len(cell)), back
+
+        tables = {ORDER: summed(gram, np.asarray(lang, np.int64), n)}
         for order in range(ORDER - 1, 0, -1):  # below the top: the number of characters seen before a gram
-            keys, at = np.unique(keys & np.uint64((1 << 16 * order) - 1), return_inverse=True)
-            below = np.zeros((len(keys), len(langs)))
-            np.add.at(below, at, (counts > 0).astype(float))
-            counts = below
-            tables[order] = (keys, counts)
+            keys, at, of, _, _ = tables[order + 1]
+            tables[order] = summed(_low(keys, order)[at], of, np.ones(len(at)))
+        lower = np.zeros(0)
         for order in range(1, ORDER + 1):
-            keys, counts = tables[order]
-            once, twice = (counts == 1).sum(0), (counts == 2).sum(0)
+            keys, at, of, counts, _ = tables[order]
+            once, twice = (np.bincount(of[counts == k], minlength=size) for k in (1, 2))
             discount = np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5)
-            context, at = np.unique(keys >> np.uint64(16), return_inverse=True)
-            total, kinds = np.zeros((2, len(context), len(langs)))
-            np.add.at(total, at, counts)
-            np.add.at(kinds, at, (counts > 0).astype(float))
-            weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            lower = self.prob(order - 1, keys & np.uint64((1 << 16 * (order - 1)) - 1))
-            p = np.maximum(counts - discount, 0) / np.maximum(total[at], 1) + weight[at] * lower
-            for name, k, v in (("grams", keys, p), ("contexts", context, weight)):
-                order_by = np.argsort(k * _MIX)
-                getattr(self, name)[order] = (k * _MIX)[order_by]
-                (self.probs if name == "grams" else self.weights)[order] = v[order_by].astype(np.float32)
-
-    @staticmethod
-    def _find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mixed = keys * _MIX
-        at = np.minimum(np.searchsorted(hashes, mixed), len(hashes) - 1)
-        return at, hashes[at] == mixed
+            context, c_at, c_of, total, back = summed((keys >> np.uint64(16))[at], of, counts)
+            weight = discount[c_of] * np.bincount(back, minlength=len(total)) / total
+            below = lower[tables[order - 1][4]] if order > 1 else 1 / 65536  # a row of the order below for each cell
+            lower = np.maximum(counts - discount[of], 0) / total[back] + weight[back] * below
+            self.grams[order], self.weights[order] = Cells(keys, at, of, lower), Cells(context, c_at, c_of, weight)
 
     def prob(self, order: int, keys: np.ndarray) -> np.ndarray:
         """The probability of each gram's last character after those before, a column for each language."""
-        if order == 0 or not len(self.grams[order]):
+        if order == 0:
             return np.full((len(keys), len(self.langs)), 1 / 65536)
-        at, hit = self._find(self.grams[order], keys)
-        out = self.probs[order][at].astype(float)
-        rest = ~hit
-        if rest.any():
-            left = keys[rest]
-            c, known = self._find(self.contexts[order], left >> np.uint64(16))
-            weight = np.where(known[:, None], self.weights[order][c], 1.0)
-            out[rest] = weight * self.prob(order - 1, left & np.uint64((1 << 16 * (order - 1)) - 1))
+        some, at = np.unique(_low(keys, order - 1), return_inverse=True)
+        out = np.ones((len(keys), len(self.langs)))
+        self.weights[order].fill(keys >> np.uint64(16), out)
+        out *= self.prob(order - 1, some)[at]
+        self.grams[order].fill(keys, out)
         return out
 
     def entropies(self, reader: Reader, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,19 +213,15 @@ class Model:
 def fit(train: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model | None:
     """The model of the rows of ``train`` that have a language; None if there are none.
 
-    All their texts are counted; what reaches the driver is bounded by CELLS.  About
-    CALIBRATION_ROWS of them, picked by a hash of the id, are scored for calibration.
+    All their texts are counted, and every count reaches the driver: as many rows as there are different
+    grams of a language.  About CALIBRATION_ROWS of them, picked by a hash of the id, are scored for calibration.
     """
     counts = common.saved(gram_counts(train, lang_col, text_col), "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
-    share = len(langs) ** 2 / CELLS
-    least = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(max(1.0, totals[k] * share)))])
-    kept = counts.where(F.col("n") >= least[F.col("lang")])
     at = F.create_map(*[x for k, name in enumerate(langs) for x in (F.lit(name), F.lit(k))])
-    table = kept.select("gram", at[F.col("lang")].alias("lang"), "n").toArrow()
+    table = counts.select("gram", at[F.col("lang")].alias("lang"), "n").toArrow()
     gram, lang, n = (table.column(k).to_numpy() for k in range(3))
     model = Model(langs, gram.view(np.uint64), lang, n)
     known = train.where(F.col(lang_col).isNotNull())

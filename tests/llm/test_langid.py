@@ -92,3 +92,19 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None, None)], SCHEMA)
     assert [tuple(r)[2:4] for r in langid.predicted(df).collect()] == [("und", 0.0)]
     assert langid.predicted(df.limit(0)).collect() == []
+
+
+def test_rare_grams_of_many_languages_count(spark):
+    rng = random.Random(2)
+    corpora = {}
+    for k in range(60):
+        usual = ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(20)]
+        rare = ["".join(rng.choices("qrstuvwxyzàèìòù", k=7)) for _ in range(30)]
+        corpora[f"l{k:02d}"] = [" ".join(rng.choices(usual, k=1500)), " ".join(rare)]
+    rows = [(None, t, lang, None) for lang, texts in corpora.items() for t in texts]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    for k in (0, 31, 59):
+        name = model.langs[k]
+        for probe in (corpora[name][1], corpora[name][0][:200], "quite another text"):
+            entropy = model.entropies(langid.Reader(), [probe])[0]
+            assert math.isclose(entropy[0, k], brute(corpora[name], probe), rel_tol=1e-5), (name, probe[:20])
