@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go from all texts but the first; documents of which nothing is left go."""
     kept = linededup.deduplicated(docs, length_col="n_chars")
-    return kept.where((F.col("units_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    return kept.where((F.col("units_removed") == 0) | F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

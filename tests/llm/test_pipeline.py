@@ -80,3 +80,9 @@ def test_one_row_of_each_id_stays(spark):
     rows = [(1, "a b c d e", None, None, 1), (1, "a b c d e", None, None, 1), (2, "a b c d e", "x", None, 1), (None, "a b c d e", None, None, 1)]
     got = simhash.without_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+
+
+def test_texts_of_blank_lines_alone_go(spark, tmp_path):
+    text = "One paragraph that has some ten words in it here.\n\n \u2003\nAnother paragraph that has some ten words in it too.\n"
+    rows = [(1, text, "en", "s", 9), (2, text, "en", "s", 9), (3, "\n\n", "en", "s", 2), (4, None, "en", "s", 0)]
+    assert sorted(r.doc_id for r in cp.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()) == [1, 3, 4]
