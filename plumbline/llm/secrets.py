@@ -46,17 +46,28 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def known(s: str) -> bool:
-    """Whether a string is a digest of a usual length, a UUID, a number, or an identifier made of words."""
+    """Whether a string is a digest of a usual length, a UUID, a number, or an identifier made of words.
+
+    Letters of one case alone may be a word or not; only their tokens tell."""
     if len(s) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return True
-    kinds = bool(re.search("[a-z]", s)) + bool(re.search("[A-Z]", s)) + bool(re.search("[0-9]", s))
-    return kinds < 2 or not re.search("[0-9]", s) and len(set(s)) < 10 or bool(_UUID.search(s)) or bool(_WORDY.fullmatch(s))
+    if not re.search("[A-Za-z]", s) or not re.search("[0-9]", s) and len(set(s)) < 10 or _UUID.fullmatch(s):
+        return True
+    return bool(_WORDY.fullmatch(s)) and not re.fullmatch("[a-z]+|[A-Z]+", s)
+
+
+def _is_random(s: str, tokens: Callable[[str], int], least: float) -> bool:
+    """Whether a string, or what it has beside UUIDs, isn't ``known`` and has few characters per token."""
+    if _UUID.search(s):
+        s = _UUID.sub("", s).strip("-_=/+")
+        if re.fullmatch("[A-Za-z]{0,3}[0-9]{0,4}", s):
+            return False
+    return not known(s) and len(s) < least * tokens(s)
 
 
 def random_spans(text: str, tokens: Callable[[str], int], least: float = CHARS_PER_TOKEN) -> list[tuple[int, str, int]]:
     """(start, "random", end) of long strings with few characters per token that aren't ``known``."""
-    return [(m.start(), "random", m.end()) for m in _LONG.finditer(text)
-            if not known(m[0]) and len(m[0]) < least * tokens(m[0])]
+    return [(m.start(), "random", m.end()) for m in _LONG.finditer(text) if _is_random(m[0], tokens, least)]
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:

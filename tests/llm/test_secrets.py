@@ -59,3 +59,15 @@ def test_column(spark):
 def test_redaction():
     assert secrets.redacted("a password=hunter22 b", "assign:2:19,hex:5:9") == "a [assign] b"
     assert secrets.redacted("plain", "") == "plain"
+
+
+def test_random_letters_of_one_case_and_beside_uuids():
+    tokens = secrets.counter(secrets.vocabulary())
+    hit = lambda s: bool(secrets.random_spans(f"text {s} more", tokens))
+    rng, uuid = random.Random(1), "123e4567-e89b-12d3-a456-426614174000"
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        made = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
+        assert sum(map(hit, made)) > 190
+    assert hit(f"{uuid}-q8Zk3vR1xT9w") and hit(f"wJalrXUtnFEMIK7MDENG_{uuid}")
+    for s in (uuid, f"user-{uuid}", f"{uuid}_v2", f"{uuid}-{uuid}", "internationalisation", "INTERNATIONALIZATION", "acgt" * 8, "_" * 25, "1234567890-1234567890"):
+        assert not hit(s), s
