@@ -63,3 +63,10 @@ def test_regression_separates():
     y = np.array([k % 2 for k in range(40)], float)
     m.fit(x, y, np.ones(40), 200)
     assert ((m.logit(x) > 0) == (y == 1)).all()
+
+
+def test_all_sources_of_the_samples_count(spark):
+    rows, labels, _ = corpus(1800)
+    rows = [(k, t, g, "zz" if k % 3 == 0 else f"host{k}", n, c) for k, t, g, _, n, c in rows]
+    model = quality.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {x for name, x in model.values if name == "source"} == {r[3] for r in rows}
