@@ -25,10 +25,17 @@ def normalised_token(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\w\s]", "")
 
 
-@F.pandas_udf(_PLACES)
-def tokens_with_positions(s: pd.Series) -> pd.Series:
-    """Words and where they begin."""
-    return s.map(lambda t: None if t is None else [{"token": m[0], "position": m.start()} for m in re.finditer(r"\b\w+\b", t)])
+def tokens_with_positions(c: Column) -> Column:
+    """Words and where they begin.
+
+    The function for Arrow batches is made here: one kept by the module would travel with every
+    closure that names the module, and what it holds of the session can't be pickled.
+    """
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else [{"token": m[0], "position": m.start()} for m in re.finditer(r"\b\w+\b", t)])
+
+    return F.pandas_udf(run, _PLACES)(c)
 
 
 def subsequences(words: Column, least: int) -> Column:
@@ -55,10 +62,15 @@ def without_phrase(text: str, phrase: str) -> tuple[str, list[tuple[str, int]]]:
     return out, [(m[0], m.start()) for m in gone]
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", _PLACES)]))
-def phrase_removed(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if t is None else without_phrase(t, p or "") for t, p in zip(texts, phrases)]
-    return pd.DataFrame({"text": [a for a, _ in rows], "removed": [None if b is None else [{"token": t, "position": p} for t, p in b] for _, b in rows]})
+def phrase_removed(texts: Column, phrases: Column) -> Column:
+    """``struct<text, removed>``: each text without its phrase, and what went with places; null without a text."""
+
+    def run(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if t is None else without_phrase(t, p or "") for t, p in zip(texts, phrases)]
+        return pd.DataFrame({"text": [a for a, _ in rows], "removed": [None if b is None else [{"token": t, "position": p} for t, p in b] for _, b in rows]})
+
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", _PLACES)])
+    return F.pandas_udf(run, kind)(texts, phrases)
 
 
 def without_database_terms(text: str, literals: list[str], attributes: list[str]) -> str:

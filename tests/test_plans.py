@@ -182,3 +182,11 @@ def test_sampling(spark):
     assert sampling.questions(s, 3).select("question_id").distinct().count() == 3 and sampling.questions(s, 0.25).count() == 6
     assert sampling.without_solved(s).where("question_id = 3").isEmpty() and sampling.without_solved(s).count() == 21
     assert sampling.question_groups(s, 2).count() == 6
+
+
+def test_queries_pickle_in_any_order(tables):
+    """What one query has made in the session must not travel with the functions of the next."""
+    from plumbline.plans.queries import QUERIES
+
+    for name in ("phrase_removal", "tokens_with_pos", "question_links", "identifier_naturalness", "phrase_removal"):
+        assert QUERIES[name](tables, FOLDER).count() > 0
