@@ -71,3 +71,31 @@ def test_random_letters_of_one_case_and_beside_uuids():
     assert hit(f"{uuid}-q8Zk3vR1xT9w") and hit(f"wJalrXUtnFEMIK7MDENG_{uuid}")
     for s in (uuid, f"user-{uuid}", f"{uuid}_v2", f"{uuid}-{uuid}", "internationalisation", "INTERNATIONALIZATION", "acgt" * 8, "_" * 25, "1234567890-1234567890"):
         assert not hit(s), s
+
+
+PLAIN = """Geschwindigkeitsbegrenzung Donaudampfschifffahrtsgesellschaft internationalization Rindfleischetikettierung responsabilidades
+anticonstitutionnellement getElementsByTagName MAX_BUFFER_SIZE_BYTES user_account_settings_v2 2023-01-15T10-30-00Z ISBN-978-3-16-148410-0 x86_64-unknown-linux-gnu
+application/json-patch+json path/to/some/file/name 2024-10-01_backup_final v1-2-3-beta4-build567 AbstractSingletonProxyFactoryBean libstdc++-v3-testsuite-2019
+base64encodedstring1234 IMG_20230115_103000 DSC_0001_edited_final2 chr1_12345678_12345900 2024/11/30/morning-report the-quick-brown-fox-jumps request_id_00012345""".split()
+
+
+def test_planted_strings_by_kind():
+    """Recall by kind of string and length, and precision over strings that somebody wrote."""
+    tokens, rng = secrets.counter(secrets.vocabulary()), random.Random(6)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    hit = lambda s: bool(secrets.random_spans(f"text {s} more", tokens))
+    for letters in (low + up + digits, low, up, low + digits, low + up + digits + "+/"):
+        for n in (16, 20, 32, 40, 64):
+            made = ["".join(rng.choices(letters, k=n)) for _ in range(300)]
+            assert sum(map(hit, made)) >= 0.9 * len(made), (letters, n)
+    hexed = ["".join(rng.choices("0123456789abcdef", k=n)) for n in (20, 24, 48) for _ in range(100)]
+    assert sum(map(hit, hexed)) >= 0.9 * len(hexed)
+    assert not [s for s in PLAIN if hit(s)]
+    md5 = [hashlib.md5(str(k).encode()).hexdigest() for k in range(300)]
+    assert not any(map(hit, md5))  # a checksum, as it stands
+    assert sum(bool(secrets.random_spans(f'api_key = "{s}"', tokens)) for s in md5) >= 270  # but not where a secret is assigned
+
+
+def test_random_spans_of_the_tables(spark):
+    got = secrets.scanned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), secrets.vocabulary()).where("n_random > 0")
+    assert got.count() > 0
