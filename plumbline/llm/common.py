@@ -46,6 +46,14 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(shared.value)
 
 
+def free(names: list[str], wanted: str) -> str:
+    """A column name that is like none of ``names``: the wanted one, with as many underscores before it as it takes."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def mapped(df: DataFrame, columns: list, fn: Callable[[list], dict], schema: str) -> DataFrame:
     """``fn`` over Arrow batches: it gets one Python list per column and gives lists by name.
 

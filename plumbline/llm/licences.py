@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import common
+
 THRESHOLD = 0.8
 
 # Public licence texts and notices, as published (wording without names and years).
@@ -157,13 +159,14 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
     table = F.array(*[F.struct(F.lit(t.name).alias("name"), F.lit(t.grams).alias("grams"), F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most")) for t in known])
     words = "(?:^|[ \n])(?:" + "|".join(sorted(set().union(*(t.words for t in known)))) + ")(?:[ \n]|$)"
     low, high = min(t.least for t in known), max(t.most for t in known)
-    plain = F.col("_plain")
+    text_, plain_, units_, sentences_, found_, rest_ = (common.free(df.columns, f"_{c}") for c in ("text", "plain", "units", "sentences", "found", "rest"))
+    plain = F.col(plain_)
     size = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  of bigrams
     tidy = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
     cut = F.concat(F.array(plain), F.split(plain, "\n *\n"), F.split(plain, "\n"))
     units = F.array_distinct(F.transform(F.filter(cut, lambda u: u.rlike(words)), tidy))
 
-    fitting = F.filter(F.col("_units"), lambda u: size(u).between(low, high))
+    fitting = F.filter(F.col(units_), lambda u: size(u).between(low, high))
     ready = F.transform(fitting, lambda u: F.struct(size(u).alias("n"), _tagged(u).alias("grams")))
 
     def compare(unit: Column) -> Column:
@@ -173,33 +176,33 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
     found = F.filter(F.flatten(F.transform(ready, compare)), lambda m: m["dice"] >= threshold)
 
     plain_sentence = lambda u: F.trim(F.lower(F.regexp_replace(u, "[^A-Za-z0-9]+", " ")))
-    sentences = F.filter(F.transform(F.split(F.col("_text"), _SENTENCE), plain_sentence), lambda u: u != "")
+    sentences = F.filter(F.transform(F.split(F.col(text_), _SENTENCE), plain_sentence), lambda u: u != "")
     parts = [sorted({g.rsplit(" ", 1)[0] for g in t.grams}) for t in known]
     # of a match's shared bigrams, at least those are different that aren't the template's own repeats
     wide = F.array(*[
         F.struct(F.lit(t.name).alias("name"), F.lit(t.grams).alias("grams"), F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most"), F.lit(p).alias("pairs"),
                  F.lit(sorted({w for g in p for w in g.split(" ")})).alias("words"), F.lit(max(1, t.least - len(t.grams) + len(p))).alias("differing"))
         for t, p in zip(known, parts)])
-    all_pairs = _pairs(F.split(F.array_join("_sentences", " "), " "))
-    rest = _with(all_pairs, lambda g: F.filter(wide, lambda t: (F.size(F.array_intersect(g, t["pairs"])) >= t["differing"]) & ~F.exists("_found", lambda m: m["name"] == t["name"])))
+    all_pairs = _pairs(F.split(F.array_join(sentences_, " "), " "))
+    rest = _with(all_pairs, lambda g: F.filter(wide, lambda t: (F.size(F.array_intersect(g, t["pairs"])) >= t["differing"]) & ~F.exists(found_, lambda m: m["name"] == t["name"])))
 
     def best_run(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size("_sentences")), lambda k: F.arrays_overlap(F.split(F.col("_sentences")[k - 1], " "), t["words"]))
-        joined = lambda a, b: F.array_join(F.slice("_sentences", a, b - a + 1), " ")
+        at = F.filter(F.sequence(F.lit(1), F.size(sentences_)), lambda k: F.arrays_overlap(F.split(F.col(sentences_)[k - 1], " "), t["words"]))
+        joined = lambda a, b: F.array_join(F.slice(sentences_, a, b - a + 1), " ")
         ends = lambda a, all_at: F.filter(all_at, lambda b: b.between(a, a + t["most"]))
         runs = _with(at, lambda all_at: F.flatten(F.transform(all_at, lambda a: F.filter(F.transform(ends(a, all_at), lambda b: joined(a, b)), lambda u: size(u).between(t["least"], t["most"])))))
         dice = F.transform(F.array_distinct(runs), lambda u: 2.0 * F.size(F.array_intersect(_tagged(u), t["grams"])) / (size(u) + t["size"]))
         return F.struct(t["name"].alias("name"), F.array_max(dice).alias("dice"))
 
-    by_run = F.filter(F.transform("_rest", best_run), lambda m: m["dice"] >= threshold)
+    by_run = F.filter(F.transform(rest_, best_run), lambda m: m["dice"] >= threshold)
     none = F.array().cast(_NONE)
     keep = [f"`{c}`" for c in df.columns if c != name]
     return (
-        df.select(*keep, F.col(text_col).alias("_text"), F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias("_plain"))
-        .select(*keep, F.when(plain.rlike(words), units).alias("_units"), F.when(plain.rlike(words), sentences).alias("_sentences"))
-        .select(*keep, "_sentences", F.coalesce(found, none).alias("_found"))
-        .select(*keep, "_sentences", "_found", F.when(F.col("_sentences").isNotNull(), rest).alias("_rest"))
-        .select(*keep, F.concat("_found", F.coalesce(by_run, none)).alias(name))
+        df.select(*keep, F.col(text_col).alias(text_), F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias(plain_))
+        .select(*keep, F.when(plain.rlike(words), units).alias(units_), F.when(plain.rlike(words), sentences).alias(sentences_))
+        .select(*keep, sentences_, F.coalesce(found, none).alias(found_))
+        .select(*keep, sentences_, found_, F.when(F.col(sentences_).isNotNull(), rest).alias(rest_))
+        .select(*keep, F.concat(found_, F.coalesce(by_run, none)).alias(name))
     )
 
 

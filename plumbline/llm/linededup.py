@@ -175,14 +175,15 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts stay as they are.  A row without an id keeps its text and counts as
     nowhere seen.  Rows with one id are one text told several times: they aren't repeats of each
-    other.  A text that repeats itself loses the later run.  An empty table gives none.
+    other.  A text that repeats itself loses the later run.  Columns of ``df`` may have any names.
+    Of a very long text only the hashes of its units are held beside it.  An empty table gives none.
     """
-    found = repeats(df, id_col, text_col).select(F.col("id").alias("_id"), F.col("runs").alias("_runs"))
     df = df.drop("units_removed", "words_removed")
     names = df.columns
-    joined = df.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumns(
-        {"units_removed": F.lit(0).cast("long"), "words_removed": F.lit(0).cast("long")})
-    joined = joined.select(*[f"`{c}`" for c in names], "units_removed", "words_removed", "_runs")
+    key, told = common.free(names, "_id"), common.free(names, "_runs")
+    found = repeats(df, id_col, text_col).select(F.col("id").alias(key), F.col("runs").alias(told))
+    joined = df.join(found, F.col(f"`{id_col}`") == F.col(key), "left").select(
+        *[f"`{c}`" for c in names], F.lit(0).cast("long").alias("units_removed"), F.lit(0).cast("long").alias("words_removed"), told)
     text_at, length_at = names.index(text_col), names.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +203,4 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[-2:] = [pa.array([g[k] for g in gone], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(len(columns))]))
 
-    return joined.mapInArrow(run, joined.drop("_runs").schema)
+    return joined.mapInArrow(run, joined.drop(told).schema)

@@ -25,6 +25,10 @@ from plumbline.operators.graph import components, cut
 
 #: Fingerprints of a top node that are worked on at once.
 NODE = 1_000_000
+#: How often a node of more is dealt again; each time it is dealt five times, by other bits.
+DEPTH = 2
+#: Tasks over which the fingerprints of one component are dealt.
+PARTS = 16
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -188,21 +192,31 @@ def links(fps: DataFrame, radius: int = 4, fixed: int = 2, most: int = NODE) ->
 
     Rows grow as the fingerprints times the number of masks (15 by default).  Within a top node
     only its fingerprints (8 bytes each) are held, as arrays; copies of a text count once.  Nodes of
-    more than ``most`` fingerprints, which only as many can make, are dealt again by finer masks.
+    more than ``most`` fingerprints, which only as many can make, are dealt again by finer masks, up
+    to DEPTH times; what is still together then is nearly equal, and is held whole by one task.
     """
     distinct, chosen = fps.select("fp").distinct(), masks(radius, fixed)
 
-    def under(df: DataFrame, by: list[tuple[int, int]]) -> DataFrame:
-        nodes = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("top")) for t, m in by])
-        return df.select("fp", F.explode(nodes).alias("x")).select("x.t", "x.top", "fp")
+    def under(df: DataFrame, by: Column) -> DataFrame:
+        return df.select("fp", F.explode(by).alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.mask")).alias("top"), "fp")
 
-    nodes = under(distinct, list(enumerate(chosen)))
+    told = lambda by: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("mask")) for t, m in by])
+    nodes, level = under(distinct, told(enumerate(chosen))), dict(enumerate(chosen))
     if distinct.limit(most + 1).count() > most:
-        heavy = cut(nodes.groupBy("t", "top").agg(F.count("*").alias("n")).where(F.col("n") > most).select("t", "top"))
-        dense, parts = nodes.join(heavy, ["t", "top"], "left_semi"), radius + 1
-        nodes = nodes.join(heavy, ["t", "top"], "left_anti")
-        for t, m in enumerate(chosen):
-            nodes = nodes.union(under(dense.where(F.col("t") == t), [(len(chosen) + t * parts + k, f) for k, f in enumerate(finer_masks(m, radius))]))
+        fitting, last = None, len(chosen)
+        for depth in range(DEPTH + 1):
+            heavy = cut(nodes.groupBy("t", "top").agg(F.count("*").alias("n")).where(F.col("n") > most).select("t", "top"))
+            found = sorted(r["t"] for r in heavy.select("t").distinct().collect())  # masks, a few
+            some = nodes if not found or depth == DEPTH else nodes.join(heavy, ["t", "top"], "left_anti")
+            fitting = some if fitting is None else fitting.union(some)
+            if not found or depth == DEPTH:  # what is together still is so alike that no part of its bits tells it apart: held whole
+                break
+            finer: dict = {t: list(enumerate(finer_masks(level[t], radius), last + k * (radius + 1))) for k, t in enumerate(found)}
+            last += len(found) * (radius + 1)
+            by = F.create_map(*[x for t, ms in finer.items() for x in (F.lit(t), told(ms))])
+            dense = cut(nodes.join(heavy, ["t", "top"], "left_semi"))
+            nodes, level = under(dense, by[F.col("t")]), {t: m for ms in finer.values() for t, m in ms}
+        nodes = fitting
     dealt = nodes.repartition("t", "top").sortWithinPartitions("t", "top", gray_rank(F.col("fp")))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -246,10 +260,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = common.saved(fingerprints(df, id_col, text_col, words), "fingerprints")
     first = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
-    roots = components(links(first, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    known = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    of_root = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = known.join(of_root, "root").select("fp", "component_id")
+    roots = components(links(first, radius))
+    linked = roots.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(roots.select("b", "b").distinct())
+    linked = cut(linked.join(first, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS))))
+    # a component of any size is dealt to PARTS tasks; components alone, not single fingerprints, are told PARTS times
+    least = linked.groupBy("root", "part").agg(F.min("first").alias("m")).groupBy("root").agg(F.min("m").alias("least"))
+    told = least.select("root", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    of_linked = linked.join(told, ["root", "part"]).select("fp", "least")
+    by_fp = common.saved(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(by_fp, "fp").select(id_col, "fp", hexed, "component_id")
 
@@ -257,13 +275,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``df`` with one row of each component: that with the smallest id, unchanged.
 
-    Repeated rows of that id come down to one.  Rows without an id can't be told apart and stay.
-    The texts move once, to meet the ids that stay; these are broadcast only where they are few.
+    Null and empty texts are near copies of each other.  Rows of one id are one document: it stays if
+    any of them is its component's smallest, as the row whose text sorts first.  Rows without an id
+    can't be told apart and stay.  Columns of ``df`` may have any names; an empty table gives none.
+    Only the ids that go meet the texts, and are broadcast where Spark finds them small enough, so
+    the texts don't move then.
     """
-    found = near_duplicates(df, id_col, text_col, words, radius)
-    stay = common.saved(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")), "kept-ids")
-    joined = df.join(stay, id_col, "left").where(F.col("_n").isNotNull() | F.col(id_col).isNull()).select(*[f"`{c}`" for c in df.columns])
-    if stay.where("_n > 1").isEmpty():
-        return joined
-    with_id = joined.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.unionByName(joined.where(F.col(id_col).isNull()))
+    found = near_duplicates(df, id_col, text_col, words, radius).where(F.col(id_col).isNotNull())
+    stays = F.col(id_col) == F.col("component_id")
+    verdict = found.groupBy(F.col(id_col).alias(id_col)).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n"))
+    verdict = common.saved(verdict.where("not stays or n > 1"), "near-duplicates")
+    kept = df.join(verdict.where("not stays").select(id_col), id_col, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    again = verdict.where("stays and n > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*[f"`{c}`" for c in df.columns])
+    one = kept.join(again, id_col, "left_semi").groupBy(F.col(id_col).alias("id")).agg(F.min_by(whole, F.coalesce(text_col, F.lit(""))).alias("row"))
+    return kept.join(again, id_col, "left_anti").select(*[f"`{c}`" for c in df.columns]).unionByName(one.select("row.*"))

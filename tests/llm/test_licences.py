@@ -53,3 +53,9 @@ def test_licences_of_several_paragraphs_and_in_lines(spark):
     assert [(r.n_matches, r.licences) for r in got] == [(1, "mit"), (1, "mit"), (1, "all-rights-reserved"), (0, "")]
     assert got[0].best_dice > 0.99 and got[1].best_dice > 0.95 and got[2].best_dice == 1.0
     assert brute(rows[0])[0] == brute(rows[1])[0] == brute(rows[2])[0] == 0  # no line, paragraph or whole text is near enough
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "a", 2, "c")], "doc_id long, text string, _plain string, _units int, _text string")
+    got = licences.with_matches(df, "text", "found").collect()[0]
+    assert (got._plain, got._units, got._text, [m.name for m in got.found]) == ("a", 2, "c", ["mit-notice"])

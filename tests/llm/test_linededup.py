@@ -140,3 +140,12 @@ def test_all_earlier_occurrences_count(spark):
     for r in got:
         assert r.units_removed == len(gone[r.doc_id]), r.doc_id
         assert [u for _, u, _ in ld.units(r.text)] == [u for k, (_, u, _) in enumerate(texts[r.doc_id]) if k not in gone[r.doc_id]]
+
+
+def test_columns_of_any_name_and_rows_that_share_an_id(spark):
+    run = "a run of some ten words that comes up again."
+    rows = [(1, f"{run}\nfirst tail.", "p", 1, "r", 0), (5, f"{run}\nmiddle one here.", "q", 2, None, 0), (5, f"{run}\nsomething else entirely, told under the same id.", "s", 3, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _runs int, id string, words_removed int")
+    got = {r._runs: r for r in ld.deduplicated(df).collect()}
+    assert [got[k]._id for k in (1, 2, 3)] == ["p", "q", "s"]
+    assert [got[k].text for k in (1, 2, 3)] == [rows[0][1], "middle one here.", "something else entirely, told under the same id."]
