@@ -57,5 +57,5 @@ def test_licences_of_several_paragraphs_and_in_lines(spark):
 
 def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "a", 2, "c")], "doc_id long, text string, _plain string, _units int, _text string")
-    got = licences.with_matches(df, "text", "found").collect()[0]
+    got = lc.with_matches(df, "text", "found").collect()[0]
     assert (got._plain, got._units, got._text, [m.name for m in got.found]) == ("a", 2, "c", ["mit-notice"])
