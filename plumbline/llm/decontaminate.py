@@ -2,7 +2,8 @@
 
 Each task sorts the word suffixes of the documents it holds (a shard) and searches every suffix of
 the benchmark that opens a window in that order, by bisection.  The range found holds all verbatim
-occurrences.  Nothing is shuffled.  A document is never cut.
+occurrences; those that follow each other in a document and in an item alike make up a longest
+match, with its places in both.  Nothing is shuffled.  A document is never cut.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Words of a shard, about; a document is a shard by itself if it is longer.
 SHARD_WORDS = 1_000_000
 #: UTF-8 bytes of a benchmark that are searched in one pass, and so sent to each executor; a larger one takes more passes.
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES = 16_000_000
+#: Pairs of an occurrence and an item's place that are held at once (all of one document at least).
+PAIRS = 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -32,31 +35,50 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some benchmark items, packed for comparison.
+    """The distinct windows of some benchmark items in order, packed for comparison, and where each is.
 
-    ``vocabulary`` numbers the benchmark's words from 1; 0 stands for any other word.  ``keys`` has
+    ``vocabulary`` numbers the benchmark's words from 1; 0 stands for any other word.  ``low`` has
     a row for each window, ``per`` words of ``bits`` bits in each column, the first word highest.
+    Window k is in the items ``item[first[k]:first[k + 1]]``, at the words ``place[...]`` of them.
+    Beside the vocabulary there are 8 bytes for each column and place, in all about 50 a word.
     """
 
     def __init__(self, items: list[tuple], size: int):
-        self.size, self.vocabulary, found = size, {}, {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + size]), set()).add(item)
+        self.size, self.vocabulary, texts = size, {}, []
+        for _, text in items:
+            words = words_of(text)
+            texts.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+        self.names = [None if x is None else str(x) for x, _ in items]
         self.bits = max(2, (len(self.vocabulary) + 1).bit_length())
         self.per = 63 // self.bits
-        self.windows = list(found)
-        self.items = [sorted({str(x) for x in found[w] if x is not None}) for w in self.windows]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.least = int(self.length.min()) if self.windows else 0
-        padded = np.zeros((len(self.windows), size), np.int64)
-        for k, w in enumerate(self.windows):
-            padded[k, : len(w)] = w
-        self.low = self.pack(lambda j: padded[:, j])
-        beyond = np.arange(size)[None, :] >= self.length[:, None]
-        full = np.where(beyond, (1 << self.bits) - 1, padded)
-        self.high = self.pack(lambda j: full[:, j])
+        size_of = np.array([len(t) for t in texts], np.int64)
+        ids = np.concatenate([*texts, np.zeros(size, np.int32)])
+        count = np.where(size_of >= size, size_of - size + 1, np.minimum(size_of, 1))
+        item = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at, length = (np.cumsum(size_of) - size_of)[item] + place, np.minimum(size_of, size)[item]
+        keys = self.pack(lambda j: np.where(length > j, ids[np.minimum(at + j, len(ids) - 1)], 0))
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+        begin = np.flatnonzero(new)
+        self.low, self.length = [k[order[begin]] for k in keys], length[order[begin]].astype(np.int32)
+        self.first = np.append(begin, len(order))
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
+        self.least = int(self.length.min()) if len(begin) else 0
+        self.beyond: list | None = None
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+    def high(self) -> list[np.ndarray]:
+        """The largest keys that begin with each window; made where they are used."""
+        if self.beyond is None:
+            rest = self.pack(lambda j: np.where(j >= self.length, (1 << self.bits) - 1, 0))
+            self.beyond = [a | b for a, b in zip(self.low, rest)]
+        return self.beyond
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
@@ -113,16 +135,47 @@ class SuffixArray:
 
     def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
         """(start position, window) of every occurrence of every window."""
-        if not len(self.suffixes) or not self.windows.windows:
+        if not len(self.suffixes) or not len(self.windows):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lo = _bisect(self.keys, self.windows.low, False)
-        n = np.maximum(_bisect(self.keys, self.windows.high, True) - lo, 0)
+        n = np.maximum(_bisect(self.keys, self.windows.high(), True) - lo, 0)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.suffixes[np.repeat(lo, n) + offset], np.repeat(np.arange(len(n)), n)
 
 
+def _longest(doc: np.ndarray, at: np.ndarray, window: np.ndarray, windows: Windows) -> Iterator[tuple[int, str | None, int, int, int]]:
+    """(document, item, item's word, document's word, words) of each document's longest match with each item, of equals the first.
+
+    Occurrences come by document and place.  Those of an item's next window at the document's next word go on with the match.
+    """
+    n = (windows.first[1:] - windows.first[:-1])[window]
+    if not len(n):
+        return
+    docs = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    pairs = np.cumsum(np.add.reduceat(n, docs))
+    cuts, done = [0], 0
+    for k, total in enumerate(pairs.tolist()):
+        if k and total - done > PAIRS:
+            cuts.append(int(docs[k]))
+            done = int(pairs[k - 1])
+    for lo, hi in zip(cuts, [*cuts[1:], len(n)]):
+        many = n[lo:hi]
+        row = np.repeat(np.arange(lo, hi), many)
+        where = windows.first[window[row]] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        d, p, item, place = doc[row], at[row], windows.item[where].astype(np.int64), windows.place[where].astype(np.int64)
+        order = np.lexsort((p, p - place, item, d))
+        d, p, item, place, length = d[order], p[order], item[order], place[order], windows.length[window[row[order]]]
+        new = np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (place[1:] != place[:-1] + 1)]
+        begin = np.flatnonzero(new)
+        words = np.diff(np.r_[begin, len(p)]) - 1 + length[begin]
+        d, p, item, place = d[begin], p[begin], item[begin], place[begin]
+        best = np.lexsort((place, p, -words, item, d))
+        best = best[np.r_[True, (d[best[1:]] != d[best[:-1]]) | (item[best[1:]] != item[best[:-1]])]]
+        yield from zip(d[best].tolist(), [windows.names[k] for k in item[best].tolist()], place[best].tolist(), p[best].tolist(), words[best].tolist())
+
+
 def _search(texts: list[np.ndarray], windows: Windows) -> tuple[list, list]:
-    """For each document the merged [start, end) word spans that windows cover, and the items that have them."""
+    """For each document the merged [start, end) word spans that windows cover, and its longest match with each item."""
     array = SuffixArray(texts, windows)
     at, window = array.occurrences()
     cover = np.zeros(array.start[-1] + windows.size + 1, np.int32)
@@ -130,14 +183,15 @@ def _search(texts: list[np.ndarray], windows: Windows) -> tuple[list, list]:
     np.add.at(cover, at + windows.length[window], -1)
     covered = np.r_[0, (np.cumsum(cover) > 0).astype(np.int8), 0]
     begin, end = np.flatnonzero(np.diff(covered) > 0), np.flatnonzero(np.diff(covered) < 0)
-    spans, items = [[] for _ in texts], [set() for _ in texts]
+    spans, found = [[] for _ in texts], [[] for _ in texts]
     for d, b, e in zip((np.searchsorted(array.start, begin, "right") - 1).tolist(), begin.tolist(), end.tolist()):
         spans[d].append((b - int(array.start[d]), e - int(array.start[d])))
+    order = np.argsort(at, kind="stable")
+    at, window = at[order], window[order]
     doc = np.searchsorted(array.start, at, "right") - 1
-    for key in np.unique(doc * np.int64(max(1, len(windows.windows))) + window).tolist():
-        d, w = divmod(key, len(windows.windows))
-        items[d].update(windows.items[w])
-    return spans, items
+    for d, *match in _longest(doc, at - array.start[doc], window, windows):
+        found[d].append(tuple(match))
+    return spans, found
 
 
 def _merged(spans: list) -> list:
@@ -162,19 +216,20 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 def matches(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with the columns ``bench_words`` (long), ``bench_spans`` (word spans that benchmark
-    windows cover, merged) and ``bench_items`` (ids, as strings, sorted), replacing such columns.
+    windows cover, merged), ``bench_items`` (ids, as strings, sorted) and ``bench_matches`` (the
+    longest verbatim match with each item: item, its first word there and in the document, and its
+    words; of equals the first), replacing such columns.
 
     A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one
     window.  Null or wordless texts have no words and match nothing; an item without an id marks
-    words but isn't listed; repeated rows get equal results; an empty benchmark matches nothing.
+    words and has matches but isn't listed; repeated rows get equal results; an empty benchmark
+    matches nothing, an empty table gives none; other columns may have any names.  A very long
+    document is a shard by itself.
     """
     spark = df.sparkSession
-    added = ("bench_words", "bench_spans", "bench_items")
-    df = df.drop(*added).withColumns({
-        "bench_words": F.lit(0).cast("long"),
-        "bench_spans": F.array().cast("array<struct<start:long,end:long>>"),
-        "bench_items": F.array().cast("array<string>"),
-    })
+    added = {"bench_words": "long", "bench_spans": "array<struct<start:long,end:long>>", "bench_items": "array<string>",
+             "bench_matches": "array<struct<item:string,item_start:long,doc_start:long,words:long>>"}
+    df = df.drop(*added).withColumns({c: (F.lit(0) if t == "long" else F.array()).cast(t) for c, t in added.items()})
     # the text leaves with the last pass unless it is wanted: it needn't travel back to the JVM
     blocks = _blocks(benchmark, item_col, item_text)
     rows = next(blocks)
@@ -188,21 +243,21 @@ def matches(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
 def _pass(df: DataFrame, windows: Callable[[], Windows], text_col: str, keep_text: bool) -> DataFrame:
     names = df.columns
     kept = [k for k, c in enumerate(names) if keep_text or c != text_col]
-    text_at, words_at, spans_at, items_at = (names.index(c) for c in (text_col, "bench_words", "bench_spans", "bench_items"))
+    text_at, words_at, spans_at, items_at, matches_at = (names.index(c) for c in (text_col, "bench_words", "bench_spans", "bench_items", "bench_matches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows()
         for batch in batches:
-            words, spans, items, held, total = [], [], [], [], 0
-            old_spans, old_items = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist()
+            words, spans, items, found, held, total = [], [], [], [], [], 0
+            old_spans, old_items, old_found = (batch.column(k).to_pylist() for k in (spans_at, items_at, matches_at))
 
             def flush():
-                s, i = _search(held, w)
-                for a, b in zip(s, i):
+                for a, b in zip(*_search(held, w)):
                     k = len(spans)
                     before = [(x["start"], x["end"]) for x in old_spans[k]]
                     spans.append([{"start": x, "end": y} for x, y in _merged(before + a)])
-                    items.append(sorted(b.union(old_items[k])))
+                    items.append(sorted({m[0] for m in b if m[0] is not None}.union(old_items[k])))
+                    found.append(old_found[k] + [{"item": i, "item_start": q, "doc_start": p, "words": n} for i, q, p, n in b])
                 held.clear()
 
             for text in batch.column(text_at):
@@ -214,7 +269,7 @@ def _pass(df: DataFrame, windows: Callable[[], Windows], text_col: str, keep_tex
                     total = 0
             flush()
             columns = list(batch.columns)
-            for k, x in ((words_at, words), (spans_at, spans), (items_at, items)):
+            for k, x in ((words_at, words), (spans_at, spans), (items_at, items), (matches_at, found)):
                 columns[k] = pa.array(x, batch.schema.field(k).type)
             fields = pa.schema([batch.schema.field(k) for k in kept])
             yield pa.RecordBatch.from_arrays([columns[k] for k in kept], schema=fields)
@@ -223,18 +278,20 @@ def _pass(df: DataFrame, windows: Callable[[], Windows], text_col: str, keep_tex
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``matches``: counts of words, hit words and items, a digest of the items, and the verdict."""
+    """One row per row of ``matches``: counts of words, hit words and items, a digest of the items, the verdict, and
+    the words of the longest match."""
     hit = F.aggregate("bench_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return df.select(
         id_col, F.col("bench_words").alias("n_words"), hit.alias("n_hit"),
         F.size("bench_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("bench_items", ","), 256).alias("items_sha256"),
         (F.size("bench_spans") > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("bench_matches", lambda m: m["words"])), F.lit(0).cast("long")).alias("n_longest"),
     )
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that share no window with the benchmark, unchanged."""
+    """The rows of ``df`` that share no window with the benchmark, unchanged; null and wordless texts share none."""
     found = matches(df, benchmark, size, text_col)
     return found.where(F.size("bench_spans") == 0).select(*df.columns)
 

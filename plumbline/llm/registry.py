@@ -36,11 +36,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 OP4_SQL = """
-WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+WITH b AS (SELECT row_number() OVER () AS it, CAST(item_id AS VARCHAR) AS item,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
            FROM benchmark),
-bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win
+bp AS (SELECT it, item, k, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win
        FROM b, unnest(range(1, greatest(len(w) - 9, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) t(k)),
+bw AS (SELECT DISTINCT item, n, win FROM bp),
 d AS (SELECT row_number() OVER () AS r, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
       FROM documents),
@@ -48,11 +49,13 @@ dw AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS win
        FROM d, (SELECT DISTINCT n FROM bw) l, unnest(range(1, len(w) - n + 2)) t(p)),
 o AS (SELECT r, p, n, item FROM dw JOIN bw USING (n, win)),
 h AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM o, unnest(range(0, n)) t(j) GROUP BY r),
-i AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM o GROUP BY r)
+i AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM o GROUP BY r),
+e AS (SELECT r, it, p - k AS diagonal, n, p - row_number() OVER (PARTITION BY r, it, p - k ORDER BY p) AS run FROM dw JOIN bp USING (n, win)),
+x AS (SELECT r, max(words) AS n_longest FROM (SELECT r, n - 1 + count(*) AS words FROM e GROUP BY r, it, diagonal, n, run) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)"""
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_longest, 0) AS BIGINT) AS n_longest
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN x USING (r)"""
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
