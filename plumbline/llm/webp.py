@@ -2,21 +2,26 @@
 
 Pixels are arrays of ARGB as unsigned 32-bit integers.  The decoder reads prefix codes, literals,
 back-references and the colour cache, meta prefix codes, and inverts the predictor, cross-colour,
-subtract-green and palette transforms.  Images whose codes all have a fixed length, as those of
-``encode_samples``, are read in one go.
+subtract-green and palette transforms.  Images with one varying channel and no colour cache, as those
+of ``encode_samples``, are read in array steps: what a code would be is looked up at every bit, and
+the true codes are those on the way from the first bit.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Largest width and height.
 SIDE = 16384
+#: Images of so many pixels are read in array steps, so many bytes of codes at a time.
+STREAM, BLOCK = 32, 1 << 16
+#: Shortest stretch that is stored as a copy, and the longest of the format.
+LEAST_COPY, MOST_COPY = 8, 4096
 # Fixed values of the format: the order of code length codes, and the places near a pixel by distance code.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _NEAR = (
@@ -52,89 +57,87 @@ class Bits:
         return x
 
 
-def _reversed(code: int, length: int) -> int:
-    return int(f"{code:0{length}b}"[::-1], 2) if length else 0
+@lru_cache
+def _mirror(n: int) -> np.ndarray:
+    """The numbers of ``n`` bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
 
 
-def canonical(lengths: list[int]) -> list[int]:
-    """The bit-reversed canonical code of each symbol."""
-    count = Counter(x for x in lengths if x)
-    code, start = 0, {}
-    for n in range(1, 16):
-        code = (code + count.get(n - 1, 0)) << 1
-        start[n] = code
-    out = []
-    for n in lengths:
-        out.append(_reversed(start[n], n) if n else 0)
-        if n:
-            start[n] += 1
-    return out
+def _canonical(lengths: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Symbols by (length, symbol), and their bit-reversed canonical codes."""
+    order = sorted(lengths, key=lambda s: (lengths[s], s))
+    codes, code, last = [], 0, 0
+    for s in order:
+        n = lengths[s]
+        code <<= n - last
+        codes.append(int(f"{code:0{n}b}"[::-1], 2))
+        code, last = code + 1, n
+    return order, codes
 
 
 class Code:
-    """A prefix code for reading."""
+    """A prefix code for reading: from the lengths of the symbols that have one."""
 
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.lengths, self.used = lengths, used
-        self.only = used[0] if len(used) == 1 else None  # a lone symbol takes no bits
+    def __init__(self, lengths: dict[int, int]):
+        self.only = next(iter(lengths)) if len(lengths) == 1 else None  # a lone symbol takes no bits
         if self.only is not None:
             return
-        if sum(2.0 ** -lengths[s] for s in used) != 1:
+        self.most = most = max(lengths.values())
+        order = sorted(lengths, key=lambda s: (lengths[s], s))
+        each = [1 << most - lengths[s] for s in order]
+        if sum(each) != 1 << most:
             raise Broken("a prefix code is not complete")
-        self.most = max(lengths)
-        self.table: list = [None] * (1 << self.most)
-        for s, c in enumerate(canonical(lengths)):
-            if lengths[s]:
-                step = 1 << lengths[s]
-                self.table[c::step] = [(s, lengths[s])] * (len(self.table) // step)
+        #: For what the next ``most`` bits may be: a symbol, and the length of its code.
+        place = np.repeat(np.arange(len(order)), each)[_mirror(most)]
+        self.symbols = np.array(order, np.uint16)[place]
+        self.sizes = np.array([lengths[s] for s in order], np.uint8)[place]
+        self.table: list | None = None
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        if self.table is None:
+            self.table = list(zip(self.symbols.tolist(), self.sizes.tolist()))
         s, n = self.table[bits.peek(self.most)]
         bits.at += n
         return s
 
-    def fixed(self) -> int | None:
-        """The length that all symbols have, if they do."""
-        if self.only is not None:
-            return 0
-        found = {self.lengths[s] for s in self.used}
-        return found.pop() if len(found) == 1 else None
-
 
 def _read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)]
         if two:
             symbols.append(bits.read(8))
-        for s in symbols:
-            if s >= size:
-                raise Broken("a symbol is beyond its alphabet")
-            lengths[s] = 1
-        return Code(lengths)
-    own = [0] * 19
+        if max(symbols) >= size:
+            raise Broken("a symbol is beyond its alphabet")
+        return Code(dict.fromkeys(symbols, 1))
+    own = {}
     for k in range(4 + bits.read(4)):
-        own[_LENGTH_ORDER[k]] = bits.read(3)
+        if n := bits.read(3):
+            own[_LENGTH_ORDER[k]] = n
+    if not own:
+        raise Broken("a prefix code has no symbol")
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    code, at, last = Code(own), 0, 8
+    code, at, last, lengths = Code(own), 0, 8, {}
     while at < size and left:
         left -= 1
         s = code.read(bits)
         if s < 16:
-            lengths[at] = s
+            if s:
+                lengths[at] = last = s
             at += 1
-            last = s or last
         else:
             n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
             if at + n > size:
                 raise Broken("code lengths run over")
-            lengths[at : at + n] = [last if s == 16 else 0] * n
+            if s == 16:
+                lengths.update(dict.fromkeys(range(at, at + n), last))
             at += n
-    if not any(lengths):
+    if not lengths:
         raise Broken("a prefix code has no symbol")
     return Code(lengths)
 
@@ -159,10 +162,9 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if meta is None and not cache_bits:
-        fixed = [c.fixed() for c in codes[0][:4]]
-        if None not in fixed and max(codes[0][0].used) < 256:
-            return _fixed_image(bits, codes[0], fixed, n)
+    if meta is None and not cache_bits and n >= STREAM and all(c.only is not None for c in codes[0][1:4]):
+        red, blue, alpha = (c.only for c in codes[0][1:4])
+        return _green(bits, codes[0][0], codes[0][4], width, n).astype(np.uint32) << 8 | np.uint32(alpha << 24 | red << 16 | blue)
     out, cache = [0] * n, [0] * cache_size
     across, shift, at, held = -(-width >> meta_bits) if meta is not None else 0, 32 - cache_bits, 0, 0
     green, red, blue, alpha, far = codes[0]
@@ -198,23 +200,114 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _fixed_image(bits: Bits, codes: list[Code], fixed: list[int], n: int) -> np.ndarray:
-    width, out = sum(fixed), np.zeros(n, np.uint32)
-    end = bits.at + n * width
-    if end > 8 * len(bits.data):
+def _extra(prefix: np.ndarray) -> np.ndarray:
+    """How many bits follow each prefix of a length or distance."""
+    return np.where(prefix < 4, 0, (prefix - 2) >> 1)
+
+
+_REST = np.zeros(256, np.uint8)
+
+
+def _green(bits: Bits, green: Code, far: Code, width: int, n: int) -> np.ndarray:
+    """The green samples of an image in which nothing else varies."""
+    if green.only is not None:
+        if green.only > 255:
+            raise Broken("a reference leaves the image")
+        return np.full(n, green.only, np.uint8)
+    size, start = len(bits.data), bits.at >> 3
+    padded = bits.data + bytes(16)
+    word = np.ndarray((size + 8,), "<u8", padded, 0, (1,))  # the eight bytes from each byte on
+
+    def peek(at: np.ndarray, count: int | np.ndarray) -> np.ndarray:
+        return (word[np.minimum(at >> 3, size)] >> (at & 7).astype(np.uint64)) & ((np.uint64(1) << np.uint64(count)) - np.uint64(1))
+
+    def number(prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Lengths or distances whose extra bits are at some places."""
+        more = _extra(prefix)
+        base = np.where(prefix < 4, prefix, (2 + (prefix & 1)) << more)
+        return base + peek(at, more.astype(np.uint64)).astype(np.int64) + 1
+
+    def distance_code(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if far.only is not None:
+            return np.full(len(at), far.only, np.int64), np.zeros(len(at), np.int64)
+        w = peek(at, far.most).astype(np.int64)
+        return far.symbols[w].astype(np.int64), far.sizes[w].astype(np.int64)
+
+    parts, made, at = [], 0, bits.at
+    while made < n:
+        if at >= 8 * size:
+            raise Broken("the data end early")
+        low, high = at >> 3, min(size, (at >> 3) + BLOCK)
+        window = np.ndarray((high - low,), "<u4", padded, low, (1,))[:, None] >> np.arange(8, dtype=np.uint32)
+        index = (window & np.uint32((1 << green.most) - 1)).ravel()
+        symbol, step = green.symbols[index], green.sizes[index]
+        maybe = np.flatnonzero(symbol > 255)
+        if len(maybe):
+            if int(symbol.max()) >= 280:
+                raise Broken("a colour cache is missing")
+            here = maybe + 8 * low + step[maybe]
+            here += _extra(symbol[maybe].astype(np.int64) - 256)
+            prefix, length = distance_code(here)
+            step[maybe] = here + length + _extra(prefix) - maybe - 8 * low
+        end = len(step)
+        two = step + np.append(step, _REST)[np.arange(end) + step]  # two codes, and four, in one step
+        steps = (two + np.append(two, _REST)[np.arange(end) + two]).tobytes()
+        k, found = at - 8 * low, []
+        note = found.append
+        while k < end:
+            note(k)
+            k += steps[k]
+        place = np.zeros((len(found), 4), np.int64)
+        place[:, 0] = found
+        step = np.append(step, _REST)
+        for j in (1, 2, 3):
+            place[:, j] = place[:, j - 1] + step[place[:, j - 1]]
+        place = place[(place < end) & (np.diff(place, axis=1, prepend=-1) > 0)]
+        at = 8 * low + int(place[-1]) + int(step[place[-1]])
+        got = symbol[place].astype(np.int64)
+        counts = np.ones(len(got), np.int64)
+        copies = np.flatnonzero(got > 255)
+        if len(copies):
+            p = place[copies] + 8 * low
+            p += green.sizes[index[place[copies]]]
+            counts[copies] = number(got[copies] - 256, p)
+        total = np.cumsum(counts)
+        if made + int(total[-1]) >= n:
+            use = int(np.searchsorted(total, n - made)) + 1
+            if made + int(total[use - 1]) > n:
+                raise Broken("a reference leaves the image")
+            at = 8 * low + int(place[use - 1]) + int(step[place[use - 1]])
+            got, counts, total, place, copies = got[:use], counts[:use], total[:use], place[:use], copies[copies < use]
+        far_at = np.zeros(0, np.int64)
+        if len(copies):
+            p = place[copies] + 8 * low + green.sizes[index[place[copies]]] + _extra(got[copies] - 256)
+            prefix, length = distance_code(p)
+            far_at = number(prefix, p + length)
+        parts.append((got, counts, made + total - counts, copies, far_at))
+        made += int(total[-1])
+    if at > 8 * size:
         raise Broken("the data end early")
-    flat = np.unpackbits(np.frombuffer(bits.data, np.uint8, -(-end // 8) - bits.at // 8, bits.at // 8), bitorder="little")
-    flat = flat[bits.at % 8 : bits.at % 8 + n * width].reshape(n, width)
-    at = 0
-    for code, size, shift in zip(codes, fixed, (8, 16, 0, 24)):
-        symbols = np.array(code.used, np.uint32)  # in order of their codes
-        if size:
-            index = np.packbits(flat[:, at : at + size], axis=1)[:, 0] >> (8 - size)
-            out |= symbols[index] << np.uint32(shift)
-        else:
-            out |= symbols[0] << np.uint32(shift)
-        at += size
-    bits.at = end
+    bits.at = at
+    out = np.zeros(n, np.uint8)
+    for got, _, begin, _, _ in parts:
+        alone = got < 256
+        out[begin[alone]] = got[alone]
+    if any(len(p[3]) for p in parts):
+        pixels = bytearray(out.tobytes())
+        for _, counts, begin, copies, far_at in parts:
+            for a, c, d in zip(begin[copies].tolist(), counts[copies].tolist(), far_at.tolist()):
+                if d > 120:
+                    d -= 120
+                else:
+                    x, y = _NEAR[d - 1]
+                    d = max(1, x + y * width)
+                if d > a:
+                    raise Broken("a reference leaves the image")
+                if d >= c:
+                    pixels[a : a + c] = pixels[a - d : a - d + c]
+                else:
+                    pixels[a : a + c] = (bytes(pixels[a - d : a]) * (c // d + 1))[:c]
+        out = np.frombuffer(pixels, np.uint8)
     return out
 
 
@@ -367,52 +460,92 @@ class _Writer:
         return bytes(self.out) + self.value.to_bytes(-(-self.at // 8), "little")
 
 
-def huffman(count: dict[int, int], size: int, most: int = 15) -> list[int]:
-    """Code lengths of at most ``most`` bits; rare symbols are told as more frequent until they fit."""
-    count = {s: n for s, n in count.items() if n}
+def huffman(count: dict[int, int], most: int = 15) -> dict[int, int]:
+    """Code lengths of at most ``most`` bits, by symbol; rare symbols are told as more frequent until they fit."""
     while True:
-        heap = [(n, s, (s,)) for s, n in sorted(count.items())]
-        heapq.heapify(heap)
-        lengths = [0] * size
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in (both := a[2] + b[2]):
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), both))
-        if max(lengths) <= most:
-            return lengths
-        least = max(1, sum(count.values()) >> most)
-        count = {s: max(n + 1, least) // 1 if n < 4 * least else n for s, n in count.items()}
-
-
-def _write_code(out: _Writer, lengths: list[int]) -> list[tuple[int, int]]:
+        order = sorted(count, key=lambda s: (count[s], s))
+        n = len(order)
+        if n < 2:
+            return dict.fromkeys(order, 1)
+        weight, above = [count[s] for s in order], [0] * (2 * n - 1)
+        leaf, node = 0, n  # the next of either, lightest first
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= made or weight[leaf] <= weight[node]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, node = node, node + 1
+                above[k] = made
+                total += weight[k]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if depth[0] <= most:
+            return dict(zip(order, depth))
+        least = max(1, weight[-1] >> most)
+        count = {s: max(x + 1, least) if x < 4 * least else x for s, x in count.items()}
+
+
+def _runs(lengths: dict[int, int], size: int) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, number of extra bits, extra bits), repeats told as runs."""
+    out: list = []
+
+    def told(n: int, run: int) -> None:
+        if n:
+            out.append((n, 0, 0))
+            run -= 1
+        while run >= 3:
+            t = min(run, 6 if n else 138)
+            out.append((16, 2, t - 3) if n else (18, 7, t - 11) if t > 10 else (17, 3, t - 3))
+            run -= t
+        out.extend([(n, 0, 0)] * run)
+
+    done, last, run = 0, 0, 0
+    for s in sorted(lengths):
+        if s > done or lengths[s] != last:
+            if run:
+                told(last, run)
+            if s > done:
+                told(0, s - done)
+            last, run = lengths[s], 0
+        run += 1
+        done = s + 1
+    if run:
+        told(last, run)
+    if done < size:
+        told(0, size - done)
+    return out
+
+
+def _write_code(out: _Writer, lengths: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
     """Writes a code; what to put for each symbol."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if not used or used == [0]:
-        for x, n in ((1, 1), (0, 1), (0, 1), (0, 1)):
-            out.put(x, n)
-        return [(0, 0)] * len(lengths)
-    if len(used) <= 2 and max(used) < 256:
-        out.put(1, 1)
-        out.put(len(used) - 1, 1)
-        out.put(1, 1)
-        for s in used:
-            out.put(s, 8)
+    used = sorted(lengths) or [0]
+    if len(used) <= 2 and used[-1] < 256:
+        if used == [0]:
+            out.put(1, 4)
+        else:
+            out.put(1 | len(used) - 1 << 1 | 1 << 2, 3)
+            for s in used:
+                out.put(s, 8)
     else:
         out.put(0, 1)
-        own = huffman(Counter(lengths), 19, 7)
-        codes = canonical(own)
-        last = max(k for k, s in enumerate(_LENGTH_ORDER) if own[s])
+        told = _runs(lengths, size)
+        own = huffman(Counter(s for s, _, _ in told), 7)
+        codes = dict(zip(*_canonical(own)))
+        last = max(k for k, s in enumerate(_LENGTH_ORDER) if s in own)
         out.put(max(0, last - 3), 4)
         for s in _LENGTH_ORDER[: max(4, last + 1)]:
-            out.put(own[s], 3)
+            out.put(own.get(s, 0), 3)
         out.put(0, 1)
-        alone = sum(n > 0 for n in own) == 1
-        for n in lengths:
-            out.put(codes[n], 0 if alone else own[n])
-    return [(c, 0 if len(used) == 1 else n) for c, n in zip(canonical(lengths), lengths)]
+        alone = len(own) == 1
+        for s, n, extra in told:
+            wide = 0 if alone else own[s]
+            out.put((0 if alone else codes[s]) | extra << wide, wide + n)
+    if len(used) == 1:
+        return {used[0]: (0, 0)}
+    return {s: (c, lengths[s]) for s, c in zip(*_canonical(lengths))}
 
 
 def _prefix(x: int) -> tuple[int, int, int]:
@@ -482,7 +615,7 @@ def _write_image(out: _Writer, p: np.ndarray, main: bool, cache_bits: int = 0, r
         for k, s, _, _ in symbols(t):
             counts[g][k][s] += 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_write_code(out, huffman(c, n) if c else [0] * n) for c, n in zip(group, sizes)] for group in counts]
+    codes = [[_write_code(out, huffman(c), n) for c, n in zip(group, sizes)] for group in counts]
     for g, t in zip(by, tokens):
         for k, s, n, extra in symbols(t):
             out.put(*codes[g][k][s])
@@ -539,27 +672,113 @@ def encode(p: np.ndarray, transforms: list[tuple] = (), cache_bits: int = 0, ref
     return _file(out.done())
 
 
+def _copies(flat: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Where copies begin, how long they are and how far back: of each place with LEAST_COPY bytes that
+    came before the latest such place, greedily from the front."""
+    n = len(flat) - LEAST_COPY + 1
+    if n <= 1:
+        return [], [], []
+    data = flat.tobytes()
+    key = np.ndarray((n,), "<u8", data, 0, (1,))
+    # by 16 bits of a hash, which are sorted in linear time; of those that share them, equal neighbours count
+    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return [], [], []
+    before = np.full(n, -1, np.int64)
+    before[order[same + 1]] = order[same]
+    places = np.flatnonzero(before >= 0)
+    begin, count, back = [], [], []
+    done, size = 0, len(data)
+    for at, q in zip(places.tolist(), before[places].tolist()):
+        if at < done:
+            continue
+        c, most = LEAST_COPY, min(MOST_COPY, size - at)
+        while c + 32 <= most and data[at + c : at + c + 32] == data[q + c : q + c + 32]:
+            c += 32
+        while c < most and data[at + c] == data[q + c]:
+            c += 1
+        begin.append(at)
+        count.append(c)
+        back.append(at - q)
+        done = at + c
+    return begin, count, back
+
+
+def _prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` of each number."""
+    v = x - 1
+    top = np.maximum(np.frexp(np.maximum(v, 1).astype(float))[1] - 1, 1)
+    small = v < 4
+    more = np.where(small, 0, top - 1)
+    return np.where(small, v, 2 * top + (v >> (top - 1) & 1)), more, np.where(small, 0, v & ((1 << more) - 1))
+
+
+def _write_green(out: _Writer, flat: np.ndarray) -> None:
+    """The codes and pixels of an image whose green channel alone varies: literals and copies."""
+    for x, n in ((0, 1), (0, 1)):  # no colour cache, one group of codes
+        out.put(x, n)
+    begin, count, back = _copies(flat)
+    if begin:
+        b, c, d = (np.array(x, np.int64) for x in (begin, count, back))
+        cover = np.zeros(len(flat) + 1, np.int8)
+        cover[b] += 1
+        cover[b + c] -= 1
+        alone = np.cumsum(cover[:-1]) == 0
+        alone[b] = True
+        place = np.flatnonzero(alone)
+        symbol = flat[place].astype(np.int64)
+        at = np.searchsorted(place, b)
+        prefix, len_bits, len_extra = _prefixes(c)
+        symbol[at] = 256 + prefix
+        far, far_bits, far_extra = _prefixes(d + 120)
+    else:
+        symbol, far = flat.astype(np.int64), np.zeros(0, np.int64)
+    def code(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        n = np.bincount(symbols, minlength=size)
+        used = np.flatnonzero(n)
+        table = np.zeros((2, size), np.uint64)
+        if got := _write_code(out, huffman(dict(zip(used.tolist(), n[used].tolist()))), size):
+            table[:, list(got)] = np.array(list(got.values()), np.uint64).T
+        return table[0][symbols], table[1][symbols]
+
+    value, bits = code(symbol, 280)
+    for lone in (0, 0, 255):  # red, blue, alpha
+        _write_code(out, {lone: 1}, 256)
+    far_code, far_size = code(far, 40)
+    if len(far):
+        for x, n in ((len_extra, len_bits), (far_code, far_size), (far_extra, far_bits)):
+            value[at] |= x.astype(np.uint64) << bits[at]
+            bits[at] += n.astype(np.uint64)
+    for k in range(0, len(value), BLOCK):
+        v, n = value[k : k + BLOCK], bits[k : k + BLOCK].astype(np.int64)
+        total = int(n.sum())
+        if total:
+            inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            out.put_array((np.repeat(v, n) >> inside.astype(np.uint64)).astype(np.uint8) & 1)
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
     """A lossless WebP file of 8-bit samples (height x width) in the green channel.
 
-    The samples that occur get codes of one length, the least that is enough for them, so both
-    writing and reading take a few array operations.
+    Literals and copies of earlier stretches have prefix codes by their frequency.  If 2 to 16
+    values occur, a palette holds them and a pixel packs several.
     """
     height, width = samples.shape
     out = _head(width, height)
-    for x, n in ((0, 1), (0, 1), (0, 1)):  # no transform, no colour cache, one group of codes
-        out.put(x, n)
     used = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
-    size = max(0, int(len(used) - 1).bit_length())
-    more = np.setdiff1d(np.arange(256), used)[: (1 << size) - len(used)]
-    lengths = np.zeros(280, np.int64)
-    lengths[np.r_[used, more]] = max(1, size)
-    codes = _write_code(out, lengths.tolist())
-    for alone in (0, 0, 255, 0):  # red, blue, alpha, distance
-        lengths = [0] * 256
-        lengths[alone] = 1
-        _write_code(out, lengths)
-    if size:
-        table = np.array([c for c, _ in codes[:256]], np.uint8)
-        out.put_array(np.unpackbits(table[samples.ravel()][:, None], axis=1, count=size, bitorder="little").ravel())
+    if 1 < len(used) <= 16:
+        table = used.astype(np.uint32) << 8 | np.uint32(_BLACK)
+        out.put(1, 1)
+        out.put(PALETTE, 2)
+        out.put(len(used) - 1, 8)
+        steps = _split(table)
+        steps[1:] = (steps[1:] - steps[:-1]) & 255
+        _write_image(out, _joined(steps)[None, :], False)
+        k = _bundle(len(used))
+        index = np.searchsorted(used, samples).astype(np.uint8)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << k)))).reshape(height, -1, 1 << k)
+        samples = (index << (np.arange(1 << k, dtype=np.uint8) * np.uint8(8 >> k))).sum(2, dtype=np.uint8)
+    out.put(0, 1)
+    _write_green(out, samples.ravel())
     return _file(out.done())

@@ -93,3 +93,54 @@ def test_columns(spark, monkeypatch):
         assert media.read_back(bytes(r.media), len(full))[0] == full and r.feature
     assert tuple(got[-1])[1:] == tuple(got[2])[1:]
     assert media.media_columns(df.limit(0)).collect() == []
+
+
+def test_stored_files_have_prefix_codes_and_references(monkeypatch):
+    """Payloads of texts: codes of several lengths, copies, a palette where few values occur; well below the payload's size."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    seen = {"general": 0, "copies": 0}
+    real = webp._green
+
+    def counted(bits, green, far, width, n):
+        seen["general"] += green.only is None and len(set(green.sizes.tolist())) > 1
+        seen["copies"] += green.only is None and int(green.symbols.max()) > 255
+        return real(bits, green, far, width, n)
+
+    monkeypatch.setattr(webp, "_green", counted)
+    size = full = 0
+    for t in texts:
+        data, _ = media.payload(t)
+        kept = media.stored(data)
+        assert media.read_back(kept, len(data))[0] == data
+        size, full = size + len(kept), full + len(data)
+    assert seen["general"] > 0.9 * len(texts) and seen["copies"] > 0.5 * len(texts) and size < 0.55 * full
+
+
+def test_green_streams_agree_with_the_pixel_by_pixel_reader(monkeypatch):
+    rng = random.Random(9)
+    words = ["alpha", "beta ", "gamma, ", "de", "\n", "0123456789" * 3]
+    for k in range(60):
+        raw = "".join(rng.choices(words, k=rng.randrange(1, 400))).encode() + bytes(rng.randrange(256) for _ in range(k % 7))
+        x = np.frombuffer(raw.ljust(-(-len(raw) // 64) * 64, b"\0"), np.uint8).reshape(-1, 64)
+        data = webp.encode_samples(x)
+        fast = webp.decode(data)
+        monkeypatch.setattr(webp, "STREAM", 1 << 30)
+        assert (webp.decode(data) == fast).all() and ((fast >> 8 & 255) == x).all()
+        monkeypatch.setattr(webp, "STREAM", 32)
+        monkeypatch.setattr(webp, "BLOCK", 50)
+        assert (webp.decode(data) == fast).all() and webp.encode_samples(x) == data
+        monkeypatch.setattr(webp, "BLOCK", 1 << 16)
+
+
+def test_a_stream_of_copies_near_and_over_itself():
+    """References the writer doesn't make: near ones by the table of places, read by both readers."""
+    p = np.uint32(0xFF000000) | (np.arange(40 * 30, dtype=np.uint32).reshape(30, 40) % 7 << 8)
+    data = webp.encode(p, references=True)
+    assert (webp.decode(data) == p).all()
+    for cut in range(30, len(data), 7):
+        try:
+            webp.decode(data[:cut])
+        except webp.Broken:
+            pass
