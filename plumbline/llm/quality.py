@@ -1,32 +1,40 @@
 """Quality classification by co-training two views of a document.
 
 One classifier sees what a text says (its words and their make-up), the other the page's metadata
-(source, language, recorded length, layout).  Both are logistic regressions.  In each round either
-hands the rows of an unlabelled pool that it is surest of to the other as pseudo-labels (Blum and
-Mitchell, 1998).  Afterwards each is calibrated on labelled rows that neither was trained on, and a
-last regression joins the two calibrated scores.  A document is good if its quality label is 1 and
-it is not toxic.
+(source, language, recorded length), never the text.  Both are logistic regressions.  In each round
+either hands the documents it is surest of, out of all unlabelled ones, to the other as
+pseudo-labels (Blum and Mitchell, 1998).  Afterwards each is calibrated on labelled rows that neither
+was trained on, and a last regression joins the two calibrated scores.  A document is good if its
+quality label is 1 and it is not toxic.
+
+Features are made once for the whole corpus, in the labelled sample's vocabulary, and written to
+the shared folder; rounds and scores read these alone.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.llm import common
 
-#: Labelled rows, and rows of the unlabelled pool, that are fitted on: about so many, picked by a hash of the id.
-LABELLED, POOL = 8000, 6000
-#: Words of the content view are those in so many labelled documents at least, the commonest WORDS of them.
-LEAST_DOCUMENTS, WORDS = 4, 60_000
+#: Labelled rows that are fitted on: about so many, picked by a hash of the id.
+LABELLED = 8000
+#: Words of the content view are those in so many labelled documents at least.
+LEAST_DOCUMENTS = 4
 ROUNDS = 4
 #: Pseudo-labels that a view gives per round and class at most, and how sure it must be.
 GIVEN, SURE = 300, 0.98
+#: Parts in which a round's surest documents are looked for.
+PARTS = 64
+#: What is kept of a document for rounds and scores.
+PACKED = ["words", "figures", "source", "lang", "n_chars"]
 #: A document is rejected if its joint score is below.
 THRESHOLD = 0.5
 
@@ -54,11 +62,9 @@ def content(text: str | None) -> tuple[np.ndarray, list[float]]:
     return np.array(sorted(map(zlib.crc32, words)), np.int64), figures
 
 
-def layout(text: str | None, n_chars: int | None) -> list[float]:
-    """Figures of a page that its metadata or layout tell."""
-    t = text or ""
-    lines = t.count("\n") + 1
-    return [np.log1p(max(0, n_chars or 0)), float(n_chars is None), np.log1p(lines), np.log1p(len(t) / lines)]
+def recorded(n_chars: int | None) -> list[float]:
+    """Figures of a page that its metadata tell beside source and language."""
+    return [np.log1p(max(0, n_chars or 0)), float(n_chars is None)]
 
 
 class Features:
@@ -78,6 +84,14 @@ class Features:
         return Features([cut[r] for r in rows], self.figures[rows])
 
 
+def joined(parts: list[Features]) -> Features:
+    """Rows one after the other."""
+    out = Features([], np.concatenate([p.figures for p in parts]))
+    out.size, out.ids = np.concatenate([p.size for p in parts]), np.concatenate([p.ids for p in parts])
+    out.row = np.repeat(np.arange(len(out.size)), out.size)
+    return out
+
+
 class Logistic:
     """Logistic regression with an L2 penalty over sparse columns and standardised figures."""
 
@@ -89,6 +103,11 @@ class Logistic:
         z = (np.clip((x.figures - self.mean) / self.scale, -8, 8)) @ self.v + self.b
         return z + np.bincount(x.row, self.w[x.ids], minlength=len(x)) if len(self.w) else z
 
+    def begin(self, x: Features, y: np.ndarray) -> None:
+        """Columns start from how much oftener good rows have them than bad ones, as a log ratio."""
+        good, bad = (np.bincount(x.ids, of[x.row], minlength=len(self.w)) for of in (y, 1 - y))
+        self.w = np.log((good + 1) / (y.sum() + 2)) - np.log((bad + 1) / ((1 - y).sum() + 2))
+
     def fit(self, x: Features, y: np.ndarray, weight: np.ndarray, steps: int) -> None:
         """Adam over all rows at once; goes on from what is there."""
         self.mean, self.scale = x.figures.mean(0), x.figures.std(0) + 1e-6
@@ -131,40 +150,61 @@ class Model:
         ids = [np.array([k for k in (self.values.get(("source", s)), self.values.get(("lang", g))) if k is not None], np.int64) for s, g in zip(sources, langs)]
         return Features(ids, np.array(figures, float).reshape(len(ids), -1))
 
-    def train(self, a: Features, b: Features, y: np.ndarray) -> None:
-        """y: 1 good, 0 bad, -1 unlabelled.  Every fourth labelled row is kept for calibration."""
-        labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-        kept = labelled[::4] if len(labelled) >= 40 else labelled
-        own = np.setdiff1d(labelled, kept) if len(labelled) >= 40 else labelled
-        views = [(a, Logistic(len(self.vocabulary), a.figures.shape[1])), (b, Logistic(len(self.values), b.figures.shape[1], 1e-3))]
-        given = [np.full(len(y), -1), np.full(len(y), -1)]  # pseudo-labels that a view got from the other
+    def pack(self, texts: list) -> tuple[list[bytes], list[bytes]]:
+        """Each text's words as places in the vocabulary, and its figures: 32 bits each."""
+        got = [content(t) for t in texts]
+        x = self.content_features([h for h, _ in got], [f for _, f in got])
+        ids, ends = x.ids.astype("<u4").tobytes(), (4 * np.cumsum(x.size)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)], [f.tobytes() for f in x.figures.astype("<f4")]
+
+    def views_of(self, words: list[bytes], figures: list[bytes], sources: list, langs: list, n_chars: list) -> tuple[Features, Features]:
+        """Both views' features from packed ones."""
+        a = Features([np.frombuffer(w, "<u4").astype(np.int64) for w in words], np.frombuffer(b"".join(figures), "<f4").astype(float).reshape(len(figures), -1))
+        return a, self.metadata_features(sources, langs, [recorded(n) for n in n_chars])
+
+    def train(self, a: Features, b: Features, y: np.ndarray, surest: Callable[[Model, int], list]) -> None:
+        """y: 1 good, 0 bad.  Every fourth row is kept for calibration.
+
+        ``surest(model, turn)`` gives (view, label, key, packed features) of the unlabelled documents that a view is surest of
+        and hasn't given yet; the other view learns them, and with them sources and languages that no labelled row has.
+        """
+        every = np.arange(len(y))
+        kept = every[::4] if len(y) >= 40 else every
+        own = np.setdiff1d(every, kept) if len(y) >= 40 else every
+        self.views = [Logistic(len(self.vocabulary), a.figures.shape[1]), Logistic(len(self.values), b.figures.shape[1], 1e-3)]
+        for x, m in zip((a, b), self.views):
+            m.begin(x.take(own), y[own].astype(float))
+        self.given: list[list] = [[], []]  # (key, label) that a view got from the other, in order
+        extra: list[list] = [[], []]
         for turn in range(ROUNDS + 1):
-            for k, (x, model) in enumerate(views):
-                extra = np.flatnonzero(given[k] >= 0)
-                rows = np.r_[own, extra]
-                target = np.r_[y[own], given[k][extra]].astype(float)
-                weight = np.r_[np.ones(len(own)), np.full(len(extra), 0.3)]
+            for k, (x, model) in enumerate(zip((a, b), self.views)):
+                target = np.r_[y[own], [label for _, label in self.given[k]]].astype(float)
+                weight = np.r_[np.ones(len(own)), np.full(len(extra[k]), 0.3)]
                 for label in (0.0, 1.0):  # both classes count alike up to a power
                     share = weight[target == label].sum() / max(1e-9, weight.sum())
                     weight[target == label] /= max(share, 0.05) ** 0.5
-                model.fit(x.take(rows), target, weight, 150 if turn == 0 else 50)
+                model.fit(joined([x.take(own), *extra[k]]), target, weight, 150 if turn == 0 else 50)
             if turn == ROUNDS:
                 break
-            for k, (x, model) in enumerate(views):
-                p = 1 / (1 + np.exp(-model.logit(x)))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    free = pool[(given[1 - k][pool] < 0) & (sure[pool] >= SURE)]
-                    given[1 - k][free[np.argsort(-sure[free], kind="stable")[:GIVEN]]] = label
-        self.views = [m for _, m in views]
-        z = [m.logit(x.take(kept)) for x, m in views]
+            picked = surest(self, turn)
+            for view, label, key, row in picked:
+                self.given[1 - view].append((key, label))
+                for name in ("source", "lang"):
+                    if row[name] is not None:
+                        self.values.setdefault((name, row[name]), len(self.values))
+            self.views[1].w = np.r_[self.views[1].w, np.zeros(len(self.values) - len(self.views[1].w))]
+            for view, _, _, row in picked:
+                extra[1 - view].append(self.views_of(*([row[c]] for c in PACKED))[1 - view])
+        z = [m.logit(x.take(kept)) for x, m in zip((a, b), self.views)]
         self.calibrated = [_platt(v[:, None], y[kept].astype(float)) for v in z]
         self.joint = _platt(np.stack(z, 1), y[kept].astype(float))
 
-    def score(self, texts: list, sources: list, langs: list, n_chars: list) -> np.ndarray:
+    def sure(self, a: Features, b: Features) -> np.ndarray:
+        """How sure each view (column) is that a row is good."""
+        return np.stack([1 / (1 + np.exp(-np.clip(m.logit(x), -30, 30))) for m, x in zip(self.views, (a, b))], 1)
+
+    def score(self, a: Features, b: Features) -> np.ndarray:
         """Columns: content, metadata and joint probability of being good."""
-        got = [content(t) for t in texts]
-        a = self.content_features([h for h, _ in got], [f for _, f in got])
-        b = self.metadata_features(sources, langs, [layout(t, n) for t, n in zip(texts, n_chars)])
         z = [m.logit(x) for m, x in zip(self.views, (a, b))]
         none = lambda v: Features([np.zeros(0, np.int64)] * len(v), v)
         out = [m.logit(none(v[:, None])) for m, v in zip(self.calibrated, z)] + [self.joint.logit(none(np.stack(z, 1)))]
@@ -177,95 +217,166 @@ def _columns(df: DataFrame) -> list:
     return [(F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
 
 
-def _sample(df: DataFrame, of: DataFrame, size: int, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id's hash is in one of so many equal parts that about ``size`` rows of ``of`` remain."""
-    parts = max(1, of.count() // size)
+def _sample(df: DataFrame, size: int, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id's hash is in one of so many equal parts that about ``size`` rows remain."""
+    parts = max(1, df.count() // size)
     return df.where(F.pmod(F.xxhash64(id_col, F.lit("quality")), F.lit(parts)) == 0)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model fitted on about LABELLED labelled rows and a pool of about POOL others; None without rows of both classes.
+def _told(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
+        (F.min("quality") * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("int").alias("good"))
 
-    ``labels``: id, quality, toxic; rows with null quality are no labels; of several rows for an id
-    the worst counts.  The samples' features are made on the executors; the driver gets these only.
+
+def _labelled(df: DataFrame, told: DataFrame, id_col: str, text_col: str) -> tuple[Model, Features, Features, np.ndarray] | None:
+    """An untrained model and the features of about LABELLED labelled rows; None without rows of both classes.
+
+    Texts become hashes on the executors; the driver gets these only.
     """
-    told = labels.where("quality is not null").groupBy(id_col).agg(
-        (F.min("quality") * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("int").alias("good"))
-    some = F.broadcast(_sample(told, told, LABELLED, id_col))  # bounded by LABELLED
-    rows = df.select(id_col, F.col(text_col).alias("text"), *_columns(df))
-    known = rows.join(some, id_col)
-    free = _sample(rows, rows, POOL, id_col)
-    free = free.join(told.select(id_col), id_col, "left_anti").withColumn("good", F.lit(-1))
+    some = F.broadcast(_sample(told, LABELLED, id_col))  # bounded by LABELLED
+    known = df.select(id_col, F.col(text_col).alias("text"), *_columns(df)).join(some, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, text, source, lang, n, good = (c.to_pylist() for c in batch.columns)
             got = [content(t) for t in text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32(str(k).encode()) for k in key], pa.int64()), pa.array([h.astype(np.uint32).tobytes() for h, _ in got], pa.binary()), pa.array([f for _, f in got], pa.list_(pa.float64())),
-                 pa.array([layout(t, k) for t, k in zip(text, n)], pa.list_(pa.float64())), pa.array(source, pa.string()), pa.array(lang, pa.string()), pa.array(good, pa.int32())],
-                names=["k", "words", "figures", "layout", "source", "lang", "good"])
+                [pa.array([zlib.crc32(str(k).encode()) for k in key], pa.int64()), pa.array([h.astype("<u4").tobytes() for h, _ in got], pa.binary()),
+                 pa.array([np.array(f, "<f4").tobytes() for _, f in got], pa.binary()), pa.array(source, pa.string()), pa.array(lang, pa.string()), pa.array(n, pa.int64()), pa.array(good, pa.int32())],
+                names=["k", "words", "figures", "source", "lang", "n_chars", "good"])
 
-    order = [id_col, "text", "source", "lang", "n_chars", "good"]
-    got = known.select(*order).union(free.select(*order)).mapInArrow(
-        run, "k long, words binary, figures array<double>, layout array<double>, source string, lang string, good int").toArrow()
+    got = known.select(id_col, "text", "source", "lang", "n_chars", "good").mapInArrow(
+        run, "k long, words binary, figures binary, source string, lang string, n_chars long, good int").toArrow()
     got = got.sort_by([("k", "ascending"), ("good", "ascending"), ("words", "ascending")])  # the order in which rows come may vary
-    words = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in got["words"]]
     y = np.array(got["good"].to_pylist(), int)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    hashes, n = np.unique(np.concatenate([w for w, g in zip(words, y) if g >= 0]), return_counts=True)
-    often = np.flatnonzero(n >= LEAST_DOCUMENTS)
-    often = often[np.argsort(-n[often], kind="stable")[:WORDS]]
+    words = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in got["words"]]
+    figures = np.frombuffer(b"".join(x.as_py() for x in got["figures"]), "<f4").astype(float).reshape(len(y), -1)
+    hashes, n = np.unique(np.concatenate(words), return_counts=True)
     source, lang = got["source"].to_pylist(), got["lang"].to_pylist()
-    values = lambda c: sorted({x for x in c if x is not None})  # noqa: E731  bounded by the samples
-    model = Model(np.sort(hashes[often]), values(source), values(lang))
-    model.train(model.content_features(words, got["figures"].to_pylist()), model.metadata_features(source, lang, got["layout"].to_pylist()), y)
-    return model
+    values = lambda c: sorted({x for x in c if x is not None})  # noqa: E731  bounded by the sample
+    model = Model(hashes[n >= LEAST_DOCUMENTS], values(source), values(lang))
+    return model, model.content_features(words, figures), model.metadata_features(source, lang, [recorded(n) for n in got["n_chars"].to_pylist()]), y
+
+
+_PACKED = "words binary, figures binary, source string, lang string, n_chars long"
+
+
+def _features(df: DataFrame, told: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(id_col, packed features, k, free)`` of every row: ``k`` is equal for equal features, ``free`` tells rows without a label."""
+    opened, kind = common.sent(df.sparkSession, model), df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = opened()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                words, figures = m.pack(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array(figures, pa.binary()), *part.columns[2:]],
+                                                 names=[id_col, "words", "figures", "source", "lang", "n_chars"])
+
+    made = df.select(id_col, F.col(text_col).alias("text"), *_columns(df)).mapInArrow(run, f"`{id_col}` {kind}, {_PACKED}")
+    labelled = told.select(F.col(id_col).alias("_told")).withColumn("_l", F.lit(True))
+    made = made.join(labelled, F.col(id_col) == F.col("_told"), "left")
+    return common.saved(made.select(id_col, *PACKED, F.xxhash64(*PACKED).alias("k"), F.col("_l").isNull().alias("free")), "quality-features")
+
+
+def _surest(features: DataFrame) -> Callable[[Model, int], list]:
+    """What ``Model.train`` asks for: of all free rows those that a view is surest of, equal ones once, GIVEN a view and class.
+
+    Each round is one pass over the packed features.  Rows beyond SURE are reduced to the GIVEN best
+    of each of PARTS parts, before and after a shuffle of (key, sureness), and these to the GIVEN best of all.
+    """
+    free = features.where("free").select("k", *PACKED)
+
+    def ask(model: Model, turn: int) -> list:
+        opened = common.sent(features.sparkSession, model)
+        done = [np.array([k for k, _ in model.given[1 - view]], np.int64) for view in (0, 1)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = opened()
+            for batch in batches:
+                k = batch.column(0).to_numpy()
+                p = m.sure(*m.views_of(*(c.to_pylist() for c in batch.columns[1:])))
+                for view in (0, 1):
+                    sure = np.maximum(p[:, view], 1 - p[:, view])
+                    at = np.flatnonzero((sure >= SURE) & ~np.isin(k, done[view]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array((p[at, view] > 0.5).astype(np.int32)), pa.array(k[at]), pa.array(sure[at])],
+                                                     names=["view", "label", "k", "sure"])
+
+        sure = free.mapInArrow(run, "view int, label int, k long, sure double").groupBy("view", "label", "k").agg(F.max("sure").alias("sure"))
+        order = [F.desc("sure"), "k"]
+        part = W.partitionBy("view", "label", F.pmod("k", F.lit(PARTS))).orderBy(*order)
+        best = sure.withColumn("r", F.row_number().over(part)).where(F.col("r") <= GIVEN)
+        best = best.withColumn("r", F.row_number().over(W.partitionBy("view", "label").orderBy(*order))).where(F.col("r") <= GIVEN)
+        picked = sorted((r["view"], r["label"], r["r"], r["k"]) for r in best.collect())  # 4 GIVEN rows at most
+        if not picked:
+            return []
+        keys = features.sparkSession.createDataFrame([(k,) for k in {k for *_, k in picked}], "k long")
+        rows = free.join(F.broadcast(keys), "k").groupBy("k").agg(*[F.first(c).alias(c) for c in PACKED]).toArrow().to_pylist()
+        found = {r["k"]: r for r in rows}
+        return [(view, label, k, found[k]) for view, label, _, k in picked]
+
+    return ask
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame] | None:
+    """The model, fitted on about LABELLED labelled rows and, by co-training, on all others; and all rows' packed features.
+    None without labelled rows of both classes.
+
+    ``labels``: id, quality, toxic; rows with null quality are no labels; of several rows for an id the worst counts.
+    """
+    told = _told(labels, id_col)
+    sample = _labelled(df, told, id_col, text_col)
+    if sample is None:
+        return None
+    model, a, b, y = sample
+    features = _features(df, told, model, id_col, text_col)
+    model.train(a, b, y, _surest(features))
+    return model, features
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, p_content, p_metadata, score, keep)`` for each row of ``df``.
 
     Null texts count as empty, unknown or null sources and languages say nothing; repeated rows get
-    equal results; an empty table gives none; without labels of both classes all scores are null
-    and every row is kept.
+    equal results; of equally sure documents those with the smaller hash are handed on; very long
+    texts are read whole, some at a time; an empty table gives none; without labels of both classes
+    all scores are null and every row is kept.
     """
-    model = fit(df, labels, id_col, text_col)
-    if model is None:
+    found = fit(df, labels, id_col, text_col)
+    if found is None:
         none = F.lit(None).cast("double")
         return df.select(id_col, none.alias("p_content"), none.alias("p_metadata"), none.alias("score"), F.lit(True).alias("keep"))
-    opened = common.sent(df.sparkSession, model)
+    opened = common.sent(df.sparkSession, found[0])
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = opened()
+        m = opened()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                p = ready.score(*(c.to_pylist() for c in part.columns[1:]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, j]) for j in range(3)), pa.array(p[:, 2] >= THRESHOLD)],
-                                                 names=[id_col, "p_content", "p_metadata", "score", "keep"])
+            p = m.score(*m.views_of(*(c.to_pylist() for c in batch.columns[1:]))) if batch.num_rows else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(3)), pa.array(p[:, 2] >= THRESHOLD)],
+                                             names=[id_col, "p_content", "p_metadata", "score", "keep"])
 
-    return df.select(id_col, F.col(text_col).alias("text"), *_columns(df)).mapInArrow(
-        run, f"`{id_col}` {kind}, p_content double, p_metadata double, score double, keep boolean")
+    return found[1].select(id_col, *PACKED).mapInArrow(run, f"`{id_col}` {kind}, p_content double, p_metadata double, score double, keep boolean")
 
 
 def kept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that ``scored`` keeps, unchanged; no shuffle."""
-    model = fit(df, labels, id_col, text_col)
-    if model is None:
+    found = fit(df, labels, id_col, text_col)
+    if found is None:
         return df
-    opened = common.sent(df.sparkSession, model)
+    opened = common.sent(df.sparkSession, found[0])
     names = df.columns
     at = [names.index(c) if c in names else None for c in (text_col, "source", "lang", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = opened()
+        m = opened()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                p = ready.score(*([None] * part.num_rows if c is None else part.column(c).to_pylist() for c in at))
-                yield part.filter(pa.array(p[:, 2] >= THRESHOLD))
+                texts, *told = ([None] * part.num_rows if c is None else part.column(c).to_pylist() for c in at)
+                yield part.filter(pa.array(m.score(*m.views_of(*m.pack(texts), *told))[:, 2] >= THRESHOLD))
 
     return df.mapInArrow(run, df.schema)
