@@ -22,6 +22,8 @@ from plumbline.llm import common
 ORDER = 4
 #: Training rows, about, on which scores and rejection are calibrated.
 CALIBRATION_ROWS = 2000
+#: Of the rows of a language with ENOUGH of them one in SPARED at most is calibrated on, and not counted.
+SPARED, ENOUGH = 10, 20
 #: Characters that are worked on at a time (whole texts, as many as it takes to pass this).
 CHUNK = 1_000_000
 
@@ -213,10 +215,16 @@ class Model:
 def fit(train: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model | None:
     """The model of the rows of ``train`` that have a language; None if there are none.
 
-    All their texts are counted, and every count reaches the driver: as many rows as there are different
-    grams of a language.  About CALIBRATION_ROWS of them, picked by a hash of the id, are scored for calibration.
+    About CALIBRATION_ROWS rows, one in SPARED at most, picked by a hash of the id among languages with
+    ENOUGH rows, are kept out of the counts, and scored for calibration.  All other texts are counted, and
+    every count reaches the driver: as many rows as there are different grams of a language.
     """
-    counts = common.saved(gram_counts(train, lang_col, text_col), "grams")
+    known = train.where(F.col(lang_col).isNotNull())
+    size = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row for each language
+    every = max(SPARED, sum(size.values()) // CALIBRATION_ROWS)
+    often = F.col(lang_col).cast("string").isin([x for x in size if size[x] >= ENOUGH])
+    apart = F.coalesce(often & F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("calibration")), F.lit(every)) == 0), F.lit(False))
+    counts = common.saved(gram_counts(known.where(~apart), lang_col, text_col), "grams")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
@@ -224,10 +232,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_c
     table = counts.select("gram", at[F.col("lang")].alias("lang"), "n").toArrow()
     gram, lang, n = (table.column(k).to_numpy() for k in range(3))
     model = Model(langs, gram.view(np.uint64), lang, n)
-    known = train.where(F.col(lang_col).isNotNull())
-    every = max(1, known.count() // CALIBRATION_ROWS)
-    part = known.where(F.pmod(F.xxhash64(id_col, F.lit("calibration")), F.lit(every)) == 0)
-    found = scored(part, model, id_col, text_col, lang_col).where("n > 0").select("lang", "entropy").collect()
+    apart &= F.col(lang_col).cast("string").isin(langs)
+    found = scored(known.where(apart), model, id_col, text_col, lang_col).where("n > 0").select("lang", "entropy").collect()
     model.calibrate(np.array([r["entropy"] for r in found]).reshape(-1, len(langs)), np.array([langs.index(r["lang"]) for r in found], int))
     return model
 
@@ -269,7 +275,7 @@ def predicted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     A text that is null or has no letter gets ``und`` with score 0, as do all if nothing can be
     learned; ties go to the language that sorts first; repeated rows get equal results; an empty
-    table gives none.  ``rejected`` marks texts that look unlike every language.
+    table gives none; very long texts are read whole.  ``rejected`` marks texts that look unlike every language.
     """
     model = fit(df.where(~held_out(id_col)), id_col, lang_col, text_col)
     if model is None:

@@ -108,3 +108,28 @@ def test_rare_grams_of_many_languages_count(spark):
         for probe in (corpora[name][1], corpora[name][0][:200], "quite another text"):
             entropy = model.entropies(langid.Reader(), [probe])[0]
             assert math.isclose(entropy[0, k], brute(corpora[name], probe), rel_tol=1e-5), (name, probe[:20])
+
+
+def test_hundreds_of_languages(spark):
+    rng = random.Random(4)
+    rows, k = [], 0
+    for name in (f"x{j:03d}" for j in range(300)):
+        parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([2, 3]))) for _ in range(25)]
+        for _ in range(8):
+            rows.append((k, " ".join("".join(rng.choices(parts, k=2)) for _ in range(60)), name, None))
+            k += 1
+    got = {r.doc_id: r for r in langid.predicted(spark.createDataFrame(rows, SCHEMA)).collect() if r.held_out}
+    assert len(got) > 500 and sum(got[d].lang_pred == lang for d, _, lang, _ in rows if d in got) >= 0.97 * len(got)
+
+
+def test_calibration_rows_are_not_counted(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30))
+    rows = [(k, text() + f" {chr(0x430 + k % 30)}{chr(0x450 + k // 30)}{chr(0x430 + k % 29)}", "aa", None) for k in range(600)] + [(9000, "lone text", "bb", None)]
+    seen = {}
+    real = langid.Model.calibrate
+    monkeypatch.setattr(langid.Model, "calibrate", lambda self, e, lang: (seen.update(n=len(lang), e=e), real(self, e, lang))[1])
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert model.langs == ["aa", "bb"] and 30 <= seen["n"] <= 90  # a tenth, about; of a rare language none
+    plain = langid.fit(spark.createDataFrame(rows, SCHEMA).limit(0))
+    assert plain is None
