@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.session import shared_folder
+
 #: Nodes of graphs that canonical forms are made of at most: all orders that respect degrees are tried.
 NODES = 9
 Edges = list[tuple]
@@ -26,14 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept as files in the folder that ``spark.checkpoint.dir`` names."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            found = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(found)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -20,8 +20,8 @@ SIMILAR = 0.7
 SCORES = "ex int, exp double, exr double, f1 double, matched long, gold_cells long, pred_cells long"
 
 
-def scored(counts: DataFrame) -> DataFrame:
-    """Scores from ``(ex, matched, gold_cells, pred_cells)``: precision, recall and F1 of cells.
+def scored(counts: DataFrame, *keep: str) -> DataFrame:
+    """Scores from ``(ex, matched, gold_cells, pred_cells)``: precision, recall and F1 of cells; columns to ``keep`` come along.
 
     An EX of 1 makes all of them 1.  Two empty results score 1; against an empty gold result
     precision is 0 and recall 1, for an empty prediction the other way round, and F1 is 0.
@@ -32,7 +32,7 @@ def scored(counts: DataFrame) -> DataFrame:
     exp = F.when(one | both, 1.0).when(g == 0, 0.0).when(p == 0, 1.0).otherwise(m / F.greatest(p, F.lit(1)))
     exr = F.when(one | both, 1.0).when(g == 0, 1.0).when(p == 0, 0.0).otherwise(m / F.greatest(g, F.lit(1)))
     f1 = F.when(one | both, 1.0).when((g == 0) | (p == 0) | (m == 0), 0.0).otherwise(2.0 * m / F.greatest(g + p, F.lit(1)))
-    return counts.select(F.col("ex").cast("int").alias("ex"), exp.alias("exp"), exr.alias("exr"), f1.alias("f1"),
+    return counts.select(*keep, F.col("ex").cast("int").alias("ex"), exp.alias("exp"), exr.alias("exr"), f1.alias("f1"),
                          m.cast("long").alias("matched"), g.cast("long").alias("gold_cells"), p.cast("long").alias("pred_cells"))
 
 
@@ -188,11 +188,9 @@ def failed(spark: SparkSession, message: str) -> DataFrame:
 
 
 def evaluate_cases(spark: SparkSession, cases: list[tuple[str, str, str]], technique: str, **options) -> DataFrame:
-    """One row of scores for each (case_id, gold_sql, pred_sql), in one plan."""
-    out = None
-    for case, gold, pred in cases:
-        row = evaluate(spark, gold, pred, technique, **options).select(F.lit(case).alias("case_id"), "*")
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    """One row of scores for each (case_id, gold_sql, pred_sql), with a status; see ``evaluation.scores``."""
+    from plumbline.operators import evaluation
+
+    if not cases:
         raise ValueError("no cases")
-    return out
+    return evaluation.scores(spark, cases, technique, **options)
