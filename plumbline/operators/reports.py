@@ -133,10 +133,13 @@ def column_frequencies(used: DataFrame, queries: int | None = None) -> DataFrame
     return n
 
 
-def top_columns(frequencies: DataFrame, occurrences: str, n: int) -> DataFrame:
-    """The ``n`` most used columns of each database, ties by name."""
+def top_columns(frequencies: DataFrame, occurrences: str, n: int, without: DataFrame | None = None) -> DataFrame:
+    """The ``n`` most used columns of each database, ties by name, leaving out those that ``without`` has."""
     w = W.partitionBy("db_id").orderBy(F.desc(occurrences), "table_name", "column_name")
-    return frequencies.where(F.col(occurrences) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    left = frequencies.where(F.col(occurrences) > 0)
+    if without is not None:
+        left = left.join(without.select("db_id", "table_name", "column_name"), ["db_id", "table_name", "column_name"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def naturalness(names: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +9,7 @@ from plumbline.functions import embed, text
 from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, techniques
 from plumbline.plans import star
 from plumbline.plans.queryspec import columns_of, is_nested, parse, structure
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a function of the session (with the tables as views) under its name."""
-
-    def add(fn: Callable[[SparkSession], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            star.register(spark, sf_dir)
-            for t in ("documents", "embeddings", "conversations"):
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-            return fn(spark)
-
-        key = name or fn.__name__
-        QUERIES[key] = run
-        if sql:
-            ORACLES[key] = sql
-        return fn
-
-    return add
-
+from plumbline.plans.register import ORACLES, QUERIES, query  # noqa: F401  what the driver reads
 
 # ---- result-set metrics
 
@@ -56,6 +32,7 @@ CASES = [
     ("nulls", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS s FROM orders", "o_orderkey s",
      "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS s FROM orders", "o_orderkey s"),
 ]
+EMPTY = [c for c in CASES if c[0].endswith("empty") or c[0] == "identical"]
 _SCORE = """CASE WHEN ex = 1 OR g + p = 0 THEN 1.0::DOUBLE WHEN {zero} THEN 0.0 WHEN g = 0 THEN 0.0 WHEN p = 0 THEN 1.0 ELSE m * 1.0::DOUBLE / p END AS exp,
        CASE WHEN ex = 1 OR g + p = 0 THEN 1.0::DOUBLE WHEN {zero} THEN 0.0 WHEN g = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE m * 1.0::DOUBLE / g END AS exr,
        CASE WHEN ex = 1 OR g + p = 0 THEN 1.0::DOUBLE WHEN {zero} OR g = 0 OR p = 0 OR m = 0 THEN 0.0 ELSE 2.0::DOUBLE * m / (g + p) END AS f1"""
@@ -69,9 +46,9 @@ def _ex_suite_sql() -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS case_id, {_ex_sql(g, p, len(a.split()) == len(b.split()))} AS ex" for k, g, a, p, b in CASES)
 
 
-def _exact_sql(penalize: bool) -> str:
+def _exact_sql(penalize: bool, cases: list | None = None) -> str:
     out = []
-    for k, g, a, p, b in CASES:
+    for k, g, a, p, b in cases or CASES:
         ga, pb = a.split(), b.split()
         shared = sorted(set(ga) & set(pb))
         cols = ", ".join(shared)
@@ -149,19 +126,32 @@ def metric_nocol_partial(spark: SparkSession) -> DataFrame:
     return _suite(spark, "no_column_and_partial_cell", PARTIAL).select("case_id", "ex", "matched", "exp", "exr", "f1")
 
 
-@query()
+@query(_exact_sql(True, PARTIAL))
 def metric_semantic_exact(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "semantic_column_and_exact_cell", PARTIAL)
+    """Equal names are nearest in meaning here, so the scores are those of columns by name."""
+    return _suite(spark, "semantic_column_and_exact_cell", PARTIAL).select("case_id", "ex", "exp", "exr", "f1")
 
 
-@query()
+@query(_greedy_sql(PARTIAL, False))
 def metric_semantic_partial(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "semantic_column_and_partial_cell", PARTIAL)
+    return _suite(spark, "semantic_column_and_partial_cell", PARTIAL).select("case_id", "ex", "matched", "exp", "exr", "f1")
 
 
-@query()
+#: Pairs whose rows are equal or left over, so that the best assignment is known without similarities.
+ROWS = [("same", "n_nationkey >= 0", "n_nationkey >= 0"), ("fewer", "n_nationkey >= 0", "n_nationkey < 10"), ("more", "n_nationkey < 7", "n_nationkey >= 0"), ("gold_empty", "n_nationkey < 0", "n_nationkey < 3"),
+        ("pred_empty", "n_nationkey < 3", "n_nationkey < 0"), ("both_empty", "n_nationkey < 0", "n_nationkey < 0")]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS case_id, CASE WHEN g = p THEN 1 ELSE 0 END AS ex, CASE WHEN g = p THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 THEN 0.0 ELSE m / p::DOUBLE END AS exp,
+        CASE WHEN g = p THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 THEN 0.0 ELSE m / g::DOUBLE END AS exr FROM (SELECT (SELECT count(*) FROM nation WHERE {a}) AS g, (SELECT count(*) FROM nation WHERE {b}) AS p, (SELECT count(*) FROM nation WHERE {a} AND {b}) AS m)""" for k, a, b in ROWS))
 def metric_unified_row(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "unified_column_and_semantic_row", PARTIAL)
+    cases = [(k, f"SELECT n_nationkey, n_name FROM nation WHERE {a}", f"SELECT n_nationkey, n_name FROM nation WHERE {b}") for k, a, b in ROWS]
+    return techniques.evaluate_cases(spark, cases, "unified_column_and_semantic_row").select("case_id", "ex", F.round("exp", 9).alias("exp"), F.round("exr", 9).alias("exr"))
+
+
+@query(_exact_sql(True, EMPTY))
+def metric_empty_rules(spark: SparkSession) -> DataFrame:
+    return _suite(spark, "exact_column_and_partial_cell", EMPTY).select("case_id", "ex", "exp", "exr", "f1")
 
 
 _GRID = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, n_nationkey, n_name, n_regionkey FROM customer INNER JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey BETWEEN 1 AND 9"
@@ -334,7 +324,7 @@ def drop_problem_groups(spark: SparkSession) -> DataFrame:
     return sampling.without_solved(spark.sql(SCORES))
 
 
-@query()
+@query(_S + "SELECT * FROM s WHERE question_id IN (SELECT question_id FROM (SELECT DISTINCT question_id FROM s) ORDER BY md5(question_id || '/42'), question_id LIMIT (SELECT CAST(round(count(DISTINCT question_id) * 0.2) AS BIGINT) FROM s))")
 def hash_sample_questions(spark: SparkSession) -> DataFrame:
     return sampling.questions(spark.sql(SCORES), 0.2)
 
@@ -353,8 +343,8 @@ def kmeans_sources(spark: SparkSession) -> DataFrame:
     return sampling.clusters(shares, "source", langs)
 
 
-_STRUCTURE = """SELECT l_orderkey % 20 AS query_id, CAST(l_linenumber % 3 AS INT) AS num_conditions, CAST(l_linenumber % 2 AS INT) AS num_projections, concat('db', CAST(l_suppkey % 3 AS INT)) AS db_id,
- CAST(l_partkey % 4 AS INT) AS grp FROM lineitem WHERE l_orderkey < 400"""
+_STRUCTURE = """SELECT l_orderkey * 10 + l_linenumber AS query_id, CAST(l_linenumber % 3 AS INT) AS num_conditions, CAST(l_linenumber % 2 AS INT) AS num_projections, concat('db', CAST(l_suppkey % 3 AS INT)) AS db_id,
+ CAST(l_partkey % 4 AS INT) AS grp FROM lineitem"""
 _PLAN = f"""WITH t AS ({_STRUCTURE}), n AS (SELECT num_conditions, num_projections, db_id, grp, count(*) AS n FROM t GROUP BY ALL)
  SELECT num_conditions, num_projections, db_id, min(n) AS quota FROM n GROUP BY ALL HAVING count(*) = 4"""
 
@@ -364,7 +354,10 @@ def balanced_plan(spark: SparkSession) -> DataFrame:
     return sampling.balanced_plan(spark.sql(_STRUCTURE))
 
 
-@query()
+@query(f"""WITH t AS ({_STRUCTURE}), n AS (SELECT num_conditions, num_projections, db_id, grp, count(*) AS n FROM t GROUP BY ALL),
+ q AS (SELECT num_conditions, num_projections, db_id, min(n) AS quota FROM n GROUP BY ALL HAVING count(*) = 4),
+ r AS (SELECT t.*, quota, row_number() OVER (PARTITION BY t.num_conditions, t.num_projections, t.db_id, grp ORDER BY md5(query_id || '/42'), query_id) AS r FROM t JOIN q USING (num_conditions, num_projections, db_id))
+ SELECT query_id, num_conditions, num_projections, db_id, grp FROM r WHERE r <= quota""")
 def balanced_sample(spark: SparkSession) -> DataFrame:
     return sampling.balanced_sample(spark.sql(_STRUCTURE))
 
@@ -400,7 +393,8 @@ def top_projection_columns(spark: SparkSession) -> DataFrame:
 
 @query()
 def top_filter_columns(spark: SparkSession) -> DataFrame:
-    return reports.top_columns(reports.column_frequencies(_used(spark)), "filtering_occurrences", 5)
+    n = reports.column_frequencies(_used(spark))
+    return reports.top_columns(n, "filtering_occurrences", 5, without=reports.top_columns(n, "projection_occurrences", 5))
 
 
 @query()
@@ -483,19 +477,22 @@ def graph_centrality(spark: SparkSession) -> DataFrame:
 @query()
 def pattern_growth(spark: SparkSession) -> DataFrame:
     rows = [(n, len(e), graph.canonical(list(range(n)), e)) for n, e in graph.patterns(5)]
-    return spark.createDataFrame(rows, "n_nodes int, n_edges int, iso_key string")
+    found = spark.createDataFrame(rows, "n_nodes int, n_edges int, iso_key string")
+    return found.groupBy("n_nodes", "n_edges").agg(F.count_distinct("iso_key").alias("n_patterns"))
 
 
 @query()
 def pattern_instances(spark: SparkSession) -> DataFrame:
-    return graph.per_graph(_edges(spark), lambda g, n, e: [(g, k, c) for k, c in sorted(graph.instances(n, e, 4).items())], "graph_id string, iso_key string, n long")
+    """Patterns of up to four nodes, told by their nodes' degrees, which no two of them share."""
+    degrees = {c: "".join(map(str, sorted(len(v) for v in graph.neighbours(e).values()))) for c, e in ((graph.canonical(list(range(n)), e), e) for n, e in graph.patterns(4))}
+    return graph.per_graph(_edges(spark), lambda g, n, e: [(g, degrees[k], c) for k, c in sorted(graph.instances(n, e, 4).items())], "graph_id string, degrees string, n long")
 
 
 @query()
 def iso_classes(spark: SparkSession) -> DataFrame:
     rows = [(f"{k}", str(a), str(b)) for k, _, q in star.CORPUS for a, b in expansion.query_graph(parse(q))[1]]
     forms = graph.canonical_forms(spark.createDataFrame(rows, "graph_id string, src string, dst string"))
-    return forms.groupBy("iso_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("graph_id")), ",").alias("graphs"))
+    return forms.groupBy("iso_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("graph_id")), ",").alias("graphs")).drop("iso_key")
 
 
 def _schema(spark: SparkSession) -> expansion.Schema:
@@ -504,7 +501,8 @@ def _schema(spark: SparkSession) -> expansion.Schema:
 
 @query()
 def candidate_expansions(spark: SparkSession) -> DataFrame:
-    return expansion.expansions(spark, [(k, q) for k, _, q in star.CORPUS], _schema(spark))
+    found = expansion.expansions(spark, [(k, q) for k, _, q in star.CORPUS], _schema(spark))
+    return found.select("question_id", "ord", "table_name", F.array_join("joins", " AND ").alias("joins"))
 
 
 @query()
@@ -557,7 +555,9 @@ def word_counts(spark: SparkSession) -> DataFrame:
 
 @query()
 def tokens_with_pos(spark: SparkSession) -> DataFrame:
-    return spark.table("conversations").select("conv_id", "turn", text.tokens_with_positions(F.col("text")).alias("tokens"))
+    tokens = text.tokens_with_positions(F.col("text"))
+    said = F.array_join(F.transform(tokens, lambda t: F.concat(t["token"], F.lit("@"), t["position"].cast("string"))), " ")
+    return spark.table("conversations").select("conv_id", "turn", said.alias("tokens"))
 
 
 @query()
@@ -726,3 +726,6 @@ def query_variants(spark: SparkSession) -> DataFrame:
 def squeezed_texts(spark: SparkSession) -> DataFrame:
     c = spark.table("conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x20-\x7e\n]", "").alias("original"))
     return c.select("*", text.squeezed(F.col("original")).alias("squeezed"))
+
+
+from plumbline.plans import checked  # noqa: E402, F401  more queries, and SQL for some of the above
