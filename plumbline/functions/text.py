@@ -184,15 +184,83 @@ def without_parentheses(sql: str) -> str:
     return sql
 
 
-def dialect(sql: str) -> str:
-    """A query with function names that other engines use in Spark's: STR_POSITION and STRPOS become INSTR."""
-    return re.sub(r"\b(?:STR_POSITION|STRPOS)\s*\(", "instr(", sql, flags=re.I)
+#: What engines call the function that finds a text's place in another.
+_PLACE_OF = {"spark": "instr", "duckdb": "instr", "postgres": "strpos", "parser": "str_position"}
+
+
+def dialect(sql: str, to: str = "spark") -> str:
+    """A query with the function STR_POSITION, STRPOS or INSTR by the name it has in an engine (``parser``: a neutral form)."""
+    return re.sub(r"\b(?:STR_POSITION|STRPOS|INSTR)\s*\(", _PLACE_OF[to] + "(", sql, flags=re.I)
+
+
+def order_quoted(sql: str) -> str:
+    """A query with a table or column named ``order`` in backticks; ORDER BY and strings stay."""
+    return re.sub(r"'(?:[^']|'')*'|`[^`]*`|\border\b(?!\s+by\b)", lambda m: f"`{m[0]}`" if m[0].lower() == "order" else m[0], sql, flags=re.I)
+
+
+def backticks_as_strings(c: Column) -> Column:
+    """A query with its backticks made single quotes, as some corpora mean them."""
+    return F.translate(c, "`", "'")
+
+
+def aliases(names: list[str]) -> dict[str, str]:
+    """For each name its first letter and, from the second such name on, a number."""
+    seen: dict = {}
+    out = {}
+    for n in names:
+        first = n[:1].lower()
+        seen[first] = seen.get(first, 0) + 1
+        out[n] = first + (str(seen[first]) if seen[first] > 1 else "")
+    return out
+
+
+def word_difference(before: Column, after: Column) -> Column:
+    """``struct<removed, added>``: the different words that a text has lost and gained."""
+    a, b = lower_tokens(before), lower_tokens(after)
+    return F.struct(F.array_except(a, b).alias("removed"), F.array_except(b, a).alias("added"))
+
+
+def token_count(c: Column) -> Column:
+    """About how many tokens a prompt has: words and marks."""
+    return F.size(F.regexp_extract_all(c, F.lit(r"(\w+|[^\w\s])"), F.lit(1)))
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """How much of the shorter text is in the best stretch of the longer one that has its length, in percent (twice the
+    longest common subsequence by both lengths)."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 100.0 if not long else 0.0
+    best = 0
+    for k in range(-len(short) + 1, len(long)):
+        part = long[max(0, k) : k + len(short)]
+        row = [0] * (len(part) + 1)
+        for x in short:
+            last = 0
+            for j, y in enumerate(part):
+                row[j + 1], last = (last + 1 if x == y else max(row[j], row[j + 1])), row[j + 1]
+        best = max(best, 200.0 * row[-1] / (len(short) + len(part)))
+    return best
+
+
+def alike(threshold: float = 100.0) -> Callable[[str, str], bool]:
+    """Whether two words of two letters or more are alike without their vowels, as far as a partial ratio of ``threshold``."""
+    bones = lambda w: re.sub("[aeiou]", "", w.lower())
+    return lambda a, b: len(a) > 1 and len(b) > 1 and bool(bones(a) and bones(b)) and partial_ratio(bones(a), bones(b)) >= threshold
+
+
+def component_score(text: Column, rewritten: Column, expected: Column) -> Column:
+    """The hiding score of a rewritten question or evidence: null without a text or anything to hide, 0.0 if nothing is left of the text."""
+    return F.when(text.isNull() | expected.isNull() | (F.size(expected) == 0), F.lit(None).cast("double")).when(
+        F.coalesce(F.trim(rewritten), F.lit("")) == "", 0.0).otherwise(hiding_score(rewritten, expected))
 
 
 def mentions(tokens: Column, attribute: Column) -> Column:
-    """Whether a text's words (lower case) name an attribute: one of its parts begins with a word of two letters or more."""
+    """Whether a text's words (lower case) name an attribute: all its parts are there one after the other, or one of its
+    parts begins with a word of two letters or more."""
     parts = F.filter(F.split(F.lower(attribute), r"[._\s]+"), lambda p: F.length(p) > 0)
-    return F.exists(tokens, lambda t: (F.length(t) > 1) & F.exists(parts, lambda p: p.startswith(t)))
+    whole = F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(parts, " "), F.lit(" ")))
+    return whole | F.exists(tokens, lambda t: (F.length(t) > 1) & F.exists(parts, lambda p: p.startswith(t)))
 
 
 def operator_of(operators: Column, position: Column, pattern: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.functions import providers
 from plumbline.operators import graph
 from plumbline.plans.queryspec import Join, QuerySpec, columns_of, join_conditions, parse
+from plumbline.sources.backend import within
 
+#: Candidates that run at a time.
+AT_ONCE = 4
 #: Schema edges: (table, table) to equalities "a.x = b.y" of their columns.
 Schema = dict[tuple[str, str], list[str]]
 
@@ -157,9 +162,59 @@ def accepted(found: DataFrame, max_queries: int = 1000, max_isomorphic: int = 1)
     return ranked.withColumn("status", F.when(F.col("_k") <= max_isomorphic, "filtered").otherwise("discarded")).drop("_n", "_k")
 
 
-def expand(spark: SparkSession, corpus: list[tuple[int, str]], schema: Schema, max_queries: int = 1000, max_isomorphic: int = 1) -> DataFrame:
-    """Expansions that aren't redundant and whose result is meaningful, with their status."""
+def expand(spark: SparkSession, corpus: list[tuple[int, str]], schema: Schema, max_queries: int = 1000, max_isomorphic: int = 1, seconds: float = 60.0) -> DataFrame:
+    """Expansions that aren't redundant and whose result is meaningful, with their status.
+
+    Candidates run in jobs of their own, AT_ONCE at a time; what fails or takes too long isn't meaningful."""
     found = expansions(spark, corpus, schema).where(~F.col("is_redundant"))
-    good = [(r["question_id"], r["ord"]) for r in found.orderBy("question_id", "ord").collect() if meaningful(spark, r["sql"])]
+    rows = found.select("question_id", "ord", "sql").collect()
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        told = list(pool.map(lambda r: within(spark, seconds, meaningful, spark, r["sql"]), rows))
+    good = [(r["question_id"], r["ord"]) for r, (status, x) in zip(rows, told) if status == "ok" and x]
     keys = spark.createDataFrame(good, "question_id int, ord int")
-    return accepted(found.join(keys, ["question_id", "ord"], "left_semi"), max_queries, max_isomorphic)
+    return accepted(found.join(F.broadcast(keys), ["question_id", "ord"], "left_semi"), max_queries, max_isomorphic)  # a row for each candidate
+
+
+def filled(spark: SparkSession, tables: list[tuple[str, str]], joins: list[str], projections: list[str], filters: list[str]) -> str | None:
+    """A graph-first query with its filters set to their commonest combination of values; None if its result is empty."""
+    sql, counting = graph_first(tables, joins, projections, filters)
+    if filters:
+        names = [f"_{k}" for k in range(len(filters))]
+        best = best_values(spark.sql(counting).toDF(*names, "n"), names).first()
+        if best is None:
+            return None
+        sql = fill(sql, [best[n] for n in names])
+    return None if spark.sql(sql).isEmpty() else sql
+
+
+def generate(spark: SparkSession, graphs: list[tuple[str, list[tuple[str, str]], list[str]]], frequencies: DataFrame, p: int = 5, w: int = 2) -> DataFrame:
+    """``(graph_id, sql)`` of graph-first queries over join graphs (id, (table, alias) pairs, joins): the ``p`` most projected
+    columns of their tables, and the ``w`` most filtered others, as filters.  Graphs without a result are left out."""
+    counts = [r.asDict() for r in frequencies.collect()]  # a row for each column of the schema
+    out = []
+    for graph_id, tables, joins in graphs:
+        alias = {t.lower(): a for t, a in reversed(tables)}
+        own = [c for c in counts if c["table_name"].lower() in alias]
+        said = lambda c: f"{alias[c['table_name'].lower()]}.{c['column_name']}"
+        top = sorted((c for c in own if c["projection_occurrences"]), key=lambda c: (-c["projection_occurrences"], c["table_name"], c["column_name"]))[:p]
+        rest = sorted((c for c in own if c["filtering_occurrences"] and c not in top), key=lambda c: (-c["filtering_occurrences"], c["table_name"], c["column_name"]))[:w]
+        if top and (sql := filled(spark, tables, joins, list(map(said, top)), list(map(said, rest)))):
+            out.append((graph_id, sql))
+    return spark.createDataFrame(out, "graph_id string, sql string")
+
+
+#: What a model is asked for about a query; an application may pass its own texts with {sql}, {schema} and {question}.
+REQUESTS = {
+    "extended": "A question asks: {question}\nIts query was extended to: {sql}\nSchema: {schema}\nWrite the question that the extended query answers.",
+    "explicit": "Query: {sql}\nSchema: {schema}\nWrite a question that names every table and column which the query uses.",
+    "plain": "Query: {sql}\nSchema: {schema}\nWrite the question as a user would ask it.",
+    "evidence": "Query: {sql}\nQuestion: {question}\nWrite what one must know of the schema to answer the question.",
+}
+
+
+def worded(queries: DataFrame, kind: str, make, requests: dict[str, str] = REQUESTS) -> DataFrame:
+    """``queries`` (sql, schema, question) with a model's answer to a request of REQUESTS in the column ``kind``."""
+    prompt = F.lit(requests[kind])
+    for name in ("sql", "schema", "question"):
+        prompt = F.replace(prompt, F.lit("{" + name + "}"), F.coalesce(name, F.lit("")))
+    return providers.completed(queries.withColumn("_prompt", prompt), "_prompt", kind, make).drop("_prompt")

@@ -8,7 +8,7 @@ one query-sized graph at a time inside a grouped function.
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from itertools import combinations, permutations
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +17,6 @@ from pyspark.sql import Window as W
 
 from plumbline.session import shared_folder
 
-#: Nodes of graphs that canonical forms are made of at most: all orders that respect degrees are tried.
-NODES = 9
 Edges = list[tuple]
 
 
@@ -166,19 +164,63 @@ def degree_encoding(nodes: list, edges: Edges) -> tuple:
 
 
 def canonical(nodes: list, edges: Edges) -> str:
-    """A text that two graphs share exactly if they are isomorphic: the least adjacency string over all
-    orders of the nodes that keep the classes of ``degree_encoding`` in order."""
-    if len(nodes) > NODES:
-        raise ValueError(f"{len(nodes)} nodes are more than {NODES}")
+    """A text that two graphs share exactly if they are isomorphic: the least adjacency string over the orders that
+    colour refinement leaves.
+
+    Nodes of one colour are split by how many neighbours of each colour they have, until nothing changes; then one of the
+    first class that has several is told apart, each in its turn.  Regular graphs leave most orders.
+    """
+    near, order = neighbours(edges), sorted(nodes, key=str)
+
+    def refined(colour: dict) -> dict:
+        while True:
+            signs = {n: (colour[n], tuple(sorted(colour[m] for m in near[n]))) for n in order}
+            places = {s: k for k, s in enumerate(sorted(set(signs.values())))}
+            new = {n: places[signs[n]] for n in order}
+            if len(places) == len(set(colour.values())):
+                return new
+            colour = new
+
+    best: list = [None]
+
+    def walk(colour: dict) -> None:
+        colour = refined(colour)
+        classes: dict = defaultdict(list)
+        for n in order:
+            classes[colour[n]].append(n)
+        several = next((classes[k] for k in sorted(classes) if len(classes[k]) > 1), None)
+        if several is None:
+            o = sorted(order, key=colour.get)
+            text = "".join("01"[b in near[a]] for a, b in combinations(o, 2))
+            if best[0] is None or text < best[0]:
+                best[0] = text
+            return
+        # nodes with the same neighbours (but for each other) may stand for each other: one of them is enough
+        tried: set = set()
+        for n in several:
+            twin = (frozenset(near[n] - {n}), 0), (frozenset(near[n] | {n}), 1)
+            if not tried & set(twin):
+                tried |= set(twin)
+                walk({m: 2 * c + (m != n and c == colour[n]) for m, c in colour.items()})
+
+    walk(dict.fromkeys(order, 0))
+    return f"{len(nodes)}:{best[0] or ''}"
+
+
+def is_tree(nodes: list, edges: Edges) -> bool:
+    """Whether a graph is connected and has one edge less than nodes."""
+    return is_connected(nodes, edges) and len({frozenset(e) for e in edges}) == len(set(nodes)) - 1
+
+
+def find_cycle(edges: Edges) -> tuple | None:
+    """A simple cycle, the shortest, or None."""
+    return next(iter(simple_cycles(edges)), None)
+
+
+def degree_centrality(nodes: list, edges: Edges) -> dict:
+    """Each node's neighbours as a share of all others."""
     near = neighbours(edges)
-    classes: dict = defaultdict(list)
-    for n in nodes:
-        classes[len(near[n]), tuple(sorted(len(near[m]) for m in near[n]))].append(n)
-    orders: list[list] = [[]]
-    for k in sorted(classes):
-        orders = [o + list(p) for o in orders for p in permutations(classes[k])]
-    pairs = list(combinations(range(len(nodes)), 2))
-    return f"{len(nodes)}:" + min("".join("01"[o[j] in near[o[i]]] for i, j in pairs) for o in orders)
+    return {n: len(near[n]) / max(1, len(set(nodes)) - 1) for n in nodes}
 
 
 def betweenness(nodes: list, edges: Edges) -> dict:
@@ -286,3 +328,10 @@ def graph_groups(summary: DataFrame) -> DataFrame:
     g = summary.groupBy("n_nodes").agg(F.count("*").alias("n_graphs"), F.avg("avg_degree").alias("avg_degree"), F.avg((F.col("n_cycles") > 0).cast("double")).alias("cyclic_share"))
     return g.withColumn("share", F.col("n_graphs") / F.sum("n_graphs").over(W.partitionBy()))
 
+
+def matched_patterns(edges: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``(graph_id, iso_key, pattern_id)``: each graph with its pattern of the catalogue (iso_key, pattern_id), by equal canonical forms.
+
+    A single edge is pattern ``edge``; what the catalogue doesn't have has none.  Graphs of one node have no edges, so no row here."""
+    found = canonical_forms(edges).join(F.broadcast(catalogue.select("iso_key", "pattern_id")), "iso_key", "left")  # a row for each pattern
+    return found.select("graph_id", "iso_key", F.coalesce("pattern_id", F.when(F.col("iso_key") == "2:1", "edge")).alias("pattern_id"))

@@ -221,3 +221,69 @@ def two_ex(cases: DataFrame) -> DataFrame:
     """EX before and after as numbers: missing SQL is null, a timeout or error is 0; and their difference."""
     ex = lambda c: F.when(F.col(c).isNull() | (F.col(c) == "missing"), None).when(F.col(c).isin("timeout", "error"), 0).otherwise(F.col(c).try_cast("int"))
     return cases.withColumns({"ex_before": ex("before"), "ex_after": ex("after")}).withColumn("delta", F.col("ex_after") - F.col("ex_before"))
+
+
+def top_databases(df: DataFrame, scenario: Column, n: int = 5) -> DataFrame:
+    """The ``n`` databases with most rows in a scenario, of equals the first by name."""
+    return df.where(scenario).groupBy("db_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "db_id").limit(n)
+
+
+def disjoint_patterns(mutants: DataFrame, n: int) -> DataFrame:
+    """``(error_pattern, n, rank)``: the commonest patterns that share no operator with one already taken, ``n`` at most.
+
+    Patterns are as many as combinations of operators, so they are picked on the driver."""
+    counted = mutants.groupBy("error_pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_pattern").collect()
+    taken: list = []
+    used: set = set()
+    for r in counted:
+        operators = set(r["error_pattern"].split(" → "))
+        if len(taken) < n and not operators & used:
+            used |= operators
+            taken.append((r["error_pattern"], r["n"], len(taken) + 1))
+    return mutants.sparkSession.createDataFrame(taken, "error_pattern string, n long, rank int")
+
+
+def degree_by_set(graphs: DataFrame, by: str = "set") -> DataFrame:
+    """Mean average degree of each set of graphs (original, augmented, pruned, generated), and of all."""
+    return graphs.rollup(by).agg(F.count("*").alias("n"), F.avg("avg_degree").alias("avg_degree"))
+
+
+def ex_tuples(df: DataFrame, flag: str) -> DataFrame:
+    """How (delta, EX) are distributed by a flag and system, with each one's share in percent."""
+    n = df.groupBy(flag, "system", "delta", "EX").agg(F.count("*").alias("n"))
+    return n.withColumn("percent", _share(W.partitionBy(flag, "system")))
+
+
+def rename_statistics(rows: DataFrame) -> DataFrame:
+    """Renamings or validations of each database by their status (ok, failed, timeout, error), with the share that is ok."""
+    return rows.groupBy("db_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "failed", "timeout", "error")],
+                                     F.avg((F.col("status") == "ok").cast("double") * 100).alias("percent_ok"))
+
+
+def by_sql(left: DataFrame, right: DataFrame, column: str = "sql") -> DataFrame:
+    """``left`` with the other columns of the row of ``right`` whose query reads the same (of several the first by all columns)."""
+    from plumbline.functions.text import normalised_sql
+
+    others = [c for c in right.columns if c != column]
+    one = right.groupBy(normalised_sql(F.col(column)).alias("_sql")).agg(F.min(F.struct(*others)).alias("_x")).select("_sql", *[F.col("_x")[c].alias(c) for c in others])
+    return left.withColumn("_sql", normalised_sql(F.col(column))).join(one, "_sql", "left").drop("_sql")
+
+
+def with_originals(scores: DataFrame, originals: DataFrame, column: str = "EX") -> DataFrame:
+    """``scores`` with the original's ``column`` on (question_id, db_id) as ``original_...``, and whether there was one."""
+    known = originals.select("question_id", "db_id", F.col(column).alias(f"original_{column}"), F.lit(True).alias("found"))
+    return scores.join(known, ["question_id", "db_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def by_system(queries: DataFrame, scores: DataFrame, systems: list[str]) -> DataFrame:
+    """``queries`` with each system's EX on (question_id, db_id), null where it has none: one aggregation, one join."""
+    wide = scores.groupBy("question_id", "db_id").pivot("system", systems).agg(F.max("EX"))
+    return queries.join(wide, ["question_id", "db_id"], "left")
+
+
+def table_text(df: DataFrame, limit: int = 1000) -> str:
+    """A report of up to ``limit`` rows as text, in columns."""
+    rows = [df.columns, *[["" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(limit).collect()]]
+    wide = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
+    lines = ["  ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip() for r in rows]
+    return "\n".join([lines[0], "  ".join("-" * w for w in wide), *lines[1:]])

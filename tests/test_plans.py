@@ -78,8 +78,9 @@ def test_isomorphism():
         assert graph.canonical(list(range(n)), e) == graph.canonical(list(range(n)), [(p[a], p[b]) for a, b in e])
     assert [sum(n == k for n, _ in graph.patterns(5)) for k in range(2, 6)] == [1, 2, 6, 21]
     assert graph.canonical([0, 1, 2, 3], [(0, 1), (1, 2), (2, 3)]) != graph.canonical([0, 1, 2, 3], [(0, 1), (0, 2), (0, 3)])
-    with pytest.raises(ValueError):
-        graph.canonical(list(range(10)), [])
+    nine, other = [(k, (k + 1) % 9) for k in range(9)], [(k, (k + 2) % 9) for k in range(9)]
+    assert graph.canonical(list(range(9)), nine) == graph.canonical(list(range(9)), other) != graph.canonical(list(range(9)), [*nine[:5], (5, 0), (6, 7), (7, 8), (8, 6)])
+    assert graph.canonical(list(range(12)), []) == "12:" + "0" * 66 and graph.canonical([1, 2], [(1, 2)]) == "2:1"
 
 
 def test_cycles_and_centrality():
@@ -190,3 +191,81 @@ def test_queries_pickle_in_any_order(tables):
 
     for name in ("phrase_removal", "tokens_with_pos", "question_links", "identifier_naturalness", "phrase_removal"):
         assert QUERIES[name](tables, FOLDER).count() > 0
+
+
+def test_every_order_gives_one_form():
+    """Against the least adjacency string over all orders: equal classes for all graphs of five nodes."""
+    from itertools import combinations, permutations
+
+    pairs = list(combinations(range(5), 2))
+    forms: dict = {}
+    for bits in range(0, 1 << 10, 3):
+        e = [p for k, p in enumerate(pairs) if bits >> k & 1]
+        has = {frozenset(x) for x in e}
+        least = min("".join("01"[frozenset((o[i], o[j])) in has] for i, j in pairs) for o in permutations(range(5)))
+        forms.setdefault(least, set()).add(graph.canonical(list(range(5)), e))
+    assert all(len(v) == 1 for v in forms.values()) and len(set().union(*forms.values())) == len(forms)
+
+
+def test_small_graph_facts(spark):
+    assert graph.is_tree(["a", "b", "c"], [("a", "b"), ("b", "c")]) and not graph.is_tree(["a", "b", "c"], [("a", "b")]) and graph.find_cycle([("a", "b"), ("b", "c")]) is None
+    assert graph.find_cycle([("a", "b"), ("b", "c"), ("c", "a")]) == ("a", "b", "c") and graph.degree_centrality(list("abc"), [("a", "b"), ("a", "c")]) == {"a": 1.0, "b": 0.5, "c": 0.5}
+    edges = spark.createDataFrame([("p", "a", "b"), ("q", "a", "b"), ("q", "b", "c"), ("z", "a", "b"), ("z", "b", "c"), ("z", "c", "a")], "graph_id string, src string, dst string")
+    known = spark.createDataFrame([(graph.canonical([0, 1, 2], [(0, 1), (0, 2)]), "chain")], "iso_key string, pattern_id string")
+    assert {r.graph_id: r.pattern_id for r in graph.matched_patterns(edges, known).collect()} == {"p": "edge", "q": "chain", "z": None}
+
+
+def test_more_text():
+    assert text.dialect("SELECT STRPOS(a, 'x'), INSTR (b, 'y')", "parser") == "SELECT str_position(a, 'x'), str_position(b, 'y')" and text.dialect("STR_POSITION(a)") == "instr(a)"
+    assert text.order_quoted("SELECT order.id FROM order WHERE a = 'order' ORDER BY Order.id") == "SELECT `order`.id FROM `order` WHERE a = 'order' ORDER BY `Order`.id"
+    assert text.aliases(["customer", "city", "orders"]) == {"customer": "c", "city": "c2", "orders": "o"}
+    assert text.partial_ratio("abc", "xxabcxx") == 100 and text.partial_ratio("abd", "abc") < 100 and text.partial_ratio("", "a") == 0
+    assert text.alike()("cstmr", "customer") and not text.alike()("qty", "quantity") and text.alike(60)("qty", "quantity")
+
+
+def test_more_text_columns(spark):
+    df = spark.createDataFrame([("show all Orders now", "list all sales now", ["orders"])], "a string, b string, w array<string>")
+    r = df.select(text.word_difference(F.col("a"), F.col("b")).alias("d"), text.token_count(F.lit("a, b (c)")).alias("n"), text.backticks_as_strings(F.lit("a = `x`")).alias("q"),
+                  text.component_score(F.col("a"), F.col("b"), F.col("w")).alias("s"), text.component_score(F.col("a"), F.lit(" "), F.col("w")).alias("z"), text.component_score(F.lit(None).cast("string"), F.col("b"), F.col("w")).alias("none"),
+                  text.mentions(text.lower_tokens(F.lit("the order date")), F.lit("o.order_date")).alias("m"), text.mentions(text.lower_tokens(F.lit("some cust x")), F.lit("customer_id")).alias("p"),
+                  text.mentions(text.lower_tokens(F.lit("nothing")), F.lit("customer_id")).alias("no")).first()
+    assert (r.d.removed, r.d.added, r.n, r.q, r.s, r.z, r.none, r.m, r.p, r.no) == (["show", "orders"], ["list", "sales"], 6, "a = 'x'", 1.0, 0.0, None, True, True, False)
+
+
+def test_more_reports(spark):
+    df = spark.createDataFrame([("a", "x → y", 1), ("b", "x → z", 1), ("a", "x → y", 0), ("c", "v → w", 1), ("a", "v → w", 0), ("b", "z → u", 1)], "db_id string, error_pattern string, flag int")
+    assert [tuple(r) for r in reports.top_databases(df, F.col("flag") == 1, 2).collect()] == [("b", 2), ("a", 1)]
+    assert [tuple(r) for r in reports.disjoint_patterns(df, 5).collect()] == [("v → w", 2, 1), ("x → y", 2, 2), ("z → u", 1, 3)]
+    st = reports.rename_statistics(spark.createDataFrame([("a", "ok"), ("a", "error"), ("b", "timeout")], "db_id string, status string")).collect()
+    assert {(r.db_id, r.total, r.n_ok, r.n_timeout, r.percent_ok) for r in st} == {("a", 2, 1, 0, 50.0), ("b", 1, 0, 1, 0.0)}
+    left, right = spark.createDataFrame([(1, "SELECT  1;"), (2, "SELECT 2")], "k int, sql string"), spark.createDataFrame([("select 1", "z"), ("SELECT 1 ", "y")], "sql string, name string")
+    assert sorted((r.k, r.name) for r in reports.by_sql(left, right).collect()) == [(1, "y"), (2, None)]
+    s = spark.createDataFrame([(1, "d", "A", 1), (1, "d", "B", 0)], "question_id int, db_id string, system string, EX int")
+    wide = reports.by_system(spark.createDataFrame([(1, "d"), (2, "d")], "question_id int, db_id string"), s, ["A", "B", "C"]).orderBy("question_id").collect()
+    assert [tuple(r) for r in wide] == [(1, "d", 1, 0, None), (2, "d", None, None, None)]
+    o = reports.with_originals(s, spark.createDataFrame([(1, "d", 1)], "question_id int, db_id string, EX int")).collect()
+    assert {(r.system, r.original_EX, r.found) for r in o} == {("A", 1, True), ("B", 1, True)}
+    assert reports.table_text(s.orderBy("system")).splitlines()[2].split() == ["1", "d", "A", "1"]
+    t = reports.ex_tuples(s.withColumns({"delta": F.lit(0), "flag": F.lit(True)}), "flag").collect()
+    assert len(t) == 2 and all(r.percent == 100.0 for r in t)
+    d = reports.degree_by_set(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "set string, avg_degree double")).collect()
+    assert {(r.set, r.n, r.avg_degree) for r in d} == {("a", 2, 1.5), ("b", 1, 3.0), (None, 3, 2.0)}
+
+
+def test_attributes_and_records():
+    from plumbline.plans.queryspec import central_attributes, record
+
+    assert central_attributes(parse(star.CORPUS[0][2]), "nation") == {"joins": ["n_regionkey"], "projections_and_filters": ["n_name", "n_nationkey"]}
+    assert central_attributes(parse(star.CORPUS[4][2]), "customer") == {"joins": ["c_nationkey"], "projections_and_filters": ["c_acctbal"]}
+    assert record(1, "d", "SELECT a FROM t WHERE a IN (SELECT 1)")["is_nested"] and record(1, "d", star.CORPUS[3][2])["joins"] == ["s.s_nationkey = n.n_nationkey"]
+
+
+def test_generated_queries(tables):
+    rows = [("star", "nation", "n_name", 5, 0), ("star", "region", "r_name", 3, 4), ("star", "nation", "n_regionkey", 0, 2), ("star", "region", "r_regionkey", 0, 1)]
+    freq = tables.createDataFrame(rows, "db_id string, table_name string, column_name string, projection_occurrences long, filtering_occurrences long")
+    got = expansion.generate(tables, [("g", [("nation", "a"), ("region", "b")], ["a.n_regionkey = b.r_regionkey"])], freq, p=1, w=2).collect()
+    assert len(got) == 1 and got[0].sql.startswith("SELECT DISTINCT a.n_name FROM nation AS a, region AS b WHERE a.n_regionkey = b.r_regionkey AND b.r_name = '") and tables.sql(got[0].sql).count() > 0
+    assert expansion.filled(tables, [("nation", "a")], ["a.n_nationkey < 0"], ["a.n_name"], []) is None
+    asked = tables.createDataFrame([("SELECT 1", "s", "q?")], "sql string, schema string, question string")
+    answer = expansion.worded(asked, "explicit", lambda: lambda prompts: [p.splitlines()[0] for p in prompts]).first()
+    assert answer.explicit == "Query: SELECT 1"
