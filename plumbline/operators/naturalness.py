@@ -79,3 +79,62 @@ def hidden(question: str, components: list[dict], synonyms: dict[str, str]) -> s
     """A question with its linker words replaced by synonyms, each at its place."""
     changes = {m["position"]: synonyms.get(m["token"].lower(), "item") for c in components for m in c["matched_tokens"]}
     return text.replaced_at(question, sorted(changes.items()))
+
+
+#: What a model is asked for to hide a table's words in a question; an application may pass its own.
+HIDING = {
+    "back_translation": "Translate this question to French and back to English, so that its wording changes: {question}",
+    "contextual": "Rewrite this question so that it keeps its meaning without the words {words}: {question}",
+}
+
+
+def hidden_by(queries: DataFrame, method: str, make: Callable[[], providers.Completion] | None = None, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """``queries`` as ``linked`` gives them, with ``hidden_question`` and its ``score``: by ``synonym`` in place, or by a model's answer
+    to one of HIDING.  A failed answer leaves the question as it is."""
+    words = F.array_distinct(F.flatten(F.transform("components", lambda c: F.transform(c["matched_tokens"], lambda t: F.lower(t["token"])))))
+    rows = queries.withColumn("_words", words)
+    if method == "synonym":
+        known = dict(synonyms or {})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                done = [hidden(q, [{"matched_tokens": [{"token": t["token"], "position": int(t["position"])} for t in c["matched_tokens"]]} for c in cs], known) for q, cs in zip(pdf["question"], pdf["components"])]
+                yield pd.DataFrame({"question_id": pdf["question_id"], "hidden_question": done})
+
+        made = rows.select("question_id", "question", "components").mapInPandas(run, "question_id int, hidden_question string")
+        rows = rows.join(made, "question_id")
+    else:
+        ask = F.replace(F.replace(F.lit(HIDING[method]), F.lit("{question}"), F.col("question")), F.lit("{words}"), F.array_join("_words", ", "))
+        rows = providers.completed(rows.withColumn("_ask", ask), "_ask", "_answer", make)
+        rows = rows.withColumn("hidden_question", F.when(F.col("_answer") == "error", F.col("question")).otherwise(F.col("_answer"))).drop("_ask", "_answer")
+    return rows.withColumn("score", text.component_score(F.col("question"), F.col("hidden_question"), F.col("_words"))).drop("_words")
+
+
+def hiding_run(queries: DataFrame, shares: DataFrame, features: list[str], targets: list[tuple[str, int]], method: str, **options) -> DataFrame:
+    """Databases clustered by some shares, those of the largest cluster put into splits in turn until each has its queries, and
+    the questions of every split hidden and scored: ``queries`` (db_id, ...) with ``cluster``, ``split``, ``hidden_question`` and ``score``."""
+    from plumbline.operators import sampling
+
+    found = sampling.clusters(shares, "db_id", features)
+    sizes = queries.join(found.where("largest").select("db_id"), "db_id", "left_semi").groupBy(F.col("db_id").alias("key")).agg(F.count("*").alias("n"))
+    splits = sampling.prefix_split(sizes, targets).select(F.col("key").alias("db_id"), "split")
+    rows = queries.join(found.select("db_id", "cluster"), "db_id").join(splits, "db_id", "left")
+    return hidden_by(rows.withColumn("split", F.coalesce("split", F.lit("train"))), method, **options)
+
+
+REWRITING = ('Schema: {schema}\nQuestion: {question}\nEvidence: {evidence}\nRewrite both so that they use the words of the schema. '
+             'Answer in JSON: {"question": "...", "evidence": "..."}')
+
+
+def rewritten_questions(queries: DataFrame, make: Callable[[], providers.Completion], request: str = REWRITING) -> DataFrame:
+    """``queries`` (question, evidence, schema) with ``new_question``, ``new_evidence`` and ``status``: a model's answer in JSON, or, where that
+    fails or can't be read, the original.  What is done already is left out by ``sinks.pending`` before."""
+    prompt = F.lit(request)
+    for name in ("schema", "question", "evidence"):
+        prompt = F.replace(prompt, F.lit("{" + name + "}"), F.coalesce(name, F.lit("")))
+    rows = providers.completed(queries.withColumn("_ask", prompt), "_ask", "_answer", make)
+    read = F.from_json(text.without_fences(F.col("_answer")), "question string, evidence string")
+    status = F.when(F.col("_answer") == "error", "error").when(read["question"].isNull(), "malformed").otherwise("ok")
+    return rows.withColumn("status", status).withColumns({
+        "new_question": F.when(F.col("status") == "ok", read["question"]).otherwise(F.col("question")),
+        "new_evidence": F.when(F.col("status") == "ok", F.coalesce(read["evidence"], "evidence")).otherwise(F.col("evidence"))}).drop("_ask", "_answer")

@@ -109,3 +109,37 @@ def tagged(sources: dict[str, DataFrame]) -> DataFrame:
 def graphs_of_size(spark: SparkSession, path: str, tables: int) -> DataFrame:
     """Query graphs with so many tables, from Parquet partitioned by that number: only their folder is read."""
     return spark.read.parquet(path).where(F.col("num_tables") == tables)
+
+
+def score_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Score files ``..._<technique>.json`` that a pattern finds, as one table with the technique from the name."""
+    name = F.regexp_extract(F.input_file_name(), r"scores_([^/]+?)\.json$", 1)
+    return spark.read.json(pattern, schema=schema, multiLine=True).withColumn("technique", name)
+
+
+def error_patterns(scores: DataFrame) -> DataFrame:
+    """The different error patterns of some scores."""
+    return scores.where("error_pattern is not null").select("error_pattern").distinct()
+
+
+class Prompts:
+    """Prompt texts by name from a folder on any file system that Spark reads; each is read once.  Values go into ``{name}``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.known = spark, folder, {}
+
+    def text(self, name: str) -> str:
+        if name not in self.known:
+            path = f"{self.folder}/{name}.txt"
+            require(self.spark, path)
+            self.known[name] = self.spark.read.text(path, wholetext=True).first()[0]
+        return self.known[name]
+
+    def render(self, name: str, **values: object) -> str:
+        return self.text(name).format(**values)
+
+
+def messages(system: str, examples: list[tuple[str, str]], question: str) -> list[dict[str, str]]:
+    """A chat: the system's text, examples as turns of user and assistant, and the question."""
+    turns = [m for q, a in examples for m in ({"role": "user", "content": q}, {"role": "assistant", "content": a})]
+    return [{"role": "system", "content": system}] * bool(system) + turns + [{"role": "user", "content": question}]

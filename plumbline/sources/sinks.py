@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +76,35 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def safe_name(name: str) -> str:
     return re.sub(r"\W+", "_", name)
+
+
+def parsed_queries(records: DataFrame, path: str) -> None:
+    """Parsed queries (``queryspec.record``) as JSON, a folder for each database, those that are nested in one of their own."""
+    records.where("not is_nested").write.mode("overwrite").partitionBy("db_id").json(f"{path}/flat")
+    records.where("is_nested").select("question_id", "db_id", "sql").write.mode("overwrite").json(f"{path}/nested")
+
+
+def consolidated(rows: DataFrame, path: str) -> None:
+    """Generated queries as one table with folders by mode, split and status, which readers filter by."""
+    rows.write.mode("append").partitionBy("mode", "split", "status").parquet(path)
+
+
+def linker_statistics(rows: DataFrame, path: str) -> None:
+    """Linked questions as JSON with their components, and their queries as lines of SQL."""
+    rows.write.mode("overwrite").json(f"{path}/statistics")
+    rows.orderBy("question_id").select(F.concat_ws("\t", F.regexp_replace("sql", r"[\n\t]+", " "), "db_id")).write.mode("overwrite").text(f"{path}/sql")
+
+
+def splits(rows: DataFrame, path: str) -> None:
+    """Rows with their split as Parquet, a folder for each of train, dev and test."""
+    rows.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+class JsonLog(logging.Formatter):
+    """Records of the standard logging as one line of JSON each: time, level, name, message, and the error if there is one."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        out = {"time": self.formatTime(record), "level": record.levelname, "name": record.name, "message": record.getMessage()}
+        if record.exc_info:
+            out["error"] = self.formatException(record.exc_info)
+        return json.dumps(out, ensure_ascii=False)
