@@ -15,14 +15,18 @@ _PLACES = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.St
 STOP_WORDS = frozenset("a an and are as at be by for from has have how in is it its of on or that the their this to was were what which who with".split())
 
 
+#: A character of a word, and white space, as Python's patterns have them.
+WORD, SPACE = r"[\p{L}\p{N}_]", r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
+
+
 def lower_tokens(c: Column) -> Column:
     """The words of a text in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\w+)"), F.lit(1))
+    return F.transform(F.regexp_extract_all(c, F.lit(f"({WORD}+)"), F.lit(1)), F.lower)
 
 
 def normalised_token(c: Column) -> Column:
     """A token in lower case without punctuation."""
-    return F.regexp_replace(F.lower(c), r"[^\w\s]", "")
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", "")
 
 
 def tokens_with_positions(c: Column) -> Column:
@@ -150,7 +154,8 @@ def normalised_sql(c: Column) -> Column:
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """A text with single spaces for its white space, none at its ends."""
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
 def encoded_id(a: Column, b: Column) -> Column:

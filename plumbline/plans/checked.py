@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluation, expansion, mutation
+from plumbline.operators import evaluation, expansion, graph, mutation, reports
 from plumbline.plans import queries as q
 from plumbline.plans import star
 from plumbline.plans.queryspec import parse
@@ -184,3 +184,82 @@ _LINKS = {
     5: "Table cst -> cab, cnk\nTable ntn -> nk, nnm", 6: "Table cst -> ck, cnk\nTable ntn -> nk, nrk\nTable ord -> ock, opr, ost", 7: "Table ln_itm -> lds, lqt, lrf, lst",
     8: "Table cst -> cnk\nTable ntn -> nk, nrk\nTable rgn -> rk, rnm\nTable spl -> snk", 9: "Table ord -> ok, ost, otp"}
 ORACLES["schema_translation"] = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {_said(t)})" for k, t in _LINKS.items()) + ") t(question_id, text)"
+
+ORACLES["phrase_removal"] = r"""WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w,
+   list_filter(range(1, length(text) + 1), lambda i: regexp_matches(substring(text, i, 1), '[\p{L}\p{N}_]') AND (i = 1 OR NOT regexp_matches(substring(text, i - 1, 1), '[\p{L}\p{N}_]'))) AS starts FROM conversations),
+ p AS (SELECT *, list_transform(w, lambda x: lower(x)) AS lw, list_transform(w[2:3], lambda x: lower(x)) AS ph FROM t),
+ h AS (SELECT *, list_filter(range(1, len(w) - len(ph) + 2), lambda k: len(ph) > 0 AND lw[k : k + len(ph) - 1] = ph) AS hits FROM p),
+ k AS (SELECT *, CASE WHEN len(hits) < 2 THEN hits ELSE list_reduce(list_transform(hits, lambda x: [x]), lambda a, x: CASE WHEN x[1] >= a[len(a)] + len(ph) THEN list_concat(a, x) ELSE a END) END AS taken FROM h),
+ g AS (SELECT *, list_transform(flatten(list_transform(taken, lambda x: range(x, x + len(ph)))), lambda x: {'a': starts[x], 'b': starts[x] + length(w[x])}) AS gone FROM k)
+ SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(list_filter(range(1, length(text) + 1), lambda i: len(list_filter(gone, lambda x: i >= x.a AND i < x.b)) = 0), lambda i: substring(text, i, 1)), '') END AS text,
+ CAST(len(gone) AS INTEGER) AS n_removed FROM g"""
+#: Words of the questions that name their central table, by hand.
+_NAMED = {1: ("nation", "nation:nations@6"), 2: ("customer", "customer:customers@9"), 3: ("part", "part:parts@6"), 4: ("supplier", "supplier:suppliers@5"), 5: ("nation", "nation:nation@11"), 6: ("orders", "orders:Orders@0"),
+          7: ("lineitem", "line:line@14 item:items@19"), 8: ("region", "region:region@13"), 9: ("orders", "orders:orders@6")}
+ORACLES["question_links"] = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}', '{c}')" for k, (t, c) in _NAMED.items()) + ") t(question_id, central_table, components)"
+ORACLES["identifier_naturalness"] = f"""WITH {q._NAMES}, w AS (SELECT name, list_filter(regexp_extract_all(name, '[a-z]+'), lambda x: length(x) > 1) AS w FROM i),
+ k AS (SELECT name, len(list_filter(w, lambda x: regexp_full_match(x, '(region|nation|customer|supplier|part|order|line|item|key|name|size|type|brand)+s?'))) * 1.0::DOUBLE / len(w) AS share FROM w),
+ c AS (SELECT name, CASE WHEN share = 1 THEN 'N1' WHEN share > 0 THEN 'N2' ELSE 'N3' END AS naturalness, CASE WHEN share = 1 THEN 1.0::DOUBLE WHEN share > 0 THEN greatest(share, 1 - share) ELSE 1.0 END AS confidence FROM k)
+ SELECT name, naturalness, confidence, CASE WHEN naturalness = 'N3' THEN name ELSE array_to_string(list_transform(string_split(name, '_'), lambda x: substring(substring(x, 1, 1) || regexp_replace(substring(x, 2), '[aeiou]', '', 'g'), 1, 3)), '_') END AS new_name FROM c"""
+
+# ---- reports over more tables
+
+_DB = "'db' || CAST(question_id % 7 AS VARCHAR)"
+
+
+def _by_db(spark: SparkSession) -> DataFrame:
+    return spark.sql(q.SCORES).withColumn("db_id", F.concat(F.lit("db"), (F.col("question_id") % 7).cast("string")))
+
+
+@query(q._S + f"SELECT {_DB} AS db_id, count(*) AS n FROM s WHERE EX = 1 AND n_join > 1 GROUP BY 1 ORDER BY n DESC, db_id LIMIT 5")
+def top_databases(spark: SparkSession) -> DataFrame:
+    return reports.top_databases(_by_db(spark), (F.col("EX") == 1) & (F.col("n_join") > 1))
+
+
+@query(q._S + "SELECT system AS \"set\", count(*) AS n, round(avg(F1), 9) AS avg_degree FROM s GROUP BY ROLLUP (system)")
+def degree_by_set(spark: SparkSession) -> DataFrame:
+    return reports.degree_by_set(spark.sql(q.SCORES).select(F.col("system").alias("set"), F.col("F1").alias("avg_degree"))).withColumn("avg_degree", F.round("avg_degree", 9))
+
+
+@query(q._S + "SELECT n_join > 2 AS joined, system, error_count - 2 AS delta, EX, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY n_join > 2, system), 6) AS percent FROM s GROUP BY n_join > 2, system, error_count - 2, EX")
+def ex_tuples(spark: SparkSession) -> DataFrame:
+    s = spark.sql(q.SCORES).withColumns({"joined": F.col("n_join") > 2, "delta": F.col("error_count") - 2})
+    return reports.ex_tuples(s, "joined").withColumn("percent", F.round("percent", 6))
+
+
+_STATUS = "CASE question_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'error' ELSE 'ok' END"
+
+
+@query(q._S + f"SELECT {_DB} AS db_id, count(*) AS total, " + ", ".join(f"count(*) FILTER ({_STATUS} = '{x}') AS n_{x}" for x in ("ok", "failed", "timeout", "error")) +
+       f", round(avg(CASE WHEN {_STATUS} = 'ok' THEN 100.0::DOUBLE ELSE 0.0 END), 6) AS percent_ok FROM s GROUP BY 1")
+def rename_statistics(spark: SparkSession) -> DataFrame:
+    return reports.rename_statistics(_by_db(spark).withColumn("status", F.expr(_STATUS))).withColumn("percent_ok", F.round("percent_ok", 6))
+
+
+@query(q._S + f"SELECT DISTINCT question_id, {_DB} AS db_id, " + ", ".join(f"(SELECT max(EX) FROM s t WHERE t.question_id = s.question_id AND t.system = '{x}') AS {x}" for x in q.SYSTEMS[:3]) + " FROM s")
+def results_by_system(spark: SparkSession) -> DataFrame:
+    s = _by_db(spark)
+    return reports.by_system(s.select("question_id", "db_id").distinct(), s, q.SYSTEMS[:3])
+
+
+@query("""SELECT p_partkey, lower(p_type) AS sql, (SELECT min(z.p_partkey) FROM part z WHERE lower(z.p_type) = lower(p.p_type)) AS first_key FROM part p""")
+def lookup_by_sql(spark: SparkSession) -> DataFrame:
+    p = spark.table("part")
+    asked = p.select("p_partkey", F.lower("p_type").alias("sql"))
+    return reports.by_sql(asked, p.select(F.concat(F.lit(" "), F.upper("p_type"), F.lit(" ; ")).alias("sql"), F.col("p_partkey").alias("first_key")))
+
+
+@query("SELECT * FROM (VALUES ('where_remove → join_break', 2, 1), ('distinct_toggle → projection_drop', 1, 2)) t(error_pattern, n, rank)")
+def disjoint_patterns(spark: SparkSession) -> DataFrame:
+    rows = ["where_remove → join_break", "where_remove → join_break", "join_break → distinct_toggle", "projection_drop → where_remove", "distinct_toggle → projection_drop"]
+    found = reports.disjoint_patterns(spark.createDataFrame([(r,) for r in rows], "error_pattern string"), 5)
+    return found.withColumns({"n": F.col("n").cast("int")})
+
+
+@query("SELECT * FROM (VALUES ('1', 'edge'), ('4', 'edge'), ('5', 'edge'), ('6', 'path'), ('8', 'star')) t(graph_id, pattern_id)")
+def matched_patterns(spark: SparkSession) -> DataFrame:
+    """The corpus's join graphs among a catalogue of two patterns, by hand."""
+    rows = [(f"{k}", str(a), str(b)) for k, _, s in star.CORPUS for a, b in expansion.query_graph(parse(s))[1]]
+    known = [(graph.canonical([0, 1, 2], [(0, 1), (1, 2)]), "path"), (graph.canonical([0, 1, 2, 3], [(0, 1), (0, 2), (0, 3)]), "star")]
+    found = graph.matched_patterns(spark.createDataFrame(rows, "graph_id string, src string, dst string"), spark.createDataFrame(known, "iso_key string, pattern_id string"))
+    return found.select("graph_id", "pattern_id")

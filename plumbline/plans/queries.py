@@ -240,10 +240,10 @@ def common_failures(spark: SparkSession) -> DataFrame:
     return reports.common_failures(spark.sql(SCORES), len(SYSTEMS))
 
 
-@query(_S + "SELECT " + ", ".join(f"coalesce(max(CASE WHEN system = '{x}' THEN EX END), 0) AS {x}" for x in SYSTEMS[:3]) + ", question_id FROM s GROUP BY question_id", "system_flags")
+@query(_S + "SELECT " + ", ".join(f"coalesce(max(CASE WHEN system = '{x}' THEN EX END), 0) AS {x}" for x in SYSTEMS) + ", question_id FROM s GROUP BY question_id", "system_flags")
 def system_flags(spark: SparkSession) -> DataFrame:
     s = spark.sql(SCORES)
-    return s.groupBy("question_id").agg(*[F.coalesce(F.max(F.when(F.col("system") == x, F.col("EX"))), F.lit(0)).alias(x) for x in SYSTEMS[:3]])
+    return s.groupBy("question_id").agg(*[F.coalesce(F.max(F.when(F.col("system") == x, F.col("EX"))), F.lit(0)).alias(x) for x in SYSTEMS])
 
 
 @query(_S + ", f AS (SELECT " + ", ".join(f"coalesce(max(CASE WHEN system = '{x}' THEN EX END), 0) AS {x}" for x in SYSTEMS[:3]) + " FROM s GROUP BY question_id) SELECT click, error, purchase, count(*) AS n FROM f GROUP BY 1, 2, 3")
@@ -286,10 +286,10 @@ def accuracy_by_joins(spark: SparkSession) -> DataFrame:
     return reports.accuracy_by(spark.sql(SCORES), "n_join")
 
 
-@query(_S + "SELECT n_join, " + ", ".join(f"coalesce({_r(f"avg(EX) FILTER (system = '{x}') * 100", 2)}, 0.0::DOUBLE) AS {x}" for x in SYSTEMS[:3]) + " FROM s WHERE system IN ('click', 'error', 'purchase') GROUP BY n_join")
+@query(_S + "SELECT n_join, " + ", ".join(f"coalesce({_r(f"avg(EX) FILTER (system = '{x}') * 100", 2)}, 0.0::DOUBLE) AS {x}" for x in SYSTEMS) + " FROM s GROUP BY n_join")
 def joined_accuracies(spark: SparkSession) -> DataFrame:
     s = spark.sql(SCORES)
-    return reports.joined_accuracies([(x, reports.accuracy_by(s.where(F.col("system") == x), "n_join")) for x in SYSTEMS[:3]], "n_join")
+    return reports.joined_accuracies([(x, reports.accuracy_by(s.where(F.col("system") == x), "n_join")) for x in SYSTEMS], "n_join")
 
 
 @query(_S + "SELECT a.question_id, a.system AS system_a, a.EXP AS EXP_a, a.EXR AS EXR_a, b.system AS system_b, b.EXP AS EXP_b, b.EXR AS EXR_b FROM s a JOIN s b ON a.question_id = b.question_id AND a.system < b.system "
@@ -436,12 +436,12 @@ def graph_degree(spark: SparkSession) -> DataFrame:
     return graph.degrees(_edges(spark))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders WHERE o_custkey % 3 = 0 UNION SELECT DISTINCT o_custkey, o_custkey + 3 FROM orders WHERE o_custkey % 12 = 0),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders UNION SELECT DISTINCT o_custkey, o_custkey + 3 FROM orders WHERE o_custkey % 12 = 0),
         n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, c) AS (SELECT a, a FROM n UNION SELECT n.b, r.c FROM r JOIN n ON n.a = r.v AND r.c < n.b),
         m AS (SELECT v, min(c) AS root FROM r GROUP BY v) SELECT root, count(*) AS n FROM m GROUP BY root""")
 def graph_components(spark: SparkSession) -> DataFrame:
     o = spark.table("orders")
-    e = o.where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.lit(1000000000) + F.col("o_orderkey")).alias("b")).union(
+    e = o.select(F.col("o_custkey").alias("a"), (F.lit(1000000000) + F.col("o_orderkey")).alias("b")).union(
         o.where("o_custkey % 12 = 0").select("o_custkey", F.col("o_custkey") + 3)).distinct()
     c = graph.components(e)
     return c.select(F.col("b").alias("root"), "a").union(c.select("b", "b").distinct()).groupBy("root").agg(F.count("*").alias("n"))
@@ -547,10 +547,9 @@ def token_tags(spark: SparkSession) -> DataFrame:
     return _names(spark).select("name", text.character_tags(F.col("name")).alias("tags"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS INTEGER) AS n FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') AS text FROM documents)")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS n FROM documents")
 def word_counts(spark: SparkSession) -> DataFrame:
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7f]", "")
-    return spark.table("documents").select("doc_id", F.size(text.lower_tokens(ascii_)).alias("n"))
+    return spark.table("documents").select("doc_id", F.size(text.lower_tokens(F.col("text"))).alias("n"))
 
 
 @query()
@@ -567,11 +566,10 @@ def phrase_removal(spark: SparkSession) -> DataFrame:
     return c.select("conv_id", "turn", text.phrase_removed(F.col("text"), phrase).alias("r")).select("conv_id", "turn", "r.text", F.size("r.removed").alias("n_removed"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN list_has_any(regexp_extract_all(lower(text), '[a-z0-9_]+'), ['the', 'and']) THEN 0.0::DOUBLE ELSE 1.0 END AS score
-        FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g') AS text FROM conversations)""")
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN list_has_any(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: lower(w)), ['the', 'and']) THEN 0.0::DOUBLE ELSE 1.0 END AS score
+        FROM conversations""")
 def hiding_score(spark: SparkSession) -> DataFrame:
-    t = F.regexp_replace("text", r"[^\x00-\x7f]", " ")
-    return spark.table("conversations").select("conv_id", "turn", text.hiding_score(t, F.array(F.lit("the"), F.lit("and"))).alias("score"))
+    return spark.table("conversations").select("conv_id", "turn", text.hiding_score(F.col("text"), F.array(F.lit("the"), F.lit("and"))).alias("score"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 5 = 0 THEN 'ok' ELSE 'malformed' END AS status, "
@@ -712,7 +710,9 @@ def identifier_naturalness(spark: SparkSession) -> DataFrame:
 def question_links(spark: SparkSession) -> DataFrame:
     rows = [(k, q, parse(sql).table, [], []) for (k, _, sql), q in zip(star.CORPUS, (
         "Which nations lie outside Asia?", "How many customers has each segment?", "Which parts are large?", "List suppliers by key", "Balance by nation", "Orders by priority", "Quantities of line items", "Suppliers by region", "Large orders"))]
-    return naturalness.linked(spark.createDataFrame(rows, "question_id int, question string, central_table string, literals array<string>, attributes array<string>"), frozenset({"line", "item"}))
+    found = naturalness.linked(spark.createDataFrame(rows, "question_id int, question string, central_table string, literals array<string>, attributes array<string>"), frozenset({"line", "item"}))
+    said = F.transform("components", lambda c: F.concat(c["segment"], F.lit(":"), F.array_join(F.transform(c["matched_tokens"], lambda t: F.concat(t["token"], F.lit("@"), t["position"].cast("string"))), ",")))
+    return found.select("question_id", "central_table", F.array_join(said, " ").alias("components"))
 
 
 @query()
@@ -722,10 +722,9 @@ def query_variants(spark: SparkSession) -> DataFrame:
     return rename.variants(spark.createDataFrame(rows, "question_id int, db_id string, question string, new_question string, sql string, new_sql string"))
 
 
-@query("SELECT conv_id, turn, text AS original, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x20-\\x7e\\n]', '', 'g') AS text FROM conversations)")
+@query("SELECT conv_id, turn, text AS original, trim(regexp_replace(text, '[\\s\\x0B\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')) AS squeezed FROM conversations")
 def squeezed_texts(spark: SparkSession) -> DataFrame:
-    c = spark.table("conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x20-\x7e\n]", "").alias("original"))
-    return c.select("*", text.squeezed(F.col("original")).alias("squeezed"))
+    return spark.table("conversations").select("conv_id", "turn", F.col("text").alias("original"), text.squeezed(F.col("text")).alias("squeezed"))
 
 
 from plumbline.plans import checked  # noqa: E402, F401  more queries, and SQL for some of the above

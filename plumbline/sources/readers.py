@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 CORPUS = "question_id int, db_id string, question string, evidence string, SQL string, difficulty string"
 CATALOG = "db_id string, table_names_original array<string>, column_names_original array<array<string>>, column_types array<string>, foreign_keys array<array<int>>, primary_keys array<string>"
@@ -42,11 +41,19 @@ def final_sql(messages: str = "messages") -> F.Column:
 def csv_rows(spark: SparkSession, path: str, schema: str, key: str = "question_id") -> DataFrame:
     """A CSV file with a row's place as its key.
 
-    Spark keeps a file's order in its partitions' numbers; the places come from the monotonic ids,
-    so only these are ordered in one window.
+    Spark keeps a file's order in its partitions' numbers.  A first pass counts the rows of each partition,
+    the second adds what comes before; no rows move.
     """
     rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"').withColumn("_m", F.monotonically_increasing_id())
-    return rows.withColumn(key, F.row_number().over(W.orderBy("_m")) - 1).drop("_m")
+    part = F.shiftright("_m", 33)
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(before, "_p long, _before long"))
+    placed = rows.withColumn("_p", part).join(offsets, "_p", "left")
+    return placed.withColumn(key, (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("_m", "_p", "_before")
 
 
 def column_descriptions(spark: SparkSession, folder: str) -> DataFrame:
