@@ -66,16 +66,13 @@ def _mirror(n: int) -> np.ndarray:
     return out
 
 
-def _canonical(lengths: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Symbols by (length, symbol), and their bit-reversed canonical codes."""
-    order = sorted(lengths, key=lambda s: (lengths[s], s))
-    codes, code, last = [], 0, 0
-    for s in order:
-        n = lengths[s]
-        code <<= n - last
-        codes.append(int(f"{code:0{n}b}"[::-1], 2))
-        code, last = code + 1, n
-    return order, codes
+def _canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols by (length, symbol), their bit-reversed canonical codes, and the lengths."""
+    symbols, size = (np.fromiter(x, np.int64, len(lengths)) for x in (lengths, lengths.values()))
+    order = np.lexsort((symbols, size))
+    symbols, size = symbols[order], size[order]
+    each = 1 << 15 - size
+    return symbols, _mirror(15)[(np.cumsum(each) - each) & 0x7FFF], size  # codes as fractions of 15 bits, read backwards
 
 
 class Code:
@@ -86,24 +83,23 @@ class Code:
         if self.only is not None:
             return
         self.most = most = max(lengths.values())
-        order = sorted(lengths, key=lambda s: (lengths[s], s))
-        each = [1 << most - lengths[s] for s in order]
-        if sum(each) != 1 << most:
+        symbols, size = (np.fromiter(x, np.int64, len(lengths)) for x in (lengths, lengths.values()))
+        order = np.lexsort((symbols, size))
+        each = 1 << most - size[order]
+        if each.sum() != 1 << most:
             raise Broken("a prefix code is not complete")
-        #: For what the next ``most`` bits may be: a symbol, and the length of its code.
-        place = np.repeat(np.arange(len(order)), each)[_mirror(most)]
-        self.symbols = np.array(order, np.uint16)[place]
-        self.sizes = np.array([lengths[s] for s in order], np.uint8)[place]
+        #: For what the next ``most`` bits may be: a symbol times 16, and the length of its code.
+        self.packed = np.repeat((symbols << 4 | size)[order].astype(np.uint16), each)[_mirror(most)]
         self.table: list | None = None
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
         if self.table is None:
-            self.table = list(zip(self.symbols.tolist(), self.sizes.tolist()))
-        s, n = self.table[bits.peek(self.most)]
-        bits.at += n
-        return s
+            self.table = self.packed.tolist()
+        x = self.table[bits.peek(self.most)]
+        bits.at += x & 15
+        return x >> 4
 
 
 def _read_code(bits: Bits, size: int) -> Code:
@@ -123,20 +119,31 @@ def _read_code(bits: Bits, size: int) -> Code:
         raise Broken("a prefix code has no symbol")
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     code, at, last, lengths = Code(own), 0, 8, {}
+    table, most = (code.packed.tolist(), code.most) if code.only is None else ([code.only << 4], 0)
+    mask, begin = (1 << most) - 1, bits.at >> 3
+    ahead, used = int.from_bytes(bits.data[begin : begin + 2 * size + 16], "little"), bits.at & 7  # a symbol takes 14 bits at most
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        w = ahead >> used
+        x = table[w & mask]
+        used += x & 15
+        s = x >> 4
         if s < 16:
             if s:
                 lengths[at] = last = s
             at += 1
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+            w >>= x & 15
+            n, more = (3 + (w & 3), 2) if s == 16 else (3 + (w & 7), 3) if s == 17 else (11 + (w & 127), 7)
+            used += more
             if at + n > size:
                 raise Broken("code lengths run over")
             if s == 16:
                 lengths.update(dict.fromkeys(range(at, at + n), last))
             at += n
+    bits.at = 8 * begin + used
+    if bits.at > 8 * len(bits.data):
+        raise Broken("the data end early")
     if not lengths:
         raise Broken("a prefix code has no symbol")
     return Code(lengths)
@@ -230,23 +237,25 @@ def _green(bits: Bits, green: Code, far: Code, width: int, n: int) -> np.ndarray
     def distance_code(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if far.only is not None:
             return np.full(len(at), far.only, np.int64), np.zeros(len(at), np.int64)
-        w = peek(at, far.most).astype(np.int64)
-        return far.symbols[w].astype(np.int64), far.sizes[w].astype(np.int64)
+        x = far.packed[peek(at, far.most).astype(np.int64)].astype(np.int64)
+        return x >> 4, x & 15
 
-    parts, made, at = [], 0, bits.at
+    highest = int(green.packed.max()) >> 4
+    if highest >= 280:
+        raise Broken("a colour cache is missing")
+    references, parts, made, at = highest > 255, [], 0, bits.at
     while made < n:
         if at >= 8 * size:
             raise Broken("the data end early")
         low, high = at >> 3, min(size, (at >> 3) + BLOCK)
         window = np.ndarray((high - low,), "<u4", padded, low, (1,))[:, None] >> np.arange(8, dtype=np.uint32)
         index = (window & np.uint32((1 << green.most) - 1)).ravel()
-        symbol, step = green.symbols[index], green.sizes[index]
-        maybe = np.flatnonzero(symbol > 255)
+        packed = green.packed[index]
+        step = (packed & 15).astype(np.uint8)
+        maybe = np.flatnonzero(packed >= 256 << 4) if references else index[:0]
         if len(maybe):
-            if int(symbol.max()) >= 280:
-                raise Broken("a colour cache is missing")
             here = maybe + 8 * low + step[maybe]
-            here += _extra(symbol[maybe].astype(np.int64) - 256)
+            here += _extra((packed[maybe] >> 4).astype(np.int64) - 256)
             prefix, length = distance_code(here)
             step[maybe] = here + length + _extra(prefix) - maybe - 8 * low
         end = len(step)
@@ -264,13 +273,12 @@ def _green(bits: Bits, green: Code, far: Code, width: int, n: int) -> np.ndarray
             place[:, j] = place[:, j - 1] + step[place[:, j - 1]]
         place = place[(place < end) & (np.diff(place, axis=1, prepend=-1) > 0)]
         at = 8 * low + int(place[-1]) + int(step[place[-1]])
-        got = symbol[place].astype(np.int64)
+        code_size = (packed[place] & 15).astype(np.int64)
+        got = (packed[place] >> 4).astype(np.int64)
         counts = np.ones(len(got), np.int64)
         copies = np.flatnonzero(got > 255)
         if len(copies):
-            p = place[copies] + 8 * low
-            p += green.sizes[index[place[copies]]]
-            counts[copies] = number(got[copies] - 256, p)
+            counts[copies] = number(got[copies] - 256, place[copies] + 8 * low + code_size[copies])
         total = np.cumsum(counts)
         if made + int(total[-1]) >= n:
             use = int(np.searchsorted(total, n - made)) + 1
@@ -280,7 +288,7 @@ def _green(bits: Bits, green: Code, far: Code, width: int, n: int) -> np.ndarray
             got, counts, total, place, copies = got[:use], counts[:use], total[:use], place[:use], copies[copies < use]
         far_at = np.zeros(0, np.int64)
         if len(copies):
-            p = place[copies] + 8 * low + green.sizes[index[place[copies]]] + _extra(got[copies] - 256)
+            p = place[copies] + 8 * low + code_size[copies] + _extra(got[copies] - 256)
             prefix, length = distance_code(p)
             far_at = number(prefix, p + length)
         parts.append((got, counts, made + total - counts, copies, far_at))
@@ -450,11 +458,14 @@ class _Writer:
 
     def put_array(self, bits: np.ndarray) -> None:
         """Bits one by one, from an array."""
-        rest = np.array([self.value >> k & 1 for k in range(self.at)], np.uint8)
-        flat = np.concatenate([rest, bits])
-        whole = len(flat) // 8 * 8
-        self.out += np.packbits(flat[:whole], bitorder="little").tobytes()
-        self.value, self.at = sum(int(b) << k for k, b in enumerate(flat[whole:])), len(flat) - whole
+        k = self.at // 8
+        self.out += (self.value & ((1 << 8 * k) - 1)).to_bytes(k, "little")
+        self.value, self.at = self.value >> 8 * k, self.at - 8 * k
+        flat = np.concatenate([np.array([self.value >> k & 1 for k in range(self.at)], np.uint8), bits])
+        made = np.packbits(flat, bitorder="little").tobytes()
+        self.at = len(flat) % 8
+        self.value = made[-1] if self.at else 0
+        self.out += made[:-1] if self.at else made
 
     def done(self) -> bytes:
         return bytes(self.out) + self.value.to_bytes(-(-self.at // 8), "little")
@@ -519,8 +530,8 @@ def _runs(lengths: dict[int, int], size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _write_code(out: _Writer, lengths: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
-    """Writes a code; what to put for each symbol."""
+def _write_code(out: _Writer, lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Writes a code; its symbols, and what to put for each and in how many bits."""
     used = sorted(lengths) or [0]
     if len(used) <= 2 and used[-1] < 256:
         if used == [0]:
@@ -533,7 +544,7 @@ def _write_code(out: _Writer, lengths: dict[int, int], size: int) -> dict[int, t
         out.put(0, 1)
         told = _runs(lengths, size)
         own = huffman(Counter(s for s, _, _ in told), 7)
-        codes = dict(zip(*_canonical(own)))
+        codes = dict(zip(*(x.tolist() for x in _canonical(own)[:2])))
         last = max(k for k, s in enumerate(_LENGTH_ORDER) if s in own)
         out.put(max(0, last - 3), 4)
         for s in _LENGTH_ORDER[: max(4, last + 1)]:
@@ -544,8 +555,8 @@ def _write_code(out: _Writer, lengths: dict[int, int], size: int) -> dict[int, t
             wide = 0 if alone else own[s]
             out.put((0 if alone else codes[s]) | extra << wide, wide + n)
     if len(used) == 1:
-        return {used[0]: (0, 0)}
-    return {s: (c, lengths[s]) for s, c in zip(*_canonical(lengths))}
+        return np.array(used), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return _canonical(lengths)
 
 
 def _prefix(x: int) -> tuple[int, int, int]:
@@ -615,7 +626,8 @@ def _write_image(out: _Writer, p: np.ndarray, main: bool, cache_bits: int = 0, r
         for k, s, _, _ in symbols(t):
             counts[g][k][s] += 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_write_code(out, huffman(c), n) for c, n in zip(group, sizes)] for group in counts]
+    tell = lambda made: {s: (c, n) for s, c, n in zip(*(x.tolist() for x in made))}
+    codes = [[tell(_write_code(out, huffman(c), n)) for c, n in zip(group, sizes)] for group in counts]
     for g, t in zip(by, tokens):
         for k, s, n, extra in symbols(t):
             out.put(*codes[g][k][s])
@@ -738,8 +750,8 @@ def _write_green(out: _Writer, flat: np.ndarray) -> None:
         n = np.bincount(symbols, minlength=size)
         used = np.flatnonzero(n)
         table = np.zeros((2, size), np.uint64)
-        if got := _write_code(out, huffman(dict(zip(used.tolist(), n[used].tolist()))), size):
-            table[:, list(got)] = np.array(list(got.values()), np.uint64).T
+        of, codes, bits = _write_code(out, huffman(dict(zip(used.tolist(), n[used].tolist()))), size)
+        table[0, of], table[1, of] = codes, bits
         return table[0][symbols], table[1][symbols]
 
     value, bits = code(symbol, 280)
