@@ -31,8 +31,6 @@ LEAST_DOCUMENTS = 4
 ROUNDS = 4
 #: Pseudo-labels that a view gives per round and class at most, and how sure it must be.
 GIVEN, SURE = 300, 0.98
-#: Parts in which a round's surest documents are looked for.
-PARTS = 64
 #: What is kept of a document for rounds and scores.
 PACKED = ["words", "figures", "source", "lang", "n_chars"]
 #: A document is rejected if its joint score is below.
@@ -199,9 +197,9 @@ class Model:
         self.calibrated = [_platt(v[:, None], y[kept].astype(float)) for v in z]
         self.joint = _platt(np.stack(z, 1), y[kept].astype(float))
 
-    def sure(self, a: Features, b: Features) -> np.ndarray:
-        """How sure each view (column) is that a row is good."""
-        return np.stack([1 / (1 + np.exp(-np.clip(m.logit(x), -30, 30))) for m, x in zip(self.views, (a, b))], 1)
+    def logits(self, a: Features, b: Features) -> np.ndarray:
+        """How sure each view (column) is that a row is good, or (below 0) bad."""
+        return np.stack([np.clip(m.logit(x), -30, 30) for m, x in zip(self.views, (a, b))], 1)
 
     def score(self, a: Features, b: Features) -> np.ndarray:
         """Columns: content, metadata and joint probability of being good."""
@@ -263,8 +261,8 @@ def _labelled(df: DataFrame, told: DataFrame, id_col: str, text_col: str) -> tup
 _PACKED = "words binary, figures binary, source string, lang string, n_chars long"
 
 
-def _features(df: DataFrame, told: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, packed features, k, free)`` of every row: ``k`` is equal for equal features, ``free`` tells rows without a label."""
+def _features(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(id_col, packed features, k)`` of every row; ``k`` is equal for equal features."""
     opened, kind = common.sent(df.sparkSession, model), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,44 +275,51 @@ def _features(df: DataFrame, told: DataFrame, model: Model, id_col: str, text_co
                                                  names=[id_col, "words", "figures", "source", "lang", "n_chars"])
 
     made = df.select(id_col, F.col(text_col).alias("text"), *_columns(df)).mapInArrow(run, f"`{id_col}` {kind}, {_PACKED}")
-    labelled = told.select(F.col(id_col).alias("_told")).withColumn("_l", F.lit(True))
-    made = made.join(labelled, F.col(id_col) == F.col("_told"), "left")
-    return common.saved(made.select(id_col, *PACKED, F.xxhash64(*PACKED).alias("k"), F.col("_l").isNull().alias("free")), "quality-features")
+    return common.saved(made.select(id_col, *PACKED, F.xxhash64(*PACKED).alias("k")), "quality-features")
 
 
-def _surest(features: DataFrame) -> Callable[[Model, int], list]:
-    """What ``Model.train`` asks for: of all free rows those that a view is surest of, equal ones once, GIVEN a view and class.
+_PACKED = "words binary, figures binary, source string, lang string, n_chars long"
+
+
+def _surest(features: DataFrame, told: DataFrame, id_col: str) -> Callable[[Model, int], list]:
+    """What ``Model.train`` asks for: of all documents without a label, and unlike those with one, the GIVEN that a view is surest of, by class.
 
-    Each round is one pass over the packed features.  Rows beyond SURE are reduced to the GIVEN best
-    of each of PARTS parts, before and after a shuffle of (key, sureness), and these to the GIVEN best of all.
+    Documents with equal features count once.  A round is one pass over the packed features; what moves
+    is a key and a number for each document that a view is sure of.  Counts by sureness tell which of
+    these can be among the GIVEN, and only they are ordered.
     """
-    free = features.where("free").select("k", *PACKED)
+    labelled = common.saved(features.select(id_col, "k").join(told, id_col, "left_semi").select("k").distinct(), "labelled-features")
 
     def ask(model: Model, turn: int) -> list:
         opened = common.sent(features.sparkSession, model)
-        done = [np.array([k for k, _ in model.given[1 - view]], np.int64) for view in (0, 1)]
+        done, least = [np.array([k for k, _ in model.given[1 - view]], np.int64) for view in (0, 1)], np.log(SURE / (1 - SURE))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = opened()
             for batch in batches:
                 k = batch.column(0).to_numpy()
-                p = m.sure(*m.views_of(*(c.to_pylist() for c in batch.columns[1:])))
+                z = m.logits(*m.views_of(*(c.to_pylist() for c in batch.columns[1:])))
                 for view in (0, 1):
-                    sure = np.maximum(p[:, view], 1 - p[:, view])
-                    at = np.flatnonzero((sure >= SURE) & ~np.isin(k, done[view]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array((p[at, view] > 0.5).astype(np.int32)), pa.array(k[at]), pa.array(sure[at])],
-                                                     names=["view", "label", "k", "sure"])
-
-        sure = free.mapInArrow(run, "view int, label int, k long, sure double").groupBy("view", "label", "k").agg(F.max("sure").alias("sure"))
-        order = [F.desc("sure"), "k"]
-        part = W.partitionBy("view", "label", F.pmod("k", F.lit(PARTS))).orderBy(*order)
-        best = sure.withColumn("r", F.row_number().over(part)).where(F.col("r") <= GIVEN)
-        best = best.withColumn("r", F.row_number().over(W.partitionBy("view", "label").orderBy(*order))).where(F.col("r") <= GIVEN)
-        picked = sorted((r["view"], r["label"], r["r"], r["k"]) for r in best.collect())  # 4 GIVEN rows at most
-        if not picked:
+                    at = np.flatnonzero((np.abs(z[:, view]) >= least) & ~np.isin(k, done[view]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array((z[at, view] > 0).astype(np.int32)), pa.array(k[at]), pa.array(np.abs(z[at, view]))],
+                                                     names=["view", "label", "k", "z"])
+
+        sure = features.select("k", *PACKED).mapInArrow(run, "view int, label int, k long, z double").groupBy("view", "label", "k").agg(F.max("z").alias("z"))
+        sure = common.saved(sure.join(labelled, "k", "left_anti").withColumn("step", F.floor(F.col("z") * 8)), "sure")
+        steps = sorted((tuple(r) for r in sure.groupBy("view", "label", "step").agg(F.count("*").alias("n")).collect()), key=lambda r: -r[2])  # 240 steps at most, by view and class
+        total, enough = {}, {}
+        for view, label, step, n in steps:
+            if total.get((view, label), 0) < GIVEN:
+                total[view, label], enough[view, label] = total.get((view, label), 0) + n, step
+        if not enough:
             return []
+        some = F.lit(False)
+        for (view, label), step in enough.items():
+            some |= (F.col("view") == view) & (F.col("label") == label) & (F.col("step") >= step)
+        best = sure.where(some).withColumn("r", F.row_number().over(W.partitionBy("view", "label").orderBy(F.desc("z"), "k"))).where(F.col("r") <= GIVEN)
+        picked = sorted((r["view"], r["label"], r["r"], r["k"]) for r in best.collect())  # 4 GIVEN rows at most
         keys = features.sparkSession.createDataFrame([(k,) for k in {k for *_, k in picked}], "k long")
-        rows = free.join(F.broadcast(keys), "k").groupBy("k").agg(*[F.first(c).alias(c) for c in PACKED]).toArrow().to_pylist()
+        rows = features.select("k", *PACKED).join(F.broadcast(keys), "k").groupBy("k").agg(*[F.first(c).alias(c) for c in PACKED]).toArrow().to_pylist()
         found = {r["k"]: r for r in rows}
         return [(view, label, k, found[k]) for view, label, _, k in picked]
 
@@ -332,8 +337,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if sample is None:
         return None
     model, a, b, y = sample
-    features = _features(df, told, model, id_col, text_col)
-    model.train(a, b, y, _surest(features))
+    features = _features(df, model, id_col, text_col)
+    model.train(a, b, y, _surest(features, told, id_col))
     return model, features
 
 
