@@ -43,3 +43,13 @@ def test_place(spark):
     assert rows[0].shard == rows[1].shard and {r.shard for r in rows} <= {"p", "q"}
     assert sharding.place(df.limit(0), "k", ["p"]).collect() == []
     assert "Exchange" not in sharding.place(df, "k", ["p"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_shards_and_very_long_texts(spark, tmp_path):
+    rows = [(k, "x" * (300_000 if k == 3 else k), "clash") for k in range(60)] + [(None, None, None), (7, "again", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    names = ["a", "b", "c"]
+    sharding.write_shards(df, "doc_id", names, f"{tmp_path}/shards", 2)
+    got = spark.read.parquet(f"{tmp_path}/shards").select("doc_id", "text", "shard").collect()
+    want = sharding.place(df, "doc_id", names).select("doc_id", "text", "shard").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 62
