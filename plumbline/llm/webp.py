@@ -10,6 +10,7 @@ the true codes are those on the way from the first bit.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -259,8 +260,9 @@ def _green(bits: Bits, green: Code, far: Code, width: int, n: int) -> np.ndarray
             prefix, length = distance_code(here)
             step[maybe] = here + length + _extra(prefix) - maybe - 8 * low
         end = len(step)
-        two = step + np.append(step, _REST)[np.arange(end) + step]  # two codes, and four, in one step
-        steps = (two + np.append(two, _REST)[np.arange(end) + two]).tobytes()
+        each, step = np.arange(end), np.append(step, _REST)
+        two = step[:end] + step[each + step[:end]]  # two codes, and four, in one step
+        steps = (two + np.append(two, _REST)[each + two]).tobytes()
         k, found = at - 8 * low, []
         note = found.append
         while k < end:
@@ -268,7 +270,6 @@ def _green(bits: Bits, green: Code, far: Code, width: int, n: int) -> np.ndarray
             k += steps[k]
         place = np.zeros((len(found), 4), np.int64)
         place[:, 0] = found
-        step = np.append(step, _REST)
         for j in (1, 2, 3):
             place[:, j] = place[:, j - 1] + step[place[:, j - 1]]
         place = place[(place < end) & (np.diff(place, axis=1, prepend=-1) > 0)]
@@ -694,32 +695,43 @@ def _copies(flat: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     key = np.ndarray((n,), "<u8", data, 0, (1,))
     # by 16 bits of a hash, which are sorted in linear time; of those that share them, equal neighbours count
     order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    sorted_ = key[order]
+    same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
     if not len(same):
         return [], [], []
     before = np.full(n, -1, np.int64)
     before[order[same + 1]] = order[same]
-    places = np.flatnonzero(before >= 0)
+    places = np.flatnonzero(before >= 0).tolist()
     begin, count, back = [], [], []
-    done, size = 0, len(data)
-    for at, q in zip(places.tolist(), before[places].tolist()):
-        if at < done:
-            continue
+    k, size = 0, len(data)
+    while k < len(places):
+        at = places[k]
+        q = int(before[at])
         c, most = LEAST_COPY, min(MOST_COPY, size - at)
         while c + 32 <= most and data[at + c : at + c + 32] == data[q + c : q + c + 32]:
             c += 32
-        while c < most and data[at + c] == data[q + c]:
-            c += 1
+        for more in (16, 8, 4, 2, 1):
+            if c + more <= most and data[at + c : at + c + more] == data[q + c : q + c + more]:
+                c += more
         begin.append(at)
         count.append(c)
         back.append(at - q)
-        done = at + c
+        k = bisect_left(places, at + c, k)
     return begin, count, back
 
 
+@lru_cache
+def _prefix_table() -> np.ndarray:
+    return np.stack(_made_prefixes(np.arange(1 << 15)))
+
+
 def _prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_prefix`` of each number."""
-    v = x - 1
+    return tuple(_prefix_table()[:, x]) if int(x.max()) < 1 << 15 else _made_prefixes(x)
+
+
+def _made_prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = np.maximum(x - 1, 0)
     top = np.maximum(np.frexp(np.maximum(v, 1).astype(float))[1] - 1, 1)
     small = v < 4
     more = np.where(small, 0, top - 1)
