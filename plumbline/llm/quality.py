@@ -215,6 +215,13 @@ def _columns(df: DataFrame) -> list:
     return [(F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut so small that what is made of one at a time stays small beside the model."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _sample(df: DataFrame, size: int, id_col: str) -> DataFrame:
     """The rows of ``df`` whose id's hash is in one of so many equal parts that about ``size`` rows remain."""
     parts = max(1, df.count() // size)
@@ -235,7 +242,7 @@ def _labelled(df: DataFrame, told: DataFrame, id_col: str, text_col: str) -> tup
     known = df.select(id_col, F.col(text_col).alias("text"), *_columns(df)).join(some, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             key, text, source, lang, n, good = (c.to_pylist() for c in batch.columns)
             got = [content(t) for t in text]
             yield pa.RecordBatch.from_arrays(
@@ -267,12 +274,10 @@ def _features(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                words, figures = m.pack(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array(figures, pa.binary()), *part.columns[2:]],
-                                                 names=[id_col, "words", "figures", "source", "lang", "n_chars"])
+        for part in _slices(batches):
+            words, figures = m.pack(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array(figures, pa.binary()), *part.columns[2:]],
+                                             names=[id_col, "words", "figures", "source", "lang", "n_chars"])
 
     made = df.select(id_col, F.col(text_col).alias("text"), *_columns(df)).mapInArrow(run, f"`{id_col}` {kind}, {_PACKED}")
     return common.saved(made.select(id_col, *PACKED, F.xxhash64(*PACKED).alias("k")), "quality-features")
@@ -296,7 +301,7 @@ def _surest(features: DataFrame, told: DataFrame, id_col: str) -> Callable[[Mode
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = opened()
-            for batch in batches:
+            for batch in _slices(batches):
                 k = batch.column(0).to_numpy()
                 z = m.logits(*m.views_of(*(c.to_pylist() for c in batch.columns[1:])))
                 for view in (0, 1):
@@ -359,8 +364,8 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened()
-        for batch in batches:
-            p = m.score(*m.views_of(*(c.to_pylist() for c in batch.columns[1:]))) if batch.num_rows else np.zeros((0, 3))
+        for batch in _slices(batches):
+            p = m.score(*m.views_of(*(c.to_pylist() for c in batch.columns[1:])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(3)), pa.array(p[:, 2] >= THRESHOLD)],
                                              names=[id_col, "p_content", "p_metadata", "score", "keep"])
 
@@ -378,10 +383,8 @@ def kept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                texts, *told = ([None] * part.num_rows if c is None else part.column(c).to_pylist() for c in at)
-                yield part.filter(pa.array(m.score(*m.views_of(*m.pack(texts), *told))[:, 2] >= THRESHOLD))
+        for part in _slices(batches):
+            texts, *told = ([None] * part.num_rows if c is None else part.column(c).to_pylist() for c in at)
+            yield part.filter(pa.array(m.score(*m.views_of(*m.pack(texts), *told))[:, 2] >= THRESHOLD))
 
     return df.mapInArrow(run, df.schema)
