@@ -29,12 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def written(df: DataFrame, label: str) -> str:
+    """The folder, on the shared one, to which the rows are written as Parquet."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again (columnar, with sizes)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes away a folder that ``written`` made and nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sent(spark: SparkSession, value: object) -> Callable[[], object]:

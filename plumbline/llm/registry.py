@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, langid, licences, linededup, media, quality, secrets, sharding, simhash
+from plumbline.llm import bpe, decontaminate, langid, licences, linededup, media, quality, secrets, sharding, simhash, yinyang
 from plumbline.llm.common import table
 
 #: Shards of op10.
@@ -94,6 +94,10 @@ def op10_sql() -> str:
     FROM s"""
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,9 +106,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (op1_line_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_licence_scan, op6_bpe, op7_media_columns,
-             op8_quality_classifier, op9_language_id, op10_sharding, pipeline)
+             op8_quality_classifier, op9_language_id, op10_sharding, op11_centroid_clustering, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op5_licence_scan": licences.sql(), "op10_sharding": op10_sql()}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op5_licence_scan": licences.sql(), "op10_sharding": op10_sql(), "op11_centroid_clustering": yinyang.sql()}
