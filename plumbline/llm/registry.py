@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, langid, licences, linededup, media, quality, secrets, sharding, simhash, whitening, yinyang
+from plumbline.llm import bpe, decontaminate, langid, licences, linededup, media, neighbours, quality, secrets, sharding, simhash, whitening, yinyang
 from plumbline.llm.common import table
 
 #: Shards of op10.
@@ -98,6 +98,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"))
 
@@ -110,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (op1_line_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_licence_scan, op6_bpe, op7_media_columns,
-             op8_quality_classifier, op9_language_id, op10_sharding, op11_centroid_clustering, op13_embedding_whitening, pipeline)
+             op8_quality_classifier, op9_language_id, op10_sharding, op11_centroid_clustering, op12_nearest_neighbours, op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in found}
 
 
