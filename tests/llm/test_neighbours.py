@@ -15,7 +15,7 @@ def brute(rows, every=20, wanted=20):
     for q, x in kept:
         if q % every == 0:
             near = sorted((-(c * x).sum(), i) for i, c in kept if i != q)[:wanted]
-            out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+            out += [(q, k + 1, i, float(-s)) for k, (s, i) in enumerate(near)]
     return out
 
 
