@@ -1,17 +1,16 @@
 """Many pairs of queries scored together, whatever their queries raise and however long they take.
 
-Each distinct query runs once, in a job of its own with a time limit, and leaves its rows as cells and
-tokens in the shared folder.  All pairs whose queries ran are then scored by one plan: an aggregation
+Each distinct query runs once, in a job of its own, under a time limit if one is given, and leaves of its rows
+what the technique compares in the shared folder.  All pairs whose queries ran are then scored by one plan: an aggregation
 by (case, row) compares bags, and what is left is matched case by case.  The techniques that need a
 driver's assignment run pair by pair.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +18,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import cells
 from plumbline.operators import matching, techniques
 from plumbline.session import shared_folder
-from plumbline.sources.backend import within
+from plumbline.sources import limits
 
-#: Queries that run at a time.
-AT_ONCE = 4
 #: Techniques that one plan scores for all cases.
 TOGETHER = ("execution_accuracy", "exact_column_and_exact_cell", "exact_column_and_partial_cell", "no_column_and_partial_cell")
 SCORES = ["ex", "exp", "exr", "f1", "matched", "gold_cells", "pred_cells"]
@@ -30,27 +27,24 @@ _CASE = "case_id string, gold_id string, pred_id string, gold_at array<int>, pre
 
 
 class Results:
-    """The rows of some queries: ``rows`` (query_id, cells, tokens) of those that ran, and by query a status, columns and seconds."""
+    """The rows of some queries: ``rows`` (query_id, cells, tokens) of those that ran, and by query a status, columns and seconds.
 
-    def __init__(self, spark: SparkSession, queries: Iterable[str], seconds: float = 30.0):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
-        self.ids = {sql: f"q{k}" for k, sql in enumerate(dict.fromkeys(queries))}
-
-        def run(item: tuple[str, str]) -> tuple:
-            began = time.perf_counter()
-            status, found = within(spark, seconds, self._write, *item)
-            return item[0], (status, found, time.perf_counter() - began)
+    ``tokens`` are null unless asked for.
+    """
 
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            self.found = dict(pool.map(run, self.ids.items()))
+    def __init__(self, spark: SparkSession, queries: Iterable[str], seconds: float | None = None, tokens: bool = True):
+        self.spark, self.folder, self.tokens = spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}", tokens
+        self.ids = {sql: f"q{k}" for k, sql in enumerate(dict.fromkeys(queries))}
+        self.found = limits.run_all(spark, {sql: partial(self._write, sql, k) for sql, k in self.ids.items()}, seconds)
 
     def _write(self, sql: str, query_id: str) -> list[str]:
         df = cells.unique_names(self.spark.sql(sql))
-        df.select(F.lit(query_id).alias("query_id"), cells.cells(df).alias("cells"), cells.tokens(df).alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/{query_id}")
+        tokens = cells.tokens(df) if self.tokens else F.lit(None).cast("array<string>")
+        df.select(F.lit(query_id).alias("query_id"), cells.cells(df).alias("cells"), tokens.alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/{query_id}")
         return df.columns
 
     def rows(self) -> DataFrame:
-        ran = [f"{self.folder}/{self.ids[q]}" for q, (status, _, _) in self.found.items() if status == "ok"]
+        ran = [f"{self.folder}/{self.ids[q]}" for q, out in self.found.items() if out.status == "ok"]
         schema = "query_id string, cells array<string>, tokens array<string>"
         return self.spark.read.schema(schema).parquet(*ran) if ran else self.spark.createDataFrame([], schema)
 
@@ -60,7 +54,7 @@ def _sides(rows: DataFrame, cases: DataFrame) -> DataFrame:
     out = None
     for side, g, p in (("gold", 1, 0), ("pred", 0, 1)):
         of = cases.select("case_id", F.col(f"{side}_id").alias("query_id"), F.col(f"{side}_at").alias("at"), (F.col("gold_width") == F.col("pred_width")).alias("alike"))
-        part = rows.join(F.broadcast(of), "query_id").select("case_id", "cells", "tokens", "at", "alike", F.lit(g).cast("long").alias("g"), F.lit(p).cast("long").alias("p"))  # a row for each case
+        part = rows.join(of, "query_id").select("case_id", "cells", "tokens", "at", "alike", F.lit(g).cast("long").alias("g"), F.lit(p).cast("long").alias("p"))  # a row for each case
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -99,46 +93,53 @@ def _together(rows: DataFrame, cases: DataFrame, technique: str, penalize: bool)
         "case_id", "ex", *[F.when(F.col("apart") & (F.col("ex") == 0), 0.0).otherwise(F.col(c)).alias(c) for c in SCORES[1:4]], *SCORES[4:])
 
 
-def scores(spark: SparkSession, cases: Iterable[tuple[str, str, str]], technique: str, seconds: float = 30.0, **options) -> DataFrame:
+def scores(spark: SparkSession, cases: Iterable[tuple[str, str, str]], technique: str, seconds: float | None = None, **options) -> DataFrame:
     """``(case_id, status, error, latency, *SCORES)`` for each (case_id, gold SQL, predicted SQL).
 
-    ``status`` is ok, or timeout or error if either query, or the comparison of this case alone, took
-    too long or raised; then the scores are zeros, and no other case is touched.
+    ``status`` is ok, or error if either query or the comparison of this case alone raised, or timeout if one of them
+    took longer than ``seconds`` (None: no limit) with nothing beside it; then the scores are zeros, and no other
+    case is touched.
     """
     if technique not in techniques.TECHNIQUES:
         raise ValueError(f"unknown technique {technique}")
     cases = [(str(k), g, p) for k, g, p in cases]
-    results = Results(spark, [q for _, g, p in cases for q in (g, p)], seconds)
-    good, told, alone = [], [], []
+    results = Results(spark, [q for _, g, p in cases for q in (g, p)], seconds, technique == "no_column_and_partial_cell") if technique in TOGETHER else None
+    if results is None:
+        return _told(spark, _one_by_one(spark, cases, technique, seconds, options))
+    good, told = [], []
     for k, g, p in cases:
-        (gs, gc, gt), (ps, pc, pt) = results.found[g], results.found[p]
-        status = next((s for s in (gs, ps) if s != "ok"), "ok")
-        error = None if status == "ok" else str((gc if gs != "ok" else pc) or status)
-        if status == "ok" and technique not in TOGETHER:
-            began = time.perf_counter()
-            status, row = within(spark, seconds, _alone, spark, g, p, technique, options)
-            error = None if status == "ok" else str(row or status)
-            gt += time.perf_counter() - began
-            alone += [(k, *row)] if status == "ok" else []
-        elif status == "ok":
+        pair = results.found[g], results.found[p]
+        bad = next((x for x in pair if x.status != "ok"), None)
+        if bad is None:
+            gc, pc = (x.result for x in pair)
             names = sorted(set(gc) & set(pc))
             good.append((k, results.ids[g], results.ids[p], [gc.index(n) for n in names], [pc.index(n) for n in names], len(gc), len(pc)))
-        told.append((k, status, error, gt + pt if status == "ok" else -1.0))
-    told = spark.createDataFrame(told, "case_id string, status string, error string, latency double")
-    if technique in TOGETHER:
-        found = _together(results.rows(), spark.createDataFrame(good, _CASE), technique, options.get("penalize_extra_pred_cols", True))
-    else:
-        found = spark.createDataFrame(alone, "case_id string, " + techniques.SCORES)
+        told.append((k, "ok", None, pair[0].seconds + pair[1].seconds) if bad is None else (k, bad.status, str(bad.result or bad.status), -1.0))
+    found = _together(results.rows(), spark.createDataFrame(good, _CASE), technique, options.get("penalize_extra_pred_cols", True))
+    return _told(spark, spark.createDataFrame(told, _TOLD).join(found, "case_id", "left"))
+
+
+_TOLD = "case_id string, status string, error string, latency double"
+
+
+def _told(spark: SparkSession, found: DataFrame) -> DataFrame:
     none = {"ex": F.lit(0), **{c: F.lit(0.0) for c in SCORES[1:4]}}
-    return told.join(F.broadcast(found), "case_id", "left").select(  # a row for each case
-        "case_id", "status", "error", "latency", *[F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in SCORES])
+    return found.select("case_id", "status", "error", "latency", *[F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in SCORES])
+
+
+def _one_by_one(spark: SparkSession, cases: list, technique: str, seconds: float | None, options: dict) -> DataFrame:
+    """Cases of a technique that no single plan scores: each in jobs of its own."""
+    found = limits.run_all(spark, {at: partial(_alone, spark, g, p, technique, options) for at, (_, g, p) in enumerate(cases)}, seconds)
+    rows = [(k, out.status, None, out.seconds, *out.result) if out.status == "ok" else (k, out.status, str(out.result or out.status), -1.0, *[None] * len(SCORES))
+            for (k, _, _), out in zip(cases, found.values())]
+    return spark.createDataFrame(rows, f"{_TOLD}, {techniques.SCORES}")
 
 
 def _alone(spark: SparkSession, gold: str, pred: str, technique: str, options: dict) -> tuple:
     return tuple(getattr(techniques, technique)(spark.sql(gold), spark.sql(pred), **options).select(*SCORES).first())
 
 
-def mutant_scores(spark: SparkSession, mutants: DataFrame, used: Iterable[str] = ("exact_column_and_exact_cell",), seconds: float = 30.0) -> DataFrame:
+def mutant_scores(spark: SparkSession, mutants: DataFrame, used: Iterable[str] = ("exact_column_and_exact_cell",), seconds: float | None = None) -> DataFrame:
     """Scores of mutants (question_id, db_id, depth, operators, mutated_sql, error_count, gold_sql) by each technique.
 
     The corpus of mutants is the driver's; gold queries run once for all their mutants.  A mutant that
@@ -148,7 +149,7 @@ def mutant_scores(spark: SparkSession, mutants: DataFrame, used: Iterable[str] =
     return _swept(spark, rows, "gold_sql", "mutated_sql", used, seconds).withColumn("operator", F.element_at("operators", -1))
 
 
-def system_scores(spark: SparkSession, logs: DataFrame, used: Iterable[str] = ("execution_accuracy",), seconds: float = 120.0) -> DataFrame:
+def system_scores(spark: SparkSession, logs: DataFrame, used: Iterable[str] = ("execution_accuracy",), seconds: float | None = None) -> DataFrame:
     """Scores of several systems' answers (system, question_id, gold_sql, pred_sql) by each technique.
 
     ``logs`` without one of these columns raise ValueError.  What a run has left is ``sinks.pending`` by
@@ -159,7 +160,7 @@ def system_scores(spark: SparkSession, logs: DataFrame, used: Iterable[str] = ("
     return _swept(spark, [r.asDict() for r in logs.orderBy("system", "question_id").collect()], "gold_sql", "pred_sql", used, seconds, logs.schema)
 
 
-def _swept(spark: SparkSession, rows: list[dict], gold: str, pred: str, used: Iterable[str], seconds: float, schema=None) -> DataFrame:
+def _swept(spark: SparkSession, rows: list[dict], gold: str, pred: str, used: Iterable[str], seconds: float | None, schema=None) -> DataFrame:
     if not rows:
         raise ValueError("nothing to score")
     keyed = [{**r, "case_id": str(k)} for k, r in enumerate(rows)]

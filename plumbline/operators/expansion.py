@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +14,8 @@ from pyspark.sql import Window as W
 from plumbline.functions import providers
 from plumbline.operators import graph
 from plumbline.plans.queryspec import Join, QuerySpec, columns_of, join_conditions, parse
-from plumbline.sources.backend import within
+from plumbline.sources import limits
 
-#: Candidates that run at a time.
-AT_ONCE = 4
 #: Schema edges: (table, table) to equalities "a.x = b.y" of their columns.
 Schema = dict[tuple[str, str], list[str]]
 
@@ -162,15 +160,14 @@ def accepted(found: DataFrame, max_queries: int = 1000, max_isomorphic: int = 1)
     return ranked.withColumn("status", F.when(F.col("_k") <= max_isomorphic, "filtered").otherwise("discarded")).drop("_n", "_k")
 
 
-def expand(spark: SparkSession, corpus: list[tuple[int, str]], schema: Schema, max_queries: int = 1000, max_isomorphic: int = 1, seconds: float = 60.0) -> DataFrame:
+def expand(spark: SparkSession, corpus: list[tuple[int, str]], schema: Schema, max_queries: int = 1000, max_isomorphic: int = 1, seconds: float | None = None) -> DataFrame:
     """Expansions that aren't redundant and whose result is meaningful, with their status.
 
-    Candidates run in jobs of their own, AT_ONCE at a time; what fails or takes too long isn't meaningful."""
+    Candidates run in jobs of their own; what fails, or takes more than ``seconds`` with nothing beside it, isn't meaningful."""
     found = expansions(spark, corpus, schema).where(~F.col("is_redundant"))
     rows = found.select("question_id", "ord", "sql").collect()
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        told = list(pool.map(lambda r: within(spark, seconds, meaningful, spark, r["sql"]), rows))
-    good = [(r["question_id"], r["ord"]) for r, (status, x) in zip(rows, told) if status == "ok" and x]
+    told = limits.run_all(spark, {k: partial(meaningful, spark, r["sql"]) for k, r in enumerate(rows)}, seconds)
+    good = [(r["question_id"], r["ord"]) for k, r in enumerate(rows) if told[k].status == "ok" and told[k].result]
     keys = spark.createDataFrame(good, "question_id int, ord int")
     return accepted(found.join(F.broadcast(keys), ["question_id", "ord"], "left_semi"), max_queries, max_isomorphic)  # a row for each candidate
 

@@ -78,9 +78,9 @@ def rewrite(sql: str, mapping: dict) -> str:
 
 
 def validate_rewritten(spark: SparkSession, corpus: list[tuple[int, str]], mapping: dict) -> DataFrame:
-    """``(case_id, ex, error)``: each query on the tables against its rewriting on the renamed views."""
+    """``(case_id, status, ex, error)``: each query on the tables against its rewriting on the renamed views."""
     cases = [(str(k), sql, rewrite(sql, mapping)) for k, sql in corpus]
-    return techniques.evaluate_cases(spark, cases, "execution_accuracy").select("case_id", "ex", "error")
+    return techniques.evaluate_cases(spark, cases, "execution_accuracy").select("case_id", "status", "ex", "error")
 
 
 def variants(corpus: DataFrame) -> DataFrame:

@@ -59,23 +59,28 @@ def _exact_sql(penalize: bool, cases: list | None = None) -> str:
     return " UNION ALL ".join(out)
 
 
+def _ok(sql: str) -> str:
+    """The same with the status that every case must have."""
+    return f"SELECT *, 'ok' AS status FROM ({sql})"
+
+
 def _suite(spark: SparkSession, technique: str, cases=None, **options) -> DataFrame:
     return techniques.evaluate_cases(spark, [(k, g, p) for k, g, _, p, _ in cases or CASES], technique, **options)
 
 
-@query(_exact_sql(True))
+@query(_ok(_exact_sql(True)))
 def metric_exact_exact(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "exact_column_and_exact_cell").select("case_id", "ex", "exp", "exr", "f1")
+    return _suite(spark, "exact_column_and_exact_cell").select("case_id", "status", "ex", "exp", "exr", "f1")
 
 
-@query(_exact_sql(False))
+@query(_ok(_exact_sql(False)))
 def metric_exact_exact_unpenalised(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "exact_column_and_exact_cell", penalize_extra_pred_cols=False).select("case_id", "ex", "exp", "exr", "f1")
+    return _suite(spark, "exact_column_and_exact_cell", penalize_extra_pred_cols=False).select("case_id", "status", "ex", "exp", "exr", "f1")
 
 
-@query(_ex_suite_sql())
+@query(_ok(_ex_suite_sql()))
 def metric_ex_suite(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "execution_accuracy").select("case_id", "ex")
+    return _suite(spark, "execution_accuracy").select("case_id", "status", "ex")
 
 
 #: Pairs whose rows match in part; all cells are text or whole numbers and all rows distinct.
@@ -116,25 +121,25 @@ def _greedy_sql(cases: list, tokens: bool) -> str:
     return " UNION ALL ".join(out)
 
 
-@query(_greedy_sql(PARTIAL, False))
+@query(_ok(_greedy_sql(PARTIAL, False)))
 def metric_exact_partial(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "exact_column_and_partial_cell", PARTIAL).select("case_id", "ex", "matched", "exp", "exr", "f1")
+    return _suite(spark, "exact_column_and_partial_cell", PARTIAL).select("case_id", "status", "ex", "matched", "exp", "exr", "f1")
 
 
-@query(_greedy_sql(PARTIAL, True))
+@query(_ok(_greedy_sql(PARTIAL, True)))
 def metric_nocol_partial(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "no_column_and_partial_cell", PARTIAL).select("case_id", "ex", "matched", "exp", "exr", "f1")
+    return _suite(spark, "no_column_and_partial_cell", PARTIAL).select("case_id", "status", "ex", "matched", "exp", "exr", "f1")
 
 
-@query(_exact_sql(True, PARTIAL))
+@query(_ok(_exact_sql(True, PARTIAL)))
 def metric_semantic_exact(spark: SparkSession) -> DataFrame:
     """Equal names are nearest in meaning here, so the scores are those of columns by name."""
-    return _suite(spark, "semantic_column_and_exact_cell", PARTIAL).select("case_id", "ex", "exp", "exr", "f1")
+    return _suite(spark, "semantic_column_and_exact_cell", PARTIAL).select("case_id", "status", "ex", "exp", "exr", "f1")
 
 
-@query(_greedy_sql(PARTIAL, False))
+@query(_ok(_greedy_sql(PARTIAL, False)))
 def metric_semantic_partial(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "semantic_column_and_partial_cell", PARTIAL).select("case_id", "ex", "matched", "exp", "exr", "f1")
+    return _suite(spark, "semantic_column_and_partial_cell", PARTIAL).select("case_id", "status", "ex", "matched", "exp", "exr", "f1")
 
 
 #: Pairs whose rows are equal or left over, so that the best assignment is known without similarities.
@@ -142,16 +147,16 @@ ROWS = [("same", "n_nationkey >= 0", "n_nationkey >= 0"), ("fewer", "n_nationkey
         ("pred_empty", "n_nationkey < 3", "n_nationkey < 0"), ("both_empty", "n_nationkey < 0", "n_nationkey < 0")]
 
 
-@query(" UNION ALL ".join(f"""SELECT '{k}' AS case_id, CASE WHEN g = p THEN 1 ELSE 0 END AS ex, CASE WHEN g = p THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 THEN 0.0 ELSE m / p::DOUBLE END AS exp,
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS case_id, 'ok' AS status, CASE WHEN g = p THEN 1 ELSE 0 END AS ex, CASE WHEN g = p THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 THEN 0.0 ELSE m / p::DOUBLE END AS exp,
         CASE WHEN g = p THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 THEN 0.0 ELSE m / g::DOUBLE END AS exr FROM (SELECT (SELECT count(*) FROM nation WHERE {a}) AS g, (SELECT count(*) FROM nation WHERE {b}) AS p, (SELECT count(*) FROM nation WHERE {a} AND {b}) AS m)""" for k, a, b in ROWS))
 def metric_unified_row(spark: SparkSession) -> DataFrame:
     cases = [(k, f"SELECT n_nationkey, n_name FROM nation WHERE {a}", f"SELECT n_nationkey, n_name FROM nation WHERE {b}") for k, a, b in ROWS]
-    return techniques.evaluate_cases(spark, cases, "unified_column_and_semantic_row").select("case_id", "ex", F.round("exp", 9).alias("exp"), F.round("exr", 9).alias("exr"))
+    return techniques.evaluate_cases(spark, cases, "unified_column_and_semantic_row").select("case_id", "status", "ex", F.round("exp", 9).alias("exp"), F.round("exr", 9).alias("exr"))
 
 
-@query(_exact_sql(True, EMPTY))
+@query(_ok(_exact_sql(True, EMPTY)))
 def metric_empty_rules(spark: SparkSession) -> DataFrame:
-    return _suite(spark, "exact_column_and_partial_cell", EMPTY).select("case_id", "ex", "exp", "exr", "f1")
+    return _suite(spark, "exact_column_and_partial_cell", EMPTY).select("case_id", "status", "ex", "exp", "exr", "f1")
 
 
 _GRID = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, n_nationkey, n_name, n_regionkey FROM customer INNER JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey BETWEEN 1 AND 9"
@@ -160,10 +165,10 @@ _GRIDS = [(r, c) for r in range(1, 10) for c in (1, 4, 8)]
 
 
 @query(f"""WITH t AS (SELECT count(*) AS n FROM ({_GRID})), s(r, c) AS (VALUES {', '.join(map(str, _GRIDS))})
-        SELECT 'r' || r || 'c' || c AS case_id, CASE WHEN least(r, n) = n AND c = 8 THEN 1 ELSE 0 END AS ex, 1.0::DOUBLE AS exp, least(r, n) * c / (n * 8.0::DOUBLE) AS exr FROM s, t""")
+        SELECT 'r' || r || 'c' || c AS case_id, 'ok' AS status, CASE WHEN least(r, n) = n AND c = 8 THEN 1 ELSE 0 END AS ex, 1.0::DOUBLE AS exp, least(r, n) * c / (n * 8.0::DOUBLE) AS exr FROM s, t""")
 def shape_sweep(spark: SparkSession) -> DataFrame:
     cases = [(f"r{r}c{c}", _GRID, f"SELECT {', '.join(_COLUMNS[:c])} FROM ({_GRID}) ORDER BY c_custkey LIMIT {r}") for r, c in _GRIDS]
-    return techniques.evaluate_cases(spark, cases, "exact_column_and_exact_cell").select("case_id", "ex", "exp", "exr")
+    return techniques.evaluate_cases(spark, cases, "exact_column_and_exact_cell").select("case_id", "status", "ex", "exp", "exr")
 
 
 @query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS column_name, v AS value, n, CAST(row_number() OVER (ORDER BY n DESC, v) AS INTEGER) AS rank
@@ -516,11 +521,11 @@ def best_filter_values(spark: SparkSession) -> DataFrame:
     return expansion.best_values(spark.sql(counting), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT k AS case_id, 1 AS ex FROM (VALUES " + ", ".join(f"('{k}')" for k, _, _ in star.CORPUS) + ") t(k)")
+@query("SELECT k AS case_id, 'ok' AS status, 1 AS ex FROM (VALUES " + ", ".join(f"('{k}')" for k, _, _ in star.CORPUS) + ") t(k)")
 def rename_equivalence(spark: SparkSession) -> DataFrame:
     mapping = rename.mapping_of(star.mapping(spark), "star")
     rename.apply_renames(spark, mapping)
-    return rename.validate_rewritten(spark, [(k, q) for k, _, q in star.CORPUS], mapping).select("case_id", "ex")
+    return rename.validate_rewritten(spark, [(k, q) for k, _, q in star.CORPUS], mapping).select("case_id", "status", "ex")
 
 
 _MAP = "m(t, c, nt, nc) AS (VALUES " + ", ".join(f"('{t}', '{c}', '{new[:2]}', '{x[:2]}')" for t, (new, cols) in star.ABBREVIATIONS.items() for c, x in cols.items()) + ")"

@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-#: Adaptive re-planning, strict SQL and UTC; sizes of shuffles are left to the cluster's own settings.
+#: Adaptive re-planning, strict SQL, UTC, and slots shared fairly between queries that run at a time; sizes of shuffles are left to the cluster's own settings.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.scheduler.mode": "FAIR",
 }
 
 

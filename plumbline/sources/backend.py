@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,24 +79,3 @@ def open_backend(kind: str, spark: SparkSession, *args, **options) -> Backend:
     if kind not in BACKENDS:
         raise ValueError(f"unknown backend {kind}")
     return BACKENDS[kind](spark, *args, **options)
-
-
-def within(spark: SparkSession, seconds: float, action, *args) -> tuple[str, object]:
-    """``("ok", result)``, ``("timeout", None)`` or ``("error", message)``; jobs of a late action are cancelled."""
-    group = f"within-{os.urandom(6).hex()}"
-
-    def run():
-        spark.sparkContext.setJobGroup(group, group, interruptOnCancel=True)
-        return action(*args)
-
-
-    pool = ThreadPoolExecutor(1)
-    try:
-        return "ok", pool.submit(run).result(seconds)
-    except Late:
-        spark.sparkContext.cancelJobGroup(group)
-        return "timeout", None
-    except Exception as e:  # whatever the action raises is a status here
-        return "error", str(e).splitlines()[0][:500]
-    finally:
-        pool.shutdown(wait=False)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import providers
-from plumbline.sources import backend, readers, sinks
+from plumbline.sources import backend, limits, readers, sinks
 from plumbline.streaming import incremental
 
 
@@ -24,9 +24,9 @@ def test_backend(spark, tmp_path):
 def test_time_limit(spark):
     slow = F.udf(lambda x: time.sleep(30) or x, "long")
     began = time.time()
-    assert backend.within(spark, 2, lambda: spark.range(1).select(slow("id")).collect())[0] == "timeout" and time.time() - began < 15
-    assert backend.within(spark, 30, lambda: 7) == ("ok", 7)
-    assert backend.within(spark, 30, lambda: 1 / 0)[0] == "error"
+    assert limits.within(spark, 2, lambda: spark.range(1).select(slow("id")).collect())[0] == "timeout" and time.time() - began < 15
+    assert limits.within(spark, 30, lambda: 7) == ("ok", 7)
+    assert limits.within(spark, 30, lambda: 1 / 0)[0] == "error"
 
 
 def test_readers(spark, tmp_path):
