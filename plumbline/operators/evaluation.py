@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
-from plumbline.operators import matching, techniques
+from plumbline.operators import techniques, tiers
 from plumbline.session import shared_folder
 from plumbline.sources import limits
 
@@ -79,8 +79,7 @@ def _together(rows: DataFrame, cases: DataFrame, technique: str, penalize: bool)
     width = F.size("gold_at")
     if technique != "exact_column_and_exact_cell":
         rest = tally.select("case_id", "key", (F.col("g") - both).alias("g"), (F.col("p") - both).alias("p")).where("g > 0 or p > 0")
-        edges = (matching.token_edges if by_tokens else matching.cell_edges)(rest, ("case_id",))
-        more = matching.greedy(edges, ("case_id",)).groupBy("case_id").agg(F.sum(F.col("gain") * F.col("n")).alias("more"))
+        more = tiers.matched(rest, ("case_id",), by_tokens).groupBy("case_id").agg(F.sum(F.col("gain") * F.col("n")).alias("more"))
         out = out.join(more, "case_id", "left")
     else:
         out = out.withColumn("more", zero)
