@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import partial
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from plumbline.functions import providers
 from plumbline.operators import graph
-from plumbline.plans.queryspec import Join, QuerySpec, columns_of, join_conditions, parse
+from plumbline.plans.queryspec import Join, NotFlat, QuerySpec, columns_of, join_conditions, parse
 from plumbline.sources import limits
 
+#: Queries that one plan tests.
+TOGETHER = 16
+#: Rows in which groups are looked for before all are counted.
+LOOK = 100_000
 #: Schema edges: (table, table) to equalities "a.x = b.y" of their columns.
 Schema = dict[tuple[str, str], list[str]]
 
@@ -131,13 +136,96 @@ def best_values(counts: DataFrame, names: list[str]) -> DataFrame:
     return top.select(*names, "n") if names else top
 
 
+def _aggregates(sql: str) -> bool:
+    return re.search(r"(count|avg|sum|max|min)\(", sql, re.I) is not None
+
+
 def meaningful(spark: SparkSession, sql: str) -> bool:
     """False for an empty result, and for one cell that is 0 or null while the query aggregates; two rows are fetched at most."""
     rows = spark.sql(sql).limit(2).collect()
     if not rows:
         return False
     lone = len(rows) == 1 and len(rows[0]) == 1
-    return not (lone and rows[0][0] in (0, None) and re.search(r"(count|avg|sum|max|min)\(", sql, re.I))
+    return not (lone and rows[0][0] in (0, None) and _aggregates(sql))
+
+
+_PLAIN = re.compile(r"((count|avg|sum|max|min)\()?\s*(\*|[\w.`]+)\s*\)?", re.I)
+
+
+def existing(sql: str) -> str:
+    """A query that has rows just when the given one is meaningful, or the query itself.
+
+    A flat query of two columns or more, all of them plain or aggregates of plain ones, is meaningful if it has a row.
+    Without HAVING it has one if anything is left to be grouped, sorted or told apart, and of that the first row
+    decides: no join has to be finished.  An aggregate without groups has a row always.
+    """
+    try:
+        spec = parse(sql)
+    except NotFlat:
+        return sql
+    plain = len(spec.select) > 1 and all(_PLAIN.fullmatch(e) for e, _ in spec.select) and not spec.having and (spec.limit is None or spec.limit > 0)
+    if not plain:
+        return sql
+    if _aggregates(sql) and not spec.group_by:
+        return "SELECT 1 AS one, 1 AS two"
+    return spec.edit(select=(("1", "one"), ("1", "two")), distinct=False, group_by=(), order_by=(), limit=None).sql()
+
+
+def shown(sql: str) -> str | None:
+    """A cheap query whose rows show that the given one is meaningful, though their absence doesn't show the contrary; None if there is none.
+
+    Groups of which HAVING asks for a least number of rows have it if LOOK of the rows already give it.
+    """
+    try:
+        spec = parse(sql)
+    except NotFlat:
+        return None
+    least = all(op != "OR" and re.fullmatch(r"count\(\s*\*\s*\)\s*>=?\s*\d+", t, re.I) for op, t in spec.having)
+    if len(spec.select) < 2 or not spec.having or not least or not spec.group_by or not all(_PLAIN.fullmatch(e) for e, _ in spec.select) or spec.limit == 0:
+        return None
+    keys = [f"_g{k}" for k in range(len(spec.group_by))]
+    some = spec.edit(select=tuple(zip(spec.group_by, keys)), distinct=False, group_by=(), having=(), order_by=(), limit=LOOK)
+    return f"SELECT 1 AS one, 1 AS two FROM ({some.sql()}) GROUP BY {', '.join(keys)} HAVING {' '.join(f'{op} {t}'.strip() for op, t in spec.having)}"
+
+
+def _test(df: DataFrame, key: int, sql: str) -> DataFrame:
+    """One row (key, good): ``meaningful`` as an aggregate of the query's own plan, over two of its rows at most."""
+    zero = F.lit(False)
+    if len(df.columns) == 1 and _aggregates(sql):
+        c, kind = F.col("_c"), df.schema.fields[0].dataType
+        zero = c.isNull() | (c == 0 if isinstance(kind, T.NumericType) else ~c if isinstance(kind, T.BooleanType) else F.lit(False))
+    rows = df.toDF(*["_c", *(f"_c{k}" for k in range(1, len(df.columns)))]).limit(2)
+    told = rows.agg(F.count("*").alias("n"), F.count_if(zero).alias("z"))
+    return told.select(F.lit(key).alias("key"), ((F.col("n") > 0) & ~((F.col("n") == 1) & (F.col("z") == 1))).alias("good"))
+
+
+def all_meaningful(spark: SparkSession, queries: list[str], seconds: float | None = None, at_once: int = TOGETHER) -> list[bool]:
+    """``meaningful`` of each query, ``at_once`` of them in one plan, in which scans and joins that they share are made once.
+
+    A query that can't be analysed isn't meaningful.  First come the queries' cheapest forms (see ``existing`` and
+    ``shown``), then the full ones of those that aren't decided.  If a plan fails or is late, its queries run by
+    themselves, so that what one raises, or takes longer than ``seconds`` for, touches no other.
+    """
+    good, first, full = [False] * len(queries), {}, {}
+    for k, sql in enumerate(queries):
+        try:
+            spark.sql(sql)  # the whole query must be sound
+            last, cheap = existing(sql), shown(sql)
+            (first if cheap is None else full)[k] = _test(spark.sql(last), k, last)
+            if cheap is not None:
+                first[k] = _test(spark.sql(cheap), k, cheap)
+        except Exception:  # whatever a query raises makes it worthless here
+            continue
+    for tests in (first, full):
+        open_ = [k for k in tests if not good[k]]
+        plans = {tuple(open_[k : k + at_once]): reduce(DataFrame.unionAll, [tests[x] for x in open_[k : k + at_once]]) for k in range(0, len(open_), at_once)}
+        told = limits.run_all(spark, {part: plan.collect for part, plan in plans.items()}, seconds)
+        for r in (r for out in told.values() if out.status == "ok" for r in out.result):
+            good[r["key"]] = r["good"]
+        again = [k for part, out in told.items() if out.status != "ok" for k in part]
+        for k, out in limits.run_all(spark, {k: tests[k].collect for k in again}, seconds).items():
+            good[k] = out.status == "ok" and out.result[0]["good"]
+    return good
 
 
 def expansions(spark: SparkSession, corpus: list[tuple[int, str]], schema: Schema) -> DataFrame:
@@ -161,13 +249,10 @@ def accepted(found: DataFrame, max_queries: int = 1000, max_isomorphic: int = 1)
 
 
 def expand(spark: SparkSession, corpus: list[tuple[int, str]], schema: Schema, max_queries: int = 1000, max_isomorphic: int = 1, seconds: float | None = None) -> DataFrame:
-    """Expansions that aren't redundant and whose result is meaningful, with their status.
-
-    Candidates run in jobs of their own; what fails, or takes more than ``seconds`` with nothing beside it, isn't meaningful."""
+    """Expansions that aren't redundant and whose result is meaningful, with their status; ``all_meaningful`` tests many in one plan."""
     found = expansions(spark, corpus, schema).where(~F.col("is_redundant"))
     rows = found.select("question_id", "ord", "sql").collect()
-    told = limits.run_all(spark, {k: partial(meaningful, spark, r["sql"]) for k, r in enumerate(rows)}, seconds)
-    good = [(r["question_id"], r["ord"]) for k, r in enumerate(rows) if told[k].status == "ok" and told[k].result]
+    good = [(r["question_id"], r["ord"]) for r, x in zip(rows, all_meaningful(spark, [r["sql"] for r in rows], seconds)) if x]
     keys = spark.createDataFrame(good, "question_id int, ord int")
     return accepted(found.join(F.broadcast(keys), ["question_id", "ord"], "left_semi"), max_queries, max_isomorphic)  # a row for each candidate
 

@@ -123,6 +123,15 @@ def test_budget(spark):
 def test_meaningful_and_fill(tables):
     assert not expansion.meaningful(tables, "SELECT count(*) FROM region WHERE r_regionkey < 0") and not expansion.meaningful(tables, "SELECT r_name FROM region WHERE r_regionkey < 0")
     assert expansion.meaningful(tables, "SELECT count(*) FROM region") and expansion.meaningful(tables, "SELECT 0 FROM region LIMIT 1")
+    several = ["SELECT count(*) FROM region WHERE r_regionkey < 0", "SELECT r_name FROM region WHERE r_regionkey < 0", "SELECT count(*) FROM region", "SELECT 0 FROM region LIMIT 1", "SELECT nope FROM region",
+               "SELECT r_name, max(r_regionkey) AS m FROM region GROUP BY r_name", "SELECT max(r_name) FROM region", "SELECT min(r_regionkey) IS NULL FROM region", "SELECT CAST(max(r_name) AS INT) FROM region", "SELECT max(NULL) FROM region"]
+    want = [False, False, True, True, False, True, True, False, False, False]
+    assert expansion.all_meaningful(tables, several) == want == expansion.all_meaningful(tables, several, 60, 3) and expansion.all_meaningful(tables, []) == []
+    assert expansion.existing("SELECT DISTINCT r_name, max(r_regionkey) AS m FROM region WHERE r_name > 'A' GROUP BY r_name ORDER BY m LIMIT 3") == "SELECT 1 AS one, 1 AS two FROM region WHERE r_name > 'A'"
+    assert all(expansion.existing(q) == q for q in ("SELECT count(*) FROM region", "SELECT r_name, count(*) FROM region GROUP BY r_name HAVING count(*) > 1", "SELECT r_name, CAST(r_name AS INT) FROM region", "SELECT 1 UNION SELECT 2"))
+    many = "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > {}"
+    assert expansion.shown(many.format(2)) and not expansion.shown(many.format(2).replace(">", "<")) and expansion.all_meaningful(tables, [many.format(4), many.format(5), many.format(5).replace("> 5", "< 6")]) == [True, False, True]
+    assert [expansion.meaningful(tables, q) for k, q in enumerate(several) if k not in (4, 8)] == [w for k, w in enumerate(want) if k not in (4, 8)]
     assert expansion.fill("a = ? AND b = ? AND c = ?", ["it's ?", None, 3]) == "a = 'it''s ?' AND b IS NULL AND c = 3"
 
 
