@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-METRICS = ("EXP", "EXR", "F1")
+from plumbline.operators.graph import cut
 
+METRICS = ("EXP", "EXR", "F1")
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -161,9 +162,32 @@ def statuses(scores: DataFrame, by: str = "technique") -> DataFrame:
     return scores.groupBy(by).agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "timeout", "error")], F.avg("F1").alias("f1_mean"), F.stddev_pop("F1").alias("f1_std"))
 
 
+def percentiles(df: DataFrame, column: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """``(*by, *shares)``: exact percentiles between neighbouring values, without a group's values in one task.
+
+    Equal values are counted first, and the counts sorted into ranges, whatever their group.  Sums by (group, range), a row
+    for each, tell which range has a rank; only that range is then counted through.  A group without values
+    has nulls; NaN is the largest value.
+    """
+    group, names = F.struct(*by).alias("k"), list(shares)
+    counts = df.groupBy(group, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = cut(counts.orderBy("k", "v").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    parts = counts.where("v IS NOT NULL").groupBy("k", "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumns({"before": F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n"), "total": F.sum("n").over(W.partitionBy("k"))})
+    at = F.array(*[F.struct(F.lit(n).alias("name"), ((F.col("total") - 1) * F.lit(float(q))).alias("pos")) for n, q in shares.items()])
+    ranks = parts.select("k", "part", "before", "n", F.explode(at).alias("x")).select("k", "part", "before", "n", "x.*")
+    ranks = ranks.select("k", "part", "before", "n", "name", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("rank")).where("rank >= before AND rank < before + n").drop("n").distinct()
+    inner = counts.where("v IS NOT NULL").join(ranks.select("k", "part").distinct(), ["k", "part"], "left_semi")
+    inner = inner.withColumn("upto", F.sum("n").over(W.partitionBy("k", "part").orderBy("v")))
+    found = ranks.join(inner, ["k", "part"]).where("rank >= before + upto - n AND rank < before + upto")
+    weight = F.when(F.floor("pos") == F.ceil("pos"), 1.0).when(F.col("rank") == F.floor("pos"), F.ceil("pos") - F.col("pos")).otherwise(F.col("pos") - F.floor("pos"))
+    values = found.groupBy("k", "name").agg(F.sum(weight * F.col("v")).alias("value")).groupBy("k").pivot("name", names).agg(F.first("value"))
+    return counts.select("k").distinct().join(values, "k", "left").select("k.*", *names)
+
+
 def five_numbers(df: DataFrame, column: str, by: str) -> DataFrame:
     """Least, quartiles and most, as box plots show."""
-    return df.groupBy(by).agg(*[F.percentile(column, F.lit(q)).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))])
+    return percentiles(df, column, [by], {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 20) -> DataFrame:

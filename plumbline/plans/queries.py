@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import embed, text
-from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, techniques
+from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, similar, techniques
 from plumbline.plans import star
 from plumbline.plans.queryspec import columns_of, is_nested, parse, structure
 from plumbline.plans.register import ORACLES, QUERIES, query  # noqa: F401  what the driver reads
@@ -343,6 +343,31 @@ def five_numbers(spark: SparkSession) -> DataFrame:
     return d.select("system", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
 
 
+_SHARES = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99, "high": 1.0}
+
+
+@query("SELECT 'all' AS lines, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for n, q in _SHARES.items()) + " FROM lineitem UNION ALL SELECT l_returnflag, "
+       + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6)" for q in _SHARES.values()) + " FROM lineitem GROUP BY l_returnflag")
+def price_percentiles(spark: SparkSession) -> DataFrame:
+    """All lines as one group beside three smaller ones."""
+    lines = spark.table("lineitem").select(F.explode(F.array(F.lit("all"), F.col("l_returnflag"))).alias("lines"), "l_extendedprice")
+    return reports.percentiles(lines, "l_extendedprice", ["lines"], _SHARES).select("lines", *[F.round(n, 6).alias(n) for n in _SHARES])
+
+
+_WORDS = "unnest(regexp_extract_all(lower({}), '[a-z]+'))"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT DISTINCT {_WORDS.format('p_name')} AS a FROM part), y AS (SELECT DISTINCT {_WORDS.format('text')} AS b FROM conversations),
+ p AS (SELECT a, b, len(a) AS n, len(b) AS m FROM x, y WHERE 200.0 * least(len(a), len(b)) / (len(a) + len(b)) >= 70),
+ r AS (SELECT a, b, n, m, 0 AS i, [0 for j in range(m + 1)] AS row FROM p UNION ALL
+   SELECT a, b, n, m, i + 1, [greatest(row[j], coalesce(list_max([row[q - 1] + 1 for q in range(2, j + 1) if b[q - 1] = a[i + 1]]), 0)) for j in range(1, m + 2)] FROM r WHERE i < n)
+ SELECT a, b, round(200.0 * row[m + 1] / (n + m), 6) AS ratio FROM r WHERE i = n AND 200.0 * row[m + 1] / (n + m) >= 70""")
+def fuzzy_words(spark: SparkSession) -> DataFrame:
+    """Words of part names that are like words of conversations."""
+    words = lambda t, c: spark.table(t).select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"))).alias("w"))
+    return similar.similar(words("part", "p_name"), words("conversations", "text"), "w", "w", 70.0).select(F.col("left").alias("a"), F.col("right").alias("b"), F.round("ratio", 6).alias("ratio"))
+
+
 @query("SELECT CAST(least(floor((l_quantity - 0) / 2.5), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1")
 def histogram(spark: SparkSession) -> DataFrame:
     return reports.histogram(spark.table("lineitem"), "l_quantity", 0.0, 50.0)
