@@ -116,11 +116,11 @@ def distinct_toggle(s: QuerySpec, rng: random.Random) -> QuerySpec | None:
 OPERATORS: dict[str, Operator] = {f.__name__: f for f in (
     projection_drop, where_predicate_delete, where_remove, where_condition_flip, where_strengthen, where_weaken, join_break, aggregation_swap,
     add_star_wildcard, having_condition_flip, having_remove, join_type_to_left, limit_increase, limit_decrease, distinct_toggle)}
-#: Operators that may not follow each other, whichever comes first: one undoes or swallows the other.
+#: Operators that may not be used together: those that edit the same predicate, and limits both ways.
 CONFLICTS = {frozenset(p) for p in (
-    ("where_remove", "where_predicate_delete"), ("where_remove", "where_condition_flip"), ("where_remove", "where_strengthen"), ("where_remove", "where_weaken"),
-    ("where_condition_flip", "where_strengthen"), ("where_condition_flip", "where_weaken"), ("where_strengthen", "where_weaken"), ("join_break", "join_type_to_left"),
-    ("having_remove", "having_condition_flip"), ("limit_increase", "limit_decrease"), ("projection_drop", "add_star_wildcard"))}
+    ("where_condition_flip", "where_strengthen"), ("where_condition_flip", "where_weaken"), ("where_strengthen", "where_weaken"), ("limit_increase", "limit_decrease"))}
+#: Operators that may be used more than once.
+REPEATABLE = {"projection_drop", "limit_increase", "limit_decrease"}
 
 
 def apply(sql: str, operators: list[str], seed: int = 42) -> str | None:
@@ -145,7 +145,7 @@ def suite(sql: str, depth: int = 2, seed: int = 42) -> list[tuple[int, list[str]
         grown = []
         for done, _ in level:
             for name in OPERATORS:
-                if name in done and name != "projection_drop" or any(frozenset((name, x)) in CONFLICTS for x in done):
+                if name in done and name not in REPEATABLE or any(frozenset((name, x)) in CONFLICTS for x in done):
                     continue
                 if (mutant := apply(sql, [*done, name], seed)) is not None:
                     grown.append(([*done, name], mutant))

@@ -38,22 +38,22 @@ def final_sql(messages: str = "messages") -> F.Column:
     return F.try_element_at(F.filter(F.transform(messages, lambda m: m["final_SQL"]), lambda x: x.isNotNull()), F.lit(1))
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str, key: str = "question_id") -> DataFrame:
-    """A CSV file with a row's place as its key.
+def csv_rows(spark: SparkSession, path: str, schema: str, key: str = "question_id", multiline: bool = True) -> DataFrame:
+    """A CSV file, or a folder of them by name, with a row's place as its key.
 
-    Spark keeps a file's order in its partitions' numbers.  A first pass counts the rows of each partition,
-    the second adds what comes before; no rows move.
+    Spark reads a file's pieces in tasks of its choice, so places are told by the piece: a first pass counts the rows of
+    each, the second adds what comes before, by file and place in it; no rows move.  With ``multiline`` cells may hold
+    line ends, and a file is one piece.
     """
-    rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"').withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    rows = spark.read.csv(path, header=True, schema=schema, multiLine=multiline, escape='"')
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s")).withColumn("_m", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_f", "_s").agg(F.count("*").alias("n"), F.min("_m").alias("first")).orderBy("_f", "_s").collect()  # a row for each piece
     before, total = [], 0
-    for p, n in sizes:
-        before.append((p, total))
-        total += n
-    offsets = F.broadcast(spark.createDataFrame(before, "_p long, _before long"))
-    placed = rows.withColumn("_p", part).join(offsets, "_p", "left")
-    return placed.withColumn(key, (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("_m", "_p", "_before")
+    for r in sizes:
+        before.append((r["_f"], r["_s"], total - r["first"]))
+        total += r["n"]
+    placed = rows.join(spark.createDataFrame(before, "_f string, _s long, _before long"), ["_f", "_s"], "left")
+    return placed.withColumn(key, (F.col("_before") + F.col("_m")).cast("int")).drop("_f", "_s", "_m", "_before")
 
 
 def column_descriptions(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import logging
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import cut
+
 
 def evaluation_log(scores: DataFrame, path: str) -> None:
     """Scores as JSON, a folder for each technique."""
@@ -45,14 +48,36 @@ def export_sampled(sample: DataFrame, sources: list[DataFrame], path: str) -> No
     query_files(rows.join(sample.select("question_id"), "question_id", "left_semi").orderBy("question_id"), path)
 
 
+def cells(todo: DataFrame, keys: list[str], columns: list[str], name: str = "column") -> DataFrame:
+    """Work by cell: each row of ``todo`` once for each of ``columns``, which with ``keys`` is its key."""
+    return todo.select(*keys, F.explode(F.lit(columns)).alias(name), *[c for c in todo.columns if c not in keys])
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a run has published at ``path``, or a plain Parquet table there; None if there is nothing.
+
+    A run publishes epochs, folders of their own.  Spark marks a folder when its last file is in place; one without the
+    mark is what a killed run has left, and isn't read.
+    """
+    if not exists(spark, path):
+        return None
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    epochs = [f.getPath().toString() for f in files.listStatus(top) if f.getPath().getName().startswith("epoch=")]
+    if not epochs:
+        return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
+    done = [e for e in epochs if exists(spark, f"{e}/_SUCCESS")]
+    return spark.read.parquet(*done) if done else None
+
+
 def pending(todo: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """The rows of ``todo`` whose keys aren't in the Parquet table at ``path``, all of them if there is none.
+    """The rows of ``todo`` whose keys aren't among those ``finished`` at ``path``.
 
     Keys are compared column by column, nulls as equal."""
-    spark = todo.sparkSession
-    if not exists(spark, path):
+    found = finished(todo.sparkSession, path)
+    if found is None:
         return todo
-    done = spark.read.parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    done = found.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
     same = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -60,12 +85,18 @@ def pending(todo: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return todo.join(done, same, "left_anti")
 
 
-def resume(todo: DataFrame, path: str, keys: list[str], work) -> int:
-    """Does ``work`` (rows to rows) on what is pending and appends the result; how many rows there were to do."""
-    left = pending(todo, path, keys)
+def resume(todo: DataFrame, path: str, keys: list[str], work, at_once: int = 1000) -> int:
+    """Does ``work`` (rows to rows) on what is pending, about ``at_once`` rows at a time; how many rows there were to do.
+
+    Rows are dealt to epochs by a hash of their keys, and each epoch is published when it is whole.  A run that is killed
+    loses what it was at, no more; the next one finds the rest pending.
+    """
+    left = cut(pending(todo, path, keys))
     n = left.count()
-    if n:
-        work(left).write.mode("append").parquet(path)
+    epochs = -(-n // at_once)
+    turn = F.pmod(F.xxhash64(*keys), F.lit(max(1, epochs)))
+    for k in range(epochs):
+        work(left.where(turn == k)).write.parquet(f"{path}/epoch={uuid.uuid4().hex}")
     return n
 
 

@@ -60,6 +60,10 @@ def test_suites_are_deterministic_and_respect_conflicts(spark):
     for r in a:
         assert not any(frozenset(p) in mutation.CONFLICTS for p in zip(r.operators, r.operators[1:]))
         assert r.error_count == r.depth == len(r.operators)
+    rich = "SELECT n_name, n_regionkey FROM nation INNER JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3 AND r_regionkey < 4 ORDER BY n_name LIMIT 20"
+    used = {tuple(ops) for _, ops, _ in mutation.suite(rich)}
+    assert {("where_condition_flip", "where_remove"), ("projection_drop", "add_star_wildcard"), ("limit_increase", "limit_increase"), ("join_type_to_left", "projection_drop")} <= used
+    assert not used & {("where_strengthen", "where_weaken"), ("limit_increase", "limit_decrease"), ("where_remove", "where_remove")}
 
 
 def test_chains(spark):

@@ -21,6 +21,41 @@ def test_backend(spark, tmp_path):
         backend.open_backend("other", spark)
 
 
+def test_places_in_a_folder_of_files(spark, tmp_path):
+    """A small file and a large one: by name, not by what Spark reads first."""
+    (tmp_path / "f").mkdir()
+    for name, n in (("a", 3), ("b", 30), ("c", 1)):
+        (tmp_path / "f" / f"{name}.csv").write_text("q\n" + "".join(f"{name}{k:02}\n" for k in range(n)))
+    want = [f"a{k:02}" for k in range(3)] + [f"b{k:02}" for k in range(30)] + ["c00"]
+    for multiline in (True, False):
+        rows = readers.csv_rows(spark, f"{tmp_path}/f", "q string", multiline=multiline).collect()
+        assert [r.q for r in sorted(rows, key=lambda r: r.question_id)] == want
+        assert sorted(r.question_id for r in rows) == list(range(34))
+
+
+def test_a_killed_run_loses_one_epoch(spark, tmp_path):
+    """Work by cell that is killed in its third epoch: what was published stays, what wasn't is done again, nothing twice."""
+    rows = spark.createDataFrame([(k, f"q{k}") for k in range(40)], "question_id int, q string")
+    todo, out = sinks.cells(rows, ["question_id"], ["EX", "F1", "EXP"]), f"{tmp_path}/run"
+    turns = []
+
+    def work(df):
+        turns.append(df.count())
+        if len(turns) == 3:
+            raise KeyboardInterrupt  # between two epochs
+        return df.withColumn("value", F.length("q"))
+
+    with pytest.raises(KeyboardInterrupt):
+        sinks.resume(todo, out, ["question_id", "column"], work, 30)
+    done = sinks.finished(spark, out).count()
+    assert done == sum(turns[:2])
+    (tmp_path / "run" / "epoch=broken").mkdir()
+    (tmp_path / "run" / "epoch=broken" / "part-0.parquet").write_bytes(b"half")  # left by a writer that died
+    assert sinks.resume(todo, out, ["question_id", "column"], work, 30) == 120 - done
+    got = sinks.finished(spark, out)
+    assert got.count() == 120 == got.select("question_id", "column").distinct().count() and sinks.resume(todo, out, ["question_id", "column"], work) == 0
+
+
 def test_time_limit(spark):
     slow = F.udf(lambda x: time.sleep(30) or x, "long")
     began = time.time()
