@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plumbline.functions import cells, embed
-from plumbline.operators import matching, tiers
+from plumbline.operators import frequent, matching, tiers
 
 TECHNIQUES = (
     "execution_accuracy", "exact_column_and_exact_cell", "exact_column_and_partial_cell", "semantic_column_and_exact_cell",
@@ -95,12 +94,8 @@ def exact_column_and_partial_cell(gold: DataFrame, pred: DataFrame, penalize_ext
 
 def column_profile(df: DataFrame, top: int = 10) -> DataFrame:
     """``(column_name, data_type, value, n, rank)``: the most frequent values of each column without nulls, ties by value."""
-    kinds = dict(df.dtypes)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
-    counted = df.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("column_name").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
-    kind = F.create_map(*[F.lit(x) for c, t in kinds.items() for x in (c, t)])
-    return ranked.select("column_name", kind[F.col("column_name")].alias("data_type"), "value", "n", "rank")
+    kind = F.create_map(*[F.lit(x) for c, t in df.dtypes for x in (c, t)])
+    return frequent.commonest(df, top).select("column_name", kind[F.col("column_name")].alias("data_type"), "value", "n", "rank")
 
 
 def column_texts(df: DataFrame) -> list[str]:

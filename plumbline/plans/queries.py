@@ -206,6 +206,18 @@ def column_profile_top10(spark: SparkSession) -> DataFrame:
     return techniques.column_profile(spark.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select("column_name", "value", "n", "rank")
 
 
+_LINES = "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus".split()
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS column_name, v AS value, n, CAST(row_number() OVER (ORDER BY n DESC, v) AS INTEGER) AS rank
+        FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1)) WHERE rank <= 10""" for c in _LINES) + """ UNION ALL SELECT * FROM (SELECT 'month' AS column_name, v AS value, n,
+        CAST(row_number() OVER (ORDER BY n DESC, v) AS INTEGER) AS rank FROM (SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1)) WHERE rank <= 10""")
+def commonest_of_lines(spark: SparkSession) -> DataFrame:
+    """Keys with ties at the end, columns of a few values, and months in between."""
+    month = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("month")
+    return techniques.column_profile(spark.table("lineitem").select(*_LINES, month)).select("column_name", "value", "n", "rank")
+
+
 @query("SELECT l_returnflag, l_quantity FROM lineitem WHERE l_discount > 0.05 INTERSECT ALL SELECT l_returnflag, l_quantity FROM lineitem WHERE l_tax > 0.04")
 def bag_intersection(spark: SparkSession) -> DataFrame:
     part = lambda c: spark.table("lineitem").where(c).select("l_returnflag", "l_quantity")
