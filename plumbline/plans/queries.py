@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import embed, text
-from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, similar, techniques
+from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, similar, techniques, words
 from plumbline.plans import star
 from plumbline.plans.queryspec import columns_of, is_nested, parse, structure
 from plumbline.plans.register import ORACLES, QUERIES, query  # noqa: F401  what the driver reads
@@ -366,6 +366,49 @@ def price_percentiles(spark: SparkSession) -> DataFrame:
     return reports.percentiles(lines, "l_extendedprice", ["lines"], _SHARES).select("lines", *[F.round(n, 6).alias(n) for n in _SHARES])
 
 
+_LETTERS = "regexp_extract_all(lower(text), '[a-z]+')"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT {_LETTERS} AS w FROM conversations), v AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word),
+ c AS (SELECT word, CAST(round(1000 * ln((SELECT sum(n) FROM v) / n)) AS BIGINT) AS cost FROM v), one AS (SELECT CAST(round(1000 * ln(sum(n))) AS BIGINT) + {words.UNKNOWN} AS alone FROM v),
+ d AS (SELECT DISTINCT w[k] || w[k + 1] AS name FROM t, unnest(range(1, len(w))) x(k)),
+ s AS (SELECT name, a, b, name[a + 1 : b] AS word FROM d, unnest(range(len(name))) x(a), unnest(range(a + 1, least(len(name), a + {words.LONGEST}) + 1)) y(b)),
+ e AS (SELECT name, list(struct_pack(e := b, s := a, c := coalesce(cost, alone))) AS edges FROM s LEFT JOIN c USING (word), one WHERE cost IS NOT NULL OR b = a + 1 GROUP BY name),
+ r AS (SELECT name, edges, 0 AS i, [struct_pack(cost := 0::BIGINT, words := 0::BIGINT, s := 0::BIGINT)] AS best FROM e UNION ALL
+   SELECT name, edges, i + 1, list_append(best, list_min([struct_pack(cost := best[x.s + 1].cost + x.c, words := best[x.s + 1].words + 1, s := CAST(x.s AS BIGINT)) for x in edges if x.e = i + 1])) FROM r WHERE i < len(name)),
+ f AS (SELECT name, best, len(name) AS pos, '' AS said FROM r WHERE i = len(name) UNION ALL SELECT name, best, CAST(best[pos + 1].s AS BIGINT), name[best[pos + 1].s + 1 : pos] || ' ' || said FROM f WHERE pos > 0)
+ SELECT name, best[len(name) + 1].cost AS cost, trim(said) AS words FROM f WHERE pos = 0""")
+def joined_words_cut(spark: SparkSession) -> DataFrame:
+    """Every two words that follow each other in a turn, joined and cut apart again."""
+    turns = spark.table("conversations").select("text", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")).alias("w"))
+    joined = turns.select(F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, b))).alias("name")).where("name IS NOT NULL")
+    return words.segmented(joined, "name", words.vocabulary(turns, "text")).select("name", "cost", F.array_join("words", " ").alias("words"))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest({_LETTERS}) AS word FROM documents), r(k, old, new) AS (VALUES {', '.join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(words.ENDINGS))}),
+ f AS (SELECT word, r.k, left(word, len(word) - len(old)) || new AS form FROM v, r WHERE ends_with(word, old) AND NOT (old = 's' AND ends_with(word, 'ss'))),
+ k AS (SELECT f.word, arg_min(form, f.k) AS form FROM f JOIN v ON v.word = form WHERE len(form) >= 3 GROUP BY f.word)
+ SELECT coalesce(form, v.word) AS lemma, count(*) AS n FROM v LEFT JOIN k ON k.word = v.word GROUP BY 1 HAVING count(*) > 1""")
+def lemmas_of_documents(spark: SparkSession) -> DataFrame:
+    """Plain forms to which several words of the documents come down."""
+    found = words.lemmas(words.vocabulary(spark.table("documents"), "text"))
+    return found.groupBy("lemma").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""WITH RECURSIVE h AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
+ p AS (SELECT child, child AS up, 0 AS k FROM h UNION ALL SELECT p.child, h.parent, k + 1 FROM p JOIN h ON h.child = p.up),
+ d AS (SELECT child, max(k) + 1 AS depth FROM p GROUP BY child), x AS (SELECT c_custkey AS k, 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer),
+ l AS (SELECT x.k, min(u.k) AS up FROM x JOIN p u ON u.child = x.a JOIN p w ON w.child = x.b AND w.up = u.up GROUP BY x.k)
+ SELECT x.a, x.b, round(2.0::DOUBLE * (da.depth - up) / (da.depth + db.depth), 9) AS score FROM x LEFT JOIN l USING (k) LEFT JOIN d da ON da.child = x.a LEFT JOIN d db ON db.child = x.b""")
+def customer_relatedness(spark: SparkSession) -> DataFrame:
+    """Neighbouring customers by their nations and regions."""
+    edge = lambda t, a, x, b, y: spark.table(t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("child"), F.concat(F.lit(b), y).alias("parent"))
+    tree = edge("customer", "c", "c_custkey", "n", F.col("c_nationkey").cast("string")).unionAll(edge("nation", "n", "n_nationkey", "r", F.col("n_regionkey").cast("string"))).unionAll(edge("region", "r", "r_regionkey", "world", F.lit("")))
+    name = lambda n: F.concat(F.lit("c"), (F.col("c_custkey") + n).cast("string"))
+    pairs, senses = spark.table("customer").select(name(0).alias("a"), name(1).alias("b")), spark.table("customer").select(name(0).alias("word"), name(0).alias("node"))
+    return words.relatedness(pairs, senses, tree).withColumn("score", F.round("score", 9))
+
+
 _WORDS = "unnest(regexp_extract_all(lower({}), '[a-z]+'))"
 
 
@@ -376,8 +419,8 @@ _WORDS = "unnest(regexp_extract_all(lower({}), '[a-z]+'))"
  SELECT a, b, round(200.0 * row[m + 1] / (n + m), 6) AS ratio FROM r WHERE i = n AND 200.0 * row[m + 1] / (n + m) >= 70""")
 def fuzzy_words(spark: SparkSession) -> DataFrame:
     """Words of part names that are like words of conversations."""
-    words = lambda t, c: spark.table(t).select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"))).alias("w"))
-    return similar.similar(words("part", "p_name"), words("conversations", "text"), "w", "w", 70.0).select(F.col("left").alias("a"), F.col("right").alias("b"), F.round("ratio", 6).alias("ratio"))
+    said = lambda t, c: spark.table(t).select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"))).alias("w"))
+    return similar.similar(said("part", "p_name"), said("conversations", "text"), "w", "w", 70.0).select(F.col("left").alias("a"), F.col("right").alias("b"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("SELECT CAST(least(floor((l_quantity - 0) / 2.5), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1")
