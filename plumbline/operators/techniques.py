@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells, embed
-from plumbline.operators import frequent, matching, tiers
+from plumbline.operators import frequent, matching, partners, tiers
 
 TECHNIQUES = (
     "execution_accuracy", "exact_column_and_exact_cell", "exact_column_and_partial_cell", "semantic_column_and_exact_cell",
     "semantic_column_and_partial_cell", "no_column_and_partial_cell", "unified_column_and_semantic_row",
 )
-#: Pairs of rows that the assignment of ``unified_column_and_semantic_row`` may hold.
+#: Pairs of rows of which the driver may solve an assignment.
 PAIRS = 1_000_000
 #: Least similarity of semantically matched columns.
 SIMILAR = 0.7
@@ -142,22 +142,27 @@ def unified_column_and_semantic_row(gold: DataFrame, pred: DataFrame, provider:
     """Rows, padded to all columns of both, by the best assignment of their texts' similarities.
 
     Each similarity (1 for equal texts) counts by the share of gold columns that the prediction has.
-    More than PAIRS pairs of rows raise ValueError, as the assignment needs them all.
+    Up to PAIRS pairs the driver solves the assignment.  Beyond, rows take their best partners, found on the executors, which is the best
+    assignment if none is disputed; if one is, ValueError is raised.
     """
     gold, pred = cells.unique_names(gold), cells.unique_names(pred)
     spark, names = gold.sparkSession, sorted(set(gold.columns) | set(pred.columns))
     share = 1.0 if len(gold.columns) <= 1 else len(set(gold.columns) & set(pred.columns)) / len(gold.columns)
-    n_gold, n_pred = (d.limit(PAIRS + 1).count() for d in (gold, pred))
-    if n_gold * n_pred > PAIRS:
-        raise ValueError(f"{n_gold} x {n_pred} pairs of rows are more than {PAIRS}")
-    a, b = (sorted(r[0] for r in d.select(cells.padded_row(d, names)).collect()) for d in (gold, pred))  # bounded by the check above
+    texts = [d.select(cells.padded_row(d, names).alias("text")) for d in (gold, pred)]
+    n_gold, n_pred = (t.count() for t in texts)
     total = 0.0
-    if a and b:
+    if n_gold * n_pred > PAIRS:
+        found = partners.undisputed(*texts, provider)
+        if found is None:
+            raise ValueError(f"{n_gold} x {n_pred} pairs of rows are more than {PAIRS}, and rows dispute their best partners")
+        total = found * share
+    elif n_gold and n_pred:
+        a, b = (sorted(r[0] for r in t.collect()) for t in texts)  # bounded by the check above
         sims = embed.similarities(provider(a), provider(b))
         sims[[[x == y for y in b] for x in a]] = 1.0
         total = sum(float(sims[i, j]) for i, j in embed.assignment(sims)) * share
-    exp, exr = (1.0, 1.0) if not a and not b else (total / len(b) if b else 0.0, total / len(a) if a else 0.0)
-    if (not a) != (not b):
+    exp, exr = (1.0, 1.0) if not n_gold and not n_pred else (total / n_pred if n_pred else 0.0, total / n_gold if n_gold else 0.0)
+    if (not n_gold) != (not n_pred):
         exp = exr = 0.0
     f1 = 2 * exp * exr / (exp + exr) if exp + exr else 0.0
     row = spark.range(1).select(*[F.lit(float(v)).alias(k) for k, v in (("exp", exp), ("exr", exr), ("f1", f1))])

@@ -183,6 +183,14 @@ def metric_unified_row(spark: SparkSession) -> DataFrame:
     return techniques.evaluate_cases(spark, cases, "unified_column_and_semantic_row").select("case_id", "status", "ex", F.round("exp", 9).alias("exp"), F.round("exr", 9).alias("exr"))
 
 
+@query("""SELECT 'customers' AS case_id, 'ok' AS status, CASE WHEN p = g THEN 1 ELSE 0 END AS ex, 1.0::DOUBLE AS exp, p / g::DOUBLE AS exr
+        FROM (SELECT count(*) AS g, count(*) FILTER (c_acctbal > 0) AS p FROM customer)""")
+def metric_unified_whole_customer(spark: SparkSession) -> DataFrame:
+    """More pairs of rows than one machine should hold, of which every predicted row has an equal one."""
+    cases = [("customers", "SELECT c_custkey, c_name, c_mktsegment FROM customer", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal > 0")]
+    return techniques.evaluate_cases(spark, cases, "unified_column_and_semantic_row").select("case_id", "status", "ex", F.round("exp", 9).alias("exp"), F.round("exr", 9).alias("exr"))
+
+
 @query(_ok(_exact_sql(True, EMPTY)))
 def metric_empty_rules(spark: SparkSession) -> DataFrame:
     return _suite(spark, "exact_column_and_partial_cell", EMPTY).select("case_id", "status", "ex", "exp", "exr", "f1")
