@@ -163,6 +163,11 @@ def degree_encoding(nodes: list, edges: Edges) -> tuple:
     return tuple(sorted((len(near[n]), tuple(sorted(len(near[m]) for m in near[n]))) for n in nodes))
 
 
+def isomorphic(a: tuple[list, Edges], b: tuple[list, Edges]) -> bool:
+    """Whether two graphs (nodes, edges) have the same structure; most that haven't differ in their degrees already."""
+    return degree_encoding(*a) == degree_encoding(*b) and canonical(*a) == canonical(*b)
+
+
 def canonical(nodes: list, edges: Edges) -> str:
     """A text that two graphs share exactly if they are isomorphic: the least adjacency string over the orders that
     colour refinement leaves.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,20 @@ def test_isomorphism():
     assert graph.canonical(list(range(12)), []) == "12:" + "0" * 66 and graph.canonical([1, 2], [(1, 2)]) == "2:1"
 
 
+def test_degrees_tell_most_graphs_apart():
+    rng, told = random.Random(2), 0
+    for _ in range(60):
+        a, b = ([(x, y) for x in range(5) for y in range(x) if rng.random() < 0.5] for _ in range(2))
+        same = any(sorted(tuple(sorted((p[x], p[y]))) for x, y in a) == sorted(tuple(sorted(e)) for e in b) for p in permutations(range(5)))
+        nodes = list(range(5))
+        assert graph.isomorphic((nodes, a), (nodes, b)) == same
+        assert not same or graph.degree_encoding(nodes, a) == graph.degree_encoding(nodes, b)
+        told += not same and graph.degree_encoding(nodes, a) != graph.degree_encoding(nodes, b)
+    assert told > 40
+    hexagon, triangles = [(k, (k + 1) % 6) for k in range(6)], [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)]
+    assert graph.degree_encoding(list(range(6)), hexagon) == graph.degree_encoding(list(range(6)), triangles) and not graph.isomorphic((list(range(6)), hexagon), (list(range(6)), triangles))
+
+
 def test_cycles_and_centrality():
     square = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]
     assert [len(c) for c in graph.simple_cycles(square)] == [3, 3, 4]
