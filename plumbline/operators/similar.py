@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import cut
+
 #: Below this a word may have fewer letters than it needs pieces.
 LEAST = 70.0
 
@@ -53,13 +55,13 @@ def _lengths(n: int, least: float) -> range:
     return range(max(1, int(low - 1e-9)), int(high + 1e-9) + 1)
 
 
-def pieces(word: str, least: float, left: bool) -> set[str]:
-    """The keys by which a word is met: its pieces for each length that a partner may have, or, as the partner, all that
-    could be such a piece."""
+def pieces(word: str, least: float, left: bool, lengths: frozenset[int] | None = None) -> set[str]:
+    """The keys by which a word is met: its pieces for each length that a partner may have (of ``lengths``, if given), or,
+    as the partner, all that could be such a piece."""
     n, out = len(word), set()
     for m in _lengths(n, least):
         d = _edits(n, m, least)
-        if abs(n - m) > d:
+        if abs(n - m) > d or lengths is not None and m not in lengths:
             continue
         own, other = (n, m) if left else (m, n)
         for k, (a, b) in enumerate(_cuts(own, d + 1)):
@@ -68,15 +70,19 @@ def pieces(word: str, least: float, left: bool) -> set[str]:
     return out
 
 
-def _keyed(words: DataFrame, column: str, least: float, left: bool) -> DataFrame:
+def _lengths_of(words: DataFrame) -> frozenset[int]:
+    """The lengths that words have: as many rows as the longest has letters at most."""
+    return frozenset(r[0] for r in words.select(F.length("word")).distinct().collect())
+
+
+def _keyed(words: DataFrame, least: float, left: bool, lengths: frozenset[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):  # a long word has many pieces
-                said = [(w, key) for w in batch.column(0).slice(k, 500).to_pylist() for key in pieces(w, least, left)]
+                said = [(w, key) for w in batch.column(0).slice(k, 500).to_pylist() for key in pieces(w, least, left, lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in said], pa.string()), pa.array([x for _, x in said], pa.string())], ["word", "key"])
 
-    own = words.select(F.col(column).alias("word")).where("word <> ''").distinct()
-    return own.mapInArrow(run, "word string, key string")
+    return words.mapInArrow(run, "word string, key string")
 
 
 def similar(left: DataFrame, right: DataFrame, left_col: str, right_col: str, least: float = 85.0) -> DataFrame:
@@ -87,7 +93,8 @@ def similar(left: DataFrame, right: DataFrame, left_col: str, right_col: str, le
     """
     if not LEAST <= least <= 100:
         raise ValueError(f"the least ratio must be {LEAST} to 100")
-    a, b = _keyed(left, left_col, least, True), _keyed(right, right_col, least, False)
+    own = [cut(d.select(F.col(c).alias("word")).where("word <> ''").distinct()) for d, c in ((left, left_col), (right, right_col))]
+    a, b = _keyed(own[0], least, True, _lengths_of(own[1])), _keyed(own[1], least, False, _lengths_of(own[0]))
     pairs = a.select(F.col("word").alias("left"), "key").join(b.select(F.col("word").alias("right"), "key"), "key").select("left", "right").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
