@@ -1,11 +1,17 @@
-"""Line dedup by the hashes of windows of lines.
+"""Line dedup by winnowing over the hashes of lines.
 
 A text is a sequence of units: its lines, long ones cut further at sentence ends.  A window is a
-shortest run of units from some unit onwards, or up to some unit, that has MIN_WORDS words.  If a
-text shares a run of that many words with an earlier one, each unit of the run lies in a window
+shortest run of units from some unit onwards, or up to some unit, that has MIN_WORDS words.  Each
+window selects its unit with the least hash, and the selected units are the text's fingerprints.
+Equal windows select the same unit, so a window that occurs twice has a fingerprint that occurs
+twice: what's unique among fingerprints needs no look at its windows.  Positions of the others are
+joined by the windows that selected them, and matches that lie on one diagonal of two texts are
+extended over one another to the longest ones.
+
+If a text shares a run of MIN_WORDS words with an earlier one, each unit of the run lies in a window
 inside it: go from the unit to the run's end until the words are enough, else take the last window
-of the run.  So exactly the windows that occur earlier, as a whole, make up all the runs that are
-deleted, whichever text each occurs in first.
+of the run.  So the windows that occur earlier make up exactly the runs that are deleted, whichever
+text each occurs in first.  Units are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -35,41 +41,6 @@ def units(text: str | None) -> list[tuple[int, str, int]]:
     return out
 
 
-def select(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
-    """Positions of the units that some window selects; of equal least hashes the last.
-
-    A window begins at each unit and ends where it has ``least`` words; a text's tail with fewer has none.
-    """
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    total = np.r_[0, np.cumsum(words)]
-    end = np.searchsorted(total, total[:-1] + least)  # the window is [i, end)
-    last = np.searchsorted(doc, doc, "right")
-    begin = np.flatnonzero(end <= last)
-    best, at, end = hashes[begin].copy(), begin.copy(), end[begin]
-    for k in range(1, least):
-        inside = begin + k < end
-        if not inside.any():
-            break
-        i = np.minimum(begin + k, n - 1)
-        lower = inside & (hashes[i] <= best)
-        best[lower], at[lower] = hashes[i[lower]], i[lower]
-    return np.unique(at)
-
-
-def _hashed(texts: list, skip: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    import xxhash
-
-    h, hashes, words, size = xxhash.xxh64_intdigest, [], [], []
-    for t, s in zip(texts, skip):
-        found = [] if s else units(t)
-        hashes += [h(u) for _, u, _ in found]
-        words += [w for _, _, w in found]
-        size.append(len(found))
-    return np.array(hashes, np.uint64), np.array(words, np.int64), np.repeat(np.arange(len(texts)), size)
-
-
 def windows(words: np.ndarray, doc: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Where each window begins and how many units it has: the shortest from each unit on that has
     ``least`` words, and those up to a unit that aren't among them.  None reaches beyond its text."""
@@ -82,74 +53,122 @@ def windows(words: np.ndarray, doc: np.ndarray, least: int = MIN_WORDS) -> tuple
     return np.r_[ahead, begin[back]], np.r_[end[ahead] - ahead, back + 1 - begin[back]]
 
 
-_ODD = 0x9E3779B97F4A7C15
+def select(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The position of the unit that each window selects; of equal least hashes the last."""
+    best, at = hashes[begin].copy(), begin.copy()
+    for k in range(1, int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        on = on[hashes[begin[on] + k] <= best[on]]
+        at[on] = begin[on] + k
+        best[on] = hashes[at[on]]
+    return at
+
+
+#: Odd multipliers for either half of a hash.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def _hashes(contents: list[str]) -> np.ndarray:
+    """Both halves of each unit's 128-bit hash."""
+    import xxhash
+
+    if not contents:
+        return np.zeros((0, 2), np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, contents)), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def _keys(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each window's units in their order; that of a single unit is its own."""
+    """Both halves of a hash of each window's units in their order; that of a single unit is its own."""
     key = hashes[begin]
     for k in range(1, int(size.max(initial=0))):
         on = np.flatnonzero(size > k)
-        key[on] = (key[on] ^ (key[on] >> np.uint64(32))) * np.uint64(_ODD) + hashes[begin[on] + k]
+        key[on] = (key[on] ^ (key[on] >> np.uint64(32))) * _ODD + hashes[begin[on] + k]
     return key
 
 
-def _key(hashes: list[int]) -> int:
-    """The same of one window."""
-    key = hashes[0]
-    for h in hashes[1:]:
-        key = ((key ^ (key >> 32)) * _ODD + h) % (1 << 64)
-    return key
+def _winnowed(texts: list, ids: pa.Array) -> pa.RecordBatch:
+    """Rows of ``fingerprints`` for some texts; those without an id have none."""
+    contents, words, sizes = [], [], []
+    for t, skip in zip(texts, ids.is_null().to_pylist()):
+        found = [] if skip else units(t)
+        contents += [u for _, u, _ in found]
+        words += [w for _, _, w in found]
+        sizes.append(len(found))
+    hashes, doc = _hashes(contents), np.repeat(np.arange(len(texts)), sizes)
+    begin, size = windows(np.array(words, np.int64), doc)
+    at = select(hashes[:, 0], begin, size)
+    order = np.argsort(at, kind="stable")
+    begin, size, at = begin[order], size[order], at[order]
+    picked, first = np.unique(at, return_index=True)
+    key = _keys(hashes, begin, size)
+    alone = size == 1  # its key is the fingerprint itself
+    told = pa.StructArray.from_arrays(
+        [pa.array(key[:, 0].astype(np.int64), mask=alone), pa.array(key[:, 1].astype(np.int64)),
+         pa.array((at - begin).astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "check", "back", "size"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(hashes[picked, 0].astype(np.int64)), ids.take(pa.array(doc[picked])), pa.array((picked - np.searchsorted(doc, doc[picked])).astype(np.int32)),
+         pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), told)], names=["h", "id", "pos", "windows"])
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(h, id, pos, size)`` of every window: its hash, its text, its first unit and how many it has."""
+    """``(h, id, pos, windows)`` of every selected unit: its hash, its text, its place, and of each window
+    that selects it both halves of the hash, how many units before it lie and how many the window has."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                ids = part.column(0)
-                hashes, words, doc = _hashed(part.column(1).to_pylist(), ids.is_null().to_pylist())
-                begin, size = windows(words, doc)
-                first = np.searchsorted(doc, doc[begin])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_keys(hashes, begin, size).view(np.int64)), ids.take(pa.array(doc[begin])), pa.array((begin - first).astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["h", "id", "pos", "size"])
+                yield _winnowed(part.column(1).to_pylist(), part.column(0))
 
-    return df.select(id_col, text_col).mapInArrow(run, f"h long, id {kind}, pos int, size int")
+    return df.select(id_col, text_col).mapInArrow(run, f"h long, id {kind}, pos int, windows array<struct<key: long, check: long, back: int, size: int>>")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, runs)``: for each text with windows that occur earlier, where they are.
+    """``(id, matches)``: for each text with windows that occur earlier, where they are and where they occur first.
 
-    Earlier is by (id, place).  Hashes alone are counted first; just the repeated ones go on.  Each
-    occurrence joins the first one alone, never all others.  What is aggregated by hash is written
-    first, so that the joins' sides come straight from a shuffle and adaptive execution can split the
-    occurrences of a very common line over tasks.
+    Earlier is by (id, place).  Fingerprints alone are counted first; just the repeated ones go on, by
+    their windows.  Each occurrence of a window joins the first one alone, never all others.  What is
+    aggregated by hash is written first, so that the joins' sides come straight from a shuffle and
+    adaptive execution can split the occurrences of a very common line over tasks.
     """
-    every = common.saved(fingerprints(df, id_col, text_col), "line-windows")
-    many = common.saved(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
-    found = common.saved(every.join(many, "h", "left_semi"), "line-fingerprints")
-    first = common.saved(found.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("f")).select("h", F.col("f.id").alias("fid"), F.col("f.pos").alias("fpos")), "first-occurrences")
-    later = found.join(first, "h").where("id <> fid or pos <> fpos")
-    return later.select("id", F.struct("pos", "size", "h").alias("run")).groupBy("id").agg(F.collect_list("run").alias("runs"))
+    every = common.saved(fingerprints(df, id_col, text_col), "line-fingerprints")
+    many = common.saved(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-fingerprints")
+    told = every.join(many, "h", "left_semi").select("h", "id", "pos", F.explode("windows").alias("w"))
+    found = common.saved(told.select(F.coalesce("w.key", "h").alias("key"), "w.check", "id", (F.col("pos") - F.col("w.back")).alias("pos"), "w.size"), "line-windows")
+    first = found.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("f")).where("n > 1")
+    first = common.saved(first.select("key", "check", F.col("f.id").alias("from_id"), F.col("f.pos").alias("from_pos")), "first-occurrences")
+    later = found.join(first, ["key", "check"]).where("id <> from_id or pos <> from_pos")
+    return later.select("id", F.struct("pos", "size", "key", "check", "from_id", "from_pos").alias("m")).groupBy("id").agg(F.collect_list("m").alias("matches"))
+
+
+def extended(matches: list) -> list[tuple[int, int]]:
+    """The longest runs ``(first unit, unit after the last)`` that matched windows make: those on one diagonal of two texts that touch are one run."""
+    ends: dict = {}
+    out = []
+    for m in sorted(matches, key=lambda m: m["pos"]):
+        at, end, diagonal = m["pos"], m["pos"] + m["size"], (m["from_id"], m["pos"] - m["from_pos"])
+        if (run := ends.get(diagonal)) and at <= run[1]:
+            run[1] = max(run[1], end)
+        else:
+            ends[diagonal] = [at, end]
+            out.append(ends[diagonal])
+    return [tuple(run) for run in out]
 
 
-def removed(text: str, runs: list) -> tuple[str, int, int]:
-    """A text without the windows that occur earlier; how many units and words went.
+def removed(text: str, matches: list) -> tuple[str, int, int]:
+    """A text without the runs that occur earlier; how many units and words went.
 
-    A line that loses some of its units keeps the rest with single spaces; one that loses all goes.
+    Matches of another text that has the same id aren't this one's.  A line that loses some of its
+    units keeps the rest with single spaces; one that loses all goes.
     """
-    import xxhash
-
-    found, drop = units(text), set()
-    hashes = [xxhash.xxh64_intdigest(u) for _, u, _ in found]
-    for r in runs:
-        at, end = r["pos"], r["pos"] + r["size"]
-        if end <= len(found) and _key(hashes[at:end]) == r["h"] % (1 << 64):
-            drop.update(range(at, end))
+    found = units(text)
+    hashes = _hashes([u for _, u, _ in found])
+    inside = [m for m in matches if m["pos"] + m["size"] <= len(found)]
+    told = np.array([(m["key"], m["check"]) for m in inside], np.int64).reshape(-1, 2).astype(np.uint64)
+    own = _keys(hashes, np.array([m["pos"] for m in inside], np.int64), np.array([m["size"] for m in inside], np.int64))
+    same = (own == told).all(axis=1)
+    drop = {k for at, end in extended([m for m, s in zip(inside, same) if s]) for k in range(at, end)}
     if not drop:
         return text, 0, 0
     rest: dict = {}
@@ -180,20 +199,20 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     df = df.drop("units_removed", "words_removed")
     names = df.columns
-    key, told = common.free(names, "_id"), common.free(names, "_runs")
-    found = repeats(df, id_col, text_col).select(F.col("id").alias(key), F.col("runs").alias(told))
+    key, told = common.free(names, "_id"), common.free(names, "_matches")
+    found = repeats(df, id_col, text_col).select(F.col("id").alias(key), F.col("matches").alias(told))
     joined = df.join(found, F.col(f"`{id_col}`") == F.col(key), "left").select(
         *[f"`{c}`" for c in names], F.lit(0).cast("long").alias("units_removed"), F.lit(0).cast("long").alias("words_removed"), told)
     text_at, length_at = names.index(text_col), names.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, runs = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            columns, matches = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
             text = columns[text_at].to_pylist()
             gone = [(0, 0)] * len(text)
-            for k in np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            for k in np.flatnonzero(matches.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 if text[k] is not None:
-                    text[k], *n = removed(text[k], runs[k].as_py())
+                    text[k], *n = removed(text[k], matches[k].as_py())
                     gone[k] = tuple(n)
             kinds = [f.type for f in batch.schema]
             columns[text_at] = pa.array(text, kinds[text_at])
@@ -204,3 +223,30 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(len(columns))]))
 
     return joined.mapInArrow(run, joined.drop(told).schema)
+
+
+def sql() -> str:
+    """The same over the table ``documents``, in DuckDB's SQL: windows by their words instead of hashes, and no selection."""
+    word = "[^\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+    return f"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE doc_id IS NOT NULL),
+    parts AS (SELECT doc_id, place, unnest(p) AS part, generate_subscripts(p, 1) AS k
+              FROM (SELECT doc_id, place, string_split(regexp_replace(line, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS p FROM lines)),
+    said AS (SELECT doc_id, place, k, regexp_extract_all(part, '{word}') AS w FROM parts),
+    u AS (SELECT doc_id, place, row_number() OVER o AS pos, array_to_string(w, ' ') AS unit, CAST(len(w) AS BIGINT) AS words,
+                 sum(len(w)) OVER o AS total FROM said WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY place, k)),
+    win AS (SELECT a.doc_id, a.pos, b.pos AS till
+            FROM u a, unnest(range(1, {MIN_WORDS} + 1)) t(n) JOIN u b ON b.doc_id = a.doc_id AND b.pos = a.pos + n - 1
+            WHERE b.total - a.total + a.words >= {MIN_WORDS} AND (b.total - b.words - a.total + a.words < {MIN_WORDS} OR b.total - a.total < {MIN_WORDS})),
+    named AS (SELECT w.doc_id, w.pos, w.till, string_agg(u.unit, chr(10) ORDER BY u.pos) AS content
+              FROM win w JOIN u ON u.doc_id = w.doc_id AND u.pos BETWEEN w.pos AND w.till GROUP BY w.doc_id, w.pos, w.till),
+    later AS (SELECT doc_id, pos, till FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS r FROM named) WHERE r > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(pos, till + 1)) AS pos FROM later),
+    by_line AS (SELECT u.doc_id, u.place, string_agg(CASE WHEN g.pos IS NULL THEN u.unit END, ' ' ORDER BY u.pos) AS rest, count(g.pos) AS n, coalesce(sum(CASE WHEN g.pos IS NOT NULL THEN u.words END), 0) AS words
+                FROM u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY u.doc_id, u.place),
+    left_over AS (SELECT l.doc_id, string_agg(CASE WHEN b.n > 0 THEN b.rest ELSE l.line END, chr(10) ORDER BY l.place) FILTER (WHERE coalesce(b.n, 0) = 0 OR b.rest IS NOT NULL) AS text,
+                         CAST(coalesce(sum(b.n), 0) AS BIGINT) AS units_removed, CAST(coalesce(sum(b.words), 0) AS BIGINT) AS words_removed
+                  FROM lines l LEFT JOIN by_line b USING (doc_id, place) GROUP BY l.doc_id)
+    SELECT d.doc_id, CASE WHEN coalesce(units_removed, 0) = 0 THEN d.text ELSE coalesce(left_over.text, '') END AS text,
+           coalesce(units_removed, 0) AS units_removed, coalesce(words_removed, 0) AS words_removed
+    FROM documents d LEFT JOIN left_over USING (doc_id)"""

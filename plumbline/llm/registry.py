@@ -119,4 +119,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op5_licence_scan": licences.sql(), "op10_sharding": op10_sql(), "op11_centroid_clustering": yinyang.sql()}
+    return {"op1_line_dedup": linededup.sql(), "op4_benchmark_decontamination": OP4_SQL, "op5_licence_scan": licences.sql(), "op10_sharding": op10_sql(), "op11_centroid_clustering": yinyang.sql()}

@@ -88,7 +88,7 @@ def test_selection_is_a_guarantee():
         for _ in range(2):
             a, b = rng.integers(0, 2**63, 5, dtype=np.uint64), rng.integers(0, 2**63, 5, dtype=np.uint64)
             h, w = np.r_[a, shared, b], np.r_[rng.integers(1, 9, 5), words, rng.integers(1, 9, 5)]
-            picks.append({int(h[k]) for k in ld.select(h, w, np.zeros(len(h), int))} & set(shared.tolist()))
+            picks.append({int(h[k]) for k in ld.select(h, *ld.windows(w, np.zeros(len(h), int)))} & set(shared.tolist()))
         assert picks[0] & picks[1]
 
 
@@ -149,3 +149,55 @@ def test_columns_of_any_name_and_rows_that_share_an_id(spark):
     got = {r._runs: r for r in ld.deduplicated(df).collect()}
     assert [got[k]._id for k in (1, 2, 3)] == ["p", "q", "s"]
     assert [got[k].text for k in (1, 2, 3)] == [rows[0][1], "middle one here.", "something else entirely, told under the same id."]
+
+
+def test_only_selected_units_are_rows_and_hashes_have_two_halves(spark):
+    rows = made(5)
+    got = ld.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    n_units, told = 0, {(r.id, r.pos): r for r in got}
+    for d, t in rows:
+        us = ld.units(t)
+        n_units += len(us)
+        h = ld._hashes([u for _, u, _ in us])
+        want = {}
+        for i in range(len(us)):
+            for j in range(i, len(us)):
+                n = [sum(w for _, _, w in us[a : b + 1]) for a, b in ((i, j), (i, j - 1), (i + 1, j))]
+                if n[0] >= ld.MIN_WORDS and min(n[1:]) < ld.MIN_WORDS:
+                    p = min(range(i, j + 1), key=lambda k: (int(h[k, 0]), -k))
+                    want.setdefault(p, set()).add((i, j - i + 1))
+        assert {p for e, p in told if e == d} == set(want)
+        for p, ws in want.items():
+            assert told[d, p].h % (1 << 64) == int(h[p, 0]) and {(p - w.back, w.size) for w in told[d, p].windows} == ws
+            for w in told[d, p].windows:
+                assert (w.key is None) == (w.size == 1)
+                assert w.size > 1 or w.check % (1 << 64) == int(h[p, 1])
+    assert 0 < len(got) < n_units and len(got) < sum(len(r.windows) for r in got)
+
+
+def test_matches_extend_on_a_diagonal():
+    m = lambda pos, size, text, first: {"pos": pos, "size": size, "from_id": text, "from_pos": first}
+    assert ld.extended([m(4, 2, 1, 14), m(2, 2, 1, 12), m(3, 1, 1, 20), m(9, 3, 1, 19), m(5, 4, 1, 15)]) == [(2, 12), (3, 4)]
+    assert ld.extended([]) == []
+
+
+def test_windows_of_one_half_alike_are_not_equal():
+    text = "one two three four five six seven eight nine."
+    (a, b), = ld._hashes([text]).astype(np.int64).tolist()
+    match = {"pos": 0, "size": 1, "key": a, "check": b, "from_id": 0, "from_pos": 0}
+    assert ld.removed(text, [match]) == ("", 1, 9)
+    assert ld.removed(text, [match | {"check": b ^ 1}]) == (text, 0, 0)
+    assert ld.removed(text, [match | {"pos": 1}]) == (text, 0, 0)
+
+
+def test_sql_beside_it(spark):
+    import duckdb
+
+    odd = [(1000, None), (1001, ""), (1002, "\n\n. . ."), (1003, "a\u00a0b\u2003c d e f g h.  i! j?"), (1004, "x a\u00a0b c\u3000d e f g h. tail"), (1005, "a b c d e f g h.  i! j?\r\n"), (1006, "a b c d e f g h.\n\ni! j?")]
+    df = spark.createDataFrame(made(9) + odd, "doc_id long, text string")
+    documents = df.toArrow()  # noqa: F841  read by name
+    want = {r[0]: r for r in duckdb.sql(ld.sql()).fetchall()}
+    got = ld.deduplicated(df).collect()
+    assert sum(r.units_removed for r in got) > 50 and want[1005][2] and want[1006][2]
+    for r in got:
+        assert (r.doc_id, r.text, r.units_removed, r.words_removed) == want[r.doc_id]
