@@ -108,7 +108,7 @@ class Template:
     """A template's bigrams, the sizes that can reach the threshold, and words of which any match has one."""
 
     def __init__(self, name: str, text: str, threshold: float):
-        self.name, self.grams = name, numbered(normalised(text).split(" "))
+        self.name, self.threshold, self.grams = name, threshold, numbered(normalised(text).split(" "))
         size = len(self.grams)
         if not size:
             raise ValueError(f"template {name} has fewer than two words")
@@ -145,12 +145,50 @@ _NONE = "array<struct<name:string,dice:double>>"
 _SENTENCE = r"(?<=[.!?])\s+|\n[^A-Za-z0-9\n]*\n"
 
 
+def _wide(t: Template) -> Column:
+    """A template as runs of sentences need it: its different bigrams, those it has several times, and how many different ones a match shares."""
+    counts = Counter(g.rsplit(" ", 1)[0] for g in t.grams)
+    several = [F.struct(F.lit(g).alias("pair"), F.lit(n).alias("n")) for g, n in sorted(counts.items()) if n > 1]
+    return F.struct(
+        F.lit(t.name).alias("name"), F.lit(sorted(counts)).alias("pairs"), F.array(*several).cast("array<struct<pair:string,n:int>>").alias("several"),
+        F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most"), F.lit(t.threshold).alias("threshold"),
+        F.lit(max(1, t.least - len(t.grams) + len(counts))).alias("differing"))
+
+
+def _dice_of_runs(t: Column, hits: Column, pairs: Column, before: Column) -> Column:
+    """The coefficients of the runs of sentences that may reach the threshold.
+
+    ``hits`` has a byte for each of the text's bigrams, whether the template has it; ``before`` the
+    words before each sentence and, last, all.  A run shares at most as many bigrams as are hits in
+    it.  One begins only where the largest window has enough of them, and begins and ends with
+    sentences that have one, their links to the next and the previous included: without others it
+    would be nearer.  So work is linear in the text, and runs are made near a licence alone.
+    """
+    text = lambda at, n: F.decode(F.substr(hits, at + 1, n), "US-ASCII")
+    n_hits = lambda at, n: F.length(F.replace(text(at, n), F.lit("0"), F.lit("")))
+    words = lambda k: before[k + 1] - before[k]
+    last = F.size(before) - 2
+    begins = F.filter(F.sequence(F.lit(0), last), lambda a: (n_hits(before[a], t["most"]) >= t["least"]) & (n_hits(before[a], words(a)) > 0))
+
+    def dice(a: Column, n: Column) -> Column:
+        several = lambda g: F.aggregate(t["several"], F.lit(0), lambda s, x: s + F.greatest(F.least(F.size(F.filter(g, lambda y: y == x["pair"])), x["n"]) - 1, F.lit(0)))
+        return _with(F.slice(pairs, before[a] + 1, n), lambda g: 2.0 * (F.size(F.array_intersect(g, t["pairs"])) + several(g)) / (n + t["size"]))
+
+    def runs(a: Column) -> Column:
+        size = lambda b: before[b + 1] - before[a] - 1
+        ends = F.filter(F.sequence(a, F.least(last, a + t["most"])), lambda b: size(b).between(t["least"], t["most"]))
+        link = lambda b: F.when(b > a, 1).otherwise(0)
+        able = F.filter(ends, lambda b: (n_hits(before[b] - link(b), words(b) - 1 + link(b)) > 0) & (2.0 * n_hits(before[a], size(b)) / (size(b) + t["size"]) >= t["threshold"]))
+        return F.transform(able, lambda b: dice(a, size(b)))
+
+    return F.flatten(F.transform(begins, runs))
+
+
 def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``name``, an ``array<struct<name, dice>>`` of its texts' units and templates that reach the threshold.
 
     A template that no unit reaches is there once if some run of sentences does, with the best run's
-    coefficient.  Only texts with enough of its bigrams are cut into runs, and a run begins and ends
-    with sentences that have some of its words: without others it would be nearer.
+    coefficient.  Only texts with enough of its different bigrams are looked through for runs.
 
     The normalised text and whether it has any of the words are columns of their own on the way, so
     each is made once; only texts that have one are cut up.
@@ -159,7 +197,7 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
     table = F.array(*[F.struct(F.lit(t.name).alias("name"), F.lit(t.grams).alias("grams"), F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most")) for t in known])
     words = "(?:^|[ \n])(?:" + "|".join(sorted(set().union(*(t.words for t in known)))) + ")(?:[ \n]|$)"
     low, high = min(t.least for t in known), max(t.most for t in known)
-    text_, plain_, units_, sentences_, found_, rest_ = (common.free(df.columns, f"_{c}") for c in ("text", "plain", "units", "sentences", "found", "rest"))
+    text_, plain_, units_, sentences_, found_, pairs_, before_, rest_ = (common.free(df.columns, f"_{c}") for c in ("text", "plain", "units", "sentences", "found", "pairs", "before", "rest"))
     plain = F.col(plain_)
     size = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  of bigrams
     tidy = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
@@ -177,22 +215,17 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
 
     plain_sentence = lambda u: F.trim(F.lower(F.regexp_replace(u, "[^A-Za-z0-9]+", " ")))
     sentences = F.filter(F.transform(F.split(F.col(text_), _SENTENCE), plain_sentence), lambda u: u != "")
-    parts = [sorted({g.rsplit(" ", 1)[0] for g in t.grams}) for t in known]
-    # of a match's shared bigrams, at least those are different that aren't the template's own repeats
-    wide = F.array(*[
-        F.struct(F.lit(t.name).alias("name"), F.lit(t.grams).alias("grams"), F.lit(len(t.grams)).alias("size"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most"), F.lit(p).alias("pairs"),
-                 F.lit(sorted({w for g in p for w in g.split(" ")})).alias("words"), F.lit(max(1, t.least - len(t.grams) + len(p))).alias("differing"))
-        for t, p in zip(known, parts)])
-    all_pairs = _pairs(F.split(F.array_join(sentences_, " "), " "))
-    rest = _with(all_pairs, lambda g: F.filter(wide, lambda t: (F.size(F.array_intersect(g, t["pairs"])) >= t["differing"]) & ~F.exists(found_, lambda m: m["name"] == t["name"])))
+    wide = F.array(*[_wide(t) for t in known])
+    # each sentence is a bar and a mark for each word, so the bar's place tells how many words come before it
+    marks = F.encode(F.array_join(F.transform(F.col(sentences_), lambda u: F.concat(F.lit("|"), F.regexp_replace(u, "[^ ]+ ?", "x"))), ""), "US-ASCII")
+    bars = lambda m: F.filter(F.sequence(F.lit(1), F.length(m) + 1), lambda k: (k > F.length(m)) | (F.substr(m, k, F.lit(1)) == F.encode(F.lit("|"), "US-ASCII")))
+    before = _with(marks, lambda m: F.transform(bars(m), lambda k, i: k - i - 1))
+    pairs = _with(F.split(F.array_join(sentences_, " "), " "), _pairs)
+    in_text = _with(F.array_distinct(F.col(pairs_)), lambda g: F.filter(wide, lambda t: (F.size(F.array_intersect(g, t["pairs"])) >= t["differing"]) & ~F.exists(found_, lambda m: m["name"] == t["name"])))
 
     def best_run(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(sentences_)), lambda k: F.arrays_overlap(F.split(F.col(sentences_)[k - 1], " "), t["words"]))
-        joined = lambda a, b: F.array_join(F.slice(sentences_, a, b - a + 1), " ")
-        ends = lambda a, all_at: F.filter(all_at, lambda b: b.between(a, a + t["most"]))
-        runs = _with(at, lambda all_at: F.flatten(F.transform(all_at, lambda a: F.filter(F.transform(ends(a, all_at), lambda b: joined(a, b)), lambda u: size(u).between(t["least"], t["most"])))))
-        dice = F.transform(F.array_distinct(runs), lambda u: 2.0 * F.size(F.array_intersect(_tagged(u), t["grams"])) / (size(u) + t["size"]))
-        return F.struct(t["name"].alias("name"), F.array_max(dice).alias("dice"))
+        hits = F.encode(F.array_join(F.transform(F.col(pairs_), lambda g: F.when(F.array_contains(t["pairs"], g), "1").otherwise("0")), ""), "US-ASCII")
+        return _with(hits, lambda h: F.struct(t["name"].alias("name"), F.array_max(_dice_of_runs(t, h, F.col(pairs_), F.col(before_))).alias("dice")))
 
     by_run = F.filter(F.transform(rest_, best_run), lambda m: m["dice"] >= threshold)
     none = F.array().cast(_NONE)
@@ -201,7 +234,9 @@ def with_matches(df: DataFrame, text_col: str, name: str, texts: dict[str, str]
         df.select(*keep, F.col(text_col).alias(text_), F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9\n]+", " ")).alias(plain_))
         .select(*keep, F.when(plain.rlike(words), units).alias(units_), F.when(plain.rlike(words), sentences).alias(sentences_))
         .select(*keep, sentences_, F.coalesce(found, none).alias(found_))
-        .select(*keep, sentences_, found_, F.when(F.col(sentences_).isNotNull(), rest).alias(rest_))
+        .select(*keep, sentences_, found_, F.when(F.size(sentences_) > 0, pairs).alias(pairs_))
+        .select(*keep, sentences_, found_, pairs_, F.when(F.col(pairs_).isNotNull(), in_text).alias(rest_))
+        .select(*keep, found_, pairs_, rest_, F.when(F.size(rest_) > 0, before).alias(before_))
         .select(*keep, F.concat(found_, F.coalesce(by_run, none)).alias(name))
     )
 
@@ -224,11 +259,12 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
 
 
 def sql() -> str:
-    """The same over the table ``documents``, without the pruning by words, in DuckDB's SQL."""
-    rows = ", ".join(f"('{t.name}', [{', '.join(repr(g) for g in t.grams)}], {len(t.grams)}, {t.least}, {t.most})" for t in templates())
+    """The same over the table ``documents``, without the pruning by words and hits, in DuckDB's SQL."""
+    known = templates()
+    rows = ", ".join(f"('{t.name}', [{', '.join(repr(g) for g in t.grams)}], {len(t.grams)}, {t.least}, {t.most})" for t in known)
     return f"""
     WITH t(name, grams, size, least, most) AS (VALUES {rows}),
-    d AS (SELECT row_number() OVER () AS r, doc_id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9' || chr(10) || ']+', ' ', 'g')) AS p FROM documents),
+    d AS (SELECT row_number() OVER () AS r, doc_id, text, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9' || chr(10) || ']+', ' ', 'g')) AS p FROM documents),
     raw AS (SELECT r, p AS u FROM d UNION ALL SELECT r, unnest(regexp_split_to_array(p, chr(10) || ' *' || chr(10))) FROM d
             UNION ALL SELECT r, unnest(string_split(p, chr(10))) FROM d),
     u AS (SELECT DISTINCT r, trim(regexp_replace(u, '[ ' || chr(10) || ']+', ' ', 'g')) AS u FROM raw),
@@ -238,5 +274,19 @@ def sql() -> str:
     n AS (SELECT k, g || ' ' || (row_number() OVER (PARTITION BY k, g ORDER BY i) - 1) AS g FROM g),
     l AS (SELECT k, list(g) AS l FROM n GROUP BY k),
     m AS (SELECT r, name, 2.0::DOUBLE * len(list_intersect(l, grams)) / (len(w) - 1 + size) AS dice FROM c JOIN l USING (k)),
-    o AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max({{'dice': dice, 'name': name}}) AS best FROM m WHERE dice >= {THRESHOLD} GROUP BY r)
+    near AS (SELECT r, name, dice FROM m WHERE dice >= {THRESHOLD}),
+    tp AS (SELECT name, regexp_replace(g, ' [0-9]+$', '') AS g, count(*) AS n FROM (SELECT name, unnest(grams) AS g FROM t) GROUP BY ALL),
+    cut AS (SELECT r, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(10) || chr(10), 'g'), '\\n[^A-Za-z0-9\\n]*\\n') AS s FROM d),
+    said AS (SELECT r, k, trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS u FROM (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM cut)),
+    s AS (SELECT r, k, string_split(u, ' ') AS w, sum(len(string_split(u, ' '))) OVER (PARTITION BY r ORDER BY k) AS hi FROM said WHERE u <> ''),
+    a AS (SELECT r, flatten(list(w ORDER BY k)) AS w FROM s GROUP BY r),
+    ag AS (SELECT r, i, w[i] || ' ' || w[i + 1] AS g FROM a, unnest(range(1, len(w))) x(i)),
+    able AS (SELECT r, name FROM (SELECT DISTINCT r, g FROM ag) JOIN tp USING (g) JOIN (SELECT name, least - size + count(*) AS differing FROM t JOIN tp USING (name) GROUP BY name, least, size) USING (name)
+             GROUP BY r, name, differing HAVING count(*) >= differing),
+    runs AS (SELECT f.r, name, size, f.hi - len(f.w) AS lo, e.hi AS hi FROM able JOIN t USING (name) JOIN s f ON f.r = able.r JOIN s e ON e.r = f.r AND e.k >= f.k AND e.hi - f.hi + len(f.w) - 1 BETWEEN least AND most
+             WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.r = able.r AND near.name = able.name)),
+    shared AS (SELECT r, name, size, lo, hi, g, count(*) AS n FROM runs JOIN ag USING (r) WHERE i > lo AND i < hi GROUP BY ALL),
+    by_run AS (SELECT r, name, 2.0::DOUBLE * sum(least(shared.n, tp.n)) / (hi - lo - 1 + size) AS dice FROM shared JOIN tp USING (name, g) GROUP BY r, name, size, lo, hi),
+    every AS (SELECT * FROM near UNION ALL SELECT r, name, max(dice) FROM by_run GROUP BY r, name HAVING max(dice) >= {THRESHOLD}),
+    o AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max({{'dice': dice, 'name': name}}) AS best FROM every GROUP BY r)
     SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(names, '') AS licences, best.name AS best, best.dice AS best_dice FROM d LEFT JOIN o USING (r)"""

@@ -59,3 +59,67 @@ def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "a", 2, "c")], "doc_id long, text string, _plain string, _units int, _text string")
     got = lc.with_matches(df, "text", "found").collect()[0]
     assert (got._plain, got._units, got._text, [m.name for m in got.found]) == ("a", 2, "c", ["mit-notice"])
+
+
+def best_runs(text):
+    """The best coefficient of each template over all runs of sentences."""
+    import re
+
+    parts = [w for u in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n[^A-Za-z0-9\n]*\n", text) if (w := lc.normalised(u))]
+    out = {}
+    for t in lc.templates():
+        words = lc.normalised(lc.TEMPLATES[t.name]).split(" ")
+        b = Counter(zip(words, words[1:]))
+        for i in range(len(parts)):
+            run = []
+            for j in range(i, len(parts)):
+                run += parts[j].split(" ")
+                if len(run) - 1 > t.most:
+                    break
+                a = Counter(zip(run, run[1:]))
+                if a and (d := 2 * (a & b).total() / (a.total() + b.total())) >= lc.THRESHOLD:
+                    out[t.name] = max(d, out.get(t.name, 0))
+    return out
+
+
+def run_texts():
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "or", "this", "software", "in", "words", "that", "go", "on", "all", "copy.", "to.", "here."]) for _ in range(n)) + "."
+    out = []
+    for t in lc.TEMPLATES.values():
+        for rate in (0.0, 0.06, 0.12):
+            w = [x if rng.random() > rate else rng.choice(["the", "foo.", x + " " + x]) for x in t.replace(", ", rng.choice([". ", ", ", "!\n"])).split(" ")]
+            out.append(f"{prose(30)} {' '.join(w)}. {prose(30)}\n -- \n{' '.join(w[: len(w) // 2])}\n{prose(9)}")
+    return out
+
+
+def test_runs_of_sentences_against_brute_force(spark):
+    texts = run_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hit = 0
+    for r in lc.with_matches(df, "text", "m").collect():
+        want, got = best_runs(r.text), {m.name: m.dice for m in r.m}
+        assert set(want) <= set(got)
+        for name, d in want.items():  # a template that a unit reaches has the units' coefficients
+            hit += d == got[name]
+        assert all(name in want for name in got if brute(r.text)[0] == 0)
+    assert hit > 25
+
+
+def test_sql_finds_runs_too(spark):
+    import duckdb
+
+    df = spark.createDataFrame([*enumerate([*run_texts(), "", "...", "All. Rights. Reserved", "Word? All rights\n-\nreserved here."]), (99, None)], "doc_id long, text string")
+    documents = df.toArrow()  # noqa: F841  read by name
+    want = {r[0]: r for r in duckdb.sql(lc.sql()).fetchall()}
+    got = lc.scanned(df).collect()
+    assert sum(r.n_matches for r in got) > 30
+    for r in got:
+        assert tuple(r) == want[r.doc_id], r.doc_id
+
+
+def test_a_long_text_with_a_split_licence(spark):
+    words = [f"{w}{'.' if k % 11 == 10 else ''}" for k, w in enumerate(random.Random(2).choices(["the", "of", "software", "and", "or", "some", "copies", "to", "use", "other"], k=200_000))]
+    text = " ".join(words[:100_000]) + ". " + lc.TEMPLATES["mit"].replace(", ", ". ") + " " + " ".join(words[100_000:])
+    got = lc.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert got[0].licences == "mit" and got[0].best_dice > 0.95
