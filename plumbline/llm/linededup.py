@@ -86,16 +86,18 @@ def _keys(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return key
 
 
+def _cut(texts: list, skip: list) -> tuple[list[list], np.ndarray, np.ndarray, np.ndarray]:
+    """The units of some texts, and of all of them their hashes, words and texts' numbers."""
+    found = [[] if s else units(t) for t, s in zip(texts, skip)]
+    hashes = _hashes([u for us in found for _, u, _ in us])
+    words = np.array([w for us in found for _, _, w in us], np.int64)
+    return found, hashes, words, np.repeat(np.arange(len(texts)), [len(us) for us in found])
+
+
 def _winnowed(texts: list, ids: pa.Array) -> pa.RecordBatch:
     """Rows of ``fingerprints`` for some texts; those without an id have none."""
-    contents, words, sizes = [], [], []
-    for t, skip in zip(texts, ids.is_null().to_pylist()):
-        found = [] if skip else units(t)
-        contents += [u for _, u, _ in found]
-        words += [w for _, _, w in found]
-        sizes.append(len(found))
-    hashes, doc = _hashes(contents), np.repeat(np.arange(len(texts)), sizes)
-    begin, size = windows(np.array(words, np.int64), doc)
+    _, hashes, words, doc = _cut(texts, ids.is_null().to_pylist())
+    begin, size = windows(words, doc)
     at = select(hashes[:, 0], begin, size)
     order = np.argsort(at, kind="stable")
     begin, size, at = begin[order], size[order], at[order]
@@ -142,50 +144,63 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return later.select("id", F.struct("pos", "size", "key", "check", "from_id", "from_pos").alias("m")).groupBy("id").agg(F.collect_list("m").alias("matches"))
 
 
-def extended(matches: list) -> list[tuple[int, int]]:
-    """The longest runs ``(first unit, unit after the last)`` that matched windows make: those on one diagonal of two texts that touch are one run."""
-    ends: dict = {}
-    out = []
-    for m in sorted(matches, key=lambda m: m["pos"]):
-        at, end, diagonal = m["pos"], m["pos"] + m["size"], (m["from_id"], m["pos"] - m["from_pos"])
-        if (run := ends.get(diagonal)) and at <= run[1]:
-            run[1] = max(run[1], end)
-        else:
-            ends[diagonal] = [at, end]
-            out.append(ends[diagonal])
-    return [tuple(run) for run in out]
+def extended(pos: np.ndarray, size: np.ndarray, source: np.ndarray, source_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest runs ``[begin, end)`` that matched windows make: those on one diagonal of two texts that touch are one run.
+
+    No window lies between both ends of another, so by place and size their ends rise.
+    """
+    diagonal, end = pos - source_pos, pos + size
+    order = np.lexsort((size, pos, diagonal, source))
+    pos, end, diagonal, source = pos[order], end[order], diagonal[order], source[order]
+    new = np.r_[True, (source[1:] != source[:-1]) | (diagonal[1:] != diagonal[:-1]) | (pos[1:] > end[:-1])][: len(pos)]
+    first = np.flatnonzero(new)
+    return pos[first], end[np.r_[first[1:], len(pos)][: len(first)] - 1]
 
 
-def removed(text: str, matches: list) -> tuple[str, int, int]:
-    """A text without the runs that occur earlier; how many units and words went.
+def removed(texts: list, matches: pa.ListArray) -> list[tuple[str | None, int, int]]:
+    """Texts without the runs that occur earlier; how many units and words went from each.
 
     Matches of another text that has the same id aren't this one's.  A line that loses some of its
     units keeps the rest with single spaces; one that loses all goes.
     """
-    found = units(text)
-    hashes = _hashes([u for _, u, _ in found])
-    inside = [m for m in matches if m["pos"] + m["size"] <= len(found)]
-    told = np.array([(m["key"], m["check"]) for m in inside], np.int64).reshape(-1, 2).astype(np.uint64)
-    own = _keys(hashes, np.array([m["pos"] for m in inside], np.int64), np.array([m["size"] for m in inside], np.int64))
-    same = (own == told).all(axis=1)
-    drop = {k for at, end in extended([m for m, s in zip(inside, same) if s]) for k in range(at, end)}
-    if not drop:
-        return text, 0, 0
-    rest: dict = {}
-    for k, (line, u, _) in enumerate(found):
-        rest.setdefault(line, [[], 0])
-        if k in drop:
-            rest[line][1] += 1
-        else:
-            rest[line][0].append(u)
+    known = matches.is_valid().to_numpy(zero_copy_only=False) & np.array([t is not None for t in texts], bool)
+    found, hashes, words, doc = _cut(texts, (~known).tolist())
+    flat, n = matches.flatten(), matches.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    whose = np.repeat(np.arange(len(texts)), n)
+    pos, size, key, check, source_pos = (flat.field(flat.type.get_field_index(c)).to_numpy().astype(np.int64) for c in ("pos", "size", "key", "check", "from_pos"))
+    source = flat.field(flat.type.get_field_index("from_id")).dictionary_encode().indices.to_numpy().astype(np.int64)
+    base, till = np.searchsorted(doc, whose), np.searchsorted(doc, whose, "right")
+    at = base + pos
+    inside = np.flatnonzero(at + size <= till)
+    own = _keys(hashes, at[inside], size[inside])
+    same = inside[(own == np.c_[key, check][inside].astype(np.uint64)).all(axis=1)]
+    begin, end = extended(at[same], size[same], source[same] * len(texts) + whose[same], source_pos[same])
+    edges = np.bincount(begin, minlength=len(doc) + 1) - np.bincount(end, minlength=len(doc) + 1)
+    drop = np.cumsum(edges[: len(doc)]) > 0
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    gone = np.bincount(doc[drop], minlength=len(texts)).tolist()
+    gone_words = np.bincount(doc[drop], weights=words[drop], minlength=len(texts)).astype(np.int64).tolist()
     out = []
-    for at, line in enumerate(text.split("\n")):
-        kept, gone = rest.get(at, ([], 0))
-        if not gone:
-            out.append(line)
-        elif kept:
-            out.append(" ".join(kept))
-    return "\n".join(out), len(drop), sum(found[k][2] for k in drop)
+    for k, t in enumerate(texts):
+        if not gone[k]:
+            out.append((t, 0, 0))
+            continue
+        rest: dict = {}
+        for (line, u, _), d in zip(found[k], drop[first[k] : first[k] + len(found[k])].tolist()):
+            kept = rest.setdefault(line, [False])
+            if d:
+                kept[0] = True
+            else:
+                kept.append(u)
+        lines = []
+        for i, line in enumerate(t.split("\n")):
+            kept = rest.get(i)
+            if kept is None or not kept[0]:
+                lines.append(line)
+            elif len(kept) > 1:
+                lines.append(" ".join(kept[1:]))
+        out.append(("\n".join(lines), gone[k], gone_words[k]))
+    return out
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -208,12 +223,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, matches = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
-            text = columns[text_at].to_pylist()
-            gone = [(0, 0)] * len(text)
-            for k in np.flatnonzero(matches.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                if text[k] is not None:
-                    text[k], *n = removed(text[k], matches[k].as_py())
-                    gone[k] = tuple(n)
+            old_text = columns[text_at].to_pylist()
+            done = [x for k in range(0, len(old_text), 1000) for x in removed(old_text[k : k + 1000], matches.slice(k, 1000))]
+            text, gone = [x[0] for x in done], [x[1:] for x in done]
             kinds = [f.type for f in batch.schema]
             columns[text_at] = pa.array(text, kinds[text_at])
             if length_at is not None:

@@ -176,18 +176,21 @@ def test_only_selected_units_are_rows_and_hashes_have_two_halves(spark):
 
 
 def test_matches_extend_on_a_diagonal():
-    m = lambda pos, size, text, first: {"pos": pos, "size": size, "from_id": text, "from_pos": first}
-    assert ld.extended([m(4, 2, 1, 14), m(2, 2, 1, 12), m(3, 1, 1, 20), m(9, 3, 1, 19), m(5, 4, 1, 15)]) == [(2, 12), (3, 4)]
-    assert ld.extended([]) == []
+    matches = np.array([(4, 2, 1, 14), (2, 2, 1, 12), (3, 1, 1, 20), (9, 3, 1, 19), (5, 4, 1, 15), (6, 1, 2, 16)], np.int64).T
+    assert sorted(zip(*(x.tolist() for x in ld.extended(*matches)))) == [(2, 12), (3, 4), (6, 7)]
+    assert [len(x) for x in ld.extended(*matches[:, :0])] == [0, 0]
 
 
 def test_windows_of_one_half_alike_are_not_equal():
+    import pyarrow as pa
+
     text = "one two three four five six seven eight nine."
     (a, b), = ld._hashes([text]).astype(np.int64).tolist()
     match = {"pos": 0, "size": 1, "key": a, "check": b, "from_id": 0, "from_pos": 0}
-    assert ld.removed(text, [match]) == ("", 1, 9)
-    assert ld.removed(text, [match | {"check": b ^ 1}]) == (text, 0, 0)
-    assert ld.removed(text, [match | {"pos": 1}]) == (text, 0, 0)
+    told = pa.array([[match], [match | {"check": b ^ 1}], [match | {"pos": 1}], None, [match, match]])
+    assert ld.removed([text] * 4 + [f"{text}\nend."], told) == [("", 1, 9), (text, 0, 0), (text, 0, 0), (text, 0, 0), ("end.", 1, 9)]
+    assert ld.removed([None, text], told[:2]) == [(None, 0, 0), (text, 0, 0)]
+    assert ld.removed([], told[:0]) == []
 
 
 def test_sql_beside_it(spark):
