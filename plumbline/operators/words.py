@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from plumbline.operators.graph import cut
 LONGEST = 24
 #: What a letter that is no word costs beside a word that occurs once, in thousandths of a natural logarithm.
 UNKNOWN = 10_000
+#: Commonest words that every task holds.
+LEXICON = 250_000
+#: Bits of the bitmap that tells which stretches may be other words; 16 MB.
+BITS = 1 << 27
 #: Endings of plurals and verbs with what may stand for them, the likeliest first.
 ENDINGS = (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("es", ""), ("s", ""))
 
@@ -42,29 +49,87 @@ def segmented(names: DataFrame, column: str, words: DataFrame) -> DataFrame:
     """``(name, cost, words)``: each different name of letters a to z cut into the likeliest words of a vocabulary.
 
     A word costs the logarithm of its share of the corpus, in whole thousandths so that sums are exact; letters that
-    are no word can stand alone.  Stretches of names meet the vocabulary in a join, so it may have any size; what a name finds is
-    bounded by its length.  Null, empty and other names are left out, repeated ones count once.
+    are no word can stand alone.  The LEXICON commonest words are looked up where the names are.  Stretches that may be other words, by
+    a bitmap of their CRCs, meet these in a join, so a vocabulary may have any size.  Null, empty and other names are left out, repeated ones count once.
     """
-    total = words.agg(F.sum("n").alias("total"))
-    costs = words.crossJoin(F.broadcast(total)).select("word", F.round(1000 * F.log(F.col("total") / F.col("n"))).cast("long").alias("cost"))  # one row
-    alone = total.select(F.round(1000 * F.log("total")).cast("long").alias("alone")).where("alone IS NOT NULL")
+    spark, words = names.sparkSession, cut(words)
+    total, alone = words.agg(F.sum("n"), F.round(1000 * F.log(F.sum("n"))).cast("long")).first()
     own = names.select(F.col(column).alias("name")).where(F.col(column).rlike("^[a-z]+$")).distinct()
-    starts = own.select("name", F.explode(F.sequence(F.lit(0), F.length("name") - 1)).alias("start"))
-    ends = starts.select("name", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("name"), F.col("start") + LONGEST))).alias("end"))
-    stretch = ends.withColumn("word", F.substring("name", F.col("start") + 1, F.col("end") - F.col("start")))
-    known = stretch.join(costs, "word", "left").crossJoin(F.broadcast(alone))  # one row
-    edges = known.withColumn("cost", F.coalesce("cost", F.when(F.col("end") - F.col("start") == 1, F.col("alone") + UNKNOWN))).where("cost IS NOT NULL")
-    lists = edges.groupBy("name").agg(F.collect_list(F.struct(F.col("end").cast("long").alias("end"), F.col("start").cast("long").alias("start"), "cost")).alias("edges"))
+    if not total:
+        return own.select("name", F.lit(None).cast("long").alias("cost"), F.array().cast("array<string>").alias("words")).limit(0)
+    costs = words.where(F.length("word") <= LONGEST).select("word", "n", F.round(1000 * F.log(F.lit(total).cast("long") / F.col("n"))).cast("long").alias("cost"))
+    common = costs.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
+    lexicon = spark.sparkContext.broadcast({r["word"]: r["cost"] for r in common})
+    lists = own.withColumn("edges", F.lit(None).cast("array<struct<end:int,start:int,cost:bigint>>"))
+    if len(common) == LEXICON:
+        last = common[-1]
+        rest = costs.where((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("word") > last["word"]))
+        stretches = own.mapInArrow(_maybe(lexicon, spark.sparkContext.broadcast(_bitmap(rest))), "name string, start int, end int, word string")
+        found = stretches.join(rest.select("word", "cost"), "word").groupBy("name").agg(F.collect_list(F.struct("end", "start", "cost")).alias("edges"))
+        lists = own.join(found, "name", "left").select("name", "edges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = lexicon.value.get
         for batch in batches:
-            out = [(n, *_cheapest(len(n), [(e["end"], e["start"], e["cost"]) for e in found])) for n, found in zip(*(c.to_pylist() for c in batch.columns))]
+            out = []
+            for name, more in zip(*(c.to_pylist() for c in batch.columns)):
+                edges = [(e["end"], e["start"], e["cost"]) for e in more or ()]
+                seen = {a for b, a, _ in edges if b == a + 1}
+                for a, b in _stretches(name):
+                    if (c := cost(name[a:b])) is not None:
+                        edges.append((b, a, c))
+                    elif b == a + 1 and a not in seen:
+                        edges.append((b, a, alone + UNKNOWN))
+                out.append((name, *_cheapest(len(name), edges)))
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in out], pa.string()), pa.array([c for _, c, _ in out], pa.int64()), pa.array([[n[a:b] for a, b in p] for n, _, p in out], pa.list_(pa.string()))],
                                              ["name", "cost", "words"])
 
     return lists.mapInArrow(run, "name string, cost long, words array<string>")
 
 
+def _stretches(name: str) -> Iterator[tuple[int, int]]:
+    for a in range(len(name)):
+        for b in range(a + 1, min(len(name), a + LONGEST) + 1):
+            yield a, b
+
+
+def _bitmap(words: DataFrame) -> bytes:
+    """A bit for each CRC of a word modulo BITS; slices are made on the executors."""
+    size = BITS // 128
+    at = words.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BITS)).cast("int").alias("at")).distinct()
+
+    def run(t: pa.Table) -> pa.Table:
+        at = t.column("at").to_numpy()
+        bits = np.zeros(size, np.uint8)
+        bits[at % size] = 1
+        return pa.table({"slice": pa.array([int(at[0]) // size], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((128, size // 8), np.uint8)
+    for r in at.groupBy(F.floor(F.col("at") / size).alias("slice")).applyInArrow(run, "slice int, bits binary").toLocalIterator():  # BITS in all
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _maybe(lexicon: Broadcast, bitmap: Broadcast):
+    """Stretches of names that aren't in the lexicon but may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, bits = lexicon.value, bitmap.value
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                for a, b in _stretches(name):
+                    word = name[a:b]
+                    if word not in common:
+                        at = zlib.crc32(word.encode()) % BITS
+                        if bits[at >> 3] >> (at & 7) & 1:
+                            out.append((name, a, b, word))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["name", "start", "end", "word"])
+
+    return run
+
+
 def lemmas(words: DataFrame) -> DataFrame:
     """``(word, lemma)``: a word's plain form by the first of ENDINGS that leads to another word of the vocabulary of three letters or more, or itself."""
     found = [F.when(F.col("word").endswith(end) & ~(F.lit(end == "s") & F.col("word").endswith("ss")), F.concat(F.expr(f"left(word, greatest(length(word) - {len(end)}, 0))"), F.lit(new))) for end, new in ENDINGS]
