@@ -22,7 +22,7 @@ BLOCK = 2048
 
 
 def _embedded(rows: DataFrame, provider: embed.Provider) -> DataFrame:
-    """``(text, n, vector)`` of the different texts."""
+    """``(text, n, vector)`` of different texts (text, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,7 +31,7 @@ def _embedded(rows: DataFrame, provider: embed.Provider) -> DataFrame:
                 vectors = np.asarray(provider(part.column(0).to_pylist()), float)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(vectors), pa.list_(pa.float64()))], ["text", "n", "vector"])
 
-    return cut(rows.groupBy("text").agg(F.count("*").alias("n")).mapInArrow(run, "text string, n long, vector array<double>"))
+    return cut(rows.mapInArrow(run, "text string, n long, vector array<double>"))
 
 
 def best(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -64,10 +64,21 @@ def best(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def undisputed(gold: DataFrame, pred: DataFrame, provider: embed.Provider, block: int = BLOCK) -> float | None:
-    """The total similarity of the best assignment of two columns ``text``; None if rows of the smaller side dispute a partner."""
-    sides = sorted([_embedded(d, provider) for d in (gold, pred)], key=lambda d: d.agg(F.sum("n")).first()[0] or 0)
-    chosen = cut(best(*sides, block))
-    asked = chosen.groupBy(F.col("partner").alias("text")).agg(F.sum("n").alias("asked"))
-    if not asked.join(sides[1].select("text", "n"), "text").where("asked > n").isEmpty():
+    """The total similarity of the best assignment of two columns ``text``; None if rows of the smaller side dispute a partner.
+
+    An equal text is as good a partner as there can be, so texts that have one take it, and only the others meet all of the larger side.
+    """
+    few, many = sorted([cut(d.groupBy("text").agg(F.count("*").alias("n"))) for d in (gold, pred)], key=lambda d: d.agg(F.sum("n")).first()[0] or 0)
+    own = cut(few.join(many.select("text", F.col("n").alias("there")), "text", "left"))
+    asked = own.where("there IS NOT NULL").select("text", F.col("n").alias("asked"))
+    total, over = own.where("there IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > F.col("there"))).first()
+    if over:
         return None
-    return chosen.agg(F.sum(F.col("n") * F.col("score"))).first()[0] or 0.0
+    rest = own.where("there IS NULL").select("text", "n")
+    if rest.isEmpty():
+        return float(total)
+    chosen = cut(best(_embedded(rest, provider), _embedded(many, provider), block))
+    asked = asked.unionAll(chosen.groupBy(F.col("partner").alias("text")).agg(F.sum("n").alias("asked"))).groupBy("text").agg(F.sum("asked").alias("asked"))
+    if not asked.join(many, "text").where("asked > n").isEmpty():
+        return None
+    return total + chosen.agg(F.sum(F.col("n") * F.col("score"))).first()[0]
