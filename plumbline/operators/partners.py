@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.functions import embed
 from plumbline.operators.graph import cut
@@ -34,6 +36,75 @@ def _embedded(rows: DataFrame, provider: embed.Provider) -> DataFrame:
     return cut(rows.mapInArrow(run, "text string, n long, vector array<double>"))
 
 
+#: Queries and rows that meet in one task, and queries that are scored at a time there.
+ASKED, ROWS, STRIP = 4096, 16_384, 256
+#: How near to the border between two rounded cosines, in units of their last digit, one is worked out exactly.
+NEAR = 1e-4
+
+
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and their lengths; -1 for those that are null or hold null."""
+    flat, sizes = vectors.combine_chunks(), np.array(pc.fill_null(pc.list_value_length(vectors), -1).to_numpy())
+    values, of = flat.flatten(), np.repeat(np.arange(len(sizes)), np.maximum(sizes, 0))
+    out = np.zeros((len(sizes), max(sizes.max(initial=0), 1)))
+    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    out[of, np.arange(len(of)) - starts[of]] = values.to_numpy(zero_copy_only=False)
+    if values.null_count:
+        sizes[of[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, sizes
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows with each other, summed from the first on as Spark does."""
+    return np.cumsum(x * y, axis=1)[:, -1]
+
+
+def most_similar(asked: DataFrame, rows: DataFrame, k: int, digits: int) -> DataFrame:
+    """``(q, vec_id, sim)``: for each of ``asked`` (q, e) the ``k`` of ``rows`` (vec_id, embedding) with the largest rounded cosines, ties to the smaller id, without itself.
+
+    Blocks of both sides meet in a task, which scores them by matrix products and keeps what can be among the first ``k``; those have the
+    value of ``embed.cosine``.  A pair without a cosine (null, unequal lengths, zeros) comes last with null.
+    """
+    asked = asked.where("q IS NOT NULL").select("q", F.col("e").cast("array<double>").alias("e"))
+    rows = rows.where("vec_id IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    a, b = max(1, -(-asked.count() // ASKED)), max(1, -(-rows.count() // ROWS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    here, there = asked.select(deal("q", a).alias("a"), every(b).alias("b"), "*"), rows.select(every(a).alias("a"), deal("vec_id", b).alias("b"), "*")
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list = []
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("vec_id")
+            ids, asks = y.column("vec_id").to_numpy(), x.column("q").to_numpy()
+            (v, wide), (u, size) = _matrix(y.column("embedding")), _matrix(x.column("e"))
+            n = max(v.shape[1], u.shape[1])
+            v, u = (np.pad(m, ((0, 0), (0, n - m.shape[1]))) for m in (v, u))
+            with np.errstate(all="ignore"):
+                norm_v, norm_u = np.sqrt(_in_order(v, v)), np.sqrt(_in_order(u, u))
+                for s in range(0, len(u), STRIP):
+                    part = slice(s, s + STRIP)
+                    norms = norm_u[part, None] * norm_v
+                    x_ = u[part] @ v.T / norms * 10.0**digits + 0.5
+                    none = (size[part, None] != wide) | (size[part, None] < 0) | (norms == 0)
+                    near = (np.abs(x_ - np.round(x_)) < NEAR) & ~none
+                    whole = np.where(none, -np.inf, np.where(np.isnan(x_), np.inf, np.floor(x_)))
+                    whole[asks[part, None] == ids] = np.nan
+                    sure = np.where(near | np.isnan(whole), -np.inf, whole)
+                    least = np.partition(sure, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(whole), -np.inf)
+                    for at in range(len(whole)):
+                        own = np.flatnonzero((whole[at] >= least[at]) & ~near[at])
+                        own = own[np.argsort(-whole[at, own], kind="stable")[:k]]
+                        own = np.concatenate([own, np.flatnonzero(near[at] & (whole[at] >= least[at] - 1))])
+                        sims = _in_order(np.broadcast_to(u[s + at], (len(own), n)), v[own]) / norms[at, own]
+                        out += zip([asks[s + at]] * len(own), ids[own], sims, none[at, own])
+        q, i, sims, gone = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(np.array(sims, float), pa.float64(), mask=np.array(gone, bool))], ["q", "vec_id", "sim"])
+
+    found = here.groupBy("a", "b").cogroup(there.groupBy("a", "b")).applyInArrow(run, "q long, vec_id long, sim double").withColumn("sim", F.round("sim", digits))
+    return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "vec_id"))).where(F.col("r") <= k).drop("r")
+
+
 def best(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(text, n, partner, score)``: each left text's most similar right one, 1 for an equal one; of equally similar ones the text that sorts first."""
     a, b = (-(-d.count() // block) for d in (left, right))

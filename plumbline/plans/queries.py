@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import embed, text
-from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, rename, reports, sampling, similar, techniques, words
+from plumbline.functions import text
+from plumbline.operators import expansion, graph, linking, matching, mutation, naturalness, partners, rename, reports, sampling, similar, techniques, words
 from plumbline.plans import star
 from plumbline.plans.queryspec import columns_of, is_nested, parse, structure
 from plumbline.plans.register import ORACLES, QUERIES, query  # noqa: F401  what the driver reads
@@ -242,12 +242,9 @@ def bag_difference(spark: SparkSession) -> DataFrame:
         s AS (SELECT q, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS sim FROM q, embeddings WHERE vec_id <> q)
         SELECT q, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM s) WHERE r <= 5""")
 def cosine_topk(spark: SparkSession) -> DataFrame:
-    from pyspark.sql import Window as W
-
     e = spark.table("embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))  # the stated queries, against all rows
-    sims = e.join(asked, e["vec_id"] != F.col("q")).select("q", "vec_id", F.round(embed.cosine(F.col("e"), F.col("embedding")), 6).alias("sim"))
-    return sims.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "vec_id"))).where("r <= 5").drop("r")
+    return partners.most_similar(asked, e.select("vec_id", "embedding"), 5, 6)
 
 
 # ---- scores and reports
