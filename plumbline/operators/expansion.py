@@ -152,6 +152,25 @@ def meaningful(spark: SparkSession, sql: str) -> bool:
 _PLAIN = re.compile(r"((count|avg|sum|max|min)\()?\s*(\*|[\w.`]+)\s*\)?", re.I)
 
 
+def _last_first(spec: QuerySpec) -> QuerySpec:
+    """The same inner joins with the last table right after those that tie it to the first one.
+
+    Rows are looked for until there are some, so what multiplies them for no other join belongs at the end, where it isn't finished.
+    """
+    if not spec.joins or any(j.kind != "INNER" for j in spec.joins):
+        return spec
+    needs = {j.alias: {s.split(".")[0].strip() for c in j.on for s in re.split("=", c)} - {j.alias} for j in spec.joins}
+    if not all(re.fullmatch(r"\s*\w+\.\w+\s*=\s*\w+\.\w+\s*", c) for j in spec.joins for c in j.on):
+        return spec
+    tied, open_ = set(), [spec.joins[-1].alias]
+    while open_:
+        a = open_.pop()
+        if a not in tied:
+            tied.add(a)
+            open_ += needs.get(a, ())
+    return spec.edit(joins=(*(j for j in spec.joins if j.alias in tied), *(j for j in spec.joins if j.alias not in tied)))
+
+
 def existing(sql: str) -> str:
     """A query that has rows just when the given one is meaningful, or the query itself.
 
@@ -168,7 +187,7 @@ def existing(sql: str) -> str:
         return sql
     if _aggregates(sql) and not spec.group_by:
         return "SELECT 1 AS one, 1 AS two"
-    return spec.edit(select=(("1", "one"), ("1", "two")), distinct=False, group_by=(), order_by=(), limit=None).sql()
+    return _last_first(spec).edit(select=(("1", "one"), ("1", "two")), distinct=False, group_by=(), order_by=(), limit=None).sql()
 
 
 def shown(sql: str) -> str | None:
@@ -184,7 +203,7 @@ def shown(sql: str) -> str | None:
     if len(spec.select) < 2 or not spec.having or not least or not spec.group_by or not all(_PLAIN.fullmatch(e) for e, _ in spec.select) or spec.limit == 0:
         return None
     keys = [f"_g{k}" for k in range(len(spec.group_by))]
-    some = spec.edit(select=tuple(zip(spec.group_by, keys)), distinct=False, group_by=(), having=(), order_by=(), limit=LOOK)
+    some = _last_first(spec).edit(select=tuple(zip(spec.group_by, keys)), distinct=False, group_by=(), having=(), order_by=(), limit=LOOK)
     return f"SELECT 1 AS one, 1 AS two FROM ({some.sql()}) GROUP BY {', '.join(keys)} HAVING {' '.join(f'{op} {t}'.strip() for op, t in spec.having)}"
 
 
