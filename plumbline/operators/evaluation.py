@@ -79,7 +79,7 @@ def _together(rows: DataFrame, cases: DataFrame, technique: str, penalize: bool)
     width = F.size("gold_at")
     if technique != "exact_column_and_exact_cell":
         rest = tally.select("case_id", "key", (F.col("g") - both).alias("g"), (F.col("p") - both).alias("p")).where("g > 0 or p > 0")
-        more = tiers.matched(rest, ("case_id",), by_tokens).groupBy("case_id").agg(F.sum(F.col("gain") * F.col("n")).alias("more"))
+        more = tiers.gained(rest, ("case_id",), by_tokens)
         out = out.join(more, "case_id", "left")
     else:
         out = out.withColumn("more", zero)

@@ -68,7 +68,7 @@ def _by_columns(gold: DataFrame, pred: DataFrame, pairs: list[tuple[int, int]],
     if partial:
         both = F.least("g", "p")
         rest = t.select("key", (F.col("g") - both).alias("g"), (F.col("p") - both).alias("p")).where("g > 0 or p > 0")
-        more = tiers.matched(rest).agg(F.coalesce(F.sum(F.col("gain") * F.col("n")), F.lit(0)).alias("more"))
+        more = tiers.gained(rest).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("more"))
         whole = whole.crossJoin(more).select((F.col("matched") + F.col("more")).alias("matched"), "gold_cells", "pred_cells")
     return scored(_ex(gold, pred).crossJoin(whole))
 
@@ -133,7 +133,7 @@ def no_column_and_partial_cell(gold: DataFrame, pred: DataFrame) -> DataFrame:
     size, both = F.size("key"), F.least("g", "p")
     whole = t.agg(*[F.coalesce(F.sum(size * F.col(c) if isinstance(c, str) else size * c), F.lit(0)).alias(n) for c, n in ((both, "matched"), ("g", "gold_cells"), ("p", "pred_cells"))])
     rest = t.select("key", (F.col("g") - both).alias("g"), (F.col("p") - both).alias("p")).where("g > 0 or p > 0")
-    more = tiers.matched(rest, by_tokens=True).agg(F.coalesce(F.sum(F.col("gain") * F.col("n")), F.lit(0)).alias("more"))
+    more = tiers.gained(rest, by_tokens=True).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("more"))
     whole = whole.crossJoin(more).select((F.col("matched") + F.col("more")).alias("matched"), "gold_cells", "pred_cells")
     return scored(_ex(gold, pred).crossJoin(whole))
 

@@ -10,8 +10,10 @@ work of a round is linear in the rows and the groups that they are in.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from plumbline.operators.graph import cut
 
 #: Rounds of a tier; rows that are then left are matched by pairs.
 ROUNDS = 30
+#: Cells that both sides have, and classes of rows by them, with which a case is settled on the driver.
+LIVE, CLASSES = 2000, 1000
 
 
 def pairs(rest: DataFrame, by: tuple[str, ...], by_tokens: bool) -> DataFrame:
@@ -31,6 +35,71 @@ def pairs(rest: DataFrame, by: tuple[str, ...], by_tokens: bool) -> DataFrame:
     return cells.groupBy(*by).agg(F.coalesce(F.sum(F.col("a").cast("double") * F.col("b")), F.lit(0.0)).alias("pairs"))
 
 
+def _live(rest: DataFrame, by: tuple[str, ...], by_tokens: bool) -> DataFrame:
+    """``(*by, at, h, pairs)``: cells (by their hashes) that rows of both sides have, and how many pairs of rows each makes."""
+    each = rest.select(*by, (F.explode("key") if by_tokens else F.posexplode("key")).alias(*(["cell"] if by_tokens else ["at", "cell"])), "g", "p")
+    at = F.lit(0) if by_tokens else F.col("at")
+    cells = each.groupBy(*by, at.alias("at"), F.xxhash64("cell").alias("h")).agg(F.count_if(F.col("g") > 0).alias("a"), F.count_if(F.col("p") > 0).alias("b"))
+    return cells.where("a > 0 AND b > 0").select(*by, "at", "h", (F.col("a").cast("double") * F.col("b")).alias("pairs"))
+
+
+def gained(rest: DataFrame, by: tuple[str, ...] = (), by_tokens: bool = False) -> DataFrame:
+    """``(*by, more)``: the cells that ``matched`` pairs have in common; cases without any may be left out.
+
+    Large cases are settled by classes of rows where no order of rows can matter (see ``_settled``), others row by row.
+    """
+    rest = cut(rest)
+    live = cut(_live(rest, by, by_tokens))
+    told = [r for r in live.groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).collect() if r["n"]]  # a row for each case
+    own = lambda df, r: df.where(reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in by], F.lit(True)))
+    done, open_ = [], []
+    for r in told:
+        large = r["pairs"] > matching.EDGES_AT_ONCE and r["n"] <= LIVE
+        more = _settled(own(rest, r), [(x["at"], x["h"]) for x in own(live, r).collect()], by_tokens) if large else None
+        (open_ if more is None else done).append((*(r[c] for c in by), *([] if more is None else [more])))
+    kinds = [f"`{c}` {rest.schema[c].dataType.simpleString()}" for c in by]
+    out = rest.sparkSession.createDataFrame(done, ", ".join([*kinds, "more long"]))
+    if not open_:
+        return out
+    left = rest.join(F.broadcast(rest.sparkSession.createDataFrame(open_, ", ".join(kinds))), list(by), "left_semi") if by else rest  # a row for each case
+    return out.unionByName(matched(left, by, by_tokens).groupBy(*by).agg(F.coalesce(F.sum(F.col("gain") * F.col("n")), F.lit(0)).alias("more")))
+
+
+def _settled(rest: DataFrame, live: list[tuple[int, int]], by_tokens: bool) -> int | None:
+    """The cells in common of one case by classes of rows, or None if there are too many or the order of rows may matter.
+
+    Cells that one side alone has make no pair, so rows of a size with the same other cells are alike.  If in each tier every class
+    has rows to share with one class of the other side at most, the smaller of both is matched, whichever its rows are.
+    """
+    there = lambda x, k: F.xxhash64(x).isin([h for at, h in live if at == k])
+    if by_tokens:
+        kept = F.filter("key", lambda x: there(x, 0))
+    else:
+        places = sorted({at for at, _ in live})
+        kept = F.array(*[F.when(there(F.get("key", F.lit(k)), k), F.get("key", F.lit(k))) for k in places])
+    found = rest.groupBy(F.size("key").alias("size"), kept.alias("kept")).agg(F.sum("g").alias("g"), F.sum("p").alias("p")).limit(CLASSES + 1).collect()
+    if len(found) > CLASSES:
+        return None
+    weights: dict = {}
+    for a, x in enumerate(found):
+        for b, y in enumerate(found):
+            if x["g"] and y["p"]:
+                k = len(set(x["kept"]) & set(y["kept"])) if by_tokens else sum(c is not None and c == d for c, d in zip(x["kept"], y["kept"]))
+                if k:
+                    weights.setdefault(Fraction(k, x["size"] + y["size"] - k) if by_tokens else k, []).append((a, b, k))
+    left, total = ([r["g"] for r in found], [r["p"] for r in found]), 0
+    for w in sorted(weights, reverse=True):
+        tier = [(a, b, k) for a, b, k in weights[w] if left[0][a] and left[1][b]]
+        if any(len({x[side] for x in tier}) < len(tier) for side in (0, 1)):
+            return None
+        for a, b, k in tier:
+            n = min(left[0][a], left[1][b])
+            left[0][a] -= n
+            left[1][b] -= n
+            total += k * n
+    return total
+
+
 def matched(rest: DataFrame, by: tuple[str, ...] = (), by_tokens: bool = False) -> DataFrame:
     """``(*by, gk, pk, gain, n)``: pairs taken in order of (weight down, gk, pk), each as often as both rows are left.
 
