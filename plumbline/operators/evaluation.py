@@ -40,7 +40,7 @@ class Results:
     def _write(self, sql: str, query_id: str) -> list[str]:
         df = cells.unique_names(self.spark.sql(sql))
         tokens = cells.tokens(df) if self.tokens else F.lit(None).cast("array<string>")
-        df.select(F.lit(query_id).alias("query_id"), cells.cells(df).alias("cells"), tokens.alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/{query_id}")
+        df.select(F.lit(query_id).alias("query_id"), cells.cells(df).alias("cells"), tokens.alias("tokens")).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{query_id}")
         return df.columns
 
     def rows(self) -> DataFrame:
@@ -54,35 +54,41 @@ def _sides(rows: DataFrame, cases: DataFrame) -> DataFrame:
     out = None
     for side, g, p in (("gold", 1, 0), ("pred", 0, 1)):
         of = cases.select("case_id", F.col(f"{side}_id").alias("query_id"), F.col(f"{side}_at").alias("at"), (F.col("gold_width") == F.col("pred_width")).alias("alike"))
-        part = rows.join(of, "query_id").select("case_id", "cells", "tokens", "at", "alike", F.lit(g).cast("long").alias("g"), F.lit(p).cast("long").alias("p"))  # a row for each case
+        part = rows.join(F.broadcast(of), "query_id").select("case_id", "cells", "tokens", "at", "alike", F.lit(g).cast("long").alias("g"), F.lit(p).cast("long").alias("p"))  # a row for each case
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def _tally(sides: DataFrame, key) -> DataFrame:
-    return sides.groupBy("case_id", key.alias("key")).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    return sides.groupBy("case_id", key).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
 
 
 def _together(rows: DataFrame, cases: DataFrame, technique: str, penalize: bool) -> DataFrame:
-    """``(case_id, *SCORES)`` of all cases by one of the TOGETHER."""
+    """``(case_id, *SCORES)`` of all cases by one of the TOGETHER.
+
+    If both sides have the same columns in the same places, the bags that are compared tell EX too.
+    """
     sides, both, zero = _sides(rows, cases), F.least("g", "p"), F.lit(0).cast("long")
-    same = _tally(sides.where("alike"), F.col("cells")).groupBy("case_id").agg(F.bool_and((F.col("g") > 0) == (F.col("p") > 0)).alias("same"))
-    told = cases.join(same, "case_id", "left").withColumn(
-        "ex", F.when(F.col("gold_width") == F.col("pred_width"), F.coalesce("same", F.lit(True)).cast("int")).otherwise(0))
+    by_tokens, exact = technique == "no_column_and_partial_cell", technique == "exact_column_and_exact_cell"
+    cases = cases.withColumn("bags", (F.size("gold_at") == F.col("gold_width")) & (F.col("gold_at") == F.col("pred_at")))
+    apart = sides.join(F.broadcast(cases.where("NOT bags").select("case_id")), "case_id", "left_semi") if exact else sides  # a row for each case
+    is_same = F.bool_and((F.col("g") > 0) == (F.col("p") > 0)).alias("same")
+    same = _tally(apart.where("alike"), F.col("cells").alias("key")).groupBy("case_id").agg(is_same)
+    if exact:
+        key = F.transform("at", lambda k: F.get("cells", k))
+        tally = _tally(sides, key.alias("key"))
+        sums = tally.groupBy("case_id").agg(F.sum(both).alias("m"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), is_same.alias("same_bags"))
+        told = cases.join(same, "case_id", "left").join(sums, "case_id", "left").withColumn("same", F.when(F.col("bags"), F.col("same_bags")).otherwise(F.col("same")))
+    else:
+        told = cases.join(same, "case_id", "left")
+    told = told.withColumn("ex", F.when(F.col("gold_width") == F.col("pred_width"), F.coalesce("same", F.lit(True)).cast("int")).otherwise(0))
     if technique == "execution_accuracy":
         return told.select("case_id", "ex", *[F.col("ex").cast("double").alias(c) for c in SCORES[1:4]], *[F.lit(None).cast("long").alias(c) for c in SCORES[4:]])
-    by_tokens = technique == "no_column_and_partial_cell"
-    tally = _tally(sides, F.col("tokens") if by_tokens else F.transform("at", lambda k: F.get("cells", k)))
-    size = F.size("key") if by_tokens else F.lit(1)
-    sums = tally.groupBy("case_id").agg(F.sum(size * both).alias("m"), F.sum(size * F.col("g")).alias("n_gold"), F.sum(size * F.col("p")).alias("n_pred"))
-    out = told.join(sums, "case_id", "left")
-    width = F.size("gold_at")
-    if technique != "exact_column_and_exact_cell":
-        rest = tally.select("case_id", "key", (F.col("g") - both).alias("g"), (F.col("p") - both).alias("p")).where("g > 0 or p > 0")
-        more = tiers.gained(rest, ("case_id",), by_tokens)
-        out = out.join(more, "case_id", "left")
+    if exact:
+        out = told.withColumn("more", zero)
     else:
-        out = out.withColumn("more", zero)
+        out = _partly(sides, told, by_tokens)
+    width = F.size("gold_at")
     m, g, p = (F.coalesce(c, zero) for c in ("m", "n_gold", "n_pred"))
     if not by_tokens:
         m, g, p = m * width, g * F.col("gold_width"), p * F.when(width == 0, F.col("pred_width")).otherwise(F.col("pred_width") if penalize else width)
@@ -92,6 +98,16 @@ def _together(rows: DataFrame, cases: DataFrame, technique: str, penalize: bool)
         "case_id", "ex", *[F.when(F.col("apart") & (F.col("ex") == 0), 0.0).otherwise(F.col(c)).alias(c) for c in SCORES[1:4]], *SCORES[4:])
 
 
+def _partly(sides: DataFrame, told: DataFrame, by_tokens: bool) -> DataFrame:
+    """``told`` with the rows of either side, those in common and what is gained beyond them."""
+    both, key = F.least("g", "p"), F.col("tokens") if by_tokens else F.transform("at", lambda k: F.get("cells", k))
+    size = F.size("key") if by_tokens else F.lit(1)
+    tally = _tally(sides, key.alias("key"))
+    sums = tally.groupBy("case_id").agg(F.sum(size * both).alias("m"), F.sum(size * F.col("g")).alias("n_gold"), F.sum(size * F.col("p")).alias("n_pred"))
+    rest = tally.select("case_id", "key", (F.col("g") - both).alias("g"), (F.col("p") - both).alias("p")).where("g > 0 or p > 0")
+    return told.join(sums, "case_id", "left").join(tiers.gained(rest, ("case_id",), by_tokens), "case_id", "left")
+
+
 def scores(spark: SparkSession, cases: Iterable[tuple[str, str, str]], technique: str, seconds: float | None = None, **options) -> DataFrame:
     """``(case_id, status, error, latency, *SCORES)`` for each (case_id, gold SQL, predicted SQL).
 
