@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
-from plumbline.operators import techniques, tiers
+from plumbline.operators import early, techniques, tiers
 from plumbline.session import shared_folder
 from plumbline.sources import limits
 
@@ -38,7 +38,7 @@ class Results:
         self.found = limits.run_all(spark, {sql: partial(self._write, sql, k) for sql, k in self.ids.items()}, seconds)
 
     def _write(self, sql: str, query_id: str) -> list[str]:
-        df = cells.unique_names(self.spark.sql(sql))
+        df = cells.unique_names(early.result(self.spark, sql))
         tokens = cells.tokens(df) if self.tokens else F.lit(None).cast("array<string>")
         df.select(F.lit(query_id).alias("query_id"), cells.cells(df).alias("cells"), tokens.alias("tokens")).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{query_id}")
         return df.columns
@@ -151,7 +151,7 @@ def _one_by_one(spark: SparkSession, cases: list, technique: str, seconds: float
 
 
 def _alone(spark: SparkSession, gold: str, pred: str, technique: str, options: dict) -> tuple:
-    return tuple(getattr(techniques, technique)(spark.sql(gold), spark.sql(pred), **options).select(*SCORES).first())
+    return tuple(getattr(techniques, technique)(early.result(spark, gold), early.result(spark, pred), **options).select(*SCORES).first())
 
 
 def mutant_scores(spark: SparkSession, mutants: DataFrame, used: Iterable[str] = ("exact_column_and_exact_cell",), seconds: float | None = None) -> DataFrame:

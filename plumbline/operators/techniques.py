@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells, embed
-from plumbline.operators import frequent, matching, partners, tiers
+from plumbline.operators import early, frequent, matching, partners, tiers
 
 TECHNIQUES = (
     "execution_accuracy", "exact_column_and_exact_cell", "exact_column_and_partial_cell", "semantic_column_and_exact_cell",
@@ -176,7 +176,7 @@ def evaluate(spark: SparkSession, gold_sql: str, pred_sql: str, technique: str,
     if technique not in TECHNIQUES:
         raise ValueError(f"unknown technique {technique}")
     try:
-        gold, pred = spark.sql(gold_sql), spark.sql(pred_sql)
+        gold, pred = early.result(spark, gold_sql), early.result(spark, pred_sql)
         return globals()[technique](gold, pred, **options).withColumn("error", F.lit(None).cast("string"))
     except Exception as e:  # whatever a query may raise is a result here
         return failed(spark, str(e).splitlines()[0][:500])
